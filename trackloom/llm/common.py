@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,7 +27,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage is cut, the data survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the checkpoint
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

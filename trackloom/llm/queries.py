@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import mixing, neardup, sharding
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -22,9 +26,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_histogram_shards": op3_histogram_shards,
+    "op6_minhash_neardup": op6_minhash_neardup,
     "op8_mix_sources": op8_mix_sources,
 }
 ORACLES = {
     "op3_histogram_shards": sharding.ORACLE,
+    "op6_minhash_neardup": neardup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
