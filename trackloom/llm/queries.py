@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, neardup, sharding
+from . import decontam, langid, mixing, neardup, sharding
 from .common import read
 
 
@@ -19,15 +19,25 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_histogram_shards": op3_histogram_shards,
     "op6_minhash_neardup": op6_minhash_neardup,
+    "op7_simhash_decontamination": op7_simhash_decontamination,
     "op8_mix_sources": op8_mix_sources,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op3_histogram_shards": sharding.ORACLE,
