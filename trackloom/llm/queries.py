@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, mixing, neardup, sharding
+from . import decontam, embeddings, html, langid, mixing, neardup, sharding, urls
 from .common import read
 
 
+def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -15,6 +24,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -33,13 +46,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_text_density": op1_text_density,
+    "op2_url_filter": op2_url_filter,
     "op3_histogram_shards": op3_histogram_shards,
+    "op5_sorted_projections": op5_sorted_projections,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_simhash_decontamination": op7_simhash_decontamination,
     "op8_mix_sources": op8_mix_sources,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
+    "op5_sorted_projections": embeddings.ORACLE,
     "op3_histogram_shards": sharding.ORACLE,
     "op6_minhash_neardup": neardup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
