@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, html, langid, mixing, neardup, sharding, urls
+from . import decontam, embeddings, html, langid, mixing, neardup, sharding, tokens, urls
 from .common import read
 
 
@@ -41,6 +41,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_inline(read(spark, sf_dir, "documents"), tokens.house_edits(F.col("text")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_simhash_decontamination": op7_simhash_decontamination,
     "op8_mix_sources": op8_mix_sources,
+    "op9_edit_aware_tokens": op9_edit_aware_tokens,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
