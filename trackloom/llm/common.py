@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters that separate words everywhere in this subpackage.
@@ -15,8 +16,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so they need no shared folder to import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="trackloom-zip-")) / "trackloom.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(to))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names; make a local one only where none is named."""
+    ship(spark)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
@@ -24,16 +43,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackloom-ckpt-"))
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage is cut, the data survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
+
+    Lineage is cut and the data survive the loss of any executor; unlike checkpoint() the
+    plan runs once only.  ``release`` drops such a table early; the rest go when the driver ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _tables.append((spark, path))
     gc.collect()
-    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the checkpoint
-    return out
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the table
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no later plan reads."""
+    for df in tables:
+        dirs = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for item in [x for x in _tables if any(d.endswith(x[1].rsplit("/", 1)[-1]) for d in dirs)]:
+            _tables.remove(item)
+            _delete(*item)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _tables:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may be gone already
+            return
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -50,7 +103,3 @@ def ascii_lower(c: Column) -> Column:
 def md5_long(c: Column) -> Column:
     """The first 60 bits of md5 as a non-negative long; any SQL engine can compute it."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
-
-
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

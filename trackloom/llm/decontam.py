@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ship
 from .shingles import N, mix64, slices, windows, words
 
 THRESHOLD = 0.75
@@ -173,6 +174,7 @@ def _scan(items: Items):
 
 def find(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, radius: int = RADIUS, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """A row for each (document, benchmark item) with a window at or over the threshold: its best window."""
+    ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     passes = max(1, -(-items.count() // items_per_pass))
     part = F.pmod(F.xxhash64("text", "item_id"), F.lit(passes))

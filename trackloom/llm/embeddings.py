@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut
+from .common import cut, ship
 from .graph import components
 
 THRESHOLD = 0.9
@@ -127,6 +127,7 @@ def _count(threshold: float):
 
 def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WINDOW, block: int = BLOCK, tile: int = TILE, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id) for every row of ``vectors``."""
+    ship(vectors.sparkSession)
     e = F.col("embedding").cast("array<double>")
     ok = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, F.transform(e, lambda x: x + 0.0)).alias("emb"))

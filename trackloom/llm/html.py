@@ -29,6 +29,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ship
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset(
@@ -289,5 +291,6 @@ def _extract(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import md5_long
+from .common import md5_long, ship
 from .shingles import mix64, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -268,6 +268,7 @@ def _predict(model: Model, columns: list[str]):
 
 def identify(docs: DataFrame, *, model: Model | None = None, vocabulary: str = VOCABULARY, rows_per_lang: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row."""
+    ship(docs.sparkSession)
     model = model or Model.fit(sample(docs, rows_per_lang), pieces_of(vocabulary))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(_predict(model, ["doc_id", "held_out", "text"]), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -287,5 +288,6 @@ def _keep(model: Model, at: int, least: float):
 
 def accepted(docs: DataFrame, *, model: Model | None = None, vocabulary: str = VOCABULARY, rows_per_lang: int = SAMPLE_ROWS, least: float = 0.5) -> DataFrame:
     """The rows whose text is in a known language with at least the given score; all columns stay."""
+    ship(docs.sparkSession)
     model = model or Model.fit(sample(docs, rows_per_lang), pieces_of(vocabulary))
     return docs.mapInArrow(_keep(model, docs.columns.index("text"), least), docs.schema)

@@ -8,8 +8,8 @@
    standard deviations below).  So each class lists itself only under its rarest
    values, all but the ``SHARED - 1`` commonest (prefix filter): a passage that a third
    of all documents share makes no list of a third of all documents.
-4. In each list every member is held against the list's smallest member (a star, not
-   all pairs); the estimate from the union sketch filters, exact Jaccard on full sets
+4. In each list every member is held against the list's most central one, whose values
+   are the most common (a star, not all pairs); the estimate from the union sketch filters, exact Jaccard on full sets
    verifies.
 5. Lists that still hold more than one component are compared exactly across components,
    tile by tile; a tile gives a spanning forest of its links, not all of them.
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, ship
 from .graph import components
 from .shingles import shingle_sets
 
@@ -153,6 +153,7 @@ def estimate(a: Column, b: Column, k: int = K) -> Column:
 
 def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    ship(docs.sparkSession)
     signed = cut(signatures(docs, k))
     classes = (
         signed.where("k1 is not null").groupBy("k1", "k2")
@@ -167,11 +168,14 @@ def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD,
 
     values = sketches.select("cid", F.greatest(F.lit(1), F.floor(F.size("sketch") * SHARED)).cast("int").alias("t"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = values.join(often, "v").groupBy("cid").agg(F.max("t").alias("t"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
+    shared = values.join(often, "v").groupBy("cid").agg(
+        F.max("t").alias("t"), F.sum("f").alias("score"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs")
+    )
     shared = shared.where(F.size("vs") >= F.col("t"))
-    listed = cut(shared.select("cid", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("t") + 1)).alias("x")).select("cid", "x.v"))
+    listed = shared.select("cid", "score", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("t") + 1)).alias("x"))
+    listed = cut(listed.select("cid", "score", "x.v"))
 
-    heads = listed.groupBy("v").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    heads = listed.groupBy("v").agg(F.max(F.struct("score", "cid"))["cid"].alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = listed.join(heads.select("v", "head"), "v").where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     a, b = sketches.alias("x"), sketches.alias("y")
     pairs = pairs.join(b, F.col("b") == F.col("y.cid")).select("a", "b", F.col("y.sketch").alias("sb"))
@@ -190,8 +194,8 @@ def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD,
     by_class = listed.alias("l").join(comps.alias("p"), F.col("l.cid") == F.col("p.v"), "left")
     listed = cut(by_class.select("l.v", "l.cid", F.coalesce("p.component", "l.cid").alias("comp")))
     of = listed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = of.groupBy("v").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("m")).where("parts > 1 and m > 2")
-    rest = listed.join(open_, "v").select("v", "cid", "comp", (F.col("comp") == F.col("main")).cast("int").alias("major"), "m")
+    open_ = of.groupBy("v").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("parts > 1 and m > 2")
+    rest = listed.join(open_, "v").select("v", "cid", "comp", (F.col("comp") == F.col("top.comp")).cast("int").alias("major"), "m", F.col("top.n").alias("mains"))
     more = cut(_tiles(rest, sets, tile, threshold))
     if more.head(1):
         comps = components(links.unionByName(more))
@@ -204,20 +208,21 @@ def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD,
 
 
 def _tiles(rest: DataFrame, sets: DataFrame, tile: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links across components within each list.  rest: (v, cid, comp, major, m).
+    """Links across components within each list.  rest: (v, cid, comp, major, m, mains).
 
     Members of the list's main component and the others are dealt into tiles apart, so
     two tiles of the main component never meet; a list of n members is worked off by
     tasks of two tiles each.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.col("m") / tile)).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), n).cast("int") * 2 + F.col("major")
-    rest = rest.withColumn("tile", mine).withColumn("n", n)
-    # every tile of the others meets every tile; its own only once
-    others = F.sequence(F.lit(0), F.col("n") - 1)
-    # row of an 'other' tile i is side 0 of (i, j) for all j; any row of tile j is side 1 of (i, j) for all other-tiles i
-    as_left = rest.where("major = 0").select("v", "cid", "comp", F.col("tile").alias("i"), F.explode(F.flatten(F.transform(others, lambda x: F.array(x * 2, x * 2 + 1)))).alias("j"), F.lit(0).alias("side"))
-    as_right = rest.select("v", "cid", "comp", F.explode(F.transform(others, lambda x: x * 2)).alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / tile)).cast("int")
+    rest = rest.withColumn("n0", tiles(F.col("m") - F.col("mains"))).withColumn("n1", tiles(F.col("mains")))
+    mine = F.pmod(F.xxhash64("cid"), F.when(F.col("major") == 1, F.col("n1")).otherwise(F.col("n0"))).cast("int") * 2 + F.col("major")
+    rest = rest.withColumn("tile", mine)
+    # even tiles hold others, odd ones the main component; every even tile meets every tile, its own kind only once
+    even = F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda x: x * 2)
+    odd = F.transform(F.sequence(F.lit(0), F.col("n1") - 1), lambda x: x * 2 + 1)
+    as_left = rest.where("major = 0").select("v", "cid", "comp", F.col("tile").alias("i"), F.explode(F.concat(even, odd)).alias("j"), F.lit(0).alias("side"))
+    as_right = rest.select("v", "cid", "comp", F.explode(even).alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"))
     placed = as_left.where("i <= j or j % 2 = 1").unionByName(as_right.where("i <= j or j % 2 = 1"))
     placed = placed.join(sets, "cid")
     return placed.groupBy("v", "i", "j").applyInArrow(_across(*threshold), "a long, b long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, html, langid, mixing, neardup, sharding, tokens, urls
+from . import decontam, embeddings, html, langid, mixing, neardup, sharding, suffixes, tokens, urls
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_url_filter": op2_url_filter,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_bwt_merge_dedup": op4_bwt_merge_dedup,
     "op5_sorted_projections": op5_sorted_projections,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_simhash_decontamination": op7_simhash_decontamination,

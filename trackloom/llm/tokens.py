@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import ship
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the pre-token pattern that belongs to the vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -182,6 +184,7 @@ def count(docs: DataFrame, edits: DataFrame | None = None, *, ranks: str = RANKS
     edits: (doc_id, seq, start, stop, put).  Those of one document are applied by one task.
     """
     spark = docs.sparkSession
+    ship(spark)
     with open(ranks, "rb") as f:
         shipped = spark.sparkContext.broadcast(f.read())  # fixed size: the vocabulary
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -198,6 +201,7 @@ def count(docs: DataFrame, edits: DataFrame | None = None, *, ranks: str = RANKS
 def count_inline(docs: DataFrame, edits, *, ranks: str = RANKS) -> DataFrame:
     """``count`` where the edits are an array column expression of each document: no join, no shuffle."""
     spark = docs.sparkSession
+    ship(spark)
     with open(ranks, "rb") as f:
         shipped = spark.sparkContext.broadcast(f.read())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", edits.alias("edits")).mapInArrow(_count(shipped), COUNTED)

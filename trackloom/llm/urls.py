@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, md5_long
+from .common import ascii_lower, md5_long, ship
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -211,6 +211,7 @@ def _score(model: Model):
 
 def judge(pages: DataFrame, *, rules=RULES, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, cut: float = 0.5) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, score) for every page; score is the trees' probability of blocking."""
+    ship(pages.sparkSession)
     rows = parsed(pages, rules).withColumn("page_id", F.col("page_id").cast("long"))
     model = model or Model.fit(sample(rows, sample_rows))
     scored = rows.mapInArrow(_score(model), "page_id long, url string, host string, path string, rule string, score double")
