@@ -1,7 +1,84 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
-STAGES = []
+"""Corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and
+returns a DataFrame; all but the last return the columns of ``documents``.  ``run`` writes
+each stage's result to the shared checkpoint folder and reads it back for the next one.
+
+1. language_id keeps texts that are in a known language (``langid.accepted``).
+2. minhash_neardup keeps one document of each near-duplicate group.
+3. decontamination drops documents that hold a benchmark item.
+4. mixing repeats each document as often as the mix takes it: ``taken`` words of a document
+   of ``size`` words make taken // size copies, plus one more, with probability equal to
+   the remaining share, by a seeded hash of its id.  Documents without words stay once.
+5. sharding deals all rows into shards of near-equal bytes and numbers them.
+
+Nulls: a row with a null text is rejected by the first stage; null ids and sources are
+handled as in the operators.  Extra columns are carried along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from trackloom.llm import decontam, langid, mixing, neardup, sharding
+from trackloom.llm.common import cut, fresh, md5_long, read
+
+LEAST_SCORE = 0.5
+SEED = "pipeline-mix-1"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, least=LEAST_SCORE)
+
+
+def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id, once."""
+    linked = neardup.near_duplicates(docs)
+    gone = linked.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.head(1):  # ids are unique: nothing more to drop, and no text is shuffled
+        return kept.select(*docs.columns)
+    # repeated rows of one id and text are copies too; a null id stays as it is
+    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(docs).select(F.col("doc_id").alias("mix_id"), "size", "taken").dropDuplicates(["mix_id"])
+    copies, left = F.expr("taken div size"), F.col("taken") % F.col("size")
+    turn = md5_long(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("mix_id").cast("string"), F.lit("null"))))
+    more = (turn % F.col("size") < left).cast("long")
+    plan = plan.select("mix_id", F.when(F.col("size") > 0, copies + more).otherwise(1).cast("int").alias("times"))
+    copy = fresh(docs, "copy")
+    both = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id"))).where("times > 0")
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_neardup", minhash_neardup),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: SQL cannot express the language model and the fingerprints; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs
