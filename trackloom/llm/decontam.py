@@ -3,9 +3,9 @@
 For every benchmark item of w words, all windows of w words in a document are the
 candidates.  A window whose weighted 5-word-shingle similarity (multiset Jaccard, the
 weights are the shingles' counts) with an item reaches the threshold shares at least
-``threshold * (item's shingles)`` shingle occurrences with the benchmark, so only windows
-with that many hits in the table of benchmark shingles are fingerprinted (a lossless
-sieve: two running sums per window length).
+``threshold * (item's shingles)`` shingle occurrences with the items of its length, so only
+windows with that many hits in the table of benchmark shingles are fingerprinted (a
+lossless sieve: a running sum per window length).
 
 Fingerprints are 64-bit SimHashes of a window's words, weighted by count.  They are
 looked up by ``RADIUS + 1`` disjoint bit blocks: two fingerprints within the radius agree
@@ -77,6 +77,12 @@ class Items:
         self.table = np.unique(np.array([s for c in self.shingles for s in c], np.uint64))
         self.sieve = np.zeros(int(_LOW) + 1, bool)
         self.sieve[(self.table & _LOW).astype(np.int64)] = True
+        #: shingle -> lengths of the items that hold it
+        of = defaultdict(set)
+        for size, c in zip(self.size, self.shingles):
+            for x in c:
+                of[x].add(size)
+        self.sizes_of = {x: sorted(v) for x, v in of.items()}
         #: window length -> least number of shared shingle occurrences
         self.least: dict[int, int] = {}
         for size, n in zip(self.size, need):
@@ -114,12 +120,17 @@ class Items:
         if len(h) < N:  # one shingle of all words
             spots = {len(h): np.zeros(1, int)} if hit.any() and len(h) in self.least else {}
         else:
-            run = np.concatenate([[0], np.cumsum(hit)])
-            spots = {}
-            for size, least in self.least.items():
-                if N <= size <= len(h):
+            spots, at_size = {}, defaultdict(list)
+            for p in np.flatnonzero(hit).tolist():
+                for size in self.sizes_of[int(sh[p])]:
+                    at_size[size].append(p)
+            for size, at in at_size.items():  # windows with enough shingles of items of just that length
+                if N <= size <= len(h) and len(at) >= self.least[size]:
+                    mine = np.zeros(len(sh), np.int64)
+                    mine[at] = 1
+                    run = np.concatenate([[0], np.cumsum(mine)])
                     got = run[size - N + 1 :] - run[: len(run) - (size - N + 1)]
-                    if len(s := np.flatnonzero(got >= least)):
+                    if len(s := np.flatnonzero(got >= self.least[size])):
                         spots[size] = s
             short = [s for s in self.least if s < N]
             for size in short:  # items of fewer than five words: windows of exactly their words
