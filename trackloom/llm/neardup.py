@@ -33,7 +33,7 @@ K = 40
 SHARED = 0.375
 LEAST_ESTIMATE = 0.44
 THRESHOLD = (75, 100)
-TILE = 192
+TILE = 512
 
 
 def _sign(sets: np.ndarray) -> tuple[int, int]:
