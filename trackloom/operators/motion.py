@@ -35,7 +35,7 @@ def enrich(tracks: DataFrame, cfg: Config = DEFAULT, *, reproject: bool = False)
         x1, x2 = (G.unletterbox(c, lb["pad_left"], lb["scale"], F.col("frame_width")) for c in (x1, x2))
         y1, y2 = (G.unletterbox(c, lb["pad_top"], lb["scale"], F.col("frame_height")) for c in (y1, y2))
     states = tracks.withColumns({"x1": x1 / F.col("frame_width"), "y1": y1 / F.col("frame_height"), "x2": x2 / F.col("frame_width"), "y2": y2 / F.col("frame_height")})
-    states = states.withColumns({"cx": F.round((F.col("x1") + F.col("x2")) / 2, 9), "cy": F.round((F.col("y1") + F.col("y2")) / 2, 9)})
+    states = states.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
     track = W.partitionBy(*TRACK).orderBy("frame_id")
     last = track.rowsBetween(-(cfg.motion.buffer - 1), 0)
     dx, dy = (F.col(c) - F.lag(c).over(track) for c in ("cx", "cy"))
