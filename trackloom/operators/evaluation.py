@@ -29,8 +29,10 @@ def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS)
     box = ["x1", "y1", "x2", "y2"]
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame(columns=names)
         p = p.sort_values(["confidence", "pos"], ascending=[False, True], kind="stable")
-        t = t.sort_values("pos")
+        t = t.sort_values("pos") if len(t) else t
         iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float)) if len(t) else np.zeros((len(p), 0))
         out = []
         for th in thresholds:
@@ -41,8 +43,9 @@ def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS)
                 if tp:
                     free[best] = False
                 out.append((row.image_id, row.class_id, row.pos, row.confidence, th, int(tp)))
-        return pd.DataFrame(out, columns=["image_id", "class_id", "pos", "confidence", "threshold", "tp"])
+        return pd.DataFrame(out, columns=names)
 
+    names = ["image_id", "class_id", "pos", "confidence", "threshold", "tp"]
     schema = "image_id string, class_id int, pos long, confidence double, threshold double, tp int"
     return preds.groupBy("image_id", "class_id").cogroup(truths.groupBy("image_id", "class_id")).applyInPandas(match, schema)
 
@@ -70,9 +73,9 @@ def match_tracks(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) ->
     box = ["x1", "y1", "x2", "y2"]
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values("pos"), t.sort_values("pos")
         out = []
         if len(p) and len(t):
+            p, t = p.sort_values("pos"), t.sort_values("pos")
             iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float))
             pairs = sorted(((iou[i, j], i, j) for i, j in zip(*np.nonzero(iou >= threshold))), reverse=True)
             used_p, used_t = set(), set()
@@ -108,9 +111,11 @@ def match_events(preds: DataFrame, truths: DataFrame, tolerance: int = 0) -> Dat
     second = F.coalesce(F.col("secondary_track_id").cast("long"), F.lit(-(1 << 62)))
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t, free, out = p.sort_values("pos"), t.sort_values("pos"), None, []
-        free = [True] * len(t)
-        frames, places = t["frame_id"].tolist(), t["pos"].tolist()
+        out: list[tuple] = []
+        if not len(p) or not len(t):
+            return pd.DataFrame(out, columns=["event_type", "pred_pos", "truth_pos"])
+        p, t = p.sort_values("pos"), t.sort_values("pos")
+        free, frames, places = [True] * len(t), t["frame_id"].tolist(), t["pos"].tolist()
         for r in p.itertuples():
             for k, f in enumerate(frames):
                 if free[k] and abs(f - r.frame_id) <= tolerance:
@@ -119,7 +124,8 @@ def match_events(preds: DataFrame, truths: DataFrame, tolerance: int = 0) -> Dat
                     break
         return pd.DataFrame(out, columns=["event_type", "pred_pos", "truth_pos"])
 
-    a, b = (x.withColumn("second", second).select(*keys, "frame_id", "pos") for x in (preds, truths))
+    cols = (*keys[:3], "frame_id", "pos")
+    a, b = (x.select(*(F.col(c).alias(c) for c in cols), second.alias("second")) for x in (preds, truths))
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, "event_type string, pred_pos long, truth_pos long")
 
 

@@ -61,14 +61,18 @@ def near_miss(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return _events(out, "NEAR_MISS")
 
 
-def loiter(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """A person's run of stationary observations in one zone reaches the limit; a missed frame does not break it."""
+def loiter_runs(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Stationary observations of persons with their position in a run within one zone; a missed frame does not break it."""
     track = W.partitionBy("sequence_id", "track_id").orderBy("frame_id")
     s = states.withColumn("ok", F.col("class_name").isin(*cfg.loiter.classes) & (F.col("movement_pattern") == "stationary"))
     same = F.coalesce(F.col("ok") & F.lag("ok").over(track) & (F.col("zone_id") == F.lag("zone_id").over(track)), F.lit(False))
     s = s.withColumn("breaks", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("breaks").over(track))
     s = s.withColumn("run", F.row_number().over(W.partitionBy("sequence_id", "track_id", "island").orderBy("frame_id")))
-    out = s.where(F.col("ok") & (F.col("run") == cfg.loiter.frames))
+    return s.where("ok")
+
+
+def loiter(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    out = loiter_runs(states, cfg).where(F.col("run") == cfg.loiter.frames)
     return _events(out.withColumn("primary_track_id", F.col("track_id")).withColumn("confidence", F.lit(1.0)), "LOITER")
 
 

@@ -122,7 +122,8 @@ def near_miss_edges(events: DataFrame) -> DataFrame:
 def convoy_edges(events: DataFrame) -> DataFrame:
     """Both directions."""
     one = last_write(_of(events, "CONVOY").withColumn("avg_distance", F.col("distance")), ["sequence_id", "a_track_id", "b_track_id"], ["avg_distance"])
-    return one.unionByName(one.withColumnsRenamed({"a_track_id": "b_track_id", "b_track_id": "a_track_id"}))
+    back = one.select("sequence_id", F.col("b_track_id").alias("a_track_id"), F.col("a_track_id").alias("b_track_id"), "frame_id", "avg_distance")
+    return one.unionByName(back)
 
 
 def loitering_edges(events: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def ambiguous(cands: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def same_entity(accepted: DataFrame) -> DataFrame:
-    return accepted.select("sequence_id", "track_a", "track_b", "confidence", F.lit("trajectory_continuity").alias("method"), F.col("b_first").alias("resolved_at_frame"))
+    return accepted.select("sequence_id", "track_a", "track_b", "confidence", F.lit("spatial_temporal_reid").alias("method"), F.col("b_first").alias("resolved_at_frame"))
 
 
 def canonical(accepted: DataFrame) -> DataFrame:
