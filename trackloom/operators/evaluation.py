@@ -21,6 +21,11 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so two tables of one origin can be grouped together."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """(image_id, class_id, pos, confidence, threshold, tp): by confidence, each takes its best free truth.
 
@@ -47,6 +52,7 @@ def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS)
 
     names = ["image_id", "class_id", "pos", "confidence", "threshold", "tp"]
     schema = "image_id string, class_id int, pos long, confidence double, threshold double, tp int"
+    preds, truths = _apart(preds), _apart(truths)
     return preds.groupBy("image_id", "class_id").cogroup(truths.groupBy("image_id", "class_id")).applyInPandas(match, schema)
 
 
@@ -88,6 +94,7 @@ def match_tracks(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) ->
         return pd.DataFrame(out, columns=["sequence_id", "frame_id", "gt_track", "pred_track", "iou"])
 
     keys = ["sequence_id", "frame_id"]
+    preds, truths = _apart(preds), _apart(truths)
     return preds.groupBy(*keys).cogroup(truths.groupBy(*keys)).applyInPandas(match, "sequence_id string, frame_id int, gt_track long, pred_track long, iou double")
 
 

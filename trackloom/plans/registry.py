@@ -368,9 +368,9 @@ def _(spark, sf):
     return reid.ambiguous(reid.candidates(_scored(spark, sf), CONFIG), _accepted(spark, sf)).select("sequence_id", "track_a", "track_b", *r6("confidence"))
 
 
-@register("r7_coexists", sql("""SELECT sequence_id, track_a, track_b, overlap_start, overlap_end, overlap_end - overlap_start + 1 AS overlap_frames, round(min(sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))), 6) AS min_distance_ever FROM (
+@register("r7_coexists", sql("""SELECT sequence_id, track_a, track_b, overlap_start, overlap_end, overlap_end - overlap_start + 1 AS overlap_frames, round(min(sqrt((ax - bx) * (ax - bx) + (ay - yb) * (ay - yb))), 6) AS min_distance_ever FROM (
   SELECT a.sequence_id, a.track_id AS track_a, b.track_id AS track_b, greatest(a.f0, b.f0) AS overlap_start, least(a.f1, b.f1) AS overlap_end,
-    unnest(a.xs[1:least(a.n, b.n)]) AS ax, unnest(a.ys[1:least(a.n, b.n)]) AS ay, unnest(b.xs[1:least(a.n, b.n)]) AS bx, unnest(b.ys[1:least(a.n, b.n)]) AS by
+    unnest(a.xs[1:least(a.n, b.n)]) AS ax, unnest(a.ys[1:least(a.n, b.n)]) AS ay, unnest(b.xs[1:least(a.n, b.n)]) AS bx, unnest(b.ys[1:least(a.n, b.n)]) AS yb
   FROM snaps a JOIN snaps b ON a.sequence_id = b.sequence_id AND (a.f0 < b.f0 OR (a.f0 = b.f0 AND a.track_id < b.track_id)) AND b.f0 <= a.f1) GROUP BY ALL""", "snaps"))
 def _(spark, sf):
     return reid.coexists(fragments(spark, sf), CONFIG).select("sequence_id", "track_a", "track_b", "overlap_start", "overlap_end", "overlap_frames", *r6("min_distance_ever"))

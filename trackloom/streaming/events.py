@@ -1,6 +1,7 @@
 """The stateful parts as Structured Streaming: zone statistics with a watermark, loiter runs with keyed state.
 
-Frames are event time: frame n is n seconds after the epoch.
+Frames are event time: frame n is n seconds after the first day of the epoch (a time of
+zero would count as late before any watermark is known).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ LATE = "10 seconds"
 
 
 def with_time(states: DataFrame) -> DataFrame:
-    return states.withColumn("event_ts", F.timestamp_seconds("frame_id"))
+    return states.withColumn("event_ts", F.timestamp_seconds(F.col("frame_id") + 86_400))
 
 
 def zone_stats(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFrame:
@@ -33,8 +34,8 @@ def zone_stats(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> Da
     return z.withColumns({"density": total.cast("double"), "pedestrian_ratio": ratio("pedestrian_count", cfg.zones.pedestrian_ratio), "vehicle_ratio": ratio("vehicle_count", cfg.zones.vehicle_ratio)}).drop("event_ts")
 
 
-def loiter(stream: DataFrame, cfg: Config = DEFAULT, timeout_ms: int = 600_000) -> DataFrame:
-    """LOITER events with a counter per track as state; idle tracks time out."""
+def loiter(stream: DataFrame, cfg: Config = DEFAULT, timeout_ms: int | None = None) -> DataFrame:
+    """LOITER events with a counter per track as state; with a timeout idle tracks are forgotten."""
     limit, classes = cfg.loiter.frames, set(cfg.loiter.classes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,11 +51,12 @@ def loiter(stream: DataFrame, cfg: Config = DEFAULT, timeout_ms: int = 600_000)
             if ok and count == limit:
                 out.append((key[0], int(key[1]), int(r.frame_id), r.zone_id))
         state.update((zone, count))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_id", "zone_id"])
 
     keyed = stream.select("sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id").groupBy("sequence_id", "track_id")
-    found = keyed.applyInPandasWithState(run, "sequence_id string, track_id long, frame_id int, zone_id string", "zone string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    found = keyed.applyInPandasWithState(run, "sequence_id string, track_id long, frame_id int, zone_id string", "zone string, n long", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     return E._events(found.withColumnRenamed("track_id", "primary_track_id").withColumn("confidence", F.lit(1.0)), "LOITER")
 
 
