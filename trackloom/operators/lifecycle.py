@@ -72,7 +72,7 @@ def approaching(states: DataFrame, angle: float = 45.0, moving: float = 0.001) -
     p = _ordered_pairs(states)
     before = F.lag("distance").over(W.partitionBy("sequence_id", "a", "b").orderBy("frame_id"))
     p = p.withColumns({"before": before, "off": G.heading_difference(F.col("a_heading_deg"), F.col("bearing"))})
-    return p.where((F.col("a_speed") > moving) & (F.col("off") < angle) & (F.col("distance") < F.col("before")))
+    return p.where((F.col("a_speed") > moving) & (F.round("off", 9) < angle) & (F.round("distance", 9) < F.round("before", 9)))
 
 
 def following(states: DataFrame, frames: DataFrame, at_least: int = 30, angle: float = 30.0, most: float = 0.12) -> DataFrame:

@@ -657,7 +657,7 @@ def _(spark, sf):
   SELECT a.sequence_id, a.frame_id, a.track_id AS a, b.track_id AS b, a.speed, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d,
     least(abs(a.heading_deg - bearing) % 360, 360 - abs(a.heading_deg - bearing) % 360) AS off FROM (
     SELECT * FROM states) a JOIN states b ON a.sequence_id = b.sequence_id AND a.frame_id = b.frame_id AND a.zone_id = b.zone_id AND a.track_id <> b.track_id,
-    LATERAL (SELECT CASE WHEN b.cx - a.cx = 0 AND b.cy - a.cy = 0 THEN 0.0 ELSE (degrees(atan2(b.cy - a.cy, b.cx - a.cx)) + 360) % 360 END AS bearing))) WHERE speed > 0.001 AND off < 45 AND d < before""", "states"))
+    LATERAL (SELECT CASE WHEN b.cx - a.cx = 0 AND b.cy - a.cy = 0 THEN 0.0 ELSE (degrees(atan2(b.cy - a.cy, b.cx - a.cx)) + 360) % 360 END AS bearing))) WHERE speed > 0.001 AND round(off, 9) < 45 AND round(d, 9) < round(before, 9)""", "states"))
 def _(spark, sf):
     return L.approaching(states(spark, sf)).select("sequence_id", "frame_id", "a", "b", *r6("distance"))
 
