@@ -109,3 +109,29 @@ def violations(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     parts = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in rules))).alias("r")).select("r.*")
     twice = states.groupBy("sequence_id", "track_id", "frame_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("duplicate_state").alias("rule"), "n")
     return reduce(DataFrame.unionByName, [parts, twice])
+
+
+def crowd_members(events: DataFrame, states: DataFrame) -> DataFrame:
+    """(event_key, track_id): persons in the zone of a crowd at its frame."""
+    from .events import keyed
+
+    crowd = keyed(events.where("event_type = 'CROWD_FORM'")).select("sequence_id", "frame_id", "zone_id", "event_key")
+    people = states.where("event_role = 'pedestrian'").select("sequence_id", "frame_id", "zone_id", "track_id")
+    return crowd.join(people, ["sequence_id", "frame_id", "zone_id"]).select("sequence_id", "event_key", "track_id").distinct()
+
+
+def triggered_by(events: DataFrame, cause: str, effect: str, within: int) -> DataFrame:
+    """Each effect with the latest cause in the same zone at most ``within`` frames before it."""
+    zone = W.partitionBy("sequence_id", "zone_id").orderBy("frame_id").rangeBetween(-within, -1)
+    e = events.where(F.col("event_type").isin(cause, effect))
+    e = e.withColumn("cause_frame", F.max(F.when(F.col("event_type") == cause, F.col("frame_id"))).over(zone))
+    return e.where((F.col("event_type") == effect) & F.col("cause_frame").isNotNull()).select("sequence_id", "zone_id", "cause_frame", F.col("frame_id").alias("effect_frame"), "primary_track_id")
+
+
+def overlaps(states: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs of a frame and zone whose boxes overlap more than ``least``."""
+    keys = ["sequence_id", "frame_id", "zone_id"]
+    side = lambda s: states.select(*keys, F.col("track_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")))
+    p = side("a").join(side("b"), keys).where("a < b")
+    box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
+    return p.withColumn("iou", G.iou(box("a"), box("b"))).where(F.col("iou") > least).select("sequence_id", "frame_id", "a", "b", "iou")

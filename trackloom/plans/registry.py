@@ -682,3 +682,54 @@ def _(spark, sf):
 @register("z13_severity", sql("""SELECT CASE WHEN distance < 0.03 THEN 'critical' ELSE 'warning' END AS severity, count(*) AS n FROM events_ WHERE event_type = 'NEAR_MISS' GROUP BY ALL""", "events_"))
 def _(spark, sf):
     return E.near_miss(states(spark, sf), CONFIG).groupBy(Q.severity(F.col("distance")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("z8_following", sql("""SELECT sequence_id, a, b, min(frame_id) AS start_frame, max(frame_id) AS end_frame, count(*) AS n_frames FROM (
+  SELECT p.*, f.ordinal - row_number() OVER (PARTITION BY p.sequence_id, a, b ORDER BY f.ordinal) AS isle FROM (
+    SELECT a.sequence_id, a.frame_id, a.track_id AS a, b.track_id AS b, a.heading_deg AS ha, b.heading_deg AS hb, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d,
+      CASE WHEN b.cx - a.cx = 0 AND b.cy - a.cy = 0 THEN 0.0 ELSE (degrees(atan2(b.cy - a.cy, b.cx - a.cx)) + 360) % 360 END AS bearing
+    FROM states a JOIN states b ON a.sequence_id = b.sequence_id AND a.frame_id = b.frame_id AND a.zone_id = b.zone_id AND a.track_id <> b.track_id AND a.event_role = 'vehicle' AND b.event_role = 'vehicle') p
+  JOIN frames f ON f.sequence_id = p.sequence_id AND f.frame_id = p.frame_id
+  WHERE d <= 0.12 AND least(abs(ha - hb) % 360, 360 - abs(ha - hb) % 360) < 30 AND least(abs(ha - bearing) % 360, 360 - abs(ha - bearing) % 360) < 30) GROUP BY sequence_id, a, b, isle HAVING count(*) >= 2""", "states", "frames"))
+def _(spark, sf):
+    s = states(spark, sf)
+    return L.following(s, motion.frames(s), at_least=2).drop("avg_trail_distance")
+
+
+@register("z9_crowd_members", sql("""SELECT DISTINCT k.sequence_id, k.event_key, s.track_id FROM keyed k JOIN states s ON s.sequence_id = k.sequence_id AND s.frame_id = k.frame_id AND s.zone_id = k.zone_id
+  WHERE k.event_type = 'CROWD_FORM' AND s.event_role = 'pedestrian'""", "keyed", "states"))
+def _(spark, sf):
+    s = states(spark, sf)
+    return L.crowd_members(E.all_events(s, CONFIG), s)
+
+
+@register("z9_triggered_by", sql("""SELECT l.sequence_id, l.zone_id, max(c.frame_id) AS cause_frame, l.frame_id AS effect_frame, l.primary_track_id FROM events_ l JOIN events_ c
+  ON c.sequence_id = l.sequence_id AND c.zone_id = l.zone_id AND c.event_type = 'CROWD_FORM' AND c.frame_id < l.frame_id AND c.frame_id >= l.frame_id - 30
+  WHERE l.event_type = 'LOITER' GROUP BY l.sequence_id, l.zone_id, l.frame_id, l.primary_track_id""", "events_"))
+def _(spark, sf):
+    return L.triggered_by(E.all_events(states(spark, sf), CONFIG), "CROWD_FORM", "LOITER", 30)
+
+
+@register("z6_scene_profile", sql("""SELECT sequence_id, round(count(*) FILTER (WHERE event_role = 'vehicle') / count(DISTINCT frame_id), 6) AS vehicles, round(count(*) FILTER (WHERE event_role = 'pedestrian') / count(DISTINCT frame_id), 6) AS pedestrians,
+  round(1500 * 1.7::DOUBLE / median(CASE WHEN event_role = 'pedestrian' THEN y2 - y1 END), 4) AS altitude_estimate FROM states WHERE frame_id < 30 GROUP BY sequence_id""", "states"))
+def _(spark, sf):
+    return L.scene_profile(states(spark, sf)).select("sequence_id", *r6("vehicles", "pedestrians"), F.round("altitude_estimate", 4).alias("altitude_estimate"))
+
+
+@register("x4_clip_frames", sql("SELECT event_key, round(greatest(0, frame_id / 30 - 1.5::DOUBLE), 6) AS clip_start, unnest(range(greatest(0, frame_id - 2), frame_id + 3)) AS frame FROM keyed WHERE event_type = 'NEAR_MISS'", "keyed"))
+def _(spark, sf):
+    ev = E.keyed(E.near_miss(states(spark, sf), CONFIG))
+    return ev.select("event_key", F.round(G.clip_start(F.col("frame_id")), 6).alias("clip_start"), F.explode(G.clip_frames(F.col("frame_id").cast("long"), 2)).alias("frame"))
+
+
+@register("a14_same_rows", sql("SELECT true AS equal", "tracks"))
+def _(spark, sf):
+    s = states(spark, sf).select("sequence_id", "track_id", "frame_id")
+    return spark.range(1).select(F.lit(V.same_rows(s, s.repartition(3))).alias("equal"))
+
+
+@register("t5_center_boxes", sql("SELECT sequence_id, track_id, frame_id, round((x1 + x2) / 2, 6) AS xc, round((y1 + y2) / 2, 6) AS yc, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h FROM states", "states"))
+def _(spark, sf):
+    s = states(spark, sf)
+    out = s.select("sequence_id", "track_id", "frame_id", *G.xyxy_to_xywh(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    return out.select("sequence_id", "track_id", "frame_id", *r6("xc", "yc", "w", "h"))
