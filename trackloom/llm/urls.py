@@ -4,12 +4,13 @@ Rules (host suffix, path start, verdict): a rule fits its host and all subdomain
 url's path starts with the rule's; the longest fitting rule wins.
 
 All other urls get the verdict of boosted regression trees on the log-odds (logistic
-loss, histogram splits), trained here from labelled urls: those that a rule decides, and
+loss, histogram splits), trained here from labelled urls: those that a rule decides (but
+not those that a rule blocks for a part of a host only, which says nothing on the rest), and
 those with a host label from the word lists below.  Features: lengths of url, host and
 path, depth, digit ratio, entropy of the characters, counts of parameters, dots, dashes
 and other marks, and suffix statistics, the smoothed share of blocked labelled urls with
-the same host suffix of one, two or three labels.  Each training url's own label is taken
-out of its suffix statistics.
+the same host suffix of one, two or three labels.  Training urls get these statistics from
+the other folds of the sample only, so a url's own label cannot show in them.
 
 The trees are fitted on a sample of at most about ``SAMPLE_ROWS`` labelled urls (by hash);
 suffix counts come from all labelled urls of that sample.  The model shipped to the tasks
@@ -21,6 +22,7 @@ scored as the empty url.  Extra columns are ignored.  An empty table gives no ro
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -33,12 +35,12 @@ from .common import ascii_lower, md5_long, ship
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: host labels (split at dashes) that mark advertising and tracking hosts, and plain hosts
 BLOCK_WORDS = ("ad", "ads", "adserver", "advert", "banner", "casino", "click", "clicks", "pixel", "popup", "porn", "promo", "spam", "track", "tracker", "tracking", "xxx")
-ALLOW_WORDS = ("blog", "docs", "edu", "gov", "library", "museum", "news", "wiki")
+ALLOW_WORDS = ("blog", "docs", "edu", "gov", "library", "m", "museum", "news", "wiki", "www")
 
 SAMPLE_ROWS = 20_000
 MAX_SUFFIXES = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 20
-PRIOR = 10.0
+PRIOR, FOLDS = 10.0, 5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -147,9 +149,11 @@ class Model:
     def __init__(self, share: float, counts: dict[str, tuple[int, int]], trees: Boosted | None):
         self.share, self.counts, self.trees = share, counts, trees
 
-    def _suffix(self, s: str, out_n: int = 0, out_y: int = 0) -> float:
+    def _suffix(self, s: str, less: dict[str, list[int]] | None = None) -> float:
         n, y = self.counts.get(s, (0, 0))
-        return (y - out_y + PRIOR * self.share) / (n - out_n + PRIOR)
+        if less is not None:
+            n, y = n - less[s][0], y - less[s][1]
+        return (y + PRIOR * self.share) / (n + PRIOR)
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str, str, int]]) -> "Model":
@@ -157,13 +161,16 @@ class Model:
         if not rows:
             return cls(0.0, {}, None)
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for _, host, _, y in rows:
+        by_fold = [defaultdict(lambda: [0, 0]) for _ in range(FOLDS)]
+        for i, (_, host, _, y) in enumerate(rows):
             for s in set(suffixes(host)):
-                counts[s][0] += 1
-                counts[s][1] += y
+                for c in (counts, by_fold[i % FOLDS]):
+                    c[s][0] += 1
+                    c[s][1] += y
         most = sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:MAX_SUFFIXES]
         m = cls(sum(r[3] for r in rows) / len(rows), {k: tuple(v) for k, v in most}, None)
-        x = np.array([lexical(u, h, p) + [m._suffix(s, 1, y) for s in suffixes(h)] for u, h, p, y in rows])
+        kept = set(m.counts)
+        x = np.array([lexical(u, h, p) + [m._suffix(s, by_fold[i % FOLDS] if s in kept else None) for s in suffixes(h)] for i, (u, h, p, _) in enumerate(rows)])
         m.trees = Boosted.fit(x, np.array([r[3] for r in rows], float))
         return m
 
@@ -186,9 +193,12 @@ def labelled(rows: DataFrame, rules=RULES) -> DataFrame:
     words = F.split(F.col("host"), r"[.\-]")
     by_rule = F.lit(None).cast("int")
     for rule, verdict in rules:
+        if verdict == "block" and rule.partition("/")[2]:
+            continue  # blocks a part of a host: says nothing on the host's other urls
         by_rule = F.when(F.col("rule") == rule, int(verdict == "block")).otherwise(by_rule)
     has = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
-    label = F.when(by_rule.isNotNull(), by_rule).when(has(BLOCK_WORDS), 1).when(has(ALLOW_WORDS), 0)
+    decided = F.col("rule").isNotNull() & by_rule.isNull()  # by a rule that is no label
+    label = F.when(by_rule.isNotNull(), by_rule).when(has(BLOCK_WORDS), 1).when(has(ALLOW_WORDS) & ~decided, 0)
     return rows.select("url", "host", "path", label.alias("label")).where("label is not null and url is not null")
 
 
@@ -197,7 +207,8 @@ def sample(rows: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, str, str
     n = known.count()
     turn = md5_long(F.concat(F.lit("url:"), "url")) / float(1 << 60)
     got = known.where(turn < most / max(1, n)).limit(2 * most).collect()
-    return sorted((r[0], r[1], r[2], r[3]) for r in got)
+    # in an order that does not depend on labels or hosts, so that folds are alike
+    return sorted(((r[0], r[1], r[2], r[3]) for r in got), key=lambda r: (zlib.crc32(r[0].encode()), r))
 
 
 def _score(model: Model):
