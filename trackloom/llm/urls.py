@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, md5_long, ship
+from .common import ascii_lower, cut, md5_long, ship
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -191,11 +191,9 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
 def labelled(rows: DataFrame, rules=RULES) -> DataFrame:
     """(url, host, path, label): 1 block, 0 allow, for urls that the word lists or a rule decide."""
     words = F.split(F.col("host"), r"[.\-]")
-    by_rule = F.lit(None).cast("int")
-    for rule, verdict in rules:
-        if verdict == "block" and rule.partition("/")[2]:
-            continue  # blocks a part of a host: says nothing on the host's other urls
-        by_rule = F.when(F.col("rule") == rule, int(verdict == "block")).otherwise(by_rule)
+    # a rule that blocks a part of a host says nothing on the host's other urls: no label
+    labels = {rule: int(verdict == "block") for rule, verdict in rules if verdict == "allow" or not rule.partition("/")[2]}
+    by_rule = F.coalesce(*(F.when(F.col("rule") == rule, F.lit(y)) for rule, y in labels.items()), F.lit(None).cast("int"))
     has = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
     decided = F.col("rule").isNotNull() & by_rule.isNull()  # by a rule that is no label
     label = F.when(by_rule.isNotNull(), by_rule).when(has(BLOCK_WORDS), 1).when(has(ALLOW_WORDS) & ~decided, 0)
@@ -220,13 +218,14 @@ def _score(model: Model):
     return run
 
 
-def judge(pages: DataFrame, *, rules=RULES, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, cut: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, *, rules=RULES, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, block_from: float = 0.5) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, score) for every page; score is the trees' probability of blocking."""
     ship(pages.sparkSession)
-    rows = parsed(pages, rules).withColumn("page_id", F.col("page_id").cast("long"))
+    # written once: plain columns keep the plans behind it small
+    rows = cut(parsed(pages, rules).withColumn("page_id", F.col("page_id").cast("long")))
     model = model or Model.fit(sample(rows, sample_rows))
     scored = rows.mapInArrow(_score(model), "page_id long, url string, host string, path string, rule string, score double")
-    verdict = F.when(F.col("score") >= cut, "block").otherwise("allow")
+    verdict = F.when(F.col("score") >= block_from, "block").otherwise("allow")
     for rule, by_rule in rules:
         verdict = F.when(F.col("rule") == rule, by_rule).otherwise(verdict)
     return scored.withColumn("verdict", verdict)
