@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,6 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackloom-ckpt-"))
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind a written table
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let go of the last job's shuffle files too: the scheduler holds its last plan until another job has run."""
+    for _ in range(2):
+        spark.range(1).count()
+        _collect(spark)
+        time.sleep(0.2)
+
+
 _tables: list[tuple[SparkSession, str]] = []
 
 
@@ -57,11 +72,22 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append((spark, path))
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind the table
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows while tables are cut inside: wide rows keep the workers' memory small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

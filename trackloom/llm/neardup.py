@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, ship
+from .common import arrow_batches, cut, ship
 from .graph import components
 from .shingles import shingle_sets
 
@@ -34,6 +34,7 @@ SHARED = 0.375
 LEAST_ESTIMATE = 0.44
 THRESHOLD = (75, 100)
 TILE = 512
+BATCH = 1000
 
 
 def _sign(sets: np.ndarray) -> tuple[int, int]:
@@ -154,6 +155,11 @@ def estimate(a: Column, b: Column, k: int = K) -> Column:
 def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     ship(docs.sparkSession)
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _link(docs, k, threshold, tile)
+
+
+def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> DataFrame:
     signed = cut(signatures(docs, k))
     classes = (
         signed.where("k1 is not null").groupBy("k1", "k2")
