@@ -40,16 +40,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, ship
+from .common import arrow_batches, cut, ship, sweep
 from .shingles import _P, _PINV, _powers, mix64
 
 WINDOW = 50
 GRAM = 24
 STEP = 5
 SHARDS = 4
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 MOST_DOCS = 65_535
-PIECE = 1 << 20
+PIECE = 1 << 19
 LONGEST = 64
 HASH_BITS = 48
 BUCKET_BYTES = 8 << 20
@@ -144,7 +144,8 @@ class Chunk:
             size = e - s
         to = e + WINDOW - 1
         content = mix64(mix64((total[to] - total[s]) * inv[s]) + size.astype(np.uint64))
-        return s + a, size, m[s] >> np.uint64(64 - HASH_BITS), content
+        # minima are small numbers: hashed again, so that buckets of the hash range are even
+        return s + a, size, mix64(m[s] ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - HASH_BITS), content
 
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct anchor hashes, is it in two documents of this chunk)."""
@@ -305,32 +306,55 @@ def smallest_ids(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: n
 
 def _send_segments(buckets: int):
     def run(batches):
+        codec = pa.Codec("zstd", compression_level=3)
         for b in batches:
             for r in b.to_pylist():
                 c = Chunk(r["ids"], r["lens"], r["body"], r["n_bytes"])
                 c.keep_repeated([(m["p"], m["mask"]) for m in r["masks"] or []], buckets)
                 q = np.flatnonzero(np.diff(c.cuts))
-                rows = []
+                counts, packed, sizes = [], [], []
                 for k in q:
                     one = c.one[c.cuts[k] : c.cuts[k + 1]]
                     text = c.data[_ragged(c.start[one], c.size[one] + WINDOW - 1)]
-                    rows.append((c.anchor[one].tobytes(), c.content[one].tobytes(), c.size[one].astype(np.uint8).tobytes(), c.ids[c.doc[one]].tobytes(), text.tobytes()))
+                    # anchors are sorted: their steps compress well
+                    raw = np.diff(c.anchor[one], prepend=np.uint64(0)).tobytes() + c.ids[c.doc[one]].tobytes() + c.size[one].astype(np.uint8).tobytes() + text.tobytes()
+                    counts.append(len(one))
+                    sizes.append(len(raw))
+                    packed.append(codec.compress(raw, asbytes=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int32()), pa.array([r["chunk"]] * len(q), pa.int64()), *(_binary([x[i] for x in rows]) for i in range(5))],
-                    names=["q", "chunk", "anchor", "content", "size", "id", "text"],
+                    [pa.array(q, pa.int32()), pa.array([r["chunk"]] * len(q), pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), _binary(packed)],
+                    names=["q", "chunk", "n", "n_bytes", "packed"],
                 )
 
     return run
 
 
+def _contents(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of segments."""
+    out = np.empty(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for rows in np.array_split(np.arange(len(start)), max(1, len(text) // PIECE)):
+            if len(rows):
+                lo, hi = start[rows[0]], start[rows[-1]] + size[rows[-1]] + WINDOW - 1
+                total = np.zeros(hi - lo + 1, np.uint64)
+                np.cumsum((text[lo:hi].astype(np.uint64) + np.uint64(7)) * _powers(_P, hi - lo + 1, "p")[: hi - lo], out=total[1:])
+                s = start[rows] - lo
+                e = s + size[rows] + WINDOW - 1
+                out[rows] = mix64(mix64((total[e] - total[s]) * _powers(_PINV, hi - lo + 1, "q")[s]) + size[rows].astype(np.uint64))
+    return out
+
+
 def _settle(table: pa.Table) -> pa.Table:
     """One bucket: for each chunk's segments, in order, the runs of windows with one smallest id."""
-    col = lambda n, t: [np.frombuffer(x, t) for x in table.column(n).to_pylist()]
-    sizes = col("size", np.uint8)
-    counts = [len(x) for x in sizes]
-    anchor, content = np.concatenate(col("anchor", np.uint64)), np.concatenate(col("content", np.uint64))
-    size, ids, text = np.concatenate(sizes).astype(np.int64), np.concatenate(col("id", np.int64)), np.concatenate(col("text", np.uint8))
+    codec = pa.Codec("zstd")
+    counts, parts = table.column("n").to_pylist(), []
+    for n, n_bytes, packed in zip(counts, table.column("n_bytes").to_pylist(), table.column("packed").to_pylist()):
+        raw = codec.decompress(packed, n_bytes, asbytes=True)
+        parts.append((np.cumsum(np.frombuffer(raw, np.uint64, n)), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n), np.frombuffer(raw, np.uint8, -1, 17 * n)))
+    anchor, ids, size, text = (np.concatenate(x) for x in zip(*parts))
+    size = size.astype(np.int64)
     start = np.concatenate([[0], np.cumsum(size + WINDOW - 1)[:-1]])
+    content = _contents(text, start, size)
     order = np.lexsort((ids, content, anchor))
     a, c = anchor[order], content[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
@@ -388,15 +412,19 @@ def _mark(buckets: int, with_text: bool):
                 begin = c.start[owner] + within[pick] - within[first[e[owner]]]
                 np.add.at(step, begin, 1)
                 np.add.at(step, begin + runs[pick] + WINDOW - 1, -1)
-                cover = np.cumsum(step[:size]) > 0
+                np.cumsum(step, out=step)
+                cover = step[:size] > 0
                 lo, hi = c.offsets[:-1], c.offsets[1:]
-                total = np.concatenate([[0], np.cumsum(cover)])
+                total = np.zeros(size + 1, np.int32 if size < 1 << 31 else np.int64)
+                np.cumsum(cover, out=total[1:])
                 rise = cover.copy()
                 rise[1:] &= ~cover[:-1]
                 starts = lo[(hi > lo)]
                 rise[starts] = cover[starts]
-                rises = np.concatenate([[0], np.cumsum(rise)])
-                removed, spans = total[hi] - total[lo], rises[hi] - rises[lo]
+                removed = (total[hi] - total[lo]).astype(np.int64)
+                np.cumsum(rise, out=total[1:])
+                spans = (total[hi] - total[lo]).astype(np.int64)
+                del step, total, rise
                 shas, kept = [], []
                 for x, y, n in zip(lo.tolist(), hi.tolist(), removed.tolist()):
                     t = (c.data[x:y] if not n else c.data[x:y][~cover[x:y]]).tobytes()
@@ -415,19 +443,26 @@ def dedup(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
 
     kept: the remaining bytes, null unless ``with_text``.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = cut(rows.mapInArrow(_chunks, CHUNKED).withColumn("chunk", F.monotonically_increasing_id()))
+    with arrow_batches(spark, 1000):
+        chunks = cut(rows.mapInArrow(_chunks, CHUNKED).withColumn("chunk", F.monotonically_increasing_id()))
     size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     buckets = max(LEAST_BUCKETS, 1 << max(0, (size // BUCKET_BYTES)).bit_length())
+    with arrow_batches(spark, 4):  # rows are chunks or parts of them
+        return _dedup(chunks, buckets, with_text)
+
 
+def _dedup(chunks: DataFrame, buckets: int, with_text: bool) -> DataFrame:
     anchors = chunks.mapInArrow(_send_anchors(buckets), "p int, chunk long, hashes binary, twice binary")
     masks = anchors.groupBy("p").applyInArrow(_find_repeated, "chunk long, p int, mask binary")
     masks = cut(masks.groupBy("chunk").agg(F.collect_list(F.struct("p", "mask")).alias("masks")))
     with_masks = chunks.join(masks, "chunk", "left")
 
-    names = ("anchor", "content", "size", "id", "text")
-    segments = with_masks.mapInArrow(_send_segments(buckets), "q int, chunk long, " + ", ".join(f"{n} binary" for n in names))
+    segments = with_masks.mapInArrow(_send_segments(buckets), "q int, chunk long, n long, n_bytes long, packed binary")
     settled = segments.groupBy("q").applyInArrow(_settle, "chunk long, q int, n_runs binary, runs binary, run_ids binary")
     settled = cut(settled.groupBy("chunk").agg(F.collect_list(F.struct("q", "n_runs", "runs", "run_ids")).alias("settled")))
-    return with_masks.join(settled, "chunk", "left").mapInArrow(_mark(buckets, with_text), DONE)
+    del segments, anchors
+    sweep(chunks.sparkSession)
+    return cut(with_masks.join(settled, "chunk", "left").mapInArrow(_mark(buckets, with_text), DONE))
