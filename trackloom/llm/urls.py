@@ -10,11 +10,11 @@ those with a host label from the word lists below.  Features: lengths of url, ho
 path, depth, digit ratio, entropy of the characters, counts of parameters, dots, dashes
 and other marks, and suffix statistics, the smoothed share of blocked labelled urls with
 the same host suffix of one, two or three labels.  Training urls get these statistics from
-the other folds of the sample only, so a url's own label cannot show in them.
+the other folds of the labelled urls only, so a url's own label cannot show in them.
 
-The trees are fitted on a sample of at most about ``SAMPLE_ROWS`` labelled urls (by hash);
-suffix counts come from all labelled urls of that sample.  The model shipped to the tasks
-has at most ``MAX_SUFFIXES`` suffixes (those with the most labelled urls).
+The statistics are counted over all labelled urls of the table, whatever its size, and are
+joined to the urls by host; neither the counts nor the hosts pass through the driver.  Only
+the trees are fitted on a sample of at most about ``SAMPLE_ROWS`` labelled urls (by hash).
 
 Nulls: a null url, or one without ``://``, has empty host and path; no rule fits and it is
 scored as the empty url.  Extra columns are ignored.  An empty table gives no rows.
@@ -38,7 +38,6 @@ BLOCK_WORDS = ("ad", "ads", "adserver", "advert", "banner", "casino", "click", "
 ALLOW_WORDS = ("blog", "docs", "edu", "gov", "library", "m", "museum", "news", "wiki", "www")
 
 SAMPLE_ROWS = 20_000
-MAX_SUFFIXES = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 20
 PRIOR, FOLDS = 10.0, 5
 
@@ -167,19 +166,27 @@ class Model:
                 for c in (counts, by_fold[i % FOLDS]):
                     c[s][0] += 1
                     c[s][1] += y
-        most = sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:MAX_SUFFIXES]
-        m = cls(sum(r[3] for r in rows) / len(rows), {k: tuple(v) for k, v in most}, None)
-        kept = set(m.counts)
-        x = np.array([lexical(u, h, p) + [m._suffix(s, by_fold[i % FOLDS] if s in kept else None) for s in suffixes(h)] for i, (u, h, p, _) in enumerate(rows)])
+        m = cls(sum(r[3] for r in rows) / len(rows), {k: tuple(v) for k, v in counts.items()}, None)
+        x = np.array([lexical(u, h, p) + [m._suffix(s, by_fold[i % FOLDS]) for s in suffixes(h)] for i, (u, h, p, _) in enumerate(rows)])
         m.trees = Boosted.fit(x, np.array([r[3] for r in rows], float))
         return m
 
-    def score(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
+    @classmethod
+    def fit_shares(cls, rows: list[tuple]) -> "Model":
+        """rows: (url, host, path, 1 to block, the three suffix shares of the other folds); the model holds no counts."""
+        if not rows:
+            return cls(0.0, {}, None)
+        x = np.array([lexical(*r[:3]) + list(r[4:]) for r in rows])
+        return cls(0.0, {}, Boosted.fit(x, np.array([r[3] for r in rows], float)))
+
+    def score(self, urls: list[str], hosts: list[str], paths: list[str], shares: list | None = None) -> np.ndarray:
+        """``shares``: the three suffix shares of each url; without them they come from the model's own counts."""
         if self.trees is None or not urls:
             return np.zeros(len(urls))
-        stats: dict[str, list[float]] = {}
-        x = [lexical(u, h, p) + (stats.get(h) or stats.setdefault(h, [self._suffix(s) for s in suffixes(h)])) for u, h, p in zip(urls, hosts, paths)]
-        return self.trees.predict(np.array(x))
+        if shares is None:
+            stats: dict[str, list[float]] = {}
+            shares = [stats.get(h) or stats.setdefault(h, [self._suffix(s) for s in suffixes(h)]) for h in hosts]
+        return self.trees.predict(np.array([lexical(u, h, p) + list(s) for u, h, p, s in zip(urls, hosts, paths, shares)]))
 
 
 def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -188,8 +195,8 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
 
 
-def labelled(rows: DataFrame, rules=RULES) -> DataFrame:
-    """(url, host, path, label): 1 block, 0 allow, for urls that the word lists or a rule decide."""
+def label_of(rules=RULES) -> Column:
+    """1 block, 0 allow, for urls that the word lists or a rule decide; else null."""
     words = F.split(F.col("host"), r"[.\-]")
     # a rule that blocks a part of a host says nothing on the host's other urls: no label
     labels = {rule: int(verdict == "block") for rule, verdict in rules if verdict == "allow" or not rule.partition("/")[2]}
@@ -197,34 +204,68 @@ def labelled(rows: DataFrame, rules=RULES) -> DataFrame:
     has = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
     decided = F.col("rule").isNotNull() & by_rule.isNull()  # by a rule that is no label
     label = F.when(by_rule.isNotNull(), by_rule).when(has(BLOCK_WORDS), 1).when(has(ALLOW_WORDS) & ~decided, 0)
-    return rows.select("url", "host", "path", label.alias("label")).where("label is not null and url is not null")
-
-
-def sample(rows: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, str, str, int]]:
-    known = labelled(rows)
-    n = known.count()
+    return F.when(F.col("url").isNotNull(), label)
+
+
+def suffix_shares(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(host, s1, s2, s3, t1_0 ...) for every host, and the number of labelled urls, from rows (host, label, fold).
+
+    s1 to s3 are the smoothed shares of blocked urls among all labelled ones with the same
+    suffix of one, two or three labels; t1_0 to t3_4 are those without the urls of one fold.
+    """
+    folds = range(FOLDS)
+    known = lambda f: (F.col("fold") == f) & F.col("label").isNotNull()
+    n, y = [f"n{f}" for f in folds], [f"y{f}" for f in folds]
+    hosts = rows.groupBy("host").agg(
+        *(F.count_if(known(f)).alias(n[f]) for f in folds), *(F.coalesce(F.sum(F.when(known(f), F.col("label"))), F.lit(0)).alias(y[f]) for f in folds)
+    )
+    hosts = cut(hosts)
+    add = lambda names, but=None: sum((F.col(c) for k, c in enumerate(names) if k != but), F.lit(0))
+    all_n, all_y = hosts.agg(F.sum(add(n)), F.sum(add(y))).head()
+    prior = (all_y or 0) / max(1, all_n or 0)
+    three = F.array(*(F.substring_index("host", ".", -k) for k in (1, 2, 3)))
+    counts = hosts.withColumn("suffix", F.explode(F.array_distinct(three))).groupBy("suffix").agg(*(F.sum(c).alias(c) for c in (*n, *y)))
+    share = lambda but=None: (add(y, but) + PRIOR * prior) / (add(n, but) + PRIOR)
+    counts = counts.select("suffix", share().alias("s"), *(share(f).alias(f"t{f}") for f in folds))
+    both = hosts.select("host", F.posexplode(three).alias("k", "suffix")).join(counts, "suffix")
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    shares = both.groupBy("host").agg(*(pick(k, "s").alias(f"s{k + 1}") for k in range(3)), *(pick(k, f"t{f}").alias(f"t{k + 1}_{f}") for k in range(3) for f in folds))
+    return cut(shares), all_n or 0
+
+
+def sample(rows: DataFrame, shares: DataFrame, n: int, most: int = SAMPLE_ROWS) -> list[tuple]:
+    """About ``most`` of the n labelled urls: (url, host, path, label, the suffix shares of the other folds)."""
     turn = md5_long(F.concat(F.lit("url:"), "url")) / float(1 << 60)
-    got = known.where(turn < most / max(1, n)).limit(2 * most).collect()
-    # in an order that does not depend on labels or hosts, so that folds are alike
-    return sorted(((r[0], r[1], r[2], r[3]) for r in got), key=lambda r: (zlib.crc32(r[0].encode()), r))
+    got = rows.where(F.col("label").isNotNull() & (turn < most / max(1, n))).select("url", "host", "path", "label", "fold").limit(2 * most).join(shares, "host")
+    other = [F.element_at(F.array(*(f"t{k}_{f}" for f in range(FOLDS))), F.col("fold") + 1) for k in (1, 2, 3)]
+    # in an order that does not depend on labels or hosts
+    return sorted((tuple(r) for r in got.select("url", "host", "path", "label", *other).collect()), key=lambda r: (zlib.crc32(r[0].encode()), r))
 
 
 def _score(model: Model):
     def run(batches):
         for b in batches:
             url, host, path = (["" if x is None else x for x in b.column(i).to_pylist()] for i in (1, 2, 3))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(url, host, path))], names=["page_id", "url", "host", "path", "rule", "score"])
+            shares = list(zip(*(b.column(i).to_pylist() for i in (5, 6, 7)))) if b.num_columns > 5 else None
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(model.score(url, host, path, shares))], names=["page_id", "url", "host", "path", "rule", "score"])
 
     return run
 
 
 def judge(pages: DataFrame, *, rules=RULES, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, block_from: float = 0.5) -> DataFrame:
-    """(page_id, url, host, path, rule, verdict, score) for every page; score is the trees' probability of blocking."""
+    """(page_id, url, host, path, rule, verdict, score) for every page; score is the trees' probability of blocking.
+
+    A given ``model`` scores with its own counts.
+    """
     ship(pages.sparkSession)
     # written once: plain columns keep the plans behind it small
-    rows = cut(parsed(pages, rules).withColumn("page_id", F.col("page_id").cast("long")))
-    model = model or Model.fit(sample(rows, sample_rows))
-    scored = rows.mapInArrow(_score(model), "page_id long, url string, host string, path string, rule string, score double")
+    rows = cut(parsed(pages, rules).withColumns({"page_id": F.col("page_id").cast("long"), "label": label_of(rules), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")}))
+    plain = rows.select("page_id", "url", "host", "path", "rule")
+    if model is None:
+        shares, n = suffix_shares(rows)
+        model = Model.fit_shares(sample(rows, shares, n, sample_rows))
+        plain = plain.join(shares.select("host", "s1", "s2", "s3"), "host", "left").select(*plain.columns, "s1", "s2", "s3")
+    scored = plain.mapInArrow(_score(model), "page_id long, url string, host string, path string, rule string, score double")
     verdict = F.when(F.col("score") >= block_from, "block").otherwise("allow")
     for rule, by_rule in rules:
         verdict = F.when(F.col("rule") == rule, by_rule).otherwise(verdict)
