@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
 For every benchmark item of w words, all windows of w words in a document are the
-candidates.  A window whose weighted 5-word-shingle similarity (multiset Jaccard, the
+candidates; a document of fewer words is the one window itself.  A window whose weighted 5-word-shingle similarity (multiset Jaccard, the
 weights are the shingles' counts) with an item reaches the threshold shares at least
 ``threshold * (item's shingles)`` shingle occurrences with the items of its length, so only
 windows with that many hits in the table of benchmark shingles are fingerprinted (a
@@ -117,34 +117,34 @@ class Items:
     def search(self, h: np.ndarray, sh: np.ndarray, hit: np.ndarray) -> dict[int, tuple[float, int]]:
         """item index -> (best similarity, first word) for one document: words, shingles, shingle in table."""
         best: dict[int, tuple[float, int]] = {}
-        if len(h) < N:  # one shingle of all words
-            spots = {len(h): np.zeros(1, int)} if hit.any() and len(h) in self.least else {}
-        else:
-            spots, at_size = {}, defaultdict(list)
+        spots: dict[int, np.ndarray] = {}
+        if len(h) >= N:  # a shorter document shares no shingle with an item of five words or more
+            at_size = defaultdict(list)
             for p in np.flatnonzero(hit).tolist():
                 for size in self.sizes_of[int(sh[p])]:
                     at_size[size].append(p)
             for size, at in at_size.items():  # windows with enough shingles of items of just that length
-                if N <= size <= len(h) and len(at) >= self.least[size]:
+                if size >= N and len(at) >= self.least[size]:
                     mine = np.zeros(len(sh), np.int64)
                     mine[at] = 1
                     run = np.concatenate([[0], np.cumsum(mine)])
-                    got = run[size - N + 1 :] - run[: len(run) - (size - N + 1)]
+                    n = min(size, len(h)) - N + 1
+                    got = run[n:] - run[: len(run) - n]
                     if len(s := np.flatnonzero(got >= self.least[size])):
                         spots[size] = s
-            short = [s for s in self.least if s < N]
-            for size in short:  # items of fewer than five words: windows of exactly their words
-                w = [windows(h[i : i + size], np.array([0, size]))[0][0] for i in range(len(h) - size + 1)]
-                if (ok := self.hits(np.array(w, np.uint64))).any():
-                    spots[size] = np.flatnonzero(ok)
+        for size in [s for s in self.least if s < N and s <= len(h)]:  # items of fewer than five words: windows of exactly their words
+            w = [windows(h[i : i + size], np.array([0, size]))[0][0] for i in range(len(h) - size + 1)]
+            if (ok := self.hits(np.array(w, np.uint64))).any():
+                spots[size] = np.flatnonzero(ok)
         for size, at in spots.items():
-            for start, fp in zip(at.tolist(), _sliding(h, size, at).tolist()):
+            wide = min(size, len(h))
+            for start, fp in zip(at.tolist(), _sliding(h, wide, at).tolist()):
                 mine = None
                 for i in self.near(fp).tolist():
                     if self.size[i] != size:
                         continue
                     if mine is None:
-                        mine = Counter(windows(h[start : start + size], np.array([0, size]))[0].tolist())
+                        mine = Counter(windows(h[start : start + wide], np.array([0, wide]))[0].tolist())
                     its = self.shingles[i]
                     both = sum(min(n, its[s]) for s, n in mine.items() if s in its)
                     sim = both / (sum(mine.values()) + sum(its.values()) - both)
@@ -174,7 +174,7 @@ def _scan(items: Items):
                             continue
                         hs = slice(first[i], first[i + 1])
                         for k, (sim, start) in sorted(items.search(h[hs], w[to[i] : to[i + 1]], hit[to[i] : to[i + 1]]).items()):
-                            out.append((b.column(0)[lo + i].as_py(), items.ids[k], sim, start, items.size[k]))
+                            out.append((b.column(0)[lo + i].as_py(), items.ids[k], sim, start, min(items.size[k], int(first[i + 1] - first[i]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "item_id", "similarity", "first_word", "n_words"],
