@@ -46,3 +46,19 @@ def test_documents_shorter_than_the_item(spark):
     assert (1, 0) in want  # the item of 38 words without its last one
     size = {d: len(t.split()) for d, t in docs}
     assert all(r.first_word + r.n_words <= size[r.doc_id] for r in rows)
+
+
+def test_items_cut_at_an_edge_are_found(spark):
+    rng = random.Random(12)
+    vocab = [f"t{i}" for i in range(80)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(40)]
+    docs = []
+    for _, x in items:
+        xs = x.split()
+        docs += [" ".join(xs[a : len(xs) - b]) for a in range(4) for b in range(5 - a)]
+        filler = [rng.choice(vocab) for _ in range(30)]
+        docs += [" ".join(filler[:15] + xs[:-4] + filler[15:]), " ".join(filler[:15] + xs[4:] + filler[15:])]
+    docs = list(enumerate(docs))
+    want = _brute(docs, items)
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.find(df, b).collect()} == want

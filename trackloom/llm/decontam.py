@@ -1,17 +1,20 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
+"""Benchmark decontamination: shingle sieve of item-sized windows, exact check.
 
 For every benchmark item of w words, all windows of w words in a document are the
-candidates; a document of fewer words is the one window itself.  A window whose weighted 5-word-shingle similarity (multiset Jaccard, the
-weights are the shingles' counts) with an item reaches the threshold shares at least
+candidates; a document of fewer words is the one window itself.  A window whose weighted
+5-word-shingle similarity (multiset Jaccard, the weights are the shingles' counts) with an
+item reaches the threshold shares at least
 ``threshold * (item's shingles)`` shingle occurrences with the items of its length, so only
-windows with that many hits in the table of benchmark shingles are fingerprinted (a
-lossless sieve: a running sum per window length).
+windows with that many hits in the table of benchmark shingles go on (a lossless sieve: a
+running sum per window length).  Each of them is verified by the exact weighted-shingle
+similarity with every item of its length that shares a shingle with it, so no item over the
+threshold is missed.
 
-Fingerprints are 64-bit SimHashes of a window's words, weighted by count.  They are
-looked up by ``RADIUS + 1`` disjoint bit blocks: two fingerprints within the radius agree
-in at least one block, so no item within the radius is missed.  Candidates are verified
-by the exact weighted-shingle similarity.  One changed word costs up to five shingles but
-one word in the fingerprint, so items over the threshold lie well within the radius.
+Fingerprints do not decide: an item cut at an edge loses one shingle per word, so at the
+threshold a seventh of its words may differ and its 64-bit SimHash can lie beyond any small
+radius.  ``Items.near`` looks items up by SimHash and ``RADIUS + 1`` disjoint bit blocks (two
+fingerprints within the radius agree in at least one block); ``find`` does not need it, and
+its ``radius`` has no effect on what is found.
 
 The benchmark side is shipped to the tasks in blocks of at most ``ITEMS_PER_PASS`` items;
 a larger benchmark takes more passes over the documents, so what is shipped has a fixed
@@ -47,15 +50,6 @@ def simhash(word_hashes: np.ndarray) -> int:
     return int(np.packbits(votes > 0, bitorder="little").view(np.uint64)[0])
 
 
-def _sliding(word_hashes: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
-    """SimHashes of the windows of ``size`` words that start at ``at``."""
-    bits = np.unpackbits(mix64(word_hashes ^ np.uint64(0x5851F42D4C957F2D)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(word_hashes) + 1, BITS), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    votes = (sums[at + size] - sums[at]) * 2 - size
-    return np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
-
-
 class Items:
     """The benchmark items of one pass, ready for lookups."""
 
@@ -83,6 +77,11 @@ class Items:
             for x in c:
                 of[x].add(size)
         self.sizes_of = {x: sorted(v) for x, v in of.items()}
+        #: shingle -> the items that hold it
+        self.holders: dict[int, list[int]] = defaultdict(list)
+        for i, c in enumerate(self.shingles):
+            for x in c:
+                self.holders[x].append(i)
         #: window length -> least number of shared shingle occurrences
         self.least: dict[int, int] = {}
         for size, n in zip(self.size, need):
@@ -138,16 +137,15 @@ class Items:
                 spots[size] = np.flatnonzero(ok)
         for size, at in spots.items():
             wide = min(size, len(h))
-            for start, fp in zip(at.tolist(), _sliding(h, wide, at).tolist()):
-                mine = None
-                for i in self.near(fp).tolist():
-                    if self.size[i] != size:
-                        continue
-                    if mine is None:
-                        mine = Counter(windows(h[start : start + wide], np.array([0, wide]))[0].tolist())
-                    its = self.shingles[i]
-                    both = sum(min(n, its[s]) for s, n in mine.items() if s in its)
-                    sim = both / (sum(mine.values()) + sum(its.values()) - both)
+            for start in at.tolist():
+                mine = Counter(windows(h[start : start + wide], np.array([0, wide]))[0].tolist())
+                shared: Counter = Counter()
+                for x, n in mine.items():
+                    for i in self.holders.get(x, ()):
+                        if self.size[i] == size:
+                            shared[i] += min(n, self.shingles[i][x])
+                for i, both in shared.items():
+                    sim = both / (sum(mine.values()) + sum(self.shingles[i].values()) - both)
                     if sim >= self.threshold - 1e-12 and (i not in best or sim > best[i][0]):
                         best[i] = (sim, start)
         return best
