@@ -6,9 +6,13 @@
    (sign bits of random projections).  The order is cut into blocks of ``BLOCK`` rows; each
    block also gets the ``WINDOW`` rows before it, and all pairs in that bounded window are
    compared in double precision.  The number of passes follows from the number of vectors,
-   the window and the recall wanted for a pair just at the threshold.
+   the window and the recall wanted for a pair just at the threshold that agrees in the
+   first ``bits_for`` bits of a pass.
 3. Each block gives a spanning forest of its verified pairs; the union over all passes
-   gives components.
+   gives components.  Where vectors crowd together more rows than the window share those
+   first bits: such a group is compared whole, tile against tile, without the pairs of tiles
+   that lie in one component.  So a pair that agrees in these bits always meets, however
+   dense its surroundings; the price is quadratic in the size of such a group.
 4. The links of a vector are then counted exactly inside its component, tile against tile,
    as a table of counts; pairs are never listed.  A component that was found whole so has
    exact counts, however many near copies it holds.
@@ -39,14 +43,18 @@ RECALL = 0.995
 SEED = 7
 
 
+def bits_for(n: int, window: int = WINDOW) -> int:
+    """Hash bits after which evenly spread vectors leave at most half a window of rows with one prefix."""
+    return min(HASHES, math.ceil(max(0.0, math.log2(max(1, n) / window)) + 1))
+
+
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes so that a pair at the threshold meets in a window with the given probability.
+    """Passes so that a pair at the threshold shares the first ``bits_for`` bits in one with the given probability.
 
-    The rows that share a prefix of m bits are about n / 2**m; a pair agrees in m bits
-    with probability (1 - angle / pi)**m.
+    It agrees in m bits with probability (1 - angle / pi)**m.  Rows that share these bits
+    meet at any density: in a window if they are few, else in ``_crowds``.
     """
-    bits = max(0.0, math.log2(max(1, n) / window)) + 1
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    meet = (1 - math.acos(threshold) / math.pi) ** bits_for(n, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
 
 
@@ -110,6 +118,38 @@ def _compare(threshold: float):
     return run
 
 
+def _cross(threshold: float):
+    """A spanning forest of the links of side 0 with side 1 between different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("side", "cid", "comp"))
+        x = _unit(_matrix(table.column("emb").combine_chunks(), len(ids)))
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = np.nonzero((x[l] @ x[r].T >= threshold) & (comp[l][:, None] != comp[r][None, :]))
+        a, b = _forest(np.stack([l[i], r[j]], axis=1).tolist(), ids)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _crowds(ordered: DataFrame, comps: DataFrame, vectors: DataFrame, bits: int, window: int, tile: int, threshold: float) -> DataFrame | None:
+    """(a, b): links between components in the groups of equal first ``bits`` that hold more rows than the window."""
+    keys = ["pass", "prefix"]
+    rows = ordered.select("pass", F.shiftrightunsigned("hash", HASHES - bits).alias("prefix"), "cid")
+    full = cut(rows.groupBy(*keys).count().where(F.col("count") > window).select(*keys))
+    if not full.head(1):
+        return None
+    rows = rows.join(full, keys).join(comps, F.col("cid") == F.col("v"), "left").select(*keys, "cid", F.coalesce("component", "cid").alias("comp"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("comp", "cid"))  # a component lies in few tiles
+    rows = cut(rows.withColumn("t", F.floor((place - 1) / tile).cast("int")))
+    tiles = cut(rows.groupBy(*keys, "t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    a, b = (tiles.select(*keys, F.col("t").alias(t), F.col(c).alias(c)) for t, c in (("i", "lo"), ("j", "hi")))
+    pairs = a.join(b, keys).where("i <= j and lo <> hi").select(*keys, "i", "j")  # sorted: lo = hi only within one component
+    sides = [rows.join(pairs.withColumn("t", F.col(t)), [*keys, "t"]).select(*keys, "i", "j", F.lit(k).alias("side"), "cid", "comp") for k, t in enumerate("ij")]
+    placed = sides[0].unionByName(sides[1]).join(vectors, "cid")
+    return placed.groupBy(*keys, "i", "j").applyInArrow(_cross(threshold), "a long, b long")
+
+
 def _count(threshold: float):
     """Links of the rows of side 0 with those of side 1, weighted by copies."""
 
@@ -139,16 +179,19 @@ def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WIND
     one = r.join(c, (F.col("r.key") == F.col("c.key")) & F.col("r.vec_id").eqNullSafe(F.col("c.least"))).select("c.cid", "c.copies", "r.emb")
     one = cut(one.dropDuplicates(["cid"]))
     n = one.count()
-    n_pass = passes_for(n, threshold, window, recall)
+    n_pass, bits = passes_for(n, threshold, window, recall), bits_for(n, window)
 
     links = None
     sizes = [x[0] for x in one.select(F.size("emb").alias("d")).distinct().collect()]  # one, as a rule
     for d in sizes:
         same = one.where(F.size("emb") == d)
         hashed = same.select("cid", "emb").mapInArrow(_hash(n_pass, seed), "pass int, hash long, cid long")
-        blocks = _blocks(hashed, block, window)
+        blocks, ordered = _blocks(hashed, block, window)
         placed = blocks.join(same.select("cid", "emb"), "cid")
-        found = placed.groupBy("pass", "block").applyInArrow(_compare(threshold), "a long, b long")
+        near = components(placed.groupBy("pass", "block").applyInArrow(_compare(threshold), "a long, b long"))
+        found = near.select(F.col("v").alias("a"), F.col("component").alias("b"))
+        crowds = _crowds(ordered, near, same.select("cid", "emb"), bits, window, tile, threshold)
+        found = found if crowds is None else found.unionByName(crowds)
         links = found if links is None else links.unionByName(found)
     if links is None:
         links = one.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
@@ -172,8 +215,8 @@ def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WIND
     return out.select("r.vec_id", F.coalesce("l.n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("l.component_id", "r.vec_id").alias("component_id"))
 
 
-def _blocks(hashed: DataFrame, block: int, window: int) -> DataFrame:
-    """(pass, block, cid): the sorted order of each pass cut into blocks, each with the window before it.
+def _blocks(hashed: DataFrame, block: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """(pass, block, cid): the sorted order of each pass cut into blocks, each with the window before it; and that order.
 
     The rank comes from a range sort and the partitions' counts; the order is checkpointed
     first, so it cannot change between the two.
@@ -187,7 +230,7 @@ def _blocks(hashed: DataFrame, block: int, window: int) -> DataFrame:
     ranked = ordered.join(starts.select("pass", "part", "base"), ["pass", "part"]).withColumn("rank", F.col("row") + F.col("base"))
     own = F.floor(F.col("rank") / block)
     into_next = F.col("rank") % block >= block - window
-    return ranked.select("pass", "cid", F.explode(F.when(into_next, F.array(own, own + 1)).otherwise(F.array(own))).alias("block"))
+    return ranked.select("pass", "cid", F.explode(F.when(into_next, F.array(own, own + 1)).otherwise(F.array(own))).alias("block")), ordered
 
 
 def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
