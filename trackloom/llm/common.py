@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -36,56 +35,51 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; make a local one only where none is named."""
+    """Use the folder that the cluster names; a local master may make one of its own, a cluster may not."""
     ship(spark)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trackloom-ckpt-"))
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="trackloom-ckpt-")
+    spark.sparkContext.setCheckpointDir(named)
 
 
-def _collect(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind a written table
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let go of the last job's shuffle files too: the scheduler holds its last plan until another job has run."""
-    for _ in range(2):
-        spark.range(1).count()
-        _collect(spark)
-        time.sleep(0.2)
+_tables: list[tuple[SparkSession, str]] = []
 
 
-_tables: list[tuple[SparkSession, str]] = []
+@contextmanager
+def _setting(spark: SparkSession, key: str, value):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
     Lineage is cut and the data survive the loss of any executor; unlike checkpoint() the
-    plan runs once only.  ``release`` drops such a table early; the rest go when the driver ends.
+    plan runs once only.  Spark drops the shuffle files behind a written table when its
+    query ends.  ``release`` drops such a table early; the rest go when the driver ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     _tables.append((spark, path))
-    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows while tables are cut inside: wide rows keep the workers' memory small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -66,6 +66,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
+    "op4_bwt_merge_dedup": suffixes.ORACLE,
     "op5_sorted_projections": embeddings.ORACLE,
     "op3_histogram_shards": sharding.ORACLE,
     "op6_minhash_neardup": neardup.ORACLE,

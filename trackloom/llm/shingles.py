@@ -26,7 +26,7 @@ _POW: dict[str, np.ndarray] = {}
 
 
 def _powers(base: int, n: int, name: str) -> np.ndarray:
-    have = _POW.get(name)
+    n, have = int(n), _POW.get(name)
     if have is None or len(have) < n:
         m = 1 << max(12, (n - 1).bit_length())
         out = np.empty(m, np.uint64)

@@ -14,13 +14,13 @@ bucket of its anchor.  A passage that a third of all documents share so arrives
 chunk, not once per document.
 
 Sorting.  In a bucket equal segments collapse.  An anchor with one segment left is settled:
-its windows repeat as a whole.  The others' segments are dealt to shards.  Each shard sorts
-its suffixes to ``WINDOW`` bytes in steps of ``STEP`` bytes and keeps, for each depth, the
+its windows repeat as a whole.  The others' segments stand in shards, runs of chunks of the
+corpus.  Each shard sorts its suffixes to ``WINDOW`` bytes in steps of ``STEP`` bytes and keeps, for each depth, the
 string of the STEP bytes before each suffix in that order: its transform at that depth.  The
 shards' transforms are then merged by refining an interleave (which shard supplies the next
 suffix): starting from all of shard 0, all of shard 1 and so on, each round deals the
-interleave's entries stably by the merged transform, which makes it right for STEP bytes
-more.  Only shard numbers move; suffixes are never sorted again.  Boundaries between suffixes
+interleave's entries by one stable counting pass over the merged transform, which makes it
+right for STEP bytes more.  Only shard numbers move; suffixes are never sorted again.  Boundaries between suffixes
 whose prefixes differ are carried along, so after the last round the runs between
 boundaries are the intervals of equal windows (common prefix >= WINDOW), and each takes
 the smallest id among its segments.
@@ -40,12 +40,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, cut, ship, sweep
+from .common import arrow_batches, cut, release, ship
 from .shingles import _P, _PINV, _powers, mix64
 
 WINDOW = 50
 GRAM = 24
-STEP = 5
+STEP = 2
 SHARDS = 4
 CHUNK = 4 << 20
 MOST_DOCS = 65_535
@@ -234,52 +234,45 @@ def _find_repeated(table: pa.Table) -> pa.Table:
 def _transform(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """(suffixes in order of their first WINDOW bytes, transforms at depth 0, STEP, ...) of a circular text."""
     n = len(text)
-    before = np.zeros(n, np.uint64)
-    for k in range(STEP, 0, -1):
-        before = (before << np.uint64(8)) | np.roll(text, k)
+    before = np.roll(text, 2).astype(np.uint16) << np.uint16(8) | np.roll(text, 1)
     order, levels = np.arange(n), []
     for _ in range(WINDOW // STEP):
         levels.append(before[order])
-        order = (order[_stable(levels[-1])[0]] - STEP) % n
+        order = (order[_deal(levels[-1])] - STEP) % n
     return order, levels
 
 
-def _stable(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order of the symbols, sorted symbols); symbols have 8 * STEP = 40 bits."""
-    n = len(symbols)
-    if n >= 1 << 24:
-        order = np.argsort(symbols, kind="stable")
-        return order, symbols[order]
-    key = (symbols << np.uint64(24)) | np.arange(n, dtype=np.uint64)
-    key.sort()
-    return (key & np.uint64((1 << 24) - 1)).astype(np.int64), key >> np.uint64(24)
+def _deal(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of 16-bit symbols: a counting pass (numpy's stable sort of such integers), linear in their number."""
+    return np.argsort(symbols, kind="stable")
 
 
 def merge_transforms(levels: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, interval of each entry) at depth WINDOW from the shards' transforms."""
     z = np.repeat(np.arange(len(levels), dtype=np.uint8), [len(x[0]) for x in levels])
     interval = np.zeros(len(z), np.int32)
-    symbols = np.empty(len(z), np.uint64)
+    symbols = np.empty(len(z), np.uint16)
     for depth in range(WINDOW // STEP):
         for s, x in enumerate(levels):
             symbols[z == s] = x[depth]
-        order, dealt = _stable(symbols)
-        z, old = z[order], interval[order]
+        order = _deal(symbols)
+        z, old, dealt = z[order], interval[order], symbols[order]
         edge = np.zeros(len(z), bool)
         edge[1:] = (dealt[1:] != dealt[:-1]) | (old[1:] != old[:-1])
         interval = np.cumsum(edge, dtype=np.int32)
     return z, interval
 
 
-def smallest_ids(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, shards: int = SHARDS) -> np.ndarray:
+def smallest_ids(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """For each window of each segment (in order) the smallest id whose segment holds that window.
 
-    Segment i is text[starts[i] : starts[i] + sizes[i] + WINDOW - 1] with sizes[i] windows.
+    Segment i is text[starts[i] : starts[i] + sizes[i] + WINDOW - 1] with sizes[i] windows, of the corpus shard ``shard[i]``.
     """
     to = np.concatenate([[0], np.cumsum(sizes)])
     out = np.empty(to[-1], np.int64)
     parts = []
-    for rows in np.array_split(np.arange(len(starts)), max(1, min(shards, len(starts)))):
+    for which in np.unique(shard):
+        rows = np.flatnonzero(shard == which)
         lens = sizes[rows] + WINDOW - 1
         body = np.zeros(lens.sum() + len(rows), np.uint8)  # each segment and a zero behind it
         at = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
@@ -335,7 +328,7 @@ def _contents(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     with np.errstate(over="ignore"):
         for rows in np.array_split(np.arange(len(start)), max(1, len(text) // PIECE)):
             if len(rows):
-                lo, hi = start[rows[0]], start[rows[-1]] + size[rows[-1]] + WINDOW - 1
+                lo, hi = int(start[rows[0]]), int(start[rows[-1]] + size[rows[-1]]) + WINDOW - 1
                 total = np.zeros(hi - lo + 1, np.uint64)
                 np.cumsum((text[lo:hi].astype(np.uint64) + np.uint64(7)) * _powers(_P, hi - lo + 1, "p")[: hi - lo], out=total[1:])
                 s = start[rows] - lo
@@ -370,7 +363,9 @@ def _settle(table: pa.Table) -> pa.Table:
     both[1:] = same[1:] == same[:-1]
     contested = np.flatnonzero(both | np.append(both[1:], False))
     if len(contested):
-        found[_ragged(to[contested], n[contested])] = smallest_ids(text, start[one[contested]], n[contested], least[contested])
+        # a shard is a run of chunks of the corpus; a collapsed segment stands in its first document's
+        shard = np.repeat(np.arange(len(counts)) * SHARDS // len(counts), counts)[one[contested]]
+        found[_ragged(to[contested], n[contested])] = smallest_ids(text, start[one[contested]], n[contested], least[contested], shard)
     # runs of one id within a segment
     edge = np.ones(len(found), bool)
     edge[1:] = found[1:] != found[:-1]
@@ -463,6 +458,25 @@ def _dedup(chunks: DataFrame, buckets: int, with_text: bool) -> DataFrame:
     segments = with_masks.mapInArrow(_send_segments(buckets), "q int, chunk long, n long, n_bytes long, packed binary")
     settled = segments.groupBy("q").applyInArrow(_settle, "chunk long, q int, n_runs binary, runs binary, run_ids binary")
     settled = cut(settled.groupBy("chunk").agg(F.collect_list(F.struct("q", "n_runs", "runs", "run_ids")).alias("settled")))
-    del segments, anchors
-    sweep(chunks.sparkSession)
-    return cut(with_masks.join(settled, "chunk", "left").mapInArrow(_mark(buckets, with_text), DONE))
+    done = cut(with_masks.join(settled, "chunk", "left").mapInArrow(_mark(buckets, with_text), DONE))
+    release(chunks, masks, settled)
+    return done
+
+
+#: Windows of 50 bytes, the smallest id of each, and the islands that those of smaller ids cover.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+w AS (SELECT r, doc_id, i, b[i + 1 : i + {WINDOW}] AS g FROM (SELECT r, doc_id, b, unnest(range(octet_length(b) - {WINDOW - 1})) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i FROM w JOIN least USING (g) WHERE first_id < coalesce(doc_id, {NO_ID})),
+isle AS (SELECT r, i, sum(CASE WHEN i <= before + {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k
+         FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit)),
+run AS (SELECT r, k, min(i) AS lo, max(i) + {WINDOW} AS hi FROM isle GROUP BY ALL),
+edge AS (SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS done FROM (
+         SELECT r, lo, hi FROM run UNION ALL SELECT r, octet_length(b), octet_length(b) FROM d)),
+kept AS (SELECT r, unhex(string_agg(hex(b[done + 1 : lo]), '' ORDER BY lo)) AS b FROM edge JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(hi - lo) AS n, count(*) AS spans FROM run GROUP BY r)
+SELECT doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(kept.b) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
