@@ -5,15 +5,19 @@ A fixed public piece vocabulary; per language a probability for each piece.  A w
 many ways; the forward algorithm sums the probabilities of all of them, and a text's
 score is the product over its words.  Probabilities are learned by expectation
 maximisation over the same lattices (forward-backward), from a bounded sample of labelled
-rows: about ``SAMPLE_ROWS`` per language, chosen by a hash of the id.
+rows: about ``SAMPLE_ROWS`` per language, chosen by a hash of id and text.
 
-Every word of every text is scored; distinct words of a slice are scored once, in numpy,
-grouped by length.  Runs of more than ``LONGEST`` letters are scored in parts of that
-length.  The model that is shipped to the tasks has vocabulary x languages numbers.
+Every word of every text is scored whole, however long; distinct words of a slice are
+scored once, in numpy, grouped by length.  Words of more than ``LONGEST`` letters run through
+the same recursion with a rolling, scaled window, so neither memory nor underflow bounds
+their length; only for fitting are they cut into parts of that length.  A text over
+``SLICE`` bytes is scored piece by piece, cut where no word is cut.  The model that is shipped to
+the tasks has vocabulary x languages numbers.
 
 Nulls and texts without a letter get ``und`` with score 0.  A null id is hashed as the
 empty text.  Rows without a language are never learned from.  With no labelled row at all
-every text is ``und``.  Ties go to the language that sorts first.
+every text is ``und``.  Ties go to the language that sorts first.  Repeated rows give a row
+each, extra columns are ignored (``accepted`` carries them along), an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import md5_long, ship
-from .shingles import mix64, slices
+from .shingles import SLICE, _P, _PINV, _powers, mix64, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_ROWS = 500
@@ -50,26 +54,29 @@ def pieces_of(path: str) -> list[str]:
 
 
 class Vocabulary:
-    """Piece lookup by hash of code points in two direct tables."""
+    """Piece lookup by hash of code points in two direct tables, as large as it takes to place every piece."""
 
-    BITS = 20
-
-    def __init__(self, pieces: list[str]):
+    def __init__(self, pieces: list[str], bits: int = 20):
         self.n = len(pieces)
         self.longest = max(map(len, pieces))
         with np.errstate(over="ignore"):
             h = np.array([self._hash(p) for p in pieces], np.uint64)
         self.hash = np.append(h, np.uint64(0))
-        self.first = np.full(1 << self.BITS, self.n, np.int32)
-        self.second = np.full(1 << self.BITS, self.n, np.int32)
-        for i, x in enumerate(h.tolist()):
-            a, b = x >> 44, (x >> 20) & 0xFFFFF
+        while not self._place(h.tolist(), bits):
+            bits += 1
+
+    def _place(self, hashes: list[int], bits: int) -> bool:
+        self.bits = np.uint64(bits)
+        self.first, self.second = (np.full(1 << bits, self.n, np.int32) for _ in range(2))
+        for i, x in enumerate(hashes):
+            a, b = x >> (64 - bits), x & ((1 << bits) - 1)
             if self.first[a] == self.n:
                 self.first[a] = i
             elif self.second[b] == self.n:
                 self.second[b] = i
             else:
-                raise ValueError("two pieces fall on one place in both tables")
+                return False
+        return True
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -81,10 +88,10 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes; ``n`` where there is none."""
         h = mix64(h)
-        a = self.first[(h >> np.uint64(44)).astype(np.int64)]
+        a = self.first[(h >> (np.uint64(64) - self.bits)).astype(np.int64)]
         a = np.where(self.hash[a] == h, a, self.n)
         miss = np.flatnonzero(a == self.n)
-        b = self.second[((h[miss] >> np.uint64(20)) & np.uint64(0xFFFFF)).astype(np.int64)]
+        b = self.second[(h[miss] & ((np.uint64(1) << self.bits) - np.uint64(1))).astype(np.int64)]
         a[miss] = np.where(self.hash[b] == h[miss], b, self.n)
         return a
 
@@ -102,8 +109,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return letter, lower
 
 
-def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased code points, word starts, word ends, first word of each document)."""
+def letters(data: np.ndarray, offsets: np.ndarray, part: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased code points, word starts, word ends, first word of each document); ``part`` cuts long words."""
     letter, lower = _tables()
     raw = data.tobytes()
     text = raw.decode("utf-8", "replace")
@@ -117,24 +124,29 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     edge[at] = True
     starts = np.flatnonzero(ok[1:-1] & (~ok[:-2] | edge[:-1]))
     ends = np.flatnonzero(ok[1:-1] & (~ok[2:] | edge[1:])) + 1
-    if len(starts) and (ends - starts).max() > LONGEST:  # long runs in parts
-        n = -(-(ends - starts) // LONGEST)
+    if part and len(starts) and (ends - starts).max() > part:
+        n = -(-(ends - starts) // part)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts, ends = np.repeat(starts, n) + k * LONGEST, np.minimum(np.repeat(starts, n) + (k + 1) * LONGEST, np.repeat(ends, n))
+        starts, ends = np.repeat(starts, n) + k * part, np.minimum(np.repeat(starts, n) + (k + 1) * part, np.repeat(ends, n))
     return lower[cps], starts, ends, np.searchsorted(starts, at)
 
 
 def distinct(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of one word for each distinct word, distinct word of each word)."""
-    n = ends - starts
-    h = n.astype(np.uint64)
-    for k in range(int(n.max(initial=0))):
-        on = np.flatnonzero(n > k)
-        h[on] = h[on] * _M + cps[starts[on] + k] + np.uint64(1)
-    _, one, inverse = np.unique(mix64(h), return_index=True, return_inverse=True)
+    total = np.zeros(len(cps) + 1, np.uint64)
+    np.cumsum(mix64(cps.astype(np.uint64) + _M) * _powers(_P, len(cps) + 1, "p")[: len(cps)], out=total[1:])
+    h = (total[ends] - total[starts]) * _powers(_PINV, len(cps) + 1, "q")[starts]
+    _, one, inverse = np.unique(mix64(h + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
     return one, inverse
 
 
+def pieces_at(data: np.ndarray, most: int) -> np.ndarray:
+    """Offsets that cut one text into pieces of about ``most`` bytes, at ASCII characters that are no letters."""
+    plain = np.flatnonzero((data < 0x41) | ((data > 0x5A) & (data < 0x61)) | ((data > 0x7A) & (data < 0x80)))
+    cuts = plain[np.minimum(np.searchsorted(plain, np.arange(most, len(data), most)), len(plain) - 1)] if len(plain) else []
+    return np.unique(np.concatenate([[0], cuts, [len(data)]])).astype(np.int64)
+
+
 def lattices(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary):
     """By word length: (positions in ``starts``, n, {(i, j): piece numbers of the span}); the word mark is symbol 0."""
     size = ends - starts
@@ -172,6 +184,40 @@ def forward(n: int, spans: dict, table: np.ndarray, unknown: int) -> list[np.nda
     return alpha
 
 
+def log_long(symbols: np.ndarray, vocabulary: Vocabulary, table: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """Log probability per language of one word of any length: the forward recursion over a ring of ``longest`` sums.
+
+    The sums are scaled per language; pieces are looked up for a block of positions at a time.
+    """
+    deep, unknown = vocabulary.longest, vocabulary.n
+    n = len(symbols)
+    power = np.ones(deep + 1, np.uint64)
+    for k in range(deep):
+        power[k + 1] = power[k] * _M
+    ring, scale = np.zeros((deep + 1, table.shape[1])), np.zeros(table.shape[1])
+    ring[0] = 1
+    for lo in range(0, n, block):
+        hi = min(n, lo + block)
+        found = np.full((hi - lo, deep), unknown, np.int32)  # [end, length]
+        for size in range(1, min(deep, hi) + 1):
+            first = max(lo, size - 1)  # the last symbol of the first piece of this length
+            h = np.zeros(hi - first, np.uint64)
+            for k in range(size):
+                h = h * _M + symbols[first - size + 1 + k : hi - size + 1 + k]
+            found[first - lo :, size - 1] = vocabulary.find(h)
+        for j in range(lo, hi):
+            sizes = np.flatnonzero(found[j - lo] < unknown)
+            got = (ring[(j - sizes) % (deep + 1)] * table[found[j - lo, sizes]]).sum(axis=0)
+            if not len(sizes) or sizes[0] != 0:
+                got = got + ring[j % (deep + 1)] * FLOOR
+            ring[(j + 1) % (deep + 1)] = got
+            if got.max() < 1e-60 or got.min() < 1e-60:
+                most = np.maximum(ring.max(axis=0), 1e-300)
+                ring /= most
+                scale += np.log(most)
+    return np.log(np.maximum(ring[n % (deep + 1)], 1e-300)) + scale
+
+
 class Model:
     def __init__(self, vocabulary: Vocabulary, langs: list[str], table: np.ndarray, prior: np.ndarray):
         self.vocabulary, self.langs, self.table, self.prior = vocabulary, langs, table, prior
@@ -186,7 +232,7 @@ class Model:
         with np.errstate(over="ignore"):
             for k, lang in enumerate(langs):
                 text = "\n".join(t for t, x in rows if x == lang).encode()
-                cps, starts, ends, _ = letters(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                cps, starts, ends, _ = letters(np.frombuffer(text, np.uint8), np.array([0, len(text)]), LONGEST)
                 if not len(starts):
                     table[:v, k] = 1 / v
                     continue
@@ -214,25 +260,38 @@ class Model:
 
     def log_words(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.zeros((len(starts), self.table.shape[1]))
-        for block, n, spans in lattices(cps, starts, ends, self.vocabulary):
-            out[block] = np.log(np.maximum(forward(n, spans, self.table, self.vocabulary.n)[n], 1e-300))
+        long = ends - starts > LONGEST
+        short = np.flatnonzero(~long)
+        for block, n, spans in lattices(cps, starts[short], ends[short], self.vocabulary):
+            out[short[block]] = np.log(np.maximum(forward(n, spans, self.table, self.vocabulary.n)[n], 1e-300))
+        for i in np.flatnonzero(long):
+            word = np.concatenate([[ord(MARK)], cps[starts[i] : ends[i]]]).astype(np.uint64) + np.uint64(1)
+            out[i] = log_long(word, self.vocabulary, self.table)
         return out
 
+    def log_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability of each document per language, its number of words)."""
+        if len(offsets) == 2 and len(data) > 2 * SLICE and len(cuts := pieces_at(data, SLICE)) > 2:
+            parts = [self.log_texts(data[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1], cuts[1:])]
+            return sum(x for x, _ in parts), sum(n for _, n in parts)
+        cps, starts, ends, first = letters(data, offsets)
+        total = np.zeros((len(starts) + 1, len(self.langs)))
+        if len(starts):
+            one, inverse = distinct(cps, starts, ends)
+            np.cumsum(self.log_words(cps, starts[one], ends[one])[inverse], axis=0, out=total[1:])
+        return total[first[1:]] - total[first[:-1]], np.diff(first)
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(offsets) - 1
         if not self.langs:
             return [UNDECIDED] * n, np.zeros(n)
         with np.errstate(over="ignore"):
-            cps, starts, ends, first = letters(data, offsets)
-            total = np.zeros((len(starts) + 1, len(self.langs)))
-            if len(starts):
-                one, inverse = distinct(cps, starts, ends)
-                np.cumsum(self.log_words(cps, starts[one], ends[one])[inverse], axis=0, out=total[1:])
-        logs = total[first[1:]] - total[first[:-1]] + self.prior
+            logs, count = self.log_texts(data, offsets)
+        logs = logs + self.prior
         best = logs.argmax(axis=1)
         share = np.exp(logs - logs.max(axis=1, keepdims=True))
         score = (share / share.sum(axis=1, keepdims=True))[np.arange(n), best]
-        some = np.diff(first) > 0
+        some = count > 0
         return [self.langs[b] if s else UNDECIDED for b, s in zip(best, some)], np.where(some, np.clip(score, 0, 1), 0.0)
 
 
@@ -244,12 +303,14 @@ def sample(docs: DataFrame, rows_per_lang: int = SAMPLE_ROWS) -> list[tuple[str,
     """About ``rows_per_lang`` (text, lang) of each language, by hash of the id, outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count().collect()  # one row per language
-    turn = md5_long(F.concat(F.lit("langid:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / float(1 << 60)
+    name = F.concat_ws(":", F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text")))  # null ids fall apart by text
+    turn = md5_long(name) / float(1 << 60)
     chosen = F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (turn < rows_per_lang / r["count"]))
-    rows = known.where(chosen).select("text", "lang").limit(2 * rows_per_lang * max(1, len(counts)))
-    return sorted((r[0], r[1]) for r in rows.collect())
+    rows = known.where(chosen).select("text", "lang").distinct()  # copies of one row count once
+    first = rows.orderBy(md5_long(F.col("text")), "lang").limit(2 * rows_per_lang * max(1, len(counts)))
+    return sorted((r[0], r[1]) for r in first.collect())
 
 
 PREDICTED = "lang_pred string, score double"

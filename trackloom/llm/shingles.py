@@ -1,7 +1,8 @@
 """Vectorised words and word shingles over batches of texts (numpy).
 
-A batch is worked off in slices of about ``SLICE`` bytes, so memory stays bounded
-however long or many the texts are; one text longer than that is a slice of its own.
+A batch is worked off in slices of about ``SLICE`` bytes, so memory stays bounded however
+many the texts are; one text longer than that is a slice of its own, whose words are found
+piece by piece, so besides the text only its words (24 bytes each) are held.
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased.
 """
 
@@ -63,7 +64,27 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start byte, end byte, hash) of every word and, per document, the index of its first word."""
+    """(start byte, end byte, hash) of every word and, per document, the index of its first word.
+
+    More bytes than ``SLICE`` are worked off in pieces cut before white space, which changes nothing.
+    """
+    if len(data) <= 2 * SLICE:
+        starts, ends, h = _words(data, offsets)
+        return starts, ends, h, np.searchsorted(starts, offsets)
+    space = np.flatnonzero(_SPACE[data])
+    cuts = [0, len(data)]
+    if len(space):
+        cuts += space[np.minimum(np.searchsorted(space, np.arange(SLICE, len(data), SLICE)), len(space) - 1)].tolist()
+    cuts = sorted(set(cuts))
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        starts, ends, h = _words(data[a:b], np.unique(np.clip(offsets - a, 0, b - a)))
+        parts.append((starts + a, ends + a, h))
+    starts, ends, h = (np.concatenate(x) for x in zip(*parts))
+    return starts, ends, h, np.searchsorted(starts, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -81,9 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_P, n + 1, "p")[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(_PINV, n + 1, "q")[starts]
-    first = np.searchsorted(starts, offsets)
-    return starts, ends, mix64(h), first
+    return starts, ends, mix64((total[ends] - total[starts]) * _powers(_PINV, n + 1, "q")[starts])
 
 
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(64)]
