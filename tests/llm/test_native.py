@@ -79,21 +79,41 @@ def test_mixing_targets_and_bounds(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert len(out) == len(rows)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 32 * 8, s
+        assert abs(taken[s] - want[s]) <= 1, s
     key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
     assert key(out) == key(mixing.mix(df.repartition(5), rows_per_shard=100).collect())
 
 
-def test_quotas_are_sainte_lague(spark):
-    cells = [(0, f"s{i}", 1000 * (i + 1)) for i in range(7)]
-    df = spark.createDataFrame(cells, "shard int, source string, size long")
+def seat_count(wants, open_):
+    """Sainte-Lague by ranking every quotient; ties to the name that sorts first."""
+    won = sorted((-w / (2 * k + 1), s, k) for s, w in wants.items() for k in range(int(w) + 9))[:open_]
+    return {s: sum(1 for x in won if x[1] == s) for s in wants}
+
+
+@pytest.mark.parametrize("block", [1, 32])
+def test_quotas_are_sainte_lague(spark, block):
+    rng = random.Random(block)
+    cells = [(k, f"s{i}", rng.randint(0, 300) * (i + 1)) for i in range(5) for k in range(13)]
+    df = spark.createDataFrame(cells, "shard long, source string, size long")
     targets = mixing.source_targets(df.select("source", "size"))
-    t = {r.source: r.target for r in targets.collect()}
-    got = {r.source: r["take"] // 32 for r in mixing.quotas(df, targets).collect()}
-    seats = int(sum(t.values()) / 32 + 0.5)
-    won = sorted(((-t[s] / (2 * k + 1), s, k) for s in t for k in range(seats)))[:seats]
-    want = {s: min(sum(1 for x in won if x[1] == s), 2 * n // 32) for _, s, n in cells}
-    assert got == want
+    t = {r.source: r.target / block for r in targets.collect()}
+    blocks = seat_count(t, int(sum(t.values()) + 0.5))
+    assert {r.source: r.got for r in mixing.source_blocks(targets, block).collect()} == blocks
+    got = {(r.shard, r.source): r["take"] for r in mixing.quotas(df, mixing.source_blocks(targets, block), 13, block, fan=1024).collect()}
+    for s in blocks:
+        size = {k: n for k, x, n in cells if x == s}
+        want = seat_count({k: blocks[s] * n / sum(size.values()) for k, n in size.items()}, blocks[s])
+        assert {k: got[k, s] for k in size} == {k: min(want[k] * block, 2 * size[k]) for k in size}
+    # top down through groups of three shards: the sums stay
+    deep = mixing.quotas(df, mixing.source_blocks(targets, 1), 13, 1, fan=3).groupBy("source").agg(F.sum("take").alias("n"), F.first("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 1 for r in deep)
+
+
+def test_a_rare_source_of_short_texts_meets_its_target(spark):
+    rows = [(i, "w " * 200, "big") for i in range(3000)] + [(5000 + i, "four short words here", "rare") for i in range(10)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_shard=50)
+    got = {r.source: (r.n, r.t) for r in out.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()}
+    assert got["rare"] == (80, 80.0) and abs(got["big"][0] - got["big"][1]) <= 1
 
 
 def test_mixing_empty_and_wordless(spark):
