@@ -10,6 +10,7 @@ import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters that separate words everywhere in this subpackage.
@@ -123,3 +124,52 @@ def ascii_lower(c: Column) -> Column:
 def md5_long(c: Column) -> Column:
     """The first 60 bits of md5 as a non-negative long; any SQL engine can compute it."""
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
+
+
+#: A key with more than this share of all rows is hot; there are at most ``MOST_HOT`` of them, whatever the input.
+MOST_HOT = 10_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a small row for each key; ``n`` counts the rows of ``rows`` with that key, ``total`` all of them.
+
+    Rows of a hot key are never dealt by that key: its row of ``one`` is broadcast.  At most ``MOST_HOT`` keys
+    can hold a 1 / ``MOST_HOT`` share each, so the broadcast has a fixed bound; every other key's
+    rows are a small share of a task.  Neither side is dropped or sampled.
+    """
+    is_hot = F.col(n) * MOST_HOT > F.lit(total)
+    hot, cold = one.where(is_hot), one.where(~is_hot)
+    dealt = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(dealt)
+
+
+def join_spread(rows: DataFrame, one: DataFrame, key: str, by: str, most: int = 4096) -> DataFrame:
+    """``rows`` joined with ``one``, a row of any size for each ``key``: a key of more than ``most`` rows is dealt to several tasks.
+
+    Its row of ``one`` goes to each of them, so copies number at most (rows / ``most``) more than the keys.
+    ``by`` deals the rows; ``rows`` is read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("spread_n")).withColumn("spread", F.ceil(F.col("spread_n") / most).cast("int"))
+    counts = cut(counts.select(key, "spread_n", "spread"))
+    total = counts.agg(F.coalesce(F.sum("spread_n"), F.lit(0))).head()[0]
+    rows = join_one(rows, counts, [key], "spread_n", total).withColumn("spread", F.pmod(F.xxhash64(by), F.col("spread")).cast("int")).drop("spread_n")
+    copies = one.join(counts.select(key, F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("spread")), key)
+    return rows.join(copies, [key, "spread"]).drop("spread")
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain scan of files, else a table of it."""
+    return df if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else cut(df)
+
+
+def keyed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with two long columns that tell its rows apart and stay the same in every plan over it.
+
+    They are the hash of a row's file and its place in it; what is no plain scan of files is written first.
+    """
+    df = scanned(df)
+    try:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(a), meta["row_index"].alias(b))
+    except AnalysisException:  # files of a format without row numbers
+        return keyed(cut(df.select("*")), a, b)

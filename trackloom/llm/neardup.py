@@ -14,9 +14,16 @@
 5. Lists that still hold more than one component are compared exactly across components,
    tile by tile; a tile gives a spanning forest of its links, not all of them.
 
+No join is dealt by a key that may hold a large share of the rows: classes of many copies,
+common values and central classes are hot keys (``common.join_one``), and the full set of a
+class that is compared with many others goes to several tasks (``common.join_spread``).
+The pointers of ``graph.components`` are pairs of numbers; a star's join there is left to
+Spark's own splitting of skewed partitions.
+
 Nulls and texts without words have an empty set, are linked with nothing, and are their
-own component.  A null id is its own null component.  Repeated rows are copies.  Extra
-columns are ignored.  An empty table gives no rows.
+own component.  A null id never is a component's smallest; a row with a null id outside all
+components has a null component.  Repeated rows are copies.  Rows are told apart by their
+place in the input, not by id.  Extra columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_batches, cut, ship
+from .common import arrow_batches, cut, fresh, join_one, join_spread, keyed, release, scanned, ship
 from .graph import components
 from .shingles import shingle_sets
 
@@ -47,47 +54,42 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>"
+SIGNED = "doc_id long, ka long, kb long, n_shingles long, k1 long, k2 long, sketch array<long>"
 
 
 def _signatures(k: int):
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            for lo, sets in shingle_sets(b.column(1)):
+            for lo, sets in shingle_sets(b.column(3)):
                 keys = [_sign(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                        *(b.column(c).slice(lo, len(sets)) for c in range(3)), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()),
                         # hashes of a sorted set are in order; one bit less keeps the order as signed longs
                         _lists([(s[:k] >> np.uint64(1)).view(np.int64) for s in sets]),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
+                    names=["doc_id", "ka", "kb", "n_shingles", "k1", "k2", "sketch"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sketch); k1, k2 are null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(k), SIGNED)
+    """(doc_id, ka, kb, n_shingles, k1, k2, sketch) of rows (doc_id, ka, kb, text); k1, k2 are null for an empty set."""
+    return docs.select("doc_id", "ka", "kb", "text").mapInArrow(_signatures(k), SIGNED)
 
 
 def _sets_of(batches):
-    """(cid, k1, k2, text) -> (cid, set) where the text has that key."""
+    """(cid, text) -> (cid, set)."""
     for b in batches:
-        cid, k1, k2 = (b.column(i).to_pylist() for i in range(3))
-        for lo, sets in shingle_sets(b.column(3)):
-            keep = [i for i, s in enumerate(sets) if len(s) and _sign(s) == (k1[lo + i], k2[lo + i])]
-            yield pa.RecordBatch.from_arrays([pa.array([cid[lo + i] for i in keep], pa.int64()), _lists([sets[i].view(np.int64) for i in keep])], names=["cid", "elems"])
+        for lo, sets in shingle_sets(b.column(1)):
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sets)), _lists([s.view(np.int64) for s in sets])], names=["cid", "elems"])
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, elems): full shingle sets of the given classes (cid, min_doc, k1, k2)."""
-    d, c = docs.select("doc_id", "text").alias("d"), classes.alias("c")
-    rows = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.min_doc"))).select("c.cid", "c.k1", "c.k2", "d.text")
-    return rows.mapInArrow(_sets_of, "cid long, elems array<long>").dropDuplicates(["cid"])
+    """(cid, elems): full shingle sets of the given classes (cid, ka, kb), each from its one row of ``docs``."""
+    return docs.select("ka", "kb", "text").join(classes, ["ka", "kb"]).select("cid", "text").mapInArrow(_sets_of, "cid long, elems array<long>")
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,64 +155,74 @@ def estimate(a: Column, b: Column, k: int = K) -> Column:
 
 
 def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, stays) for every row of ``docs``.
+
+    stays: of each component one row, that with the smallest id (the first one of repeated rows; null
+    ids last), and every row with an empty set.
+    """
     ship(docs.sparkSession)
+    rows = keyed(docs, key_a := fresh(docs, "ka"), key_b := fresh(docs, "kb"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key_a).alias("ka"), F.col(key_b).alias("kb"), "text")
     with arrow_batches(docs.sparkSession, BATCH):
-        return _link(docs, k, threshold, tile)
+        return _link(rows, k, threshold, tile)
+
+
+def _count(df: DataFrame, column: str) -> int:
+    return df.agg(F.coalesce(F.sum(column), F.lit(0))).head()[0]
 
 
 def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> DataFrame:
     signed = cut(signatures(docs, k))
-    classes = (
-        signed.where("k1 is not null").groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("min_doc"), F.max("n_shingles").alias("n"))
-    )
+    who = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "ka", "kb")
+    classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-    # one sketch for each class: any member's will do, so the key of the set finds it
-    s, c = signed.select("k1", "k2", "doc_id", "sketch").alias("s"), classes.alias("c")
-    same = (F.col("s.k1") == F.col("c.k1")) & (F.col("s.k2") == F.col("c.k2")) & F.col("s.doc_id").eqNullSafe(F.col("c.min_doc"))
-    sketches = s.join(c, same).select("c.cid", "s.sketch").dropDuplicates(["cid"])
-    sketches = cut(sketches)
+    sketches = classes.select("cid", "sketch")
 
     values = sketches.select("cid", F.greatest(F.lit(1), F.floor(F.size("sketch") * SHARED)).cast("int").alias("t"), F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = values.join(often, "v").groupBy("cid").agg(
+    often = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    shared = join_one(values, often, ["v"], "f", _count(often, "f")).groupBy("cid").agg(
         F.max("t").alias("t"), F.sum("f").alias("score"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs")
     )
     shared = shared.where(F.size("vs") >= F.col("t"))
     listed = shared.select("cid", "score", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("t") + 1)).alias("x"))
     listed = cut(listed.select("cid", "score", "x.v"))
 
-    heads = listed.groupBy("v").agg(F.max(F.struct("score", "cid"))["cid"].alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = listed.join(heads.select("v", "head"), "v").where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    a, b = sketches.alias("x"), sketches.alias("y")
-    pairs = pairs.join(b, F.col("b") == F.col("y.cid")).select("a", "b", F.col("y.sketch").alias("sb"))
-    pairs = pairs.join(a, F.col("a") == F.col("x.cid")).where(estimate(F.col("x.sketch"), F.col("sb"), k) >= LEAST_ESTIMATE)
-    pairs = cut(pairs.select("a", "b"))
+    heads = cut(listed.groupBy("v").agg(F.max(F.struct("score", "cid"))["cid"].alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    pairs = join_one(listed, heads, ["v"], "m", _count(heads, "m")).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    pairs = cut(pairs.join(sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b"))
+    met = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    met = cut(met.join(sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a"))
+    near = join_one(pairs, met, ["a"], "n", _count(met, "n")).where(estimate(F.col("sa"), F.col("sb"), k) >= LEAST_ESTIMATE)
+    near = cut(near.select("a", "b"))
 
     needed = listed.join(heads.select("v"), "v", "left_semi").select("cid").distinct()
-    sets = cut(full_sets(docs, classes.join(needed, "cid", "left_semi").select("cid", "min_doc", "k1", "k2")))
-    x, y = sets.alias("x"), sets.alias("y")
-    rows = pairs.join(y, F.col("b") == F.col("y.cid")).select("a", "b", F.col("y.elems").alias("eb"))
-    rows = rows.join(x, F.col("a") == F.col("x.cid")).select("a", "b", F.col("x.elems").alias("ea"), "eb")
+    sets = cut(full_sets(docs, classes.join(needed, "cid", "left_semi").select("cid", "who.ka", "who.kb")))
+    rows = near.join(sets.select(F.col("cid").alias("b"), F.col("elems").alias("eb")), "b")
+    rows = join_spread(rows, sets.select(F.col("cid").alias("a"), F.col("elems").alias("ea")), "a", "b").select("a", "b", "ea", "eb")
     links = cut(rows.mapInArrow(_verify(*threshold), "a long, b long"))
     comps = components(links)
 
     # lists that still hold several components: compare across, exactly
     by_class = listed.alias("l").join(comps.alias("p"), F.col("l.cid") == F.col("p.v"), "left")
-    listed = cut(by_class.select("l.v", "l.cid", F.coalesce("p.component", "l.cid").alias("comp")))
-    of = listed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(by_class.select("l.v", "l.cid", F.coalesce("p.component", "l.cid").alias("comp")))
+    of = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = of.groupBy("v").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("parts > 1 and m > 2")
-    rest = listed.join(open_, "v").select("v", "cid", "comp", (F.col("comp") == F.col("top.comp")).cast("int").alias("major"), "m", F.col("top.n").alias("mains"))
+    open_ = cut(open_.select("v", "m", F.col("top.comp").alias("top"), F.col("top.n").alias("mains")))
+    rest = join_one(placed, open_, ["v"], "m", _count(open_, "m")).select("v", "cid", "comp", (F.col("comp") == F.col("top")).cast("int").alias("major"), "m", "mains")
     more = cut(_tiles(rest, sets, tile, threshold))
     if more.head(1):
         comps = components(links.unionByName(more))
-    labels = classes.alias("c").join(comps.alias("p"), F.col("c.cid") == F.col("p.v"), "left").select("c.k1", "c.k2", "c.min_doc", F.coalesce("p.component", "c.cid").alias("comp"))
-    least = labels.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
-    labels = cut(labels.join(least, "comp").select("k1", "k2", "component_id"))
-    s = signed.select("doc_id", "n_shingles", "k1", "k2").alias("s")
-    out = s.join(labels.alias("l"), (F.col("s.k1") == F.col("l.k1")) & (F.col("s.k2") == F.col("l.k2")), "left")
-    return out.select("s.doc_id", "s.n_shingles", F.coalesce("l.component_id", "s.doc_id").alias("component_id"))
+    labels = classes.alias("c").join(comps.alias("p"), F.col("c.cid") == F.col("p.v"), "left").select("c.k1", "c.k2", "c.who", "c.copies", F.coalesce("p.component", "c.cid").alias("comp"))
+    labels = cut(labels)
+    least = cut(labels.groupBy("comp").agg(F.min("who").alias("least"), F.count(F.lit(1)).alias("n")))
+    labels = join_one(labels, least, ["comp"], "n", _count(least, "n")).select("k1", "k2", "copies", F.col("least.doc_id").alias("component_id"), F.col("least.ka").alias("la"), F.col("least.kb").alias("lb"))
+    labels = cut(labels)
+    release(classes, often, listed, heads, pairs, met, near, sets, placed, open_, least)
+    full = signed.where("k1 is not null").select("doc_id", "ka", "kb", "n_shingles", "k1", "k2")
+    full = join_one(full, labels, ["k1", "k2"], "copies", _count(labels, "copies"))
+    out = full.select("doc_id", "ka", "kb", "n_shingles", "component_id", ((F.col("ka") == F.col("la")) & (F.col("kb") == F.col("lb"))).alias("stays"))
+    empty = signed.where("k1 is null").select("doc_id", "ka", "kb", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return out.unionByName(empty)
 
 
 def _tiles(rest: DataFrame, sets: DataFrame, tile: int, threshold: tuple[int, int]) -> DataFrame:
@@ -235,8 +247,17 @@ def _tiles(rest: DataFrame, sets: DataFrame, tile: int, threshold: tuple[int, in
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``link`` with ``kept``: the document with the smallest id of its component."""
-    return link(docs, **options).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    """(doc_id, n_shingles, component_id, kept); kept: the document with the smallest id of its component."""
+    out = link(docs, **options).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, and all with an empty set."""
+    docs = scanned(docs)  # once: the keys must be the same in both plans
+    rows = keyed(docs, key_a := fresh(docs, "ka"), key_b := fresh(docs, "kb"))
+    gone = link(docs, **options).where("not stays").select(F.col("ka").alias(key_a), F.col("kb").alias(key_b))
+    return rows.join(gone, [key_a, key_b], "left_anti").select(*docs.columns)
 
 
 ORACLE = """
