@@ -12,8 +12,12 @@ each stage's result to the shared checkpoint folder and reads it back for the ne
    the remaining share, by a seeded hash of its id.  Documents without words stay once.
 5. sharding deals all rows into shards of near-equal bytes and numbers them.
 
+Every decision is made and carried out row by row: rows are told apart by their place in the
+stage's input (``common.keyed``), never by id, so null and repeated ids lose nothing.
+
 Nulls: a row with a null text is rejected by the first stage; null ids and sources are
-handled as in the operators.  Extra columns are carried along.
+handled as in the operators.  Repeated rows are copies: the second stage keeps one.  Extra
+columns, whatever their names, are carried along; an empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -21,45 +25,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackloom.llm import decontam, langid, mixing, neardup, sharding
-from trackloom.llm.common import cut, fresh, md5_long, read
+from trackloom.llm.common import cut, fresh, keyed, md5_long, read, scanned
 
 LEAST_SCORE = 0.5
 SEED = "pipeline-mix-1"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a known language; null, letterless and foreign texts go."""
     return langid.accepted(docs, least=LEAST_SCORE)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, once."""
-    linked = neardup.near_duplicates(docs)
-    gone = linked.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.head(1):  # ids are unique: nothing more to drop, and no text is shuffled
-        return kept.select(*docs.columns)
-    # repeated rows of one id and text are copies too; a null id stays as it is
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """One row of each group stays: that with the smallest id, the first of repeated rows; null ids come last."""
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a benchmark item."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(docs).select(F.col("doc_id").alias("mix_id"), "size", "taken").dropDuplicates(["mix_id"])
-    copies, left = F.expr("taken div size"), F.col("taken") % F.col("size")
-    turn = md5_long(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("mix_id").cast("string"), F.lit("null"))))
-    more = (turn % F.col("size") < left).cast("long")
-    plan = plan.select("mix_id", F.when(F.col("size") > 0, copies + more).otherwise(1).cast("int").alias("times"))
-    copy = fresh(docs, "copy")
-    both = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id"))).where("times > 0")
-    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Each row as often as the mix takes it, which can be never."""
+    docs = scanned(docs)
+    a, b, times, copy = (fresh(docs, x) for x in ("ka", "kb", "times", "copy"))
+    rows = keyed(docs, a, b)
+    plan = mixing.mix(rows, order_by=(a, b))
+    turn = md5_long(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(b).cast("string")))
+    more = (turn % F.col("size") < F.col("taken") % F.col("size")).cast("long")
+    n = F.when(F.col("size") > 0, F.expr("taken div size") + more).otherwise(1).cast("int")
+    plan = plan.select(F.col(a), F.col(b), n.alias(times))
+    both = rows.join(plan, [a, b]).where(F.col(times) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with size, text_crc32, shard and slot."""
     return sharding.shard(docs)
 
 
