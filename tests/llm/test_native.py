@@ -40,6 +40,22 @@ def test_sharding_law_and_slots(spark):
     assert again == sorted((str(r.doc_id), r.shard, r.slot, str(r.text)) for r in out)
 
 
+def test_groups_stay_whole_up_to_a_shard_and_split_above(spark):
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(400)) for i in range(800)]
+    rows += [(2000 + i, "fits " * 20) for i in range(180)]  # more than half a shard
+    rows += [(5, "one row again and again " * 4)] * 600 + [(None, "no id " * 9)] * 600  # equal rows: a group of several shards
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    size, spread = [0] * 10, {}
+    for r in out:
+        size[r.shard] += r.size
+        spread.setdefault(r.text, set()).add(r.shard)
+    ideal = sum(size) / 10
+    assert len(out) == len(rows) and len(spread["fits " * 20]) == 1 and 0.5 * ideal < 180 * 116 < ideal
+    assert len(spread["one row again and again " * 4]) > 2 and len(spread["no id " * 9]) > 2
+    assert max(size) < ideal + 180 * 116 / 2 + 500 and min(size) > ideal - 180 * 116 / 2 - 500
+
+
 def test_sharding_empty_and_one(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.slot for r in sharding.shard(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()] == [0]

@@ -158,8 +158,11 @@ def join_spread(rows: DataFrame, one: DataFrame, key: str, by: str, most: int =
 
 
 def scanned(df: DataFrame) -> DataFrame:
-    """``df`` if it is a plain scan of files, else a table of it."""
-    return df if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" else cut(df)
+    """``df`` if it is a scan of files, at most with columns computed and rows filtered; else a table of it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.child()
+    return df if plan.getClass().getSimpleName() == "LogicalRelation" else cut(df)
 
 
 def keyed(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -18,7 +18,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = sharding.shard(read(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
