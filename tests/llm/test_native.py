@@ -52,7 +52,7 @@ def test_groups_stay_whole_up_to_a_shard_and_split_above(spark):
         spread.setdefault(r.text, set()).add(r.shard)
     ideal = sum(size) / 10
     assert len(out) == len(rows) and len(spread["fits " * 20]) == 1 and 0.5 * ideal < 180 * 116 < ideal
-    assert len(spread["one row again and again " * 4]) > 2 and len(spread["no id " * 9]) > 2
+    assert len(spread["one row again and again " * 4]) > 2 and len(spread["no id " * 9]) > 1
     assert max(size) < ideal + 180 * 116 / 2 + 500 and min(size) > ideal - 180 * 116 / 2 - 500
 
 
