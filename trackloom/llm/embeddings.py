@@ -17,10 +17,13 @@
    as a table of counts; pairs are never listed.  A component that was found whole so has
    exact counts, however many near copies it holds.
 
+No join is dealt by a key that may hold a large share of the rows (classes of many copies,
+large components, crowded prefixes): see ``common.join_one``.
+
 Vectors that are null, zero, or hold null or non-finite components link with nothing, not
 even with their copies; vectors of another length than the first are never compared
-with it.  A null id keeps its row; its component is null.  Repeated rows are copies.  An
-empty table gives no rows.
+with it.  A null id keeps its row; its component is null unless it has links.  Repeated rows are
+copies.  Extra columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut, ship
+from .common import cut, join_one, release, ship
 from .graph import components
 
 THRESHOLD = 0.9
@@ -136,15 +139,19 @@ def _crowds(ordered: DataFrame, comps: DataFrame, vectors: DataFrame, bits: int,
     """(a, b): links between components in the groups of equal first ``bits`` that hold more rows than the window."""
     keys = ["pass", "prefix"]
     rows = ordered.select("pass", F.shiftrightunsigned("hash", HASHES - bits).alias("prefix"), "cid")
-    full = cut(rows.groupBy(*keys).count().where(F.col("count") > window).select(*keys))
+    full = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window))
     if not full.head(1):
         return None
-    rows = rows.join(full, keys).join(comps, F.col("cid") == F.col("v"), "left").select(*keys, "cid", F.coalesce("component", "cid").alias("comp"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("comp", "cid"))  # a component lies in few tiles
-    rows = cut(rows.withColumn("t", F.floor((place - 1) / tile).cast("int")))
+    total = full.agg(F.sum("n")).head()[0]
+    rows = join_one(rows, full, keys, "n", total).join(comps, F.col("cid") == F.col("v"), "left").select(*keys, "n", "cid", F.coalesce("component", "cid").alias("comp"))
+    rows = cut(rows)
+    sizes = cut(rows.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("size")))
+    # a component lies in as few tiles as its size allows, without a sort of the group
+    slot = F.xxhash64("comp") + F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / tile))
+    rows = cut(join_one(rows, sizes, [*keys, "comp"], "size", total).select(*keys, "cid", "comp", F.pmod(slot, F.ceil(F.col("n") / tile)).cast("int").alias("t")))
     tiles = cut(rows.groupBy(*keys, "t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
-    a, b = (tiles.select(*keys, F.col("t").alias(t), F.col(c).alias(c)) for t, c in (("i", "lo"), ("j", "hi")))
-    pairs = a.join(b, keys).where("i <= j and lo <> hi").select(*keys, "i", "j")  # sorted: lo = hi only within one component
+    a, b = (tiles.select(*keys, F.col("t").alias(t), F.col("lo").alias("lo" + k), F.col("hi").alias("hi" + k)) for t, k in (("i", ""), ("j", "2")))
+    pairs = a.join(b, keys).where("i <= j and (lo <> hi or lo <> lo2 or hi <> hi2)").select(*keys, "i", "j")  # not both within one component
     sides = [rows.join(pairs.withColumn("t", F.col(t)), [*keys, "t"]).select(*keys, "i", "j", F.lit(k).alias("side"), "cid", "comp") for k, t in enumerate("ij")]
     placed = sides[0].unionByName(sides[1]).join(vectors, "cid")
     return placed.groupBy(*keys, "i", "j").applyInArrow(_cross(threshold), "a long, b long")
@@ -173,11 +180,9 @@ def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WIND
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, F.transform(e, lambda x: x + 0.0)).alias("emb"))
     rows = rows.withColumn("key", F.md5(F.concat_ws(",", F.transform("emb", lambda x: x.cast("string")))))
     rows = rows.withColumn("key", F.when(F.col("emb").isNotNull(), F.col("key")))
-    classes = rows.where("emb is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("emb").alias("emb"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
-    c, r = classes.alias("c"), rows.where("emb is not null").alias("r")
-    one = r.join(c, (F.col("r.key") == F.col("c.key")) & F.col("r.vec_id").eqNullSafe(F.col("c.least"))).select("c.cid", "c.copies", "r.emb")
-    one = cut(one.dropDuplicates(["cid"]))
+    one = classes.select("cid", "copies", "emb")
     n = one.count()
     n_pass, bits = passes_for(n, threshold, window, recall), bits_for(n, window)
 
@@ -199,20 +204,25 @@ def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WIND
 
     of = one.join(comps, F.col("cid") == F.col("v")).select("cid", "copies", "emb", F.col("component").alias("comp"))
     of = cut(of)
-    members = of.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    members = cut(of.groupBy("comp").agg(F.count(F.lit(1)).alias("m")))
     tiles = F.ceil(F.col("m") / tile).cast("int")
-    dealt = of.join(members, "comp").withColumn("t", tiles).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
+    dealt = join_one(of, members, ["comp"], "m", n).withColumn("t", tiles).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
     left = dealt.select("comp", F.col("mine").alias("i"), others.alias("j"), F.lit(0).alias("side"), "cid", "copies", "emb")
     right = dealt.select("comp", others.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "cid", "copies", "emb")
     part = left.unionByName(right).groupBy("comp", "i", "j").applyInArrow(_count(threshold), "cid long, n long")
     counts = part.groupBy("cid").agg(F.sum("n").alias("n"))
-    least = classes.join(comps, F.col("cid") == F.col("v")).groupBy("component").agg(F.min("least").alias("component_id"))
-    where = comps.join(least, "component").select("v", "component_id")
+    found = classes.select("cid", "least").join(comps, F.col("cid") == F.col("v"))
+    least = cut(found.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")))
+    where = join_one(comps, least, ["component"], "m", n).select("v", "component_id")
     labels = classes.alias("c").join(where.alias("p"), F.col("c.cid") == F.col("p.v"), "left").join(counts.alias("n"), F.col("c.cid") == F.col("n.cid"), "left")
-    labels = cut(labels.select("c.key", (F.col("c.copies") - 1 + F.coalesce("n.n", F.lit(0))).alias("n_links"), F.coalesce("p.component_id", "c.least").alias("component_id")))
-    out = rows.select("vec_id", "key").alias("r").join(labels.alias("l"), F.col("r.key") == F.col("l.key"), "left")
-    return out.select("r.vec_id", F.coalesce("l.n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("l.component_id", "r.vec_id").alias("component_id"))
+    labels = labels.select("c.key", "c.copies", (F.col("c.copies") - 1 + F.coalesce("n.n", F.lit(0))).alias("n_links"), F.coalesce("p.component_id", "c.least").alias("component_id"))
+    labels = cut(labels)
+    release(classes, of, members, least)
+    total = labels.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
+    out = join_one(rows.where("key is not null").select("vec_id", "key"), labels, ["key"], "copies", total).select("vec_id", "n_links", "component_id")
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
 
 
 def _blocks(hashed: DataFrame, block: int, window: int) -> tuple[DataFrame, DataFrame]:
