@@ -40,7 +40,7 @@ from .graph import components
 THRESHOLD = 0.9
 WINDOW = 256
 BLOCK = 1024
-TILE = 1024
+TILE = 256
 HASHES = 60
 RECALL = 0.995
 SEED = 7
