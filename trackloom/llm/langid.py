@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import md5_long, ship
-from .shingles import SLICE, _P, _PINV, _powers, mix64, slices
+from .shingles import _P, _PINV, _powers, mix64, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+SLICE = 2 << 20
 SAMPLE_ROWS = 500
 FOLDS = 5
 EM_ROUNDS = 3
@@ -320,7 +321,7 @@ def _predict(model: Model, columns: list[str]):
     def run(batches):
         for b in batches:
             text = b.column(len(columns) - 1)
-            for lo, data, offsets in slices(text):
+            for lo, data, offsets in slices(text, SLICE):
                 lang, score = model.predict(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, len(lang)) for i in range(len(columns) - 1)), pa.array(lang, pa.string()), pa.array(score)], names=[*columns[:-1], "lang_pred", "score"])
 
@@ -339,7 +340,7 @@ def _keep(model: Model, at: int, least: float):
     def run(batches):
         for b in batches:
             parts = [np.zeros(0, bool)]
-            for _, data, offsets in slices(b.column(at)):
+            for _, data, offsets in slices(b.column(at), SLICE):
                 lang, score = model.predict(data, offsets)
                 parts.append((np.array(lang) != UNDECIDED) & (score >= least))
             yield b.filter(pa.array(np.concatenate(parts)))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 512 << 10
 N = 5
 
 _rng = np.random.default_rng(20240131)
@@ -36,7 +36,7 @@ def _powers(base: int, n: int, name: str) -> np.ndarray:
         while done < m:  # doubling: out[k:2k] = out[:k] * base**k
             out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
             done *= 2
-        if m > 4 * SLICE:
+        if m > 8 * SLICE:
             return out
         _POW[name] = have = out
     return have
@@ -48,7 +48,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows; a null counts as empty."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     n = len(texts)
@@ -58,7 +58,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
