@@ -76,18 +76,19 @@ def test_url_rules(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_boosted_trees_learn_hosts():
-    rng, rows = random.Random(2), []
-    for i in range(3000):
-        bad = rng.random() < 0.3
-        host = rng.choice(["ads.spam.example", "track.spam.example"] if bad else ["blog.fine.example", "news.good.example"])
-        path = f"/{rng.randrange(9999)}" + ("/a/b" if rng.random() < 0.5 else "")
-        rows.append((f"http://{host}{path}", host, path, int(bad)))
-    model = urls.Model.fit(rows[:2000])
-    test = rows[2000:]
-    p = model.score([r[0] for r in test], [r[1] for r in test], [r[2] for r in test])
-    assert ((p >= 0.5) == np.array([r[3] for r in test])).mean() > 0.99
-    assert urls.Model.fit([]).score(["x"], ["x"], ["x"]).tolist() == [0.0]
+def test_boosted_trees_learn_a_rule():
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 6))
+    y = ((x[:, 1] > 0.6) & (x[:, 4] < 0.5) | (x[:, 2] > 0.9)).astype(float)
+    model = urls.Model.fit(x[:2000], y[:2000])
+    assert ((model.score(x[2000:]) >= 0.5) == (y[2000:] > 0)).mean() > 0.97
+    assert urls.Model.fit(np.zeros((0, 6)), np.zeros(0)).score(x).tolist() == [0.0] * 3000
+
+
+def test_entropy_of_bytes():
+    texts = ["", "aaaa", "abab", "abcd", None, "\u00e9"]
+    assert np.allclose(urls.entropy(pa.array(texts)), [0, 0, 1, 2, 0, 1]) and np.allclose(urls.entropy(pa.array(texts).slice(2, 2)), [1, 2])
+    assert len(urls.entropy(pa.array([], pa.string()))) == 0
 
 
 def _sim(a, b):

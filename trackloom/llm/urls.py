@@ -4,38 +4,51 @@ Rules (host suffix, path start, verdict): a rule fits its host and all subdomain
 url's path starts with the rule's; the longest fitting rule wins.
 
 All other urls get the verdict of boosted regression trees on the log-odds (logistic
-loss, histogram splits), trained here from labelled urls: those that a rule decides (but
-not those that a rule blocks for a part of a host only, which says nothing on the rest), and
-those with a host label from the word lists below.  Features: lengths of url, host and
-path, depth, digit ratio, entropy of the characters, counts of parameters, dots, dashes
-and other marks, and suffix statistics, the smoothed share of blocked labelled urls with
-the same host suffix of one, two or three labels.  Training urls get these statistics from
-the other folds of the labelled urls only, so a url's own label cannot show in them.
+loss, histogram splits), trained here from labelled urls.  Labels are a parameter (a table of
+urls and labels).  Without one they are weak labels: urls that a rule decides (but not those that
+a rule blocks for a part of a host only, which says nothing on the rest), and hosts with a
+word of the categories below.  Words are no feature, so the trees cannot repeat the list:
+what they learn of a category must show in the lexical features, and hosts of categories
+that are not listed are found by them alone (tests leave whole categories out).
+
+Features: lengths of url, host and path, depth, digit ratio, entropy of the bytes, counts of
+parameters, labels, dashes (in the url, in the host) and other marks, and suffix statistics,
+the smoothed share of blocked labelled urls with the same host suffix of one, two or three
+labels.  Training urls get these statistics from other folds only: one half of the hosts from
+the other folds of urls (a known host), the other half from the other folds of hosts (a new
+host), so the trees learn to trust the statistics where there are any and to do without.
 
 The statistics are counted over all labelled urls of the table, whatever its size, and are
 joined to the urls by host; neither the counts nor the hosts pass through the driver.  Only
-the trees are fitted on a sample of at most about ``SAMPLE_ROWS`` labelled urls (by hash).
+the trees are fitted on a sample of about ``SAMPLE_ROWS`` distinct labelled urls (by hash, so the
+same in every run).  All features but the entropy are SQL expressions; entropy and trees
+run on whole Arrow batches in numpy.
 
 Nulls: a null url, or one without ``://``, has empty host and path; no rule fits and it is
-scored as the empty url.  Extra columns are ignored.  An empty table gives no rows.
+scored as the empty url.  Null labels are none; of a url's conflicting labels the largest counts.
+Repeated rows give a row each, extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, cut, md5_long, ship
+from .common import ascii_lower, cut, join_one, md5_long, ship
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: host labels (split at dashes) that mark advertising and tracking hosts, and plain hosts
-BLOCK_WORDS = ("ad", "ads", "adserver", "advert", "banner", "casino", "click", "clicks", "pixel", "popup", "porn", "promo", "spam", "track", "tracker", "tracking", "xxx")
-ALLOW_WORDS = ("blog", "docs", "edu", "gov", "library", "m", "museum", "news", "wiki", "www")
+#: host words (split at dots and dashes) of categories that blocklists are commonly kept for, and of plain hosts
+BLOCK_WORDS = {
+    "advertising": ("ad", "ads", "adserver", "advert", "adverts", "banner", "banners", "popup", "promo", "sponsor"),
+    "tracking": ("click", "clicks", "pixel", "track", "tracker", "tracking", "beacon"),
+    "gambling": ("bet", "bets", "betting", "bingo", "casino", "jackpot", "lottery", "poker", "slots"),
+    "pharmacy": ("cialis", "meds", "pharmacy", "pill", "pills", "viagra"),
+    "adult": ("adult", "cam", "escort", "porn", "sex", "xxx"),
+    "spam": ("malware", "phish", "phishing", "spam", "scam", "warez"),
+}
+ALLOW_WORDS = ("blog", "docs", "edu", "gov", "library", "museum", "news", "wiki")
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 20
@@ -61,23 +74,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-NAMES = ("url_len", "host_len", "path_len", "depth", "labels", "digits", "entropy", "params", "dashes", "marks", "sld_len", "suffix1", "suffix2", "suffix3")
+def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """Name -> expression; the entropy and the suffix shares come on top."""
+    url = F.coalesce(url, F.lit(""))
+    marks = lambda c, chars: (F.length(c) - F.length(F.translate(c, chars, ""))).cast("double")
+    query = F.regexp_extract(url, r"(?s)^[^?]*\?([^#]*)", 1)
+    long = F.greatest(F.length(url), F.lit(1))
+    return {
+        "url_len": F.length(url).cast("double"), "host_len": F.length(host).cast("double"), "path_len": F.length(path).cast("double"),
+        "depth": marks(path, "/"), "labels": marks(host, ".") + 1, "digits": marks(url, "0123456789") / long,
+        "params": F.when(query != "", marks(query, "&") + 1).otherwise(F.lit(0.0)), "dashes": marks(url, "-"), "host_dashes": marks(host, "-"),
+        "marks": marks(url, "@%~_=+"), "sld_len": F.coalesce(F.length(F.try_element_at(F.split(host, r"\."), F.lit(-2))), F.lit(0)).cast("double"),
+    }
 
 
-def suffixes(host: str) -> tuple[str, str, str]:
-    p = host.split(".")
-    return p[-1], ".".join(p[-2:]), ".".join(p[-3:])
+SHARES = ("s1", "s2", "s3")
 
 
-def lexical(url: str, host: str, path: str) -> list[float]:
-    n = len(url)
-    counts = np.unique(np.frombuffer(url.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1] / max(1, n)
-    query = url.partition("?")[2].partition("#")[0]
-    parts = host.split(".")
-    return [
-        n, len(host), len(path), path.count("/"), len(parts), sum(c.isdigit() for c in url) / max(1, n), float(-(counts * np.log2(counts)).sum()) if n else 0.0,
-        query.count("&") + 1 if query else 0, url.count("-"), sum(url.count(c) for c in "@%~_=+"), len(parts[-2]) if len(parts) > 1 else 0,
-    ]
+def entropy(urls: pa.Array) -> np.ndarray:
+    """Entropy in bits of each url's bytes."""
+    raw = urls.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    size = np.diff(ends)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    key, n = np.unique(np.repeat(np.arange(len(raw)), size) * 256 + data, return_counts=True)
+    p = n / size[key // 256]
+    return -np.bincount(key // 256, p * np.log2(p), len(raw)) + 0.0
 
 
 class Boosted:
@@ -145,48 +167,25 @@ class Boosted:
 
 
 class Model:
-    def __init__(self, share: float, counts: dict[str, tuple[int, int]], trees: Boosted | None):
-        self.share, self.counts, self.trees = share, counts, trees
+    """Trees over the lexical features, the entropy and three suffix shares."""
 
-    def _suffix(self, s: str, less: dict[str, list[int]] | None = None) -> float:
-        n, y = self.counts.get(s, (0, 0))
-        if less is not None:
-            n, y = n - less[s][0], y - less[s][1]
-        return (y + PRIOR * self.share) / (n + PRIOR)
+    def __init__(self, trees: Boosted | None):
+        self.trees = trees
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str, str, int]]) -> "Model":
-        """rows: (url, host, path, 1 to block)."""
-        if not rows:
-            return cls(0.0, {}, None)
-        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        by_fold = [defaultdict(lambda: [0, 0]) for _ in range(FOLDS)]
-        for i, (_, host, _, y) in enumerate(rows):
-            for s in set(suffixes(host)):
-                for c in (counts, by_fold[i % FOLDS]):
-                    c[s][0] += 1
-                    c[s][1] += y
-        m = cls(sum(r[3] for r in rows) / len(rows), {k: tuple(v) for k, v in counts.items()}, None)
-        x = np.array([lexical(u, h, p) + [m._suffix(s, by_fold[i % FOLDS]) for s in suffixes(h)] for i, (u, h, p, _) in enumerate(rows)])
-        m.trees = Boosted.fit(x, np.array([r[3] for r in rows], float))
-        return m
+    def fit(cls, x: np.ndarray, y: np.ndarray) -> "Model":
+        return cls(Boosted.fit(x, y) if len(y) else None)
 
-    @classmethod
-    def fit_shares(cls, rows: list[tuple]) -> "Model":
-        """rows: (url, host, path, 1 to block, the three suffix shares of the other folds); the model holds no counts."""
-        if not rows:
-            return cls(0.0, {}, None)
-        x = np.array([lexical(*r[:3]) + list(r[4:]) for r in rows])
-        return cls(0.0, {}, Boosted.fit(x, np.array([r[3] for r in rows], float)))
-
-    def score(self, urls: list[str], hosts: list[str], paths: list[str], shares: list | None = None) -> np.ndarray:
-        """``shares``: the three suffix shares of each url; without them they come from the model's own counts."""
-        if self.trees is None or not urls:
-            return np.zeros(len(urls))
-        if shares is None:
-            stats: dict[str, list[float]] = {}
-            shares = [stats.get(h) or stats.setdefault(h, [self._suffix(s) for s in suffixes(h)]) for h in hosts]
-        return self.trees.predict(np.array([lexical(u, h, p) + list(s) for u, h, p, s in zip(urls, hosts, paths, shares)]))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.trees.predict(x) if self.trees is not None and len(x) else np.zeros(len(x))
+
+
+def matrix(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    """Feature rows of a batch with a column ``url``: the named columns, the entropy, the suffix shares."""
+    url = batch.column("url")
+    url = url.combine_chunks() if isinstance(url, pa.ChunkedArray) else url
+    cols = {n: np.asarray(batch.column(n), float) for n in (*names, *SHARES)}
+    return np.stack([*(cols[n] for n in names), entropy(url), *(cols[n] for n in SHARES)], axis=1)
 
 
 def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -195,77 +194,95 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
 
 
-def label_of(rules=RULES) -> Column:
-    """1 block, 0 allow, for urls that the word lists or a rule decide; else null."""
+def weak_label(rules=RULES, block_words=BLOCK_WORDS, allow_words=ALLOW_WORDS) -> Column:
+    """1 block, 0 allow, for urls that a rule or the words of their host decide; else null."""
     words = F.split(F.col("host"), r"[.\-]")
     # a rule that blocks a part of a host says nothing on the host's other urls: no label
     labels = {rule: int(verdict == "block") for rule, verdict in rules if verdict == "allow" or not rule.partition("/")[2]}
     by_rule = F.coalesce(*(F.when(F.col("rule") == rule, F.lit(y)) for rule, y in labels.items()), F.lit(None).cast("int"))
-    has = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
+    has = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs))) if xs else F.lit(False)
     decided = F.col("rule").isNotNull() & by_rule.isNull()  # by a rule that is no label
-    label = F.when(by_rule.isNotNull(), by_rule).when(has(BLOCK_WORDS), 1).when(has(ALLOW_WORDS) & ~decided, 0)
+    blocked = [w for group in block_words.values() for w in group]
+    label = F.when(by_rule.isNotNull(), by_rule).when(has(blocked), 1).when(has(allow_words) & ~decided, 0)
     return F.when(F.col("url").isNotNull(), label)
 
 
 def suffix_shares(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(host, s1, s2, s3, t1_0 ...) for every host, and the number of labelled urls, from rows (host, label, fold).
+    """(host, n_rows, s1, s2, s3, v1, ..., t1_0, ...) for every host, and the number of labelled urls, from rows (host, label, fold).
 
     s1 to s3 are the smoothed shares of blocked urls among all labelled ones with the same
-    suffix of one, two or three labels; t1_0 to t3_4 are those without the urls of one fold.
+    suffix of one, two or three labels; t1_0 to t3_4 are those without the urls of one fold, v1 to
+    v3 those without the host's fold of hosts.
     """
     folds = range(FOLDS)
     known = lambda f: (F.col("fold") == f) & F.col("label").isNotNull()
     n, y = [f"n{f}" for f in folds], [f"y{f}" for f in folds]
+    hn, hy = [f"hn{f}" for f in folds], [f"hy{f}" for f in folds]
     hosts = rows.groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_rows"),
         *(F.count_if(known(f)).alias(n[f]) for f in folds), *(F.coalesce(F.sum(F.when(known(f), F.col("label"))), F.lit(0)).alias(y[f]) for f in folds)
     )
-    hosts = cut(hosts)
+    hosts = cut(hosts.withColumn("host_fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")))
     add = lambda names, but=None: sum((F.col(c) for k, c in enumerate(names) if k != but), F.lit(0))
     all_n, all_y = hosts.agg(F.sum(add(n)), F.sum(add(y))).head()
     prior = (all_y or 0) / max(1, all_n or 0)
     three = F.array(*(F.substring_index("host", ".", -k) for k in (1, 2, 3)))
-    counts = hosts.withColumn("suffix", F.explode(F.array_distinct(three))).groupBy("suffix").agg(*(F.sum(c).alias(c) for c in (*n, *y)))
-    share = lambda but=None: (add(y, but) + PRIOR * prior) / (add(n, but) + PRIOR)
-    counts = counts.select("suffix", share().alias("s"), *(share(f).alias(f"t{f}") for f in folds))
-    both = hosts.select("host", F.posexplode(three).alias("k", "suffix")).join(counts, "suffix")
+    of_fold = lambda f, names: F.sum(F.when(F.col("host_fold") == f, add(names)).otherwise(0))
+    counts = hosts.withColumn("suffix", F.explode(F.array_distinct(three))).groupBy("suffix").agg(
+        *(F.sum(c).alias(c) for c in (*n, *y)), *(of_fold(f, n).alias(hn[f]) for f in folds), *(of_fold(f, y).alias(hy[f]) for f in folds)
+    )
+    share = lambda ys, ns, but=None: (add(ys, but) + PRIOR * prior) / (add(ns, but) + PRIOR)
+    counts = counts.select("suffix", share(y, n).alias("s"), *(share(y, n, f).alias(f"t{f}") for f in folds), F.array(*(share(hy, hn, f) for f in folds)).alias("v"))
+    both = hosts.select("host", "n_rows", "host_fold", F.posexplode(three).alias("k", "suffix")).join(counts, "suffix").withColumn("v", F.element_at("v", F.col("host_fold") + 1))
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    shares = both.groupBy("host").agg(*(pick(k, "s").alias(f"s{k + 1}") for k in range(3)), *(pick(k, f"t{f}").alias(f"t{k + 1}_{f}") for k in range(3) for f in folds))
+    shares = both.groupBy("host").agg(
+        F.max("n_rows").alias("n_rows"), *(pick(k, "s").alias(f"s{k + 1}") for k in range(3)), *(pick(k, "v").alias(f"v{k + 1}") for k in range(3)),
+        *(pick(k, f"t{f}").alias(f"t{k + 1}_{f}") for k in range(3) for f in folds),
+    )
     return cut(shares), all_n or 0
 
 
-def sample(rows: DataFrame, shares: DataFrame, n: int, most: int = SAMPLE_ROWS) -> list[tuple]:
-    """About ``most`` of the n labelled urls: (url, host, path, label, the suffix shares of the other folds)."""
-    turn = md5_long(F.concat(F.lit("url:"), "url")) / float(1 << 60)
-    got = rows.where(F.col("label").isNotNull() & (turn < most / max(1, n))).select("url", "host", "path", "label", "fold").limit(2 * most).join(shares, "host")
-    other = [F.element_at(F.array(*(f"t{k}_{f}" for f in range(FOLDS))), F.col("fold") + 1) for k in (1, 2, 3)]
-    # in an order that does not depend on labels or hosts
-    return sorted((tuple(r) for r in got.select("url", "host", "path", "label", *other).collect()), key=lambda r: (zlib.crc32(r[0].encode()), r))
+def sample(rows: DataFrame, shares: DataFrame, n: int, most: int = SAMPLE_ROWS) -> tuple[pa.Table, list[str]]:
+    """About ``most`` of the n labelled urls with their features and the suffix shares of the other folds."""
+    turn = md5_long(F.concat(F.lit("url:"), "url"))
+    known = rows.where(F.col("label").isNotNull()).select("url", "host", "path", "label", "fold", turn.alias("turn")).distinct()
+    got = known.where(F.col("turn") / float(1 << 60) < most / max(1, n)).orderBy("turn", "url").limit(2 * most).join(shares, "host")
+    new = F.pmod(F.xxhash64("host", F.lit("new")), F.lit(2)) == 0
+    other = [F.when(new, F.col(f"v{k}")).otherwise(F.element_at(F.array(*(f"t{k}_{f}" for f in range(FOLDS))), F.col("fold") + 1)).alias(f"s{k}") for k in (1, 2, 3)]
+    features = lexical(F.col("url"), F.col("host"), F.col("path"))
+    got = got.select("turn", "url", "label", *(c.alias(name) for name, c in features.items()), *other).orderBy("turn", "url")
+    return got.toArrow(), list(features)
+
 
+def _score(model: Model, names: list[str]):
+    kept = ["page_id", "url", "host", "path", "rule"]
 
-def _score(model: Model):
     def run(batches):
         for b in batches:
-            url, host, path = (["" if x is None else x for x in b.column(i).to_pylist()] for i in (1, 2, 3))
-            shares = list(zip(*(b.column(i).to_pylist() for i in (5, 6, 7)))) if b.num_columns > 5 else None
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(model.score(url, host, path, shares))], names=["page_id", "url", "host", "path", "rule", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(model.score(matrix(b, names)))], names=[*kept, "score"])
 
     return run
 
 
-def judge(pages: DataFrame, *, rules=RULES, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, block_from: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, *, labels: DataFrame | None = None, rules=RULES, block_words=BLOCK_WORDS, allow_words=ALLOW_WORDS, sample_rows: int = SAMPLE_ROWS, block_from: float = 0.5) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, score) for every page; score is the trees' probability of blocking.
 
-    A given ``model`` scores with its own counts.
+    labels: (url, label), 1 to block and 0 to allow, joined to the pages by url; weak labels without it.
     """
     ship(pages.sparkSession)
+    rows = parsed(pages, rules).withColumn("page_id", F.col("page_id").cast("long"))
+    if labels is None:
+        rows = rows.withColumn("label", weak_label(rules, block_words, allow_words))
+    else:
+        rows = rows.join(labels.where("label is not null").groupBy("url").agg(F.max("label").cast("int").alias("label")), "url", "left")
     # written once: plain columns keep the plans behind it small
-    rows = cut(parsed(pages, rules).withColumns({"page_id": F.col("page_id").cast("long"), "label": label_of(rules), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")}))
-    plain = rows.select("page_id", "url", "host", "path", "rule")
-    if model is None:
-        shares, n = suffix_shares(rows)
-        model = Model.fit_shares(sample(rows, shares, n, sample_rows))
-        plain = plain.join(shares.select("host", "s1", "s2", "s3"), "host", "left").select(*plain.columns, "s1", "s2", "s3")
-    scored = plain.mapInArrow(_score(model), "page_id long, url string, host string, path string, rule string, score double")
+    rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
+    shares, n = suffix_shares(rows)
+    known, names = sample(rows, shares, n, sample_rows)
+    model = Model.fit(matrix(known, names), np.asarray(known.column("label"), float))
+    features = lexical(F.col("url"), F.col("host"), F.col("path"))
+    plain = join_one(rows, shares.select("host", "n_rows", *SHARES), ["host"], "n_rows", rows.count()).select("page_id", "url", "host", "path", "rule", *SHARES, *(c.alias(name) for name, c in features.items()))
+    scored = plain.mapInArrow(_score(model, names), "page_id long, url string, host string, path string, rule string, score double")
     verdict = F.when(F.col("score") >= block_from, "block").otherwise("allow")
     for rule, by_rule in rules:
         verdict = F.when(F.col("rule") == rule, by_rule).otherwise(verdict)
