@@ -1,10 +1,14 @@
 """Main text of web pages by composite text density.
 
 The page is parsed into a tree (a forgiving parser: void and implied end tags, raw text of
-scripts, comments, tags cut off at the end).  Page furniture is pruned by element, role and
-class or id words: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments; an element that holds an ``article`` or ``main`` is never
-pruned.  For every node left
+scripts, comments, tags cut off at the end).  What is never article text by its element or
+role goes first: menus, headers, footers, sidebars, notices, forms, scripts and styles.  The header
+of an article is part of it; a form that wraps the page or holds the article is only a wrapper.
+Class and id words are hints and count with size, place and link share: a block named for
+furniture alone (``ad``, ``cookie-notice``, ``sidebar-left``, ``comments``) goes unless it holds the article or,
+on a page without such an element, most of the text; a paragraph so named goes only if it is short or mostly links; a name that
+merely contains such a word (``related-work``, ``form-of-verbs``) says nothing unless the block is
+mostly links.  For every node left
 
     density = C / T * log(C / LC * T / LT) to the base ln(C / nLC * LC + LCb / Cb * C + e)
 
@@ -12,12 +16,15 @@ with C characters, T tags, LC and LT those inside links, nLC characters outside
 b the body.  A node's sum is that of its children's densities.  The node with the largest
 sum is the core; the smallest density on its path to the body is the threshold, and in
 every part of the body whose density reaches it the node with the largest sum is content.
-A core inside an ``article`` (or ``main``) stands for all of that element; a core that is
-only a paragraph or a piece of one stands for the element around it.
+A core that is only a paragraph or a piece of one stands for the element around it, and a core
+inside an ``article`` (or else ``main``) brings along the rest of that element, such as its title and
+its short paragraphs; what the densities chose elsewhere stays chosen.  Of equal sums the
+node with more text wins, then the first.
 
 Text: character references decoded, white space inside a block made one space, blocks
 trimmed and joined in page order by two newlines; ``br`` is white space.  A null or empty
-page, or one without content, gives the empty text.  Nothing is capped.
+page, or one without content, gives the empty text.  Nothing is capped.  Repeated rows give
+a row each, extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,16 +56,24 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 DROPPED = frozenset(
-    "script style noscript template iframe object svg canvas math head title nav header footer aside form button input select textarea option "
+    "script style noscript template iframe object svg canvas math head title nav footer aside button input select textarea option "
     "label fieldset dialog menu audio video applet search".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-DROPPED_WORDS = frozenset(
+FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner banners "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead footer copyright sidebar sidebars aside "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist respond reply replies disqus share sharing social related recommended widget widgets form".split()
+    "share sharing social related recommended widget widgets form".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: words that only say where or of what shape a block is
+SHAPE_WORDS = frozenset(
+    "site page main top bottom left right side box boxes container wrapper wrap list item items area block section inner outer primary secondary "
+    "global sticky fixed bar link links row col column grid panel group module slot unit zone desktop mobile user reader readers visitor thread js is has".split()
+)
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote span b i em strong a small font cite q code mark u s sub sup time abbr figcaption caption".split())
+SHORT_WORDS, LINKED, MOST = 25, 1 / 3, 1 / 2
 HOLDERS = frozenset(("article", "main"))
 CONTAINERS = frozenset(("article", "main", "section", "div", "td", "body", "html", "table", "blockquote", "center", "#root"))
 
@@ -68,30 +83,38 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-def _furniture(tag: str, attrs: str) -> bool:
+#: how sure an element's own tag and names are that it is furniture
+NONE, HINT, NAMED, COMMENTS, WRAPPER, HEADER, CERTAIN = range(7)
+
+
+def _kind(tag: str, attrs: str) -> int:
     if tag in DROPPED:
-        return True
-    if tag in HOLDERS or tag in ("body", "html") or not attrs:
-        return False
-    for name, *values in _ATTR.findall(attrs):
+        return CERTAIN
+    if tag in HOLDERS or tag in ("body", "html"):
+        return NONE
+    kind = HEADER if tag == "header" else WRAPPER if tag == "form" else NONE
+    for name, *values in _ATTR.findall(attrs) if attrs else ():
         value = values[0] or values[1] or values[2]
         if name.lower() == "role":
-            if value.strip().lower() in DROPPED_ROLES:
-                return True
-        elif any(w.lower() in DROPPED_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+            kind = max(kind, NAMED if value.strip().lower() in DROPPED_ROLES else NONE)
+        else:
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                if words & (FURNITURE_WORDS | COMMENT_WORDS):
+                    alone = not words - FURNITURE_WORDS - COMMENT_WORDS - SHAPE_WORDS
+                    kind = max(kind, (COMMENTS if words & COMMENT_WORDS else NAMED) if alone else HINT)
+    return kind
 
 
 class Page:
     """Nodes as parallel lists, a parent always before its children; texts and block edges as events in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.events = ["#root"], [-1], [False], []
+        self.tag, self.parent, self.kind, self.events = ["#root"], [-1], [NONE], []
         stack, at, low = [0], 0, None
         for m in _TOKEN.finditer(source):
             if m.start() < at:  # inside raw text
@@ -170,22 +193,60 @@ class Page:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(stack[-1])
-        self.drop.append(_furniture(tag, attrs))
+        self.kind.append(_kind(tag, attrs))
         self._edge(node, tag)
         if tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
         elif tag not in VOID and tag in BLOCK | {"span", "a", "b", "i", "em", "strong"}:
             stack.append(node)  # html ignores the slash on these
 
+    def _prune(self) -> None:
+        """``drop``: is the node in furniture, from its kind and the size, place and link share of its text."""
+        tag, parent, kind, n = self.tag, self.parent, self.kind, len(self.tag)
+        chars, linked, words, holds = [0] * n, [0] * n, [0] * n, [False] * n
+        certain, link, inside = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            p = parent[i]
+            certain[i] = certain[p] or kind[i] == CERTAIN
+            link[i] = link[p] or tag[i] == "a"
+            inside[i] = inside[p] or tag[p] in HOLDERS
+        for i, text in self.events:
+            if text is not None and not certain[i]:
+                parts = text.split()
+                c = sum(map(len, parts))
+                chars[i] += c
+                linked[i] += c * link[i]
+                words[i] += len(parts)
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+            words[p] += words[i]
+            holds[p] = holds[p] or holds[i] or tag[i] in HOLDERS
+        self.drop = [False] * n
+        told = any(tag[i] in HOLDERS and chars[i] for i in range(1, n))  # the page says itself where its text is
+        for i in range(1, n):
+            mostly_links = linked[i] >= LINKED * chars[i]
+            if kind[i] == NONE:
+                gone = False
+            elif kind[i] == CERTAIN:
+                gone = True
+            elif kind[i] == HEADER:
+                gone = not inside[i]
+            elif holds[i]:
+                gone = False
+            elif kind[i] == HINT:
+                gone = mostly_links
+            elif tag[i] in TEXT_LEVEL and kind[i] != WRAPPER:
+                gone = words[i] < SHORT_WORDS or mostly_links
+            else:
+                gone = kind[i] == COMMENTS or mostly_links or told or words[i] < SHORT_WORDS or chars[i] < MOST * chars[0]
+            self.drop[i] = self.drop[parent[i]] or gone
+
     def content(self) -> list[int]:
         """The nodes whose whole text is content."""
+        self._prune()
         tag, parent, n = self.tag, self.parent, len(self.tag)
-        holds = [False] * n
-        for i in range(n - 1, 0, -1):
-            if holds[i] or tag[i] in HOLDERS:
-                holds[parent[i]] = True
-        for i in range(1, n):
-            self.drop[i] = self.drop[parent[i]] or self.drop[i] and not (holds[i] and tag[i] not in ("nav", "header", "footer", "aside", "form", "template", "noscript"))
         link = [False] * n
         for i in range(1, n):
             link[i] = link[parent[i]] or tag[i] == "a"
@@ -239,9 +300,7 @@ class Page:
                 if target <= i:
                     covered[i] = True
         chosen.add(self._widen(core, body))
-        holders = {h for c in chosen if (h := self._holder(c)) is not None}
-        if (h := self._holder(core)) is not None:  # the core's article is the content; other articles only where chosen too
-            return sorted(holders | {h})
+        chosen |= {h for c in chosen if (h := self._holder(c)) is not None}  # an article comes whole
         return sorted(chosen)
 
     def _holder(self, i: int) -> int | None:
