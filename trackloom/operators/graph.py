@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CLASS_GROUPS, DEFAULT, Config
 from ..functions import geometry as G
+from ..sources.shared import write_once
 from . import events as E
+from .neighbours import within
 
 
 def class_nodes(spark: SparkSession) -> DataFrame:
@@ -70,15 +75,8 @@ def _near(pairs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def near_pairs_any_zone(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """All neighbours in a frame: a grid of cells as wide as the limit, each row sent to its 3 x 3 cells, so it stays an equi-join."""
-    size = cfg.graph.near
-    cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    base = states.select("sequence_id", "frame_id", "track_id", "cx", "cy", "speed", cell("cx").alias("gx"), cell("cy").alias("gy"))
-    keys = ["sequence_id", "frame_id", "gx", "gy"]
-    a = base.select(*keys, *(F.col(c).alias(f"a_{c}") for c in ("track_id", "cx", "cy", "speed")))
-    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(gx + i as gx, gy + j as gy))))"))
-    b = base.withColumn("c", around).select("sequence_id", "frame_id", F.col("c.gx").alias("gx"), F.col("c.gy").alias("gy"), *(F.col(c).alias(f"b_{c}") for c in ("track_id", "cx", "cy", "speed")))
-    return _near(a.join(b, keys), cfg)
+    """All neighbours in a frame, across zones."""
+    return _near(within(states, states, cfg.graph.near, ("track_id", "speed")).drop("distance"), cfg)
 
 
 def last_write(df: DataFrame, keys: list[str], values: list[str], by: str = "frame_id") -> DataFrame:
@@ -144,18 +142,61 @@ def write(tables: dict[str, DataFrame], path: str) -> None:
         out.parquet(f"{path}/{name}")
 
 
-def build(states: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
-    """All node and edge tables of a set of object states."""
-    from . import motion, zones
-
-    frames, stats = motion.frames(states), zones.frame_stats(states, cfg)
-    ev = E.all_events(states, cfg, frames, stats)
-    objects = object_nodes(states)
-    classes = class_nodes(states.sparkSession)
-    return {
-        "node_scene": scene_nodes(states, cfg), "node_frame": frames.select("sequence_id", "frame_id"), "node_object": objects, "node_zone": zones.nodes(stats, states),
-        "node_event": event_nodes(ev), "node_object_class": classes, "edge_in_zone": in_zone(states), "edge_appeared_in": appeared_in(states),
-        "edge_detected_in": detected_in(states), "edge_belongs_to_class": belongs_to_class(states, classes), "edge_precedes": precedes(frames), "edge_near": near(states, cfg),
-        "edge_occurred_in": occurred_in(ev, frames), "edge_involves": involves(ev, objects), "edge_near_miss": near_miss_edges(ev), "edge_convoy_with": convoy_edges(ev),
-        "edge_loitering_in": loitering_edges(ev), "edge_jaywalking_in": jaywalking_edges(ev),
-    }
+class Tables(Mapping):
+    """All node and edge tables of a set of object states, each planned when it is asked for.
+
+    What depends on events shares the states (without trajectories) and the events, each
+    written once, so no rule or edge plans the scan and the windows again.
+    """
+
+    def __init__(self, states: DataFrame, cfg: Config = DEFAULT):
+        from . import motion, zones
+
+        s, z, ev = (lambda: self.states), (lambda: self.stats), (lambda: self.events)
+        self._lazy, self._cfg, self._done = states, cfg, {}
+        frames = lambda: motion.frames(self.states)
+        self._plans: dict[str, Callable[[], DataFrame]] = {
+            "node_scene": lambda: scene_nodes(s(), cfg), "node_frame": lambda: frames().select("sequence_id", "frame_id"), "node_object": lambda: object_nodes(s()),
+            "node_zone": lambda: zones.nodes(z(), s()), "node_event": lambda: event_nodes(ev()), "node_object_class": lambda: class_nodes(states.sparkSession),
+            "edge_in_zone": lambda: in_zone(s()), "edge_appeared_in": lambda: appeared_in(s()), "edge_detected_in": lambda: detected_in(s()),
+            "edge_belongs_to_class": lambda: belongs_to_class(s(), self["node_object_class"]), "edge_precedes": lambda: precedes(frames()), "edge_near": lambda: near(s(), cfg),
+            "edge_occurred_in": lambda: occurred_in(ev(), frames()), "edge_involves": lambda: involves(ev(), self["node_object"]), "edge_near_miss": lambda: near_miss_edges(ev()),
+            "edge_convoy_with": lambda: convoy_edges(ev()), "edge_loitering_in": lambda: loitering_edges(ev()), "edge_jaywalking_in": lambda: jaywalking_edges(ev()),
+        }
+
+    @cached_property
+    def written(self) -> DataFrame:
+        return write_once(self._lazy.drop("trajectory"))
+
+    @property
+    def states(self) -> DataFrame:
+        return self.__dict__.get("written", self._lazy)
+
+    @property
+    def stats(self) -> DataFrame:
+        from . import zones
+
+        return zones.frame_stats(self.states, self._cfg)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return write_once(E.all_events(self.written, self._cfg))
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._done:
+            self._done[name] = self._plans[name]()
+        return self._done[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+    def changed(self, **tables: DataFrame) -> dict[str, DataFrame]:
+        """A plain dictionary with some tables replaced."""
+        return {name: tables.get(name, self[name]) for name in self}
+
+
+def build(states: DataFrame, cfg: Config = DEFAULT) -> Tables:
+    return Tables(states, cfg)

@@ -32,22 +32,28 @@ def snapshots(history: DataFrame) -> DataFrame:
     )
 
 
-def _pair(snaps: DataFrame, same_class: bool) -> DataFrame:
-    drop = ("trajectory",) if same_class else ()
-    cols = [c for c in snaps.columns if c != "sequence_id" and c not in drop]
-    a = snaps.select("sequence_id", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = snaps.select("sequence_id", *(F.col(c).alias(f"b_{c}") for c in cols))
-    b = b.withColumnRenamed("sequence_id", "b_sequence_id")
-    cond = F.col("sequence_id") == F.col("b_sequence_id")
-    if same_class:
-        cond &= F.col("a_class") == F.col("b_class")
-    return a.join(b, cond).drop("b_sequence_id")
+def _sides(snaps: DataFrame, bucket_a, bucket_b, columns: list[str]) -> DataFrame:
+    """Pairs of one sequence that share a bucket of frames; each side is sent to the buckets its expression names."""
+    a = snaps.select("sequence_id", F.explode(bucket_a).alias("bucket"), *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = snaps.select("sequence_id", F.explode(bucket_b).alias("bucket"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    return a.join(b, ["sequence_id", "bucket"])
+
+
+def _bucket(frame, width: int):
+    return F.floor(F.col(frame) / width).cast("long")
 
 
 def compare(snaps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Same-class pairs where one track ends before the other starts, with the conditions."""
+    """Same-class pairs where one track starts less than ``gap_frames`` after the other ended, with the conditions.
+
+    Buckets of ``gap_frames`` frames: the later track starts in the bucket where the earlier one
+    ends or in the next, so a pair meets in exactly one.  Pairs further apart can only fail.
+    """
     r = cfg.reid
-    p = _pair(snaps, True).where("a_last_seen_frame < b_first_seen_frame")
+    columns = [c for c in snaps.columns if c not in ("sequence_id", "trajectory")]
+    end = _bucket("last_seen_frame", r.gap_frames)
+    p = _sides(snaps, F.array(end, end + 1), F.array(_bucket("first_seen_frame", r.gap_frames)), columns)
+    p = p.where("a_class = b_class and a_last_seen_frame < b_first_seen_frame").where(F.col("b_first_seen_frame") - F.col("a_last_seen_frame") < r.gap_frames)
     p = p.withColumns({
         "distance": G.distance(F.col("a_last_cx"), F.col("a_last_cy"), F.col("b_first_cx"), F.col("b_first_cy")),
         "gap": F.col("b_first_seen_frame") - F.col("a_last_seen_frame"),
@@ -95,14 +101,21 @@ def canonical(accepted: DataFrame) -> DataFrame:
     return as_a.join(as_b, ["sequence_id", "track_id"], "full").select("sequence_id", "track_id", F.coalesce("ca", "cb").alias("canonical_id"))
 
 
-def coexists(snaps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def coexists(snaps: DataFrame, cfg: Config = DEFAULT, width: int = 60) -> DataFrame:
     """Tracks whose lifespans overlap, earlier one first; distance along both trajectories by position, not by frame.
 
-    The sequence stays an equi-key, so this is never a nested-loop join over everything.
+    An interval join over buckets of ``width`` frames: a track is sent to every bucket it lives in,
+    and a pair counts in the bucket where its overlap starts.  Only ids and frames take part;
+    the trajectories are fetched for the pairs that remain.
     """
-    p = _pair(snaps, False).where(
+    lives = F.sequence(_bucket("first_seen_frame", width), _bucket("last_seen_frame", width))
+    p = _sides(snaps, lives, lives, ["track_id", "first_seen_frame", "last_seen_frame"]).where(
         "(a_first_seen_frame < b_first_seen_frame or (a_first_seen_frame = b_first_seen_frame and a_track_id < b_track_id)) and b_first_seen_frame <= a_last_seen_frame"
     )
+    p = p.where(F.col("bucket") == F.floor(F.col("b_first_seen_frame") / width))  # the overlap starts where the later one starts
+    for s in "ab":
+        points = snaps.select("sequence_id", F.col("track_id").alias(f"{s}_track_id"), F.col("trajectory").alias(f"{s}_trajectory"))
+        p = p.join(points, ["sequence_id", f"{s}_track_id"])
     n = F.least(F.size("a_trajectory"), F.size("b_trajectory"))
     steps = F.zip_with(F.slice("a_trajectory", F.lit(1), n), F.slice("b_trajectory", F.lit(1), n), lambda x, y: G.distance(x["cx"], x["cy"], y["cx"], y["cy"]))
     least = F.when(n > 0, F.array_min(steps)).otherwise(cfg.reid.coexist_default)
@@ -117,3 +130,33 @@ def resolve(snaps: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
     cands = candidates(score(compare(snaps, cfg), cfg), cfg)
     acc = accept(cands, cfg)
     return {"same_entity_as": same_entity(acc), "canonical": canonical(acc), "ambiguous": ambiguous(cands, acc), "coexists_with": coexists(snaps, cfg)}
+
+
+def snapshot_fields(tracks: DataFrame) -> DataFrame:
+    """Snapshots from looser rows: centroids fall back to the trajectory's ends, headings to ``heading_deg``, the class to ``class_name``.
+
+    Columns that are absent count as null.  A row in which a field and its fallback are both
+    missing raises an error that names the field.
+    """
+    have = set(tracks.columns)
+    col = lambda c, t: F.col(c).cast(t) if c in have else F.lit(None).cast(t)
+    points = F.col("trajectory") if "trajectory" in have else F.lit(None).cast("array<struct<cx:double,cy:double>>")
+    ends = {"first": F.get(points, F.lit(0)), "last": F.get(points, F.size(points) - 1)}
+
+    def need(name, value):
+        return F.coalesce(value, F.raise_error(F.lit(f"track lacks {name} and its fallback")).cast("double" if name != "class" else "string")).alias(name)
+
+    return tracks.select(
+        "sequence_id", "track_id", "first_seen_frame", "last_seen_frame", need("class", F.coalesce(col("class", "string"), col("class_name", "string"))),
+        *(need(f"{side}_{c}", F.coalesce(col(f"{side}_{c}", "double"), ends[side][c])) for side in ends for c in ("cx", "cy")),
+        *(need(h, F.coalesce(col(h, "double"), col("heading_deg", "double"))) for h in ("heading_at_entry", "heading_at_exit")),
+        F.coalesce(points, F.array().cast("array<struct<cx:double,cy:double>>")).alias("trajectory"),
+    )
+
+
+def run_counts(snaps: DataFrame, accepted: DataFrame, coexisting: DataFrame) -> DataFrame:
+    """Per sequence: objects, and statements that a run writes (one per coexistence, three per accepted identity)."""
+    n = lambda df, name, times=1: df.groupBy("sequence_id").agg((F.count(F.lit(1)) * times).alias(name))
+    out = n(snaps, "object_count").join(n(accepted, "by_identity", 3), "sequence_id", "left").join(n(coexisting, "by_coexistence"), "sequence_id", "left")
+    total = F.coalesce("by_identity", F.lit(0)) + F.coalesce("by_coexistence", F.lit(0))
+    return out.select("sequence_id", "object_count", total.alias("statement_count"), F.lit(True).alias("post_processed"))

@@ -149,7 +149,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         """SELECT *, d < 0.10 AS spatial_ok, gap < 60 AS temporal_ok, hd < 45 AS heading_ok FROM (
              SELECT a.sequence_id, a.track_id AS track_a, b.track_id AS track_b, a.f0 AS a_first, b.f0 AS b_first, sqrt((a.lx - b.fx) * (a.lx - b.fx) + (a.ly - b.fy) * (a.ly - b.fy)) AS d,
                b.f0 - a.f1 AS gap, least(abs(a.h_out - b.h_in) % 360, 360 - abs(a.h_out - b.h_in) % 360) AS hd
-             FROM snaps2 a JOIN snaps2 b ON a.sequence_id = b.sequence_id AND a.class = b.class AND a.f1 < b.f0)""",
+             FROM snaps2 a JOIN snaps2 b ON a.sequence_id = b.sequence_id AND a.class = b.class AND a.f1 < b.f0 AND b.f0 - a.f1 < 60)""",
         ("snaps2",),
     ),
     "scored": (

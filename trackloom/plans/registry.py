@@ -440,8 +440,9 @@ def _(spark, sf):
     return Q.loitering_hotspots(graph.build(s, CONFIG), runs).select("zone_id", "loiter_events", *r6("avg_duration"))
 
 
-@register("q10_crowd_then_loiter", sql("""SELECT a.sequence_id, crowd_frame, loiter_frame, loiter_frame - crowd_frame AS frames_between FROM (SELECT DISTINCT sequence_id, frame_id AS crowd_frame FROM events_ WHERE event_type = 'CROWD_FORM') a
-  JOIN (SELECT DISTINCT sequence_id, frame_id AS loiter_frame FROM events_ WHERE event_type = 'LOITER') b ON a.sequence_id = b.sequence_id AND crowd_frame < loiter_frame""", "events_"))
+@register("q10_crowd_then_loiter", sql("""SELECT sequence_id, max(c.frame_id) AS crowd_frame, l.frame_id AS loiter_frame, l.frame_id - max(c.frame_id) AS frames_between
+  FROM (SELECT DISTINCT sequence_id, frame_id FROM events_ WHERE event_type = 'LOITER') l JOIN events_ c USING (sequence_id)
+  WHERE c.event_type = 'CROWD_FORM' AND c.frame_id < l.frame_id AND c.frame_id >= l.frame_id - 30 GROUP BY sequence_id, l.frame_id""", "events_"))
 def _(spark, sf):
     return Q.crowd_then_loiter(tables(spark, sf))
 
@@ -505,7 +506,7 @@ def _(spark, sf):
 @register("q19_fallback", sql("SELECT sequence_id, track_id FROM objects WHERE class = 'truck'", "objects"))
 def _(spark, sf):
     g = tables(spark, sf)
-    return Q.class_query(g | {"edge_belongs_to_class": g["edge_belongs_to_class"].where("false")}, "truck")
+    return Q.class_query(g.changed(edge_belongs_to_class=g["edge_belongs_to_class"].where("false")), "truck")
 
 
 @register("a15_digest", sql("""SELECT 'speed' AS column_name, count(*) AS n_rows, round(min(speed), 4) AS min_value, round(max(speed), 4) AS max_value, round(avg(speed), 4) AS avg_value FROM states

@@ -90,11 +90,13 @@ def loitering_hotspots(g, durations: DataFrame, top: int = 10) -> DataFrame:
     return out.orderBy(F.col("loiter_events").desc_nulls_first(), "zone_id").limit(top)
 
 
-def crowd_then_loiter(g, sequence_id: str | None = None) -> DataFrame:
-    ev = in_sequence(g["node_event"], sequence_id).select("sequence_id", "event_type", "frame_id").distinct()
-    a = ev.where("event_type = 'CROWD_FORM'").select("sequence_id", F.col("frame_id").alias("crowd_frame"))
-    b = ev.where("event_type = 'LOITER'").select("sequence_id", F.col("frame_id").alias("loiter_frame"))
-    return a.join(b, "sequence_id").where("crowd_frame < loiter_frame").withColumn("frames_between", F.col("loiter_frame") - F.col("crowd_frame"))
+def crowd_then_loiter(g, sequence_id: str | None = None, within: int = 30) -> DataFrame:
+    """Each frame with loitering and the latest crowd at most ``within`` frames before it in the sequence: one window, no pairs."""
+    ev = in_sequence(g["node_event"], sequence_id).where("event_type in ('CROWD_FORM', 'LOITER')").groupBy("sequence_id", "frame_id")
+    at = ev.agg(F.max(F.when(F.col("event_type") == "CROWD_FORM", F.col("frame_id"))).alias("crowd"), F.count_if(F.col("event_type") == "LOITER").alias("n"))
+    before = W.partitionBy("sequence_id").orderBy("frame_id").rangeBetween(-within, -1)
+    at = at.withColumn("crowd_frame", F.max("crowd").over(before)).where("n > 0 and crowd_frame is not null")
+    return at.select("sequence_id", "crowd_frame", F.col("frame_id").alias("loiter_frame"), (F.col("frame_id") - F.col("crowd_frame")).alias("frames_between"))
 
 
 def messages_by(messages: DataFrame, sender: str) -> DataFrame:
