@@ -39,16 +39,15 @@ def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS)
         p = p.sort_values(["confidence", "pos"], ascending=[False, True], kind="stable")
         t = t.sort_values("pos") if len(t) else t
         iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float)) if len(t) else np.zeros((len(p), 0))
-        out = []
+        parts = []
         for th in thresholds:
-            free = np.ones(len(t), bool)
-            for i, row in enumerate(p.itertuples()):
-                best = int(np.where(free, iou[i], -1).argmax()) if free.any() else -1
-                tp = best >= 0 and iou[i, best] >= th
-                if tp:
-                    free[best] = False
-                out.append((row.image_id, row.class_id, row.pos, row.confidence, th, int(tp)))
-        return pd.DataFrame(out, columns=names)
+            free, tp = np.ones(len(t), bool), np.zeros(len(p), np.int32)
+            for i in np.flatnonzero((iou >= th).any(axis=1)):
+                best = int(np.where(free, iou[i], -1).argmax())
+                if free[best] and iou[i, best] >= th:
+                    free[best], tp[i] = False, 1
+            parts.append(p[names[:4]].assign(threshold=th, tp=tp))
+        return pd.concat(parts)
 
     names = ["image_id", "class_id", "pos", "confidence", "threshold", "tp"]
     schema = "image_id string, class_id int, pos long, confidence double, threshold double, tp int"
@@ -59,7 +58,7 @@ def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS)
 def average_precision(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """(class_id, threshold, ap): mean precision at the true positives, not interpolated; a class without truth has 0."""
     m = match_detections(preds, truths, thresholds)
-    order = W.partitionBy("class_id", "threshold").orderBy(F.col("confidence").desc(), "pos").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("class_id", "threshold").orderBy(F.col("confidence").desc(), "pos", "image_id").rowsBetween(W.unboundedPreceding, 0)
     m = m.withColumns({"tps": F.sum("tp").over(order), "n": F.count(F.lit(1)).over(order)})
     hits = m.groupBy("class_id", "threshold").agg(F.sum(F.when(F.col("tp") == 1, F.col("tps") / F.col("n")).otherwise(0.0)).alias("s"))
     gt = truths.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))
@@ -79,19 +78,21 @@ def match_tracks(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) ->
     box = ["x1", "y1", "x2", "y2"]
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(p) and len(t):
-            p, t = p.sort_values("pos"), t.sort_values("pos")
-            iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float))
-            pairs = sorted(((iou[i, j], i, j) for i, j in zip(*np.nonzero(iou >= threshold))), reverse=True)
-            used_p, used_t = set(), set()
-            for v, i, j in pairs:
-                if i not in used_p and j not in used_t:
-                    used_p.add(i)
-                    used_t.add(j)
-                    r, g = p.iloc[i], t.iloc[j]
-                    out.append((g.sequence_id, int(g.frame_id), int(g.track_id), int(r.track_id), float(v)))
-        return pd.DataFrame(out, columns=["sequence_id", "frame_id", "gt_track", "pred_track", "iou"])
+        columns = ["sequence_id", "frame_id", "gt_track", "pred_track", "iou"]
+        if not len(p) or not len(t):
+            return pd.DataFrame(columns=columns)
+        p, t = p.sort_values("pos"), t.sort_values("pos")
+        iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float))
+        i, j = np.nonzero(iou >= threshold)
+        order = np.lexsort((j, i, iou[i, j]))[::-1]
+        free_p, free_t, got = np.ones(len(p), bool), np.ones(len(t), bool), []
+        for k in order:
+            if free_p[i[k]] and free_t[j[k]]:
+                free_p[i[k]] = free_t[j[k]] = False
+                got.append(k)
+        i, j = i[got], j[got]
+        truth = t[["sequence_id", "frame_id", "track_id"]].iloc[j].reset_index(drop=True)
+        return truth.assign(pred_track=p["track_id"].to_numpy()[i], iou=iou[i, j]).set_axis(columns, axis=1)
 
     keys = ["sequence_id", "frame_id"]
     preds, truths = _apart(preds), _apart(truths)

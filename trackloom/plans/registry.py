@@ -643,6 +643,11 @@ def _(spark, sf):
     return _event(stream.replay_loiter(states(spark, sf), CONFIG))
 
 
+@register("stream_upserts", sql("SELECT sequence_id, a AS a_track_id, b AS b_track_id, frame_id, round_even(d, 6) AS distance, both_moving FROM near_", "near_"))
+def _(spark, sf):
+    return stream.replay_upserts(states(spark, sf), CONFIG)
+
+
 @register("z4_track_gaps", sql("""SELECT sequence_id, track_id, frame_id, gap FROM (SELECT sequence_id, track_id, frame_id, frame_id - lag(frame_id) OVER (PARTITION BY sequence_id, track_id ORDER BY frame_id) AS gap FROM states) WHERE gap > 3""", "states"))
 def _(spark, sf):
     return L.track_gaps(states(spark, sf), 3)

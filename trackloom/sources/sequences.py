@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions.text import split_name
@@ -31,15 +35,130 @@ def frame_folder(root: str) -> str:
     return str(p / "img1" if (p / "img1").is_dir() else p)
 
 
-def frames(spark: SparkSession, root: str, sequence_id: str, frame_skip: int = 1, pixels: bool = False) -> DataFrame:
-    """(sequence_id, frame_id, path[, content]): every n-th file in path order; frame ids are file numbers less one."""
+@dataclass(frozen=True)
+class Bundle:
+    """Where the parts of a sequence are; ``ini`` and ``gt`` are None if there are none."""
+
+    root: str
+    image_dir: str
+    ini: str | None
+    gt: str | None
+
+
+def bundle(sequence_id: str, data_root: str) -> Bundle:
+    """The paths of a sequence; a folder without frames raises FileNotFoundError."""
+    root = find_root(sequence_id, data_root)
+    images = frame_folder(root)
+    if not any(Path(images).glob("*.jpg")):
+        raise FileNotFoundError(f"no frames in {images}")
+    there = lambda p: str(p) if p.is_file() else None
+    return Bundle(root, images, there(Path(root) / "seqinfo.ini"), there(Path(root) / "gt" / "gt.txt"))
+
+
+def numbered(files: DataFrame, frame_skip: int = 1) -> DataFrame:
+    """Rows (sequence_id, path, ...) with ``frame_id``: every n-th file of a sequence in path order; ids are file numbers less one."""
     if frame_skip <= 0:
         raise ValueError("frame_skip must be positive")
+    place = F.row_number().over(W.partitionBy("sequence_id").orderBy("path"))
+    kept = files.withColumn("position", place).where((F.col("position") - 1) % frame_skip == 0).drop("position")
+    return kept.withColumn("frame_id", F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("int") - 1)
+
+
+def frames(spark: SparkSession, root: str, sequence_id: str, frame_skip: int = 1, pixels: bool = False) -> DataFrame:
+    """(sequence_id, frame_id, path[, content]) of a sequence's files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(frame_folder(root))
-    number = F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("int") - 1
-    rank = F.row_number().over(W.partitionBy(F.lit(sequence_id)).orderBy("path"))
-    out = files.withColumns({"sequence_id": F.lit(sequence_id), "frame_id": number, "position": rank}).where((F.col("position") - 1) % frame_skip == 0)
-    return out.select("sequence_id", "frame_id", "path", *(["content"] if pixels else []))
+    return numbered(files.withColumn("sequence_id", F.lit(sequence_id)), frame_skip).select("sequence_id", "frame_id", "path", *(["content"] if pixels else []))
+
+
+def video_frames(index: DataFrame, frame_skip: int = 1, cfg: Config = DEFAULT) -> DataFrame:
+    """Decoded frames (path, frame_idx, fps, ...) of video files as frame rows.
+
+    The id decides which frames stay (``frame_idx % n = 0``), the file's stem is the sequence, an unknown rate is
+    the default one.  Decoding is the caller's: any reader that yields these columns will do.
+    """
+    if frame_skip <= 0:
+        raise ValueError("frame_skip must be positive")
+    rate = F.when(F.col("fps") > 0, F.col("fps")).otherwise(F.lit(float(cfg.vision.default_fps)))
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = index.where(F.col("frame_idx") % frame_skip == 0)
+    return rows.withColumns({"sequence_id": stem, "frame_id": F.col("frame_idx"), "frame_rate": rate.cast("int"), "frame_skip": F.lit(frame_skip)}).drop("frame_idx", "fps")
+
+
+def jpeg_size(content: bytes | None) -> tuple[int, int] | None:
+    """(width, height) from the frame header of a JPEG; None if it has none."""
+    at = 2
+    while content and at + 9 < len(content) and content[at] == 0xFF:
+        kind, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 + size
+    return None
+
+
+def with_size(files: DataFrame) -> DataFrame:
+    """Rows with ``content`` and the frame's ``width`` and ``height``, null where the header cannot be read."""
+
+    def run(batches):
+        for b in batches:
+            sizes = [jpeg_size(x) or (None, None) for x in b.column(b.schema.get_field_index("content")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1))], names=[*b.schema.names, "width", "height"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("width", IntegerType()), StructField("height", IntegerType())]))
+
+
+def infer(sized: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Metadata of sequences without an ini file, from (sequence_id, path, width, height): frames counted, size of the first, default rate.
+
+    A first frame of unknown size raises an error.
+    """
+    s = sized.groupBy("sequence_id").agg(F.count(F.lit(1)).cast("int").alias("total_frames"), F.min_by(F.struct("path", "width", "height"), "path").alias("f"))
+    known = lambda c: F.coalesce(F.col(f"f.{c}"), F.raise_error(F.concat(F.lit("cannot read "), F.col("f.path"))).cast("int")).alias(f"frame_{c}")
+    return s.select("sequence_id", "total_frames", F.lit(cfg.vision.default_fps).alias("frame_rate"), known("width"), known("height"))
+
+
+def seqinfo_rows(lines: DataFrame) -> DataFrame:
+    """(sequence_id, total_frames, frame_rate, frame_width, frame_height) from rows (sequence_id, n, value): the lines of many ini files.
+
+    Only keys below a ``[Sequence]`` line, and above the next section, count; a sequence that lacks
+    the section or an integer key raises an error that names it.
+    """
+    text = F.trim("value")
+    section = F.last(F.when(text.rlike(r"^\[.*\]$"), text), ignorenulls=True).over(W.partitionBy("sequence_id").orderBy("n"))
+    pairs = lines.select("sequence_id", section.alias("section"), F.trim(F.substring_index(text, "=", 1)).alias("key"), F.expr("try_cast(trim(substr(trim(value), instr(trim(value), '=') + 1)) AS int)").alias("number"))
+    inside = F.col("section") == "[Sequence]"
+    found = pairs.groupBy("sequence_id").agg(F.count_if(inside).alias("n"), *(F.max(F.when(inside & (F.col("key") == k), F.col("number"))).alias(k) for k in INI_KEYS))
+    missing = F.concat_ws(", ", *(F.when(F.col(k).isNull(), F.lit(k)) for k in INI_KEYS))
+    problem = F.when(F.col("n") == 0, F.lit("missing section [Sequence]")).when(missing != "", F.concat(F.lit("missing or not integer: "), missing))
+    names = {"seqLength": "total_frames", "frameRate": "frame_rate", "imWidth": "frame_width", "imHeight": "frame_height"}
+    checked = lambda k: F.when(problem.isNotNull(), F.raise_error(F.concat_ws(": ", "sequence_id", problem)).cast("int")).otherwise(F.col(k))
+    return found.select("sequence_id", *(checked(k).alias(v) for k, v in names.items()))
+
+
+META_FILE = "visdrone_sequence_meta.json"
+
+
+def meta_path(data_root: str, configured: str | None = None) -> str | None:
+    """The configured metadata file, else the nearest one in the data folder or a folder above it."""
+    if configured:
+        return configured
+    top = Path(data_root)
+    return next((str(d / META_FILE) for d in (top, *top.parents) if (d / META_FILE).is_file()), None)
+
+
+def meta_lookup(spark: SparkSession, path: str | None) -> DataFrame:
+    """(sequence_id, altitude_m, weather, scene_type, time_of_day) of a metadata file; values that are no objects are skipped.
+
+    No file gives no rows; a file that is no object raises ValueError.
+    """
+    fields = "altitude_m double, weather string, scene_type string, time_of_day string"
+    empty = spark.createDataFrame([], f"sequence_id string, {fields}")
+    if path is None:
+        return empty
+    text = spark.read.text(path, wholetext=True)
+    if not text.where(F.trim("value", F.lit(" \t\r\n")).startswith("{")).count():
+        raise ValueError("sequence metadata must be an object")
+    each = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("sequence_id", "meta")).where(F.col("meta").startswith("{"))
+    return each.select("sequence_id", F.from_json("meta", fields).alias("m")).select("sequence_id", "m.*")
 
 
 def seqinfo(spark: SparkSession, path: str) -> dict[str, int]:
@@ -84,6 +203,8 @@ def manifest(path: str) -> list[str]:
 
 
 def messages(spark: SparkSession, path: str, sequence_id: str) -> DataFrame:
+    if not spark.read.text(path, wholetext=True).where(F.trim("value", F.lit(" \t\r\n")).startswith("[")).count():
+        raise ValueError("a message file is a list")
     schema = "message_id string, sender string, text string, timestamp long"
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("sequence_id", F.lit(sequence_id)).where("message_id is not null")
 
@@ -95,6 +216,29 @@ def evaluation(spark: SparkSession, path: str, fields: str) -> tuple[DataFrame,
     return rows("predictions"), rows("ground_truths")
 
 
+def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
+    """The ``cases`` of a query evaluation, each with its list position; rows are kept as JSON texts, order-free to compare."""
+    text = "first_attempt_cypher string, final_cypher string, expected_cypher string, expected_results array<string>, actual_results array<string>"
+    one = spark.read.schema(f"cases array<struct<{text}>>").json(path, multiLine=True)
+    return one.select(F.posexplode("cases").alias("pos", "c")).select(F.col("pos").cast("long").alias("pos"), "c.*")
+
+
+def annotation_rows(lines: DataFrame) -> DataFrame:
+    """Ground-truth lines (sequence_id, value) as columns; what is no line of ten integers is dropped."""
+    names = ("frame", "target", "left", "top", "width", "height", "score", "category", "truncation", "occlusion")
+    parts = lines.select("sequence_id", F.split(F.regexp_replace("value", r"\s|,\s*$", ""), ",").alias("p")).where(F.size("p") == len(names))
+    rows = parts.select("sequence_id", *(F.expr(f"try_cast(p[{i}] AS int)").alias(n) for i, n in enumerate(names)))
+    return rows.dropna(subset=list(names))
+
+
+def annotations(spark: SparkSession, bundles: dict[str, str]) -> DataFrame:
+    """Boxes of the ground-truth files of sequences (id -> path)."""
+    from ..operators import lifecycle
+
+    parts = [spark.read.text(path).select(F.lit(name).alias("sequence_id"), "value") for name, path in bundles.items()]  # one small file for each sequence
+    return lifecycle.annotations(annotation_rows(reduce(DataFrame.unionByName, parts)))
+
+
 def few_shot(text: str, start: str, end: str) -> str:
     """The part of a document between two headers; missing headers raise ValueError."""
     if start not in text:

@@ -6,18 +6,19 @@ zero would count as late before any watermark is known).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
-from ..operators import events as E, zones
+from ..operators import events as E
+from ..sources.shared import folder, write_once
 
 LATE = "10 seconds"
+FIRST_MS = 86_400_000
 
 
 def with_time(states: DataFrame) -> DataFrame:
@@ -34,34 +35,44 @@ def zone_stats(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> Da
     return z.withColumns({"density": total.cast("double"), "pedestrian_ratio": ratio("pedestrian_count", cfg.zones.pedestrian_ratio), "vehicle_ratio": ratio("vehicle_count", cfg.zones.vehicle_ratio)}).drop("event_ts")
 
 
-def loiter(stream: DataFrame, cfg: Config = DEFAULT, timeout_ms: int | None = None) -> DataFrame:
-    """LOITER events with a counter per track as state; with a timeout idle tracks are forgotten."""
+def loiter(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFrame:
+    """LOITER events; the state of a track is its zone, its run and the observations that are not yet older than the watermark.
+
+    Observations count in frame order, whatever order they arrive in within the watermark; later
+    ones are dropped by it.  A track whose observations are all counted keeps three values.
+    """
     limit, classes = cfg.loiter.frames, set(cfg.loiter.classes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        zone, count = state.get if state.exists else ("", 0)
+        zone, count, frames, still, zones_ = state.get if state.exists else ("", 0, [], [], [])
+        waiting = list(zip(frames, still, zones_))
+        if not state.hasTimedOut:
+            for p in batches:
+                waiting += [(int(f), bool(c in classes and m == "stationary"), z) for f, c, m, z in zip(p["frame_id"], p["class_name"], p["movement_pattern"], p["zone_id"])]
+        waiting.sort()
+        due = (state.getCurrentWatermarkMs() - FIRST_MS) / 1000  # no row of an earlier frame can come any more
         out = []
-        for r in pd.concat(list(batches)).sort_values("frame_id").itertuples():
-            ok = r.class_name in classes and r.movement_pattern == "stationary"
-            count = count + 1 if ok and count and zone == r.zone_id else int(ok)
-            zone = r.zone_id
+        while waiting and waiting[0][0] < due:
+            f, ok, z = waiting.pop(0)
+            count = count + 1 if ok and count and zone == z else int(ok)
+            zone = z
             if ok and count == limit:
-                out.append((key[0], int(key[1]), int(r.frame_id), r.zone_id))
-        state.update((zone, count))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+                out.append((key[0], int(key[1]), f, z))
+        state.update((zone, count, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, FIRST_MS + 1000 * waiting[0][0]))
         yield pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_id", "zone_id"])
 
-    keyed = stream.select("sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id").groupBy("sequence_id", "track_id")
-    found = keyed.applyInPandasWithState(run, "sequence_id string, track_id long, frame_id int, zone_id string", "zone string, n long", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    timed = with_time(stream.select("sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id")).withWatermark("event_ts", late)
+    found = timed.groupBy("sequence_id", "track_id").applyInPandasWithState(
+        run, "sequence_id string, track_id long, frame_id int, zone_id string",
+        "zone string, n long, frames array<long>, still array<boolean>, zones array<string>", "append", GroupStateTimeout.EventTimeTimeout,
+    )
     return E._events(found.withColumnRenamed("track_id", "primary_track_id").withColumn("confidence", F.lit(1.0)), "LOITER")
 
 
 def upsert_sink(path: str, keys: list[str], values: list[str], by: str = "frame_id") -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: one row per key and micro-batch, last write wins; a replayed batch overwrites its own folder."""
+    """foreachBatch writer: the last write of each key in a micro-batch; a replayed batch overwrites its own folder."""
     from ..operators.graph import last_write
 
     def put(batch: DataFrame, number: int) -> None:
@@ -70,27 +81,65 @@ def upsert_sink(path: str, keys: list[str], values: list[str], by: str = "frame_
     return put
 
 
-def _replay(states: DataFrame, build: Callable[[DataFrame], DataFrame], flush: bool) -> DataFrame:
-    """Run a streaming plan over a finite table to its end and read what it wrote."""
+def upserted(spark: SparkSession, path: str, keys: list[str], values: list[str], by: str = "frame_id") -> DataFrame:
+    """What an ``upsert_sink`` holds: one row per key, the last write over all batches (of equal ``by`` the later batch)."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(by, *values), F.struct(by, "batch")).alias("s"))
+    return newest.select(*keys, "s.*")
+
+
+def start(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str, frames_per_second: float | None = None, batch_frames: int = DEFAULT.graph.batch_frames):
+    """Run a stream into a ``foreachBatch`` writer; with a frame rate at the pace of a live feed of ``batch_frames`` a batch, else all that is there."""
+    w = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    if frames_per_second is None:
+        return w.trigger(availableNow=True).start()
+    return w.trigger(processingTime=f"{max(1, round(1000 * batch_frames / frames_per_second))} milliseconds").start()
+
+
+def frame_batches(states: DataFrame, frames: int) -> DataFrame:
+    """A stream over a finite table: a micro-batch for every so many frames, in their order."""
+    spark = states.sparkSession
+    top = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    states = states.withColumn("batch", F.floor(F.col("frame_id") / frames).cast("int"))
+    parts = [r[0] for r in states.select("batch").distinct().orderBy("batch").collect()]  # one for each batch
+    table = write_once(states)
+    for b in parts:  # files in the order of their times
+        table.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(top)
+    return spark.readStream.schema(states.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(top)
+
+
+def _replay(states: DataFrame, build: Callable[[DataFrame], DataFrame], frames: int = 10) -> DataFrame:
+    """Run a streaming plan over a finite table in batches of frames to its end and read what it wrote."""
     spark = states.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    top = f"{shared or tempfile.mkdtemp(prefix='trackloom-stream-')}/stream-{uuid.uuid4().hex}"
-    states.write.parquet(f"{top}/in/part=0")
-    if flush:  # a far later row moves the watermark past everything
-        states.limit(1).withColumn("frame_id", F.lit(10_000_000)).write.parquet(f"{top}/in/part=1")
-    schema = spark.read.parquet(f"{top}/in").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{top}/in").drop("part")
-    for _ in range(2 if flush else 1):
-        q = build(source).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/ck").outputMode("append").trigger(availableNow=True).start()
+    last = states.limit(1).withColumn("frame_id", F.lit(10_000_000))  # moves the watermark past everything
+    source = frame_batches(states.unionByName(last), frames)
+    out = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):  # the second run emits what the moved watermark closes
+        q = build(source).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/ck").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
         if q.exception() is not None:
             raise q.exception()
-    return spark.read.parquet(f"{top}/out")
+    return spark.read.parquet(f"{out}/out")
 
 
 def replay_zone_stats(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return _replay(states, lambda s: zone_stats(s, cfg), True)
+    return _replay(states.drop("trajectory"), lambda s: zone_stats(s, cfg))
 
 
 def replay_loiter(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return _replay(states.drop("trajectory"), lambda s: loiter(s, cfg), False)
+    return _replay(states.drop("trajectory"), lambda s: loiter(s, cfg))
+
+
+def replay_upserts(states: DataFrame, cfg: Config = DEFAULT, frames: int = 10) -> DataFrame:
+    """NEAR edges written batch by batch, as a graph store would hold them in the end."""
+    from ..operators.graph import near_pairs
+
+    spark = states.sparkSession
+    out = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    keys, values = ["sequence_id", "a_track_id", "b_track_id"], ["distance", "both_moving"]
+    put = upsert_sink(f"{out}/near", keys, values)
+    q = start(frame_batches(states.drop("trajectory"), frames), lambda batch, number: put(near_pairs(batch, cfg), number), f"{out}/ck")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return upserted(spark, f"{out}/near", keys, values)
