@@ -5,6 +5,7 @@ The defaults are fixed values that results depend on.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 
@@ -152,3 +153,16 @@ CLASS_GROUPS = {
     "MotorVehicle": ("car", "van", "truck", "bus"),
     "VulnerableRoadUser": ("pedestrian", "people", "person", "bicycle", "tricycle", "awning-tricycle", "motor", "motorcycle"),
 }
+
+
+def load(path: str, base: Config = DEFAULT) -> Config:
+    """``base`` with the overrides of a YAML or JSON file; a file that holds no mapping raises ValueError."""
+    with open(path) as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:  # JSON is read either way
+        data = json.loads(text)
+    else:
+        data = yaml.safe_load(text)
+    return base.merge({} if data is None else data)

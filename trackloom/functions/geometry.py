@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def heading(dx: Column, dy: Column) -> Column:
@@ -63,6 +63,27 @@ def unletterbox(x: Column, pad: Column, scale: Column, limit: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(limit.cast("double"), (x - pad) / scale))
 
 
+def overlay_boxes(rows: DataFrame, width: int, height: int, size: int = 1280) -> DataFrame:
+    """(track_id, px1, py1, px2, py2, label): normalised boxes as whole pixels of the original frame, for drawing.
+
+    Boxes were normalised by the frame's size in letterbox pixels, so that is undone first.
+    """
+    lb = letterbox(F.lit(width), F.lit(height), size)
+
+    def pixel(c: str, full: int, pad: Column) -> Column:
+        at = F.bround((F.col(c) * full - pad) / lb["scale"], 0)
+        return F.greatest(F.lit(0), F.least(F.lit(full - 1), at.cast("int"))).alias(f"p{c}")
+
+    boxes = [pixel(c, full, lb[pad]) for c, full, pad in (("x1", width, "pad_left"), ("y1", height, "pad_top"), ("x2", width, "pad_left"), ("y2", height, "pad_top"))]
+    label = F.concat(F.coalesce("class_name", F.lit("object")), F.lit(" #"), F.coalesce(F.col("track_id").cast("string"), F.lit("?")))
+    return rows.select("track_id", *boxes, label.alias("label"))
+
+
+def speed_of(rows: DataFrame) -> Column:
+    """A track's speed: ``speed_px_per_frame``, else ``speed``, else 0; columns that are absent count as null."""
+    return F.coalesce(*(F.col(c).cast("double") for c in ("speed_px_per_frame", "speed") if c in rows.columns), F.lit(0.0))
+
+
 def clip_start(frame: Column, fps: float = 30.0, lead: float = 1.5) -> Column:
     """Seconds at which a clip around a frame starts."""
     return F.greatest(F.lit(0.0), frame / fps - lead)

@@ -160,3 +160,9 @@ def run_counts(snaps: DataFrame, accepted: DataFrame, coexisting: DataFrame) ->
     out = n(snaps, "object_count").join(n(accepted, "by_identity", 3), "sequence_id", "left").join(n(coexisting, "by_coexistence"), "sequence_id", "left")
     total = F.coalesce("by_identity", F.lit(0)) + F.coalesce("by_coexistence", F.lit(0))
     return out.select("sequence_id", "object_count", total.alias("statement_count"), F.lit(True).alias("post_processed"))
+
+
+def statements(resolved: dict[str, DataFrame]) -> DataFrame:
+    """(edge, sequence_id, track_a, track_b): coexistence first, then identity, as one table."""
+    part = lambda name, edge: resolved[name].select(F.lit(edge).alias("edge"), "sequence_id", "track_a", "track_b")
+    return part("coexists_with", "COEXISTS_WITH").unionByName(part("same_entity_as", "SAME_ENTITY_AS"))

@@ -6,6 +6,8 @@ independent and run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +16,7 @@ from ..config import DEFAULT, Config
 from .evaluation import _iou
 
 BOX = ["x1", "y1", "x2", "y2"]
+SMOOTH = 0.5
 
 
 def format_detections(raw: DataFrame, names: dict[int, str], min_confidence: float | None = None) -> DataFrame:
@@ -44,16 +47,44 @@ def suppress(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return detections.groupBy("image_id", "class_name").applyInPandas(run, schema)
 
 
+def infer(frames: DataFrame, factory: Callable[[], Callable[[bytes], tuple]], keys: tuple[str, ...] = ("sequence_id", "frame_id")) -> DataFrame:
+    """Rows of parallel arrays (keys, xyxy, conf, cls) from a model over frames with ``content``: the hook for inference.
+
+    ``factory`` is called once in each task and gives a function from a frame's bytes to three arrays;
+    frames without ``content`` raise KeyError.  What it returns goes through ``format_detections``.
+    """
+    if "content" not in frames.columns:
+        raise KeyError("content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for b in batches:
+            found = [model(bytes(x)) for x in b["content"]]
+            yield b[list(keys)].assign(**{name: [list(f[i]) for f in found] for i, name in enumerate(("xyxy", "conf", "cls"))})
+
+    kept = frames.select(*keys)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema), "xyxy array<array<double>>, conf array<double>, cls array<int>"])
+    return frames.select(*keys, "content").mapInPandas(run, schema)
+
+
 class Associator:
-    """Two passes of greedy IoU matching: sure detections first, then unsure ones against what is left."""
+    """Two passes of greedy matching on predicted boxes: sure detections by overlap times confidence, then unsure ones by overlap.
+
+    A track's box is moved on by its velocity, smoothed over its sightings, to the frame in question.
+    """
 
     def __init__(self, cfg: Config = DEFAULT):
         self.cfg, self.next_id, self.tracks, self.reported = cfg.tracker, 1, {}, set()
 
-    def _match(self, ids: list[int], boxes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    def _predicted(self, track: int, frame: int) -> np.ndarray:
+        x = self.tracks[track]
+        return x["box"] + np.tile(x["velocity"], 2) * (frame - x["seen"])
+
+    def _match(self, ids: list[int], frame: int, boxes: np.ndarray, least: float, scores: np.ndarray | None = None) -> list[tuple[int, int]]:
         if not ids or not len(boxes):
             return []
-        iou = _iou(np.array([self.tracks[t]["box"] for t in ids]), boxes)
+        iou = _iou(np.array([self._predicted(t, frame) for t in ids]), boxes)
+        iou = iou if scores is None else iou * scores
         pairs = sorted(((-iou[i, j], i, j) for i, j in zip(*np.nonzero(iou >= least))))
         used_t, used_d, out = set(), set(), []
         for _, i, j in pairs:
@@ -71,10 +102,10 @@ class Associator:
         high, low = np.flatnonzero(confidence >= c.high), np.flatnonzero((confidence >= c.low) & (confidence < c.high))
         got: dict[int, int] = {}
         free = sorted(self.tracks)
-        for t, j in self._match(free, boxes[high], least):
+        for t, j in self._match(free, frame, boxes[high], least, confidence[high]):
             got[int(high[j])] = t
         free = [t for t in free if t not in got.values()]
-        for t, j in self._match(free, boxes[low], 0.5):
+        for t, j in self._match(free, frame, boxes[low], 0.5):
             got[int(low[j])] = t
         new = []
         for j in high.tolist():
@@ -83,7 +114,12 @@ class Associator:
                 new.append(self.next_id)
                 self.next_id += 1
         for j, t in got.items():
-            self.tracks[t] = {"box": boxes[j], "seen": frame, "det": j}
+            old = self.tracks.get(t)
+            velocity = np.zeros(2)
+            if old is not None:
+                step = ((boxes[j] - old["box"])[:2] + (boxes[j] - old["box"])[2:]) / 2 / (frame - old["seen"])
+                velocity = step if old["steps"] == 0 else SMOOTH * step + (1 - SMOOTH) * old["velocity"]
+            self.tracks[t] = {"box": boxes[j], "seen": frame, "velocity": velocity, "steps": 0 if old is None else old["steps"] + 1}
             self.reported.discard(t)
         lost = sorted(t for t, x in self.tracks.items() if x["seen"] < frame and t not in self.reported)
         self.reported.update(lost)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.text import taxonomy_fallback
+
 CRITICAL = 0.03
 
 
@@ -135,6 +137,32 @@ def class_query(g, name: str) -> DataFrame:
     return tax
 
 
+def class_answer(g, question: str, query: str) -> DataFrame:
+    """(kind, class, n): classes through the taxonomy edges; if there are none, what the question asks of the objects themselves."""
+    edges = g["edge_belongs_to_class"].select("sequence_id", "track_id", F.col("name").alias("class")).distinct()
+    if "BELONGS_TO_CLASS" in query and not edges.isEmpty():
+        return edges.groupBy("class").agg(F.count(F.lit(1)).alias("n")).select(F.lit("direct").alias("kind"), "class", "n")
+    kind, objects = taxonomy_fallback(question, query), g["node_object"].groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n") if kind == "counts" else F.lit(None).cast("long")
+    out = objects.select(F.lit(kind or "").alias("kind"), "class", n.alias("n"))
+    return out if kind else out.where("false")
+
+
+def ascending(column: str):
+    """The order of a graph query: nulls last."""
+    return F.col(column).asc_nulls_last()
+
+
+def descending(column: str):
+    """The order of a graph query: nulls first."""
+    return F.col(column).desc_nulls_first()
+
+
+def union_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """UNION: the distinct rows of both."""
+    return a.unionByName(b).distinct()
+
+
 def track_frames(g, sequence_id: str, track_id: int, most: int = 5) -> DataFrame:
     e = in_sequence(g["edge_appeared_in"], sequence_id).where(F.col("track_id") == track_id)
     return e.select("frame_id").distinct().orderBy("frame_id").limit(most)

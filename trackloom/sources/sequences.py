@@ -193,15 +193,18 @@ def scenes(sequences: DataFrame, lookup: DataFrame | None = None, cfg: Config =
     )
 
 
-def manifest(path: str) -> list[str]:
-    """A JSON list of ids or {"sequence_ids": [...]}; anything else raises ValueError."""
-    data = json.loads(Path(path).read_text())
+def manifest_ids(data) -> list[str]:
+    """The ids of a manifest: a list or {"sequence_ids": [...]}; anything else raises ValueError."""
     ids = data.get("sequence_ids") if isinstance(data, dict) else data
     if not isinstance(ids, list):
         raise ValueError("a manifest is a list or an object with sequence_ids")
     return [str(x) for x in ids]
 
 
+def manifest(path: str) -> list[str]:
+    return manifest_ids(json.loads(Path(path).read_text()))
+
+
 def messages(spark: SparkSession, path: str, sequence_id: str) -> DataFrame:
     if not spark.read.text(path, wholetext=True).where(F.trim("value", F.lit(" \t\r\n")).startswith("[")).count():
         raise ValueError("a message file is a list")
@@ -227,7 +230,7 @@ def annotation_rows(lines: DataFrame) -> DataFrame:
     """Ground-truth lines (sequence_id, value) as columns; what is no line of ten integers is dropped."""
     names = ("frame", "target", "left", "top", "width", "height", "score", "category", "truncation", "occlusion")
     parts = lines.select("sequence_id", F.split(F.regexp_replace("value", r"\s|,\s*$", ""), ",").alias("p")).where(F.size("p") == len(names))
-    rows = parts.select("sequence_id", *(F.expr(f"try_cast(p[{i}] AS int)").alias(n) for i, n in enumerate(names)))
+    rows = parts.select("sequence_id", *(F.expr(f"try_cast(get(p, {i}) AS int)").alias(n) for i, n in enumerate(names)))
     return rows.dropna(subset=list(names))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import resource
 import time
 from collections.abc import Callable
 
@@ -32,7 +34,26 @@ def replay(spark: SparkSession, dead_letters: str, schema, write: Callable[[Data
     return n
 
 
+def run_summary(states: DataFrame, events: DataFrame) -> DataFrame:
+    """Per sequence: frames, objects, states and events of a run."""
+    s = states.groupBy("sequence_id").agg(
+        F.countDistinct("frame_id").alias("frame_count"), F.countDistinct("track_id").alias("object_count"), F.count(F.lit(1)).alias("state_count")
+    )
+    e = events.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("event_count"))
+    return s.join(e, "sequence_id", "left").fillna(0, ["event_count"])
+
+
 def summary(states: DataFrame, events: DataFrame, began: float) -> dict:
-    """Frames, objects and events of a run, and its seconds."""
-    s = states.agg(F.countDistinct("sequence_id", "frame_id").alias("frames"), F.countDistinct("sequence_id", "track_id").alias("objects")).head()
-    return {"frame_count": s.frames, "object_count": s.objects, "event_count": events.count(), "duration_sec": time.time() - began}
+    """Frames, objects and events of a run, its seconds, and the driver's peak memory."""
+    total = run_summary(states, events).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("frame_count", "object_count", "event_count"))).head()
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    return {**total.asDict(), "duration_sec": time.time() - began, "peak_rss_mb": peak}
+
+
+def report(payload: dict, path: str | None = None) -> str:
+    """A summary or a set of metrics as JSON text, written to a file if one is named."""
+    text = json.dumps(payload, indent=2, sort_keys=True, default=str)
+    if path is not None:
+        with open(path, "w") as f:
+            f.write(text + "\n")
+    return text
