@@ -11,8 +11,11 @@
 4. In each list every member is held against the list's most central one, whose values
    are the most common (a star, not all pairs); the estimate from the union sketch filters, exact Jaccard on full sets
    verifies.
-5. Lists that still hold more than one component are compared exactly across components,
-   tile by tile; a tile gives a spanning forest of its links, not all of them.
+5. The classes of lists that still hold more than one component are listed anew, now under
+   the rarest quarter of their full sets (two sets at the threshold share one of these, so
+   nothing is lost, and a commonplace passage makes no list).  Where such a list still holds
+   several components they are compared exactly, tile by tile; a tile gives a spanning
+   forest of its links, not all of them.
 
 No join is dealt by a key that may hold a large share of the rows: classes of many copies,
 common values and central classes are hot keys (``common.join_one``), and the full set of a
@@ -202,13 +205,10 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
     links = cut(rows.mapInArrow(_verify(*threshold), "a long, b long"))
     comps = components(links)
 
-    # lists that still hold several components: compare across, exactly
-    by_class = listed.alias("l").join(comps.alias("p"), F.col("l.cid") == F.col("p.v"), "left")
-    placed = cut(by_class.select("l.v", "l.cid", F.coalesce("p.component", "l.cid").alias("comp")))
-    of = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = of.groupBy("v").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("parts > 1 and m > 2")
-    open_ = cut(open_.select("v", "m", F.col("top.comp").alias("top"), F.col("top.n").alias("mains")))
-    rest = join_one(placed, open_, ["v"], "m", _count(open_, "m")).select("v", "cid", "comp", (F.col("comp") == F.col("top")).cast("int").alias("major"), "m", "mains")
+    # lists that still hold several components: list their classes under rare shingles, compare across, exactly
+    listed = _split_lists(listed, comps, 3).select("cid").distinct()  # two were compared already
+    rare = _rare_shingles(sets.join(cut(listed), "cid", "left_semi"), threshold)
+    rest = _split_lists(cut(rare), comps)
     more = cut(_tiles(rest, sets, tile, threshold))
     if more.head(1):
         comps = components(links.unionByName(more))
@@ -217,7 +217,7 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
     least = cut(labels.groupBy("comp").agg(F.min("who").alias("least"), F.count(F.lit(1)).alias("n")))
     labels = join_one(labels, least, ["comp"], "n", _count(least, "n")).select("k1", "k2", "copies", F.col("least.doc_id").alias("component_id"), F.col("least.ka").alias("la"), F.col("least.kb").alias("lb"))
     labels = cut(labels)
-    release(classes, often, listed, heads, pairs, met, near, sets, placed, open_, least)
+    release(classes, often, listed, heads, pairs, met, near, sets, least)
     full = signed.where("k1 is not null").select("doc_id", "ka", "kb", "n_shingles", "k1", "k2")
     full = join_one(full, labels, ["k1", "k2"], "copies", _count(labels, "copies"))
     out = full.select("doc_id", "ka", "kb", "n_shingles", "component_id", ((F.col("ka") == F.col("la")) & (F.col("kb") == F.col("lb"))).alias("stays"))
@@ -225,6 +225,32 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
     return out.unionByName(empty)
 
 
+def _split_lists(listed: DataFrame, comps: DataFrame, least: int = 2) -> DataFrame:
+    """(v, cid, comp, major, m, mains) of the lists (v, cid) of at least so many that hold several components; ``major`` marks those of the largest."""
+    by_class = listed.alias("l").join(comps.alias("p"), F.col("l.cid") == F.col("p.v"), "left")
+    placed = cut(by_class.select("l.v", "l.cid", F.coalesce("p.component", "l.cid").alias("comp")))
+    of = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = of.groupBy("v").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("parts > 1").where(F.col("m") >= least)
+    split = cut(split.select("v", "m", F.col("top.comp").alias("top"), F.col("top.n").alias("mains")))
+    return join_one(placed, split, ["v"], "m", _count(split, "m")).select("v", "cid", "comp", (F.col("comp") == F.col("top")).cast("int").alias("major"), "m", "mains")
+
+
+def _rare_shingles(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(v, cid): each class under its rarest shingles, one more than a partner at the threshold may lack.
+
+    Shingles of one class only make no list, but count among the rarest.
+    """
+    num, den = threshold
+    each = sets.select("cid", F.size("elems").alias("size"), F.explode("elems").alias("v"))
+    often = cut(each.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    shared = join_one(each, often, ["v"], "f", _count(often, "f")).groupBy("cid").agg(
+        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs")
+    )
+    alone = F.col("size") - F.size("vs")  # these are rarer than all the others
+    keep = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - alone
+    return shared.where(keep > 0).select("cid", F.explode(F.slice("vs", F.lit(1), keep.cast("int"))).alias("x")).select("x.v", "cid")
+
+
 def _tiles(rest: DataFrame, sets: DataFrame, tile: int, threshold: tuple[int, int]) -> DataFrame:
     """Links across components within each list.  rest: (v, cid, comp, major, m, mains).
 
