@@ -208,7 +208,7 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
     # lists that still hold several components: list their classes under rare shingles, compare across, exactly
     listed = _split_lists(listed, comps, 3).select("cid").distinct()  # two were compared already
     rare = _rare_shingles(sets.join(cut(listed), "cid", "left_semi"), threshold)
-    rest = _split_lists(cut(rare), comps)
+    rest = _split_lists(_different(cut(rare)), comps)
     more = cut(_tiles(rest, sets, tile, threshold))
     if more.head(1):
         comps = components(links.unionByName(more))
@@ -251,6 +251,18 @@ def _rare_shingles(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return shared.where(keep > 0).select("cid", F.explode(F.slice("vs", F.lit(1), keep.cast("int"))).alias("x")).select("x.v", "cid")
 
 
+def _different(listed: DataFrame) -> DataFrame:
+    """One of the lists (v, cid) that have the same members: the shingles of a passage mostly do.
+
+    Members are compared by their number and two 64-bit sums of hashes.
+    """
+    of = listed.groupBy("v").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.shiftright(F.xxhash64("cid", F.lit(7)), 1).cast("decimal(20,0)")).alias("s")
+    )
+    one = cut(of.where("m > 1").groupBy("m", "x", "s").agg(F.min("v").alias("v")).select("v", "m"))
+    return join_one(listed, one, ["v"], "m", _count(one, "m")).select("v", "cid")
+
+
 def _tiles(rest: DataFrame, sets: DataFrame, tile: int, threshold: tuple[int, int]) -> DataFrame:
     """Links across components within each list.  rest: (v, cid, comp, major, m, mains).
 
