@@ -189,3 +189,18 @@ def test_vectors_empty_and_all_bad(spark):
 @pytest.mark.parametrize("n", [1, 1000, 10**6, 10**9])
 def test_passes_grow_slowly(n):
     assert 4 <= embeddings.passes_for(n) <= 400
+
+
+def test_coarse_and_fine_buckets_agree(spark, monkeypatch):
+    """The way through coarse buckets and groups of chunks, forced on a small corpus."""
+    rng = random.Random(12)
+    shared = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "eps")) + str(rng.randrange(99)) for _ in range(30)) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(shared)[rng.randrange(40) :] if rng.random() < 0.5 else f"own{rng.random()} words {rng.random()}" for _ in range(6))) for i in range(120)]
+    rows += [(None, shared[0]), (5, None), (300, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda out: sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
+    want = key(suffixes.dedup(df))
+    monkeypatch.setattr(suffixes, "FAN", 4)
+    monkeypatch.setattr(suffixes, "CHUNK", 4000)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 6000)
+    assert key(suffixes.dedup(df)) == want and sum(r[1] for r in want) > 1000

@@ -12,7 +12,7 @@ text = rng.integers(97, 100, 120, dtype=np.uint8)
 segments = [text[:60], text[:60], text[5:65]]
 raw = np.array([9, 0, 0], np.uint64).tobytes() + np.array([4, 2, 7], np.int64).tobytes() + np.full(3, 11, np.uint8).tobytes() + np.concatenate(segments).tobytes()
 t = pa.table({"chunk": [1], "q": [0], "n": [3], "n_bytes": [len(raw)], "packed": [pa.Codec("zstd").compress(raw, asbytes=True)]})
-out = S._settle(t)
+out = S._settle(("chunk", "q"))(t)
 runs = np.frombuffer(out.column("runs")[0].as_py(), np.uint8).tolist()
 ids = np.frombuffer(out.column("run_ids")[0].as_py(), np.int64).tolist()
 # the third segment's first six windows are the others' last six

@@ -11,7 +11,11 @@ sends its distinct anchor hashes, as sorted blobs, to buckets of the hash range,
 back one bit for each: does it occur in two documents?  Only segments whose anchor does
 go on; each chunk sends every distinct one once, with the smallest id that has it, to a
 bucket of its anchor.  A passage that a third of all documents share so arrives once per
-chunk, not once per document.
+chunk, not once per document.  A chunk sends to at most ``FAN`` buckets.  Where there must be
+more (from about 16 GB on) they are coarse ones: the rows of a coarse bucket from a group of chunks
+are merged, equal ones collapse, and the merged rows are split over the fine buckets; the
+answers come back the same way.  So blobs never shrink below a few KB, and what all chunks
+share arrives in its bucket once per group.
 
 Sorting.  In a bucket equal segments collapse.  An anchor with one segment left is settled:
 its windows repeat as a whole.  The others' segments stand in shards, runs of chunks of the
@@ -54,6 +58,7 @@ LONGEST = 64
 HASH_BITS = 48
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 32
+FAN = 4096
 NO_ID = (1 << 63) - 1
 
 
@@ -204,8 +209,7 @@ def _send_anchors(buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(p, pa.int32()), pa.array([r["chunk"]] * len(p), pa.int64()),
-                        _binary([(x >> np.uint64(32)).astype(np.uint16).tobytes() + x.astype(np.uint32).tobytes() for x, _ in parts]),
-                        _binary([np.packbits(t, bitorder="little").tobytes() for _, t in parts]),
+                        _binary([_pack_anchors(x) for x, _ in parts]), _binary([_bits(t) for _, t in parts]),
                     ],
                     names=["p", "chunk", "hashes", "twice"],
                 )
@@ -213,19 +217,76 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _find_repeated(table: pa.Table) -> pa.Table:
+def _unpack_anchors(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     hashes, twice = [], []
     for x, t in zip(table.column("hashes").to_pylist(), table.column("twice").to_pylist()):
         n = len(x) // 6
         hashes.append((np.frombuffer(x, np.uint16, n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(x, np.uint32, n, 2 * n))
         twice.append(np.unpackbits(np.frombuffer(t, np.uint8), count=n, bitorder="little").astype(bool))
-    every = np.sort(np.concatenate(hashes))
-    rep = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(h[t] for h, t in zip(hashes, twice))]))
-    masks = []
-    for h in hashes:
-        at = np.minimum(np.searchsorted(rep, h), max(0, len(rep) - 1))
-        masks.append(np.packbits(rep[at] == h if len(rep) else np.zeros(len(h), bool), bitorder="little").tobytes())
-    return pa.table({"chunk": table.column("chunk"), "p": table.column("p"), "mask": _binary(masks)})
+    return hashes, twice
+
+
+def _merged(hashes: list[np.ndarray], twice: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of several rows, does it occur in two documents)."""
+    every, flag = np.concatenate(hashes), np.concatenate(twice)
+    order = np.argsort(every, kind="stable")
+    every, flag = every[order], flag[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(every)))
+    return every[first], (size > 1) | (np.add.reduceat(flag, first) > 0) if len(first) else np.zeros(0, bool)
+
+
+def _isin(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_, values), max(0, len(sorted_) - 1))
+    return sorted_[at] == values if len(sorted_) else np.zeros(len(values), bool)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x, bitorder="little").tobytes()
+
+
+def _pack_anchors(h: np.ndarray) -> bytes:
+    return (h >> np.uint64(32)).astype(np.uint16).tobytes() + h.astype(np.uint32).tobytes()
+
+
+def _find_repeated(keys: tuple[str, ...]):
+    """One bucket: for each of its rows, which of its anchors occur in two documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, twice = _unpack_anchors(table)
+        every, rep = _merged(hashes, twice)
+        masks = [_bits(_isin(h, every[rep])) for h in hashes]
+        return pa.table({**{k: table.column(k) for k in keys}, "mask": _binary(masks)})
+
+    return run
+
+
+def _split_anchors(buckets: int):
+    """The rows of a coarse bucket and a group of chunks as one set of anchors, dealt to the fine buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, rep = _merged(*_unpack_anchors(table))
+        cuts = np.searchsorted(h, _edges(buckets))
+        f = np.flatnonzero(np.diff(cuts))
+        one = lambda c: pa.array([table.column(c)[0].as_py()] * len(f), pa.int32())
+        parts = [(h[cuts[k] : cuts[k + 1]], rep[cuts[k] : cuts[k + 1]]) for k in f]
+        return pa.table({"f": pa.array(f, pa.int64()), "p": one("p"), "g": one("g"), "hashes": _binary([_pack_anchors(x) for x, _ in parts]), "twice": _binary([_bits(t) for _, t in parts])})
+
+    return run
+
+
+def _anchors_back(table: pa.Table, found: pa.Table) -> pa.Table:
+    """The fine buckets' answers, told to each chunk of the group."""
+    hashes, twice = _unpack_anchors(table)
+    h, _ = _merged(hashes, twice)
+    order = np.argsort(found.column("f").to_numpy())
+    cuts, rep = [0], []
+    for k in order.tolist():  # parts of the group's anchors, in order
+        n = found.column("n")[k].as_py()
+        rep.append(np.unpackbits(np.frombuffer(found.column("mask")[k].as_py(), np.uint8), count=n, bitorder="little").astype(bool))
+        cuts.append(cuts[-1] + n)
+    rep = h[np.concatenate(rep)] if rep else h[:0]
+    return pa.table({"chunk": table.column("chunk"), "p": table.column("p"), "mask": _binary([_bits(_isin(x, rep)) for x in hashes])})
 
 
 # ---------------------------------------------------------------- transforms and their merge
@@ -297,6 +358,11 @@ def smallest_ids(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: n
 # ---------------------------------------------------------------- segments to buckets and back
 
 
+def _pack_segments(anchor: np.ndarray, ids: np.ndarray, size: np.ndarray, text: np.ndarray) -> bytes:
+    # anchors are sorted: their steps compress well
+    return np.diff(anchor, prepend=np.uint64(0)).tobytes() + ids.tobytes() + size.astype(np.uint8).tobytes() + text.tobytes()
+
+
 def _send_segments(buckets: int):
     def run(batches):
         codec = pa.Codec("zstd", compression_level=3)
@@ -309,8 +375,7 @@ def _send_segments(buckets: int):
                 for k in q:
                     one = c.one[c.cuts[k] : c.cuts[k + 1]]
                     text = c.data[_ragged(c.start[one], c.size[one] + WINDOW - 1)]
-                    # anchors are sorted: their steps compress well
-                    raw = np.diff(c.anchor[one], prepend=np.uint64(0)).tobytes() + c.ids[c.doc[one]].tobytes() + c.size[one].astype(np.uint8).tobytes() + text.tobytes()
+                    raw = _pack_segments(c.anchor[one], c.ids[c.doc[one]], c.size[one], text)
                     counts.append(len(one))
                     sizes.append(len(raw))
                     packed.append(codec.compress(raw, asbytes=True))
@@ -337,50 +402,96 @@ def _contents(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """One bucket: for each chunk's segments, in order, the runs of windows with one smallest id."""
-    codec = pa.Codec("zstd")
-    counts, parts = table.column("n").to_pylist(), []
-    for n, n_bytes, packed in zip(counts, table.column("n_bytes").to_pylist(), table.column("packed").to_pylist()):
-        raw = codec.decompress(packed, n_bytes, asbytes=True)
-        parts.append((np.cumsum(np.frombuffer(raw, np.uint64, n)), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n), np.frombuffer(raw, np.uint8, -1, 17 * n)))
-    anchor, ids, size, text = (np.concatenate(x) for x in zip(*parts))
-    size = size.astype(np.int64)
-    start = np.concatenate([[0], np.cumsum(size + WINDOW - 1)[:-1]])
-    content = _contents(text, start, size)
-    order = np.lexsort((ids, content, anchor))
-    a, c = anchor[order], content[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-    one = order[new]  # the smallest id stands first
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    # windows of the distinct segments, flat
-    n, least = size[one], ids[one]
-    to = np.concatenate([[0], np.cumsum(n)])
-    found = np.repeat(least, n)
-    same = anchor[one]
-    both = np.zeros(len(one), bool)
-    both[1:] = same[1:] == same[:-1]
-    contested = np.flatnonzero(both | np.append(both[1:], False))
-    if len(contested):
-        # a shard is a run of chunks of the corpus; a collapsed segment stands in its first document's
-        shard = np.repeat(np.arange(len(counts)) * SHARDS // len(counts), counts)[one[contested]]
-        found[_ragged(to[contested], n[contested])] = smallest_ids(text, start[one[contested]], n[contested], least[contested], shard)
-    # runs of one id within a segment
-    edge = np.ones(len(found), bool)
-    edge[1:] = found[1:] != found[:-1]
-    edge[to[:-1]] = True
-    at = np.flatnonzero(edge)
-    run, run_id = np.diff(np.append(at, len(found))).astype(np.uint8), found[at]
-    runs_to = np.searchsorted(at, to)
-    n_runs = np.diff(runs_to)
-    out, lo = [], 0
-    for k in counts:
-        w = which[lo : lo + k]
-        lo += k
-        pick = _ragged(runs_to[w], n_runs[w])
-        out.append((n_runs[w].astype(np.uint8).tobytes(), run[pick].tobytes(), run_id[pick].tobytes()))
-    return pa.table({"chunk": table.column("chunk"), "q": table.column("q"), **{name: _binary([x[i] for x in out]) for i, name in enumerate(("n_runs", "runs", "run_ids"))}})
+class Segments:
+    """The segments of several rows, in their order, and the distinct ones, sorted by (anchor, content), each with its smallest id."""
+
+    def __init__(self, table: pa.Table):
+        codec = pa.Codec("zstd")
+        self.counts, parts = table.column("n").to_pylist(), []
+        for n, n_bytes, packed in zip(self.counts, table.column("n_bytes").to_pylist(), table.column("packed").to_pylist()):
+            raw = codec.decompress(packed, n_bytes, asbytes=True)
+            parts.append((np.cumsum(np.frombuffer(raw, np.uint64, n)), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n), np.frombuffer(raw, np.uint8, -1, 17 * n)))
+        self.anchor, self.ids, size, self.text = (np.concatenate(x) for x in zip(*parts))
+        self.size = size.astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size + WINDOW - 1)[:-1]])
+        content = _contents(self.text, self.start, self.size)
+        order = np.lexsort((self.ids, content, self.anchor))
+        a, c = self.anchor[order], content[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+        self.one = order[new]  # the smallest id stands first
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+
+    def answers(self, runs_to: np.ndarray, run: np.ndarray, run_id: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
+        """For each row the runs of its segments: how many each has, their lengths, their ids."""
+        n_runs, out, lo = np.diff(runs_to), [], 0
+        for k in self.counts:
+            w = self.which[lo : lo + k]
+            lo += k
+            pick = _ragged(runs_to[w], n_runs[w])
+            out.append((n_runs[w].astype(np.uint8).tobytes(), run[pick].tobytes(), run_id[pick].tobytes()))
+        return out
+
+
+ANSWER = ("n_runs", "runs", "run_ids")
+
+
+def _settle(keys: tuple[str, ...]):
+    """One bucket: for each row's segments, in order, the runs of windows with one smallest id."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        x = Segments(table)
+        # windows of the distinct segments, flat
+        n, least = x.size[x.one], x.ids[x.one]
+        to = np.concatenate([[0], np.cumsum(n)])
+        found = np.repeat(least, n)
+        same = x.anchor[x.one]
+        both = np.zeros(len(x.one), bool)
+        both[1:] = same[1:] == same[:-1]
+        contested = np.flatnonzero(both | np.append(both[1:], False))
+        if len(contested):
+            # a shard is a run of chunks of the corpus; a collapsed segment stands in its first document's
+            shard = np.repeat(np.arange(len(x.counts)) * SHARDS // len(x.counts), x.counts)[x.one[contested]]
+            found[_ragged(to[contested], n[contested])] = smallest_ids(x.text, x.start[x.one[contested]], n[contested], least[contested], shard)
+        # runs of one id within a segment
+        edge = np.ones(len(found), bool)
+        edge[1:] = found[1:] != found[:-1]
+        edge[to[:-1]] = True
+        at = np.flatnonzero(edge)
+        out = x.answers(np.searchsorted(at, to), np.diff(np.append(at, len(found))).astype(np.uint8), found[at])
+        return pa.table({**{k: table.column(k) for k in keys}, **{name: _binary([o[i] for o in out]) for i, name in enumerate(ANSWER)}})
+
+    return settle
+
+
+def _split_segments(buckets: int):
+    """The rows of a coarse bucket and a group of chunks as one set of distinct segments, dealt to the fine buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, codec = Segments(table), pa.Codec("zstd", compression_level=3)
+        cuts = np.searchsorted(x.anchor[x.one], _edges(buckets))
+        f = np.flatnonzero(np.diff(cuts))
+        counts, sizes, packed = [], [], []
+        for k in f:
+            one = x.one[cuts[k] : cuts[k + 1]]
+            raw = _pack_segments(x.anchor[one], x.ids[one], x.size[one], x.text[_ragged(x.start[one], x.size[one] + WINDOW - 1)])
+            counts.append(len(one))
+            sizes.append(len(raw))
+            packed.append(codec.compress(raw, asbytes=True))
+        same = lambda c: pa.array([table.column(c)[0].as_py()] * len(f), pa.int32())
+        return pa.table({"f": pa.array(f, pa.int64()), "q": same("q"), "g": same("g"), "n": pa.array(counts, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "packed": _binary(packed)})
+
+    return run
+
+
+def _segments_back(table: pa.Table, settled: pa.Table) -> pa.Table:
+    """The fine buckets' answers, told to each chunk of the group."""
+    x = Segments(table)
+    order = np.argsort(settled.column("f").to_numpy()).tolist()
+    join = lambda name, t: np.concatenate([np.frombuffer(settled.column(name)[k].as_py(), t) for k in order] or [np.zeros(0, t)])
+    runs_to = np.concatenate([[0], np.cumsum(join("n_runs", np.uint8).astype(np.int64))])
+    out = x.answers(runs_to, join("runs", np.uint8), join("run_ids", np.int64))
+    return pa.table({"chunk": table.column("chunk"), "q": table.column("q"), **{name: _binary([o[i] for o in out]) for i, name in enumerate(ANSWER)}})
 
 
 DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -450,17 +561,39 @@ def dedup(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
 
 
 def _dedup(chunks: DataFrame, buckets: int, with_text: bool) -> DataFrame:
-    anchors = chunks.mapInArrow(_send_anchors(buckets), "p int, chunk long, hashes binary, twice binary")
-    masks = anchors.groupBy("p").applyInArrow(_find_repeated, "chunk long, p int, mask binary")
+    coarse = min(buckets, FAN)
+    anchors = chunks.mapInArrow(_send_anchors(coarse), "p int, chunk long, hashes binary, twice binary")
+    answer = "n_runs binary, runs binary, run_ids binary"
+    packed = "n long, n_bytes long, packed binary"
+    if coarse == buckets:
+        masks = anchors.groupBy("p").applyInArrow(_find_repeated(("chunk", "p")), "chunk long, p int, mask binary")
+    else:
+        anchors = cut(anchors.withColumn("g", _group(anchors, F.length("hashes"), coarse)))
+        fine = anchors.groupBy("p", "g").applyInArrow(_split_anchors(buckets), "f long, p int, g int, hashes binary, twice binary")
+        fine = cut(fine.withColumn("n", (F.length("hashes") / 6).cast("long")))
+        found = fine.groupBy("f").applyInArrow(_find_repeated(("f", "p", "g", "n")), "f long, p int, g int, n long, mask binary")
+        masks = anchors.groupBy("p", "g").cogroup(found.groupBy("p", "g")).applyInArrow(_anchors_back, "chunk long, p int, mask binary")
     masks = cut(masks.groupBy("chunk").agg(F.collect_list(F.struct("p", "mask")).alias("masks")))
     with_masks = chunks.join(masks, "chunk", "left")
 
-    segments = with_masks.mapInArrow(_send_segments(buckets), "q int, chunk long, n long, n_bytes long, packed binary")
-    settled = segments.groupBy("q").applyInArrow(_settle, "chunk long, q int, n_runs binary, runs binary, run_ids binary")
+    segments = with_masks.mapInArrow(_send_segments(coarse), f"q int, chunk long, {packed}")
+    if coarse == buckets:
+        settled = segments.groupBy("q").applyInArrow(_settle(("chunk", "q")), f"chunk long, q int, {answer}")
+    else:
+        segments = cut(segments.withColumn("g", _group(segments, F.col("n_bytes"), coarse)))
+        fine = segments.groupBy("q", "g").applyInArrow(_split_segments(buckets), f"f long, q int, g int, {packed}")
+        done = fine.groupBy("f").applyInArrow(_settle(("f", "q", "g")), f"f long, q int, g int, {answer}")
+        settled = segments.groupBy("q", "g").cogroup(done.groupBy("q", "g")).applyInArrow(_segments_back, f"chunk long, q int, {answer}")
     settled = cut(settled.groupBy("chunk").agg(F.collect_list(F.struct("q", "n_runs", "runs", "run_ids")).alias("settled")))
-    done = cut(with_masks.join(settled, "chunk", "left").mapInArrow(_mark(buckets, with_text), DONE))
+    out = cut(with_masks.join(settled, "chunk", "left").mapInArrow(_mark(coarse, with_text), DONE))
     release(chunks, masks, settled)
-    return done
+    return out
+
+
+def _group(rows: DataFrame, size, coarse: int):
+    """The group of a chunk: so many that a group's rows of one coarse bucket have about ``BUCKET_BYTES``."""
+    total = cut(rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))).head()[0]
+    return F.pmod(F.xxhash64("chunk"), F.lit(max(1, -(-total // (coarse * BUCKET_BYTES))))).cast("int")
 
 
 #: Windows of 50 bytes, the smallest id of each, and the islands that those of smaller ids cover.
