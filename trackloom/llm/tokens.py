@@ -17,7 +17,8 @@ Nulls: a null text counts as empty; an edit with a null start or stop is skipped
 replacement inserts nothing; positions are code points and are clipped to the text.
 Edits of a document apply in the order of ``seq`` (then start, stop, replacement) to the
 text as the edits before left it; repeated edits apply repeatedly.  Repeated documents
-each get the edits of their id.
+each get the edits of their id.  Extra columns of either table are ignored; an empty table
+of documents gives no rows, one of edits leaves every document as it is.
 """
 
 from __future__ import annotations
