@@ -52,6 +52,9 @@ def test_every_kind_of_question(spark, g):
 
 
 def test_summaries_tables_and_failures(spark, g):
+    assert language.rows_of(spark, "SELECT class FROM node_object WHERE track_id = :t AND sequence_id = :s", t=1, s="seq_0") == [{"class": "car"}]
+    with pytest.raises(ValueError):
+        language.rows_of(spark, "DROP VIEW node_object")
     r = language.ask(spark, "Which classes are there?", "seq_0")
     assert language.result_summary(r) == {"answer": r.answer, "sql": r.sql, "result_count": r.rows.count(), "has_error": False, "error": None}
     assert language.result_table([{1: "a", "b": None}]) == [{"1": "a", "b": None}]
@@ -90,3 +93,11 @@ def test_aliases_grow_lists_in_place():
     assert T.expand_aliases("how many people", q) == "MATCH (o) WHERE o.class IN [ \"Person\" , 'dog', 'pedestrian', 'people'] OR o.class in ['car'] RETURN o"
     assert T.expand_aliases("how many trucks", q) == q and T.expand_aliases("people", "class IN ['person") == "class IN ['person"
     assert T.taxonomy_fallback("which types", "MATCH ()-[:BELONGS_TO_CLASS]->(c) RETURN COUNT(c)") == "counts" and T.taxonomy_fallback("how fast", "BELONGS_TO_CLASS") is None
+
+
+def test_only_queries_pass(spark):
+    for query in ("SELECT 1", "WITH x AS (SELECT 1 AS a) SELECT a FROM x", "SELECT 1 UNION SELECT 2", "VALUES (1), (2)"):
+        assert T.validate_sql(spark, query) == (True, None), query
+    for query in ("DROP VIEW v", "DROP TABLE t", "CREATE TABLE t AS SELECT 1", "INSERT INTO t SELECT 1", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SET a = 1", "CACHE TABLE t", "DELETE FROM t", "CREATE VIEW v AS SELECT 1", "USE x"):
+        assert not T.validate_sql(spark, query)[0], query
+    assert not T.validate_sql(spark, "SELECT (1")[0]

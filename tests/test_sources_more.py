@@ -116,3 +116,21 @@ def test_tracker_follows_a_fast_object(spark):
     assert set(ids) == {1}  # from the fourth frame on, boxes hardly overlap without the velocity
     with pytest.raises(KeyError):
         tracking.infer(spark.createDataFrame([("s", 1)], "sequence_id string, frame_id int"), lambda: None)
+
+
+def test_frame_buffer_writes_batches_and_the_rest(spark, tmp_path):
+    part = lambda f: spark.createDataFrame([(f,)], "frame_id int")
+    put = lambda df: df.write.mode("append").parquet(str(tmp_path / "t"))
+    with pytest.raises(KeyError), sinks.FrameBuffer(put, str(tmp_path / "dead"), batch_frames=3) as b:
+        for f in range(7):
+            b.add(part(f))
+        assert b.flushes == 2
+        raise KeyError("the run breaks off")
+    assert b.flushes == 3 and {r.frame_id for r in spark.read.parquet(str(tmp_path / "t")).collect()} == set(range(7))
+
+    def fails(df):
+        raise OSError("away")
+
+    with pytest.raises(OSError), sinks.FrameBuffer(fails, str(tmp_path / "dead")) as b:
+        b.add(part(8), 2)
+    assert [r.frame_id for r in spark.read.schema("frame_id int").json(str(tmp_path / "dead")).collect()] == [8] and not b.parts

@@ -19,6 +19,21 @@ def numeric(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def values(df: DataFrame, columns: list[str], most: int = VALUES) -> DataFrame:
+    """(column_name, n_values, shown): the distinct values of columns as texts, the first ones in order, with "+n more" behind them.
+
+    Each column is one top-k of its distinct values; no column's values come together in one task.
+    """
+    parts = []
+    for c in columns:
+        d = df.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct()
+        first = d.orderBy("v").limit(most).agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most ``most`` values
+        n = d.agg(F.count(F.lit(1)).alias("n_values"))
+        more = F.when(F.col("n_values") > most, F.array(F.concat(F.lit("+"), (F.col("n_values") - most).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+        parts.append(n.crossJoin(first).select(F.lit(c).alias("column_name"), "n_values", F.concat_ws(", ", F.concat("vs", more)).alias("shown")))  # two single rows
+    return reduce(DataFrame.unionByName, parts)
+
+
 def summary(df: DataFrame, values: int = VALUES, columns: int = 5) -> dict:
     """Row count, sorted columns, distinct values of the first columns (as strings, capped with "+n more"), numbers, samples.
 

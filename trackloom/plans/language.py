@@ -101,6 +101,14 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def rows_of(spark: SparkSession, query: str, **params) -> list[dict]:
+    """The rows of a read-only query with named parameters, as dictionaries; anything but a query raises ValueError."""
+    ok, why = validate_sql(spark, query)
+    if not ok:
+        raise ValueError(why)
+    return [r.asDict() for r in spark.sql(query, args=params).limit(LIMIT).collect()]
+
+
 def result_table(rows: list[dict]) -> list[dict]:
     """Rows for a table widget: the same values under column names that are texts."""
     return [{str(k): v for k, v in r.items()} for r in rows]

@@ -13,7 +13,8 @@ from ..operators import events as E, evaluation as V, graph, messages as M, moti
 from ..sources import sequences as S, sinks
 from ..sources.adapter import CONFIG
 from ..sources.shared import folder
-from . import traversals as Q
+from ..streaming import events as stream
+from . import digest, traversals as Q
 from .oracles import CTES, sql
 from .registry import QUERIES, fragments, messages, r6, register, states, tables
 
@@ -426,3 +427,23 @@ def _(spark, sf):
     one = messages(spark, sf).select("message_id", F.coalesce("sender", F.lit("Unknown")).alias("sender"), "text", F.col("timestamp").cast("long").alias("timestamp"))
     one.agg(F.to_json(F.collect_list(F.struct(*one.columns))).alias("value")).coalesce(1).write.text(path)
     return S.messages(spark, path, "seq_0")
+
+
+# ------------------------------------------------------------------ digests, windows
+
+
+def _values(column: str) -> str:
+    d = f"(SELECT DISTINCT CAST({column} AS VARCHAR) AS v FROM states WHERE {column} IS NOT NULL)"
+    more = "CASE WHEN count(*) > 10 THEN ', +' || (count(*) - 10) || ' more' ELSE '' END"
+    return f"SELECT '{column}' AS column_name, count(*) AS n_values, (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT v FROM {d} ORDER BY v LIMIT 10)) || {more} AS shown FROM {d}"
+
+
+@register("a15_digest_values", sql(" UNION ALL ".join(map(_values, ("class_name", "zone_id", "track_id", "event_role"))), "states"))
+def _(spark, sf):
+    return digest.values(states(spark, sf), ["class_name", "zone_id", "track_id", "event_role"])
+
+
+@register("stream_sliding_windows", sql("""
+SELECT sequence_id, zone_id, s AS first_frame, count(*) AS n_states FROM (SELECT sequence_id, zone_id, unnest([frame_id // 5 * 5, frame_id // 5 * 5 - 5]) AS s FROM states) GROUP BY ALL""", "states"))
+def _(spark, sf):
+    return stream.replay_windows(states(spark, sf))

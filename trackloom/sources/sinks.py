@@ -6,9 +6,12 @@ import json
 import resource
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import DEFAULT
+
 
 def audit(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines: ambiguous identities, failed queries, empty answers."""
@@ -25,6 +28,36 @@ def write_or_keep(df: DataFrame, write: Callable[[DataFrame], None], dead_letter
         raise
 
 
+class FrameBuffer:
+    """Writes whole batches of frames: parts are held until ``batch_frames`` frames are there; what is left goes out at the end, errors or not.
+
+    Use as a context manager.  Only plans are held, no rows.
+    """
+
+    def __init__(self, write: Callable[[DataFrame], None], dead_letters: str, batch_frames: int = DEFAULT.graph.batch_frames):
+        self.write, self.dead_letters, self.batch_frames = write, dead_letters, batch_frames
+        self.parts: list[DataFrame] = []
+        self.frames = self.flushes = 0
+
+    def add(self, part: DataFrame, frames: int = 1) -> None:
+        self.parts.append(part)
+        self.frames += frames
+        if self.frames >= self.batch_frames:
+            self.flush()
+
+    def flush(self) -> None:
+        parts, self.parts, self.frames = self.parts, [], 0
+        if parts:
+            self.flushes += 1
+            write_or_keep(reduce(DataFrame.unionByName, parts), self.write, self.dead_letters)
+
+    def __enter__(self) -> "FrameBuffer":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.flush()
+
+
 def replay(spark: SparkSession, dead_letters: str, schema, write: Callable[[DataFrame], None]) -> int:
     """Write kept rows again; returns how many there were."""
     rows = spark.read.schema(schema).json(dead_letters)

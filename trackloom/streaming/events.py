@@ -35,6 +35,13 @@ def zone_stats(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> Da
     return z.withColumns({"density": total.cast("double"), "pedestrian_ratio": ratio("pedestrian_count", cfg.zones.pedestrian_ratio), "vehicle_ratio": ratio("vehicle_count", cfg.zones.vehicle_ratio)}).drop("event_ts")
 
 
+def sliding_density(stream: DataFrame, width: int = 10, step: int = 5, late: str = LATE) -> DataFrame:
+    """(sequence_id, zone_id, first_frame, n_states): states of a zone in windows of ``width`` frames, one every ``step`` frames."""
+    w = F.window("event_ts", f"{width} seconds", f"{step} seconds")
+    counts = with_time(stream).withWatermark("event_ts", late).groupBy(w.alias("w"), "sequence_id", "zone_id").agg(F.count(F.lit(1)).alias("n_states"))
+    return counts.select("sequence_id", "zone_id", (F.unix_timestamp(F.col("w.start")) - FIRST_MS // 1000).cast("int").alias("first_frame"), "n_states")
+
+
 def loiter(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFrame:
     """LOITER events; the state of a track is its zone, its run and the observations that are not yet older than the watermark.
 
@@ -130,6 +137,10 @@ def replay_loiter(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return _replay(states.drop("trajectory"), lambda s: loiter(s, cfg))
 
 
+def replay_windows(states: DataFrame) -> DataFrame:
+    return _replay(states.drop("trajectory"), sliding_density).where("first_frame < 1000000")
+
+
 def replay_upserts(states: DataFrame, cfg: Config = DEFAULT, frames: int = 10) -> DataFrame:
     """NEAR edges written batch by batch, as a graph store would hold them in the end."""
     from ..operators.graph import near_pairs
