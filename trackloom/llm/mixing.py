@@ -6,7 +6,7 @@
    closed form over the small source table).
 2. The Sainte-Lague rule gives the blocks of the whole mix (``block`` words each, one by
    default) to sources by highest quotient ``t / (2k + 1)``.
-3. Documents are dealt by a hash of their id into shards of about ``rows_per_shard`` rows,
+3. Documents are dealt by a hash of id and text into shards of about ``rows_per_shard`` rows,
    so a source that holds a third of all rows is spread over all shards and no task ever
    holds a whole source.  The same rule gives each source's blocks to its shards, top down
    through groups of at most ``FAN`` shards: the integer quota of every cell (shard, source).
@@ -18,7 +18,7 @@
    often as the quota allows, the rest as a run of blocks at the start of the order.
 
 Everything is DataFrame expressions.  Nulls: null text has size 0, null source
-is a source of its own, a null id is replaced by the hash of the text.  Repeated rows
+is a source of its own, a null id is hashed as the text ``null``.  Repeated rows
 count as separate documents; which of two with one id and size comes first is arbitrary, so
 name further columns in ``order_by`` where that matters.  Extra columns are ignored.  An
 empty table gives no rows; a corpus without words takes nothing.  The windows over sources
@@ -106,7 +106,8 @@ def quotas(cells: DataFrame, blocks: DataFrame, n_shards: int, block: int = BLOC
 def mix(docs: DataFrame, *, weights=WEIGHTS, share=SHARE, block=BLOCK, rows_per_shard=ROWS_PER_SHARD, seed=SEED, order_by: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) and the ``order_by`` columns for every document."""
     more = [F.col(c).alias(f"more_{k}") for k, c in enumerate(order_by)]
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    # the text counts too, so rows of one id, or without, are spread
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
     sized = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), md5_long(F.concat(F.lit(f"{seed}:"), name)).alias("turn"), *more
     )
@@ -133,7 +134,7 @@ ORACLE = f"""
 WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / {ROWS_PER_SHARD}.0) AS BIGINT)) AS shards FROM documents),
 sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-         ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS turn
+         ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS turn
   FROM documents),
 dealt AS (SELECT *, turn % (SELECT shards FROM n) AS shard FROM sized),
 cells AS (SELECT shard, source, CAST(sum(size) AS BIGINT) AS size FROM dealt GROUP BY ALL),
