@@ -174,6 +174,43 @@ def track_status(objects: DataFrame, frames: DataFrame) -> DataFrame:
     return out.select("sequence_id", "track_id", F.when(F.col("lost_at").isNull(), "active").otherwise("lost").alias("status"), "lost_at")
 
 
+VULNERABLE, VEHICLE = "VulnerableRoadUser", "MotorVehicle"
+SAME_PAIR_GAP = 30
+
+
+def merged_near_misses(hits: DataFrame, gap: int = SAME_PAIR_GAP, critical: float = 0.03) -> DataFrame:
+    """NEAR_MISS as documented: hits of a pair at most ``gap`` frames apart are one relationship.
+
+    hits: rows of ``events.near_miss_hits``.  It carries the closest approach, its frame (the first of
+    equals) and speeds, the severity, and the frames that it spans.
+    """
+    pair = ["sequence_id", "a_track_id", "b_track_id"]
+    order = W.partitionBy(*pair).orderBy("frame_id")
+    h = hits.withColumn("fresh", F.when(F.col("frame_id") - F.lag("frame_id").over(order) <= gap, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(order))
+    closest = F.min(F.struct("distance", "frame_id", F.col("a_speed").alias("speed_a"), F.col("b_speed").alias("speed_b")))
+    runs = h.groupBy(*pair, "island").agg(closest.alias("c"), F.min("frame_id").alias("valid_from"), F.max("frame_id").alias("valid_to"))
+    return runs.select(*pair, "c.*", F.when(F.col("c.distance") < critical, "critical").otherwise("warning").alias("severity"), "valid_from", "valid_to")
+
+
+def strict_convoys(states: DataFrame, frames: DataFrame, cfg: Config = DEFAULT, variance: float = 0.005) -> DataFrame:
+    """CONVOY_WITH as documented: both vehicles move linearly, and their distance hardly varies over the run."""
+    from .events import convoy_pairs
+
+    linear = states.where((F.col("movement_pattern") == "linear") & F.col("class_name").isin(*CLASS_GROUPS["MotorVehicle"]))
+    p = convoy_pairs(linear, cfg).where(F.col("heading_diff") < cfg.convoy.heading).join(frames.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
+    pair = ["sequence_id", "a_track_id", "b_track_id"]
+    p = p.withColumn("island", F.col("ordinal") - F.row_number().over(W.partitionBy(*pair).orderBy("ordinal")))
+    runs = p.groupBy(*pair, "island").agg(F.min("frame_id").alias("valid_from"), F.max("frame_id").alias("valid_to"), F.count(F.lit(1)).alias("n_frames"), F.avg("distance").alias("avg_distance"), F.var_pop("distance").alias("variance"))
+    return runs.where((F.col("n_frames") >= cfg.convoy.frames) & (F.col("variance") < variance)).drop("island", "variance")
+
+
+def strict_jaywalking(states: DataFrame, stats: DataFrame, cfg: Config = DEFAULT, pedestrians: float = 0.20) -> DataFrame:
+    """JAYWALKING_IN as documented: the zone is mostly vehicles and hardly any pedestrians."""
+    busy = stats.where((F.col("vehicle_ratio") > cfg.jaywalking.vehicle_ratio) & (F.col("pedestrian_ratio") < pedestrians)).select("sequence_id", "frame_id", "zone_id", "vehicle_ratio", "pedestrian_ratio")
+    walkers = states.where(F.col("class_name").isin("pedestrian", "people")).select("sequence_id", "frame_id", "zone_id", "track_id")
+    return walkers.join(busy, ["sequence_id", "frame_id", "zone_id"])
+
+
 def event_classes(events: DataFrame) -> DataFrame:
     """CLASSIFIED_AS: (event_key, name) from each event to its node in the taxonomy of events."""
     from .events import keyed
@@ -190,10 +227,6 @@ def overlaps_zones(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.where((F.col("r") >= 0) & (F.col("c") >= 0) & (other != F.col("zone_id"))).select("sequence_id", "track_id", "frame_id", other.alias("zone_id"))
 
 
-VULNERABLE, VEHICLE = "VulnerableRoadUser", "MotorVehicle"
-SAME_PAIR_GAP = 30
-
-
 def graph_violations(g) -> DataFrame:
     """(rule, n): how many rows of the graph's tables break each rule on structure (S), completeness (P) and cardinality (C).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import events as E, graph, lifecycle as L, motion, reid
+from ..operators import events as E, graph, lifecycle as L, motion, reid, zones
 from ..sources import sequences as S
 from ..sources.adapter import CONFIG
 from . import registry_matching  # noqa: F401  (its tables of truths and predictions)
@@ -221,3 +221,43 @@ def _(spark, sf):
     twice = zones.where("track_id % 9 = 0").withColumn("zone_id", F.lit("cell_9_9"))
     dirty = g.changed(node_object=objects, edge_near=near.unionByName(loop.select(near.columns)), edge_precedes=precedes, edge_in_zone=zones.unionByName(twice))
     return L.graph_violations(dirty | {"canonical": reid.canonical(accepted(spark, sf))})
+
+
+# ------------------------------------------------------------------ stricter rules
+
+
+@register("z13_merged_near_misses", sql("""
+SELECT sequence_id, a AS a_track_id, b AS b_track_id, round(min(distance), 6) AS distance, arg_min(frame_id, (distance, frame_id)) AS frame_id, CASE WHEN min(distance) < 0.03 THEN 'critical' ELSE 'warning' END AS severity,
+  min(frame_id) AS valid_from, max(frame_id) AS valid_to FROM (SELECT *, sum(CASE WHEN frame_id - before <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY sequence_id, a, b ORDER BY frame_id) AS isle
+  FROM (SELECT *, lag(frame_id) OVER (PARTITION BY sequence_id, a, b ORDER BY frame_id) AS before FROM hits)) GROUP BY sequence_id, a, b, isle""", "hits"))
+def _(spark, sf):
+    """With a gap that suits 60 frames."""
+    return L.merged_near_misses(E.near_miss_hits(states(spark, sf), CONFIG), 6).select("sequence_id", "a_track_id", "b_track_id", *r6("distance"), "frame_id", "severity", "valid_from", "valid_to")
+
+
+CTES["smooth"] = ("SELECT * REPLACE (CASE WHEN frame_id % 11 <> 0 THEN 'linear' ELSE movement_pattern END AS movement_pattern) FROM states", ("states",))
+CTES["smooth_pairs"] = (
+    """SELECT * FROM (SELECT a.sequence_id, a.frame_id, a.track_id AS a, b.track_id AS b, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS distance,
+         least(abs(a.heading_deg - b.heading_deg) % 360, 360 - abs(a.heading_deg - b.heading_deg) % 360) AS heading_diff FROM smooth a JOIN smooth b
+         ON a.sequence_id = b.sequence_id AND a.frame_id = b.frame_id AND a.track_id < b.track_id AND a.class_name = b.class_name
+         WHERE a.event_role = 'vehicle' AND a.movement_pattern = 'linear' AND b.movement_pattern = 'linear') WHERE distance >= 0.03 AND distance <= 0.12 AND heading_diff < 20""",
+    ("smooth",),
+)
+
+
+@register("z13_strict_convoys", sql("""
+SELECT sequence_id, a AS a_track_id, b AS b_track_id, min(frame_id) AS valid_from, max(frame_id) AS valid_to, count(*) AS n_frames, round(avg(distance), 6) AS avg_distance FROM (
+  SELECT c.*, f.ordinal - row_number() OVER (PARTITION BY c.sequence_id, a, b ORDER BY f.ordinal) AS island FROM smooth_pairs c JOIN frames f ON c.sequence_id = f.sequence_id AND c.frame_id = f.frame_id)
+GROUP BY sequence_id, a, b, island HAVING count(*) >= 3 AND var_pop(distance) < 0.0001""", "smooth_pairs", "frames"))
+def _(spark, sf):
+    """Most states are taken as linear, and the variance is tighter, so that both rules bite on these tracks."""
+    s = states(spark, sf)
+    smooth = s.withColumn("movement_pattern", F.when(F.col("frame_id") % 11 != 0, "linear").otherwise(F.col("movement_pattern")))
+    return L.strict_convoys(smooth, motion.frames(s), CONFIG, 0.0001).select("sequence_id", "a_track_id", "b_track_id", "valid_from", "valid_to", "n_frames", *r6("avg_distance"))
+
+
+@register("z13_strict_jaywalking", sql("""SELECT s.sequence_id, s.frame_id, s.zone_id, s.track_id, round(z.vehicle_ratio, 6) AS vehicle_ratio, round(z.pedestrian_ratio, 6) AS pedestrian_ratio FROM states s JOIN zstats z
+  ON s.sequence_id = z.sequence_id AND s.frame_id = z.frame_id AND s.zone_id = z.zone_id WHERE s.class_name IN ('pedestrian', 'people') AND z.vehicle_ratio > 0.6 AND z.pedestrian_ratio < 0.35""", "states", "zstats"))
+def _(spark, sf):
+    s = states(spark, sf)
+    return L.strict_jaywalking(s, zones.frame_stats(s, CONFIG), CONFIG, 0.35).select("sequence_id", "frame_id", "zone_id", "track_id", *r6("vehicle_ratio", "pedestrian_ratio"))
