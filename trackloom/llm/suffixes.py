@@ -314,8 +314,8 @@ def merge_transforms(levels: list[list[np.ndarray]]) -> tuple[np.ndarray, np.nda
     interval = np.zeros(len(z), np.int32)
     symbols = np.empty(len(z), np.uint16)
     for depth in range(WINDOW // STEP):
-        for s, x in enumerate(levels):
-            symbols[z == s] = x[depth]
+        # the entries of a shard, in the interleave's order, stand for its symbols one after the other
+        symbols[_deal(z)] = np.concatenate([x[depth] for x in levels])
         order = _deal(symbols)
         z, old, dealt = z[order], interval[order], symbols[order]
         edge = np.zeros(len(z), bool)
