@@ -126,17 +126,21 @@ def md5_long(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
-#: A key with more than this share of all rows is hot; there are at most ``MOST_HOT`` of them, whatever the input.
-MOST_HOT = 10_000
+#: A key with more than a ``MOST_HOT``-th of all rows is hot; there are fewer than ``MOST_HOT`` of them, whatever the input.
+MOST_HOT = 200
 
 
-def join_one(rows: DataFrame, one: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``one``, a small row for each key; ``n`` counts the rows of ``rows`` with that key, ``total`` all of them.
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, a small row for each key; its column ``n`` counts the rows of ``rows`` with that key.
 
-    Rows of a hot key are never dealt by that key: its row of ``one`` is broadcast.  At most ``MOST_HOT`` keys
-    can hold a 1 / ``MOST_HOT`` share each, so the broadcast has a fixed bound; every other key's
-    rows are a small share of a task.  Neither side is dropped or sampled.
+    Rows of a hot key are never dealt by that key: its row of ``one`` is broadcast.  Fewer than
+    ``MOST_HOT`` keys can hold a ``MOST_HOT``-th of the rows each, so the broadcast has a fixed bound; every
+    other key's rows are a small share of a task.  Without a hot key this is a plain join.
+    Neither side is dropped or sampled.  ``one`` is read once more, so it should be a table.
     """
+    total, most = one.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).head()
+    if most * MOST_HOT <= total:
+        return rows.join(one, keys, how)
     is_hot = F.col(n) * MOST_HOT > F.lit(total)
     hot, cold = one.where(is_hot), one.where(~is_hot)
     dealt = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
@@ -151,8 +155,7 @@ def join_spread(rows: DataFrame, one: DataFrame, key: str, by: str, most: int =
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("spread_n")).withColumn("spread", F.ceil(F.col("spread_n") / most).cast("int"))
     counts = cut(counts.select(key, "spread_n", "spread"))
-    total = counts.agg(F.coalesce(F.sum("spread_n"), F.lit(0))).head()[0]
-    rows = join_one(rows, counts, [key], "spread_n", total).withColumn("spread", F.pmod(F.xxhash64(by), F.col("spread")).cast("int")).drop("spread_n")
+    rows = join_one(rows, counts, [key], "spread_n").withColumn("spread", F.pmod(F.xxhash64(by), F.col("spread")).cast("int")).drop("spread_n")
     copies = one.join(counts.select(key, F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("spread")), key)
     return rows.join(copies, [key, "spread"]).drop("spread")
 

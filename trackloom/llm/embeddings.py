@@ -142,13 +142,12 @@ def _crowds(ordered: DataFrame, comps: DataFrame, vectors: DataFrame, bits: int,
     full = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window))
     if not full.head(1):
         return None
-    total = full.agg(F.sum("n")).head()[0]
-    rows = join_one(rows, full, keys, "n", total).join(comps, F.col("cid") == F.col("v"), "left").select(*keys, "n", "cid", F.coalesce("component", "cid").alias("comp"))
+    rows = join_one(rows, full, keys, "n").join(comps, F.col("cid") == F.col("v"), "left").select(*keys, "n", "cid", F.coalesce("component", "cid").alias("comp"))
     rows = cut(rows)
     sizes = cut(rows.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("size")))
     # a component lies in as few tiles as its size allows, without a sort of the group
     slot = F.xxhash64("comp") + F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / tile))
-    rows = cut(join_one(rows, sizes, [*keys, "comp"], "size", total).select(*keys, "cid", "comp", F.pmod(slot, F.ceil(F.col("n") / tile)).cast("int").alias("t")))
+    rows = cut(join_one(rows, sizes, [*keys, "comp"], "size").select(*keys, "cid", "comp", F.pmod(slot, F.ceil(F.col("n") / tile)).cast("int").alias("t")))
     tiles = cut(rows.groupBy(*keys, "t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
     a, b = (tiles.select(*keys, F.col("t").alias(t), F.col("lo").alias("lo" + k), F.col("hi").alias("hi" + k)) for t, k in (("i", ""), ("j", "2")))
     pairs = a.join(b, keys).where("i <= j and (lo <> hi or lo <> lo2 or hi <> hi2)").select(*keys, "i", "j")  # not both within one component
@@ -206,7 +205,7 @@ def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WIND
     of = cut(of)
     members = cut(of.groupBy("comp").agg(F.count(F.lit(1)).alias("m")))
     tiles = F.ceil(F.col("m") / tile).cast("int")
-    dealt = join_one(of, members, ["comp"], "m", n).withColumn("t", tiles).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
+    dealt = join_one(of, members, ["comp"], "m").withColumn("t", tiles).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
     left = dealt.select("comp", F.col("mine").alias("i"), others.alias("j"), F.lit(0).alias("side"), "cid", "copies", "emb")
     right = dealt.select("comp", others.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "cid", "copies", "emb")
@@ -214,13 +213,12 @@ def link(vectors: DataFrame, *, threshold: float = THRESHOLD, window: int = WIND
     counts = part.groupBy("cid").agg(F.sum("n").alias("n"))
     found = classes.select("cid", "least").join(comps, F.col("cid") == F.col("v"))
     least = cut(found.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")))
-    where = join_one(comps, least, ["component"], "m", n).select("v", "component_id")
+    where = join_one(comps, least, ["component"], "m").select("v", "component_id")
     labels = classes.alias("c").join(where.alias("p"), F.col("c.cid") == F.col("p.v"), "left").join(counts.alias("n"), F.col("c.cid") == F.col("n.cid"), "left")
     labels = labels.select("c.key", "c.copies", (F.col("c.copies") - 1 + F.coalesce("n.n", F.lit(0))).alias("n_links"), F.coalesce("p.component_id", "c.least").alias("component_id"))
     labels = cut(labels)
     release(classes, of, members, least)
-    total = labels.agg(F.coalesce(F.sum("copies"), F.lit(0))).head()[0]
-    out = join_one(rows.where("key is not null").select("vec_id", "key"), labels, ["key"], "copies", total).select("vec_id", "n_links", "component_id")
+    out = join_one(rows.where("key is not null").select("vec_id", "key"), labels, ["key"], "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
 

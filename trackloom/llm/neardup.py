@@ -167,10 +167,6 @@ def link(docs: DataFrame, *, k: int = K, threshold: tuple[int, int] = THRESHOLD,
         return _link(rows, k, threshold, tile)
 
 
-def _count(df: DataFrame, column: str) -> int:
-    return df.agg(F.coalesce(F.sum(column), F.lit(0))).head()[0]
-
-
 def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> DataFrame:
     signed = cut(signatures(docs, k))
     who = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "ka", "kb")
@@ -180,7 +176,7 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
 
     values = sketches.select("cid", F.greatest(F.lit(1), F.floor(F.size("sketch") * SHARED)).cast("int").alias("t"), F.explode("sketch").alias("v"))
     often = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
-    shared = join_one(values, often, ["v"], "f", _count(often, "f")).groupBy("cid").agg(
+    shared = join_one(values, often, ["v"], "f").groupBy("cid").agg(
         F.max("t").alias("t"), F.sum("f").alias("score"), F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs")
     )
     shared = shared.where(F.size("vs") >= F.col("t"))
@@ -188,11 +184,11 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
     listed = cut(listed.select("cid", "score", "x.v"))
 
     heads = cut(listed.groupBy("v").agg(F.max(F.struct("score", "cid"))["cid"].alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    pairs = join_one(listed, heads, ["v"], "m", _count(heads, "m")).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    pairs = join_one(listed, heads, ["v"], "m").where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = cut(pairs.join(sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b"))
     met = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     met = cut(met.join(sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a"))
-    near = join_one(pairs, met, ["a"], "n", _count(met, "n")).where(estimate(F.col("sa"), F.col("sb"), k) >= LEAST_ESTIMATE)
+    near = join_one(pairs, met, ["a"], "n").where(estimate(F.col("sa"), F.col("sb"), k) >= LEAST_ESTIMATE)
     near = cut(near.select("a", "b"))
 
     needed = listed.join(heads.select("v"), "v", "left_semi").select("cid").distinct()
@@ -208,18 +204,18 @@ def _link(docs: DataFrame, k: int, threshold: tuple[int, int], tile: int) -> Dat
     of = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = of.groupBy("v").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).where("parts > 1 and m > 2")
     open_ = cut(open_.select("v", "m", F.col("top.comp").alias("top"), F.col("top.n").alias("mains")))
-    rest = join_one(placed, open_, ["v"], "m", _count(open_, "m")).select("v", "cid", "comp", (F.col("comp") == F.col("top")).cast("int").alias("major"), "m", "mains")
+    rest = join_one(placed, open_, ["v"], "m").select("v", "cid", "comp", (F.col("comp") == F.col("top")).cast("int").alias("major"), "m", "mains")
     more = cut(_tiles(rest, sets, tile, threshold))
     if more.head(1):
         comps = components(links.unionByName(more))
     labels = classes.alias("c").join(comps.alias("p"), F.col("c.cid") == F.col("p.v"), "left").select("c.k1", "c.k2", "c.who", "c.copies", F.coalesce("p.component", "c.cid").alias("comp"))
     labels = cut(labels)
     least = cut(labels.groupBy("comp").agg(F.min("who").alias("least"), F.count(F.lit(1)).alias("n")))
-    labels = join_one(labels, least, ["comp"], "n", _count(least, "n")).select("k1", "k2", "copies", F.col("least.doc_id").alias("component_id"), F.col("least.ka").alias("la"), F.col("least.kb").alias("lb"))
+    labels = join_one(labels, least, ["comp"], "n").select("k1", "k2", "copies", F.col("least.doc_id").alias("component_id"), F.col("least.ka").alias("la"), F.col("least.kb").alias("lb"))
     labels = cut(labels)
     release(classes, often, listed, heads, pairs, met, near, sets, placed, open_, least)
     full = signed.where("k1 is not null").select("doc_id", "ka", "kb", "n_shingles", "k1", "k2")
-    full = join_one(full, labels, ["k1", "k2"], "copies", _count(labels, "copies"))
+    full = join_one(full, labels, ["k1", "k2"], "copies")
     out = full.select("doc_id", "ka", "kb", "n_shingles", "component_id", ((F.col("ka") == F.col("la")) & (F.col("kb") == F.col("lb"))).alias("stays"))
     empty = signed.where("k1 is null").select("doc_id", "ka", "kb", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     return out.unionByName(empty)

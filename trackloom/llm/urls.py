@@ -281,7 +281,7 @@ def judge(pages: DataFrame, *, labels: DataFrame | None = None, rules=RULES, blo
     known, names = sample(rows, shares, n, sample_rows)
     model = Model.fit(matrix(known, names), np.asarray(known.column("label"), float))
     features = lexical(F.col("url"), F.col("host"), F.col("path"))
-    plain = join_one(rows, shares.select("host", "n_rows", *SHARES), ["host"], "n_rows", rows.count()).select("page_id", "url", "host", "path", "rule", *SHARES, *(c.alias(name) for name, c in features.items()))
+    plain = join_one(rows, shares.select("host", "n_rows", *SHARES), ["host"], "n_rows").select("page_id", "url", "host", "path", "rule", *SHARES, *(c.alias(name) for name, c in features.items()))
     scored = plain.mapInArrow(_score(model, names), "page_id long, url string, host string, path string, rule string, score double")
     verdict = F.when(F.col("score") >= block_from, "block").otherwise("allow")
     for rule, by_rule in rules:
