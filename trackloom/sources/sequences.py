@@ -134,6 +134,7 @@ def seqinfo_rows(lines: DataFrame) -> DataFrame:
     return found.select("sequence_id", *(checked(k).alias(v) for k, v in names.items()))
 
 
+#: Fixed value: the name that metadata files of the dataset go by.
 META_FILE = "visdrone_sequence_meta.json"
 
 
