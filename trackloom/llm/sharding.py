@@ -61,7 +61,8 @@ def locate(rows: DataFrame, goals: dict[int, tuple[int, float]], shards: int, li
     for shift in shifts(shards):
         inside = rows
         if old is not None:  # at most one bracket for each goal
-            brackets = rows.sparkSession.createDataFrame(sorted({(a, lo >> old) for a, lo, *_ in at.values()}), "in_area long, in_bracket long")
+            wanted = [F.struct(F.lit(a).cast("long").alias("in_area"), F.lit(p).cast("long").alias("in_bracket")) for a, p in sorted({(a, lo >> old) for a, lo, *_ in at.values()})]
+            brackets = rows.sparkSession.range(1).select(F.inline(F.array(*wanted)))
             inside = rows.join(F.broadcast(brackets), (F.col("area") == F.col("in_area")) & (F.shiftright("k", old) == F.col("in_bracket")))
         counts = inside.groupBy("area", F.shiftright("k", shift).alias("p")).agg(F.sum("size").alias("b"), F.min("k").alias("lo"), F.max("k").alias("hi"))
         found: dict = {}
