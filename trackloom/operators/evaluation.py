@@ -27,32 +27,43 @@ def _apart(df: DataFrame) -> DataFrame:
 
 
 def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """(image_id, class_id, pos, confidence, threshold, tp): by confidence, each takes its best free truth.
+    """(image_id, class_id, pos, confidence, threshold, tp): by confidence, each takes its best free truth of its class.
 
     Columns: image_id, class_id, pos, x1, y1, x2, y2 (+ confidence).
     """
     box = ["x1", "y1", "x2", "y2"]
 
-    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame(columns=names)
-        p = p.sort_values(["confidence", "pos"], ascending=[False, True], kind="stable")
-        t = t.sort_values("pos") if len(t) else t
-        iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float)) if len(t) else np.zeros((len(p), 0))
-        parts = []
-        for th in thresholds:
-            free, tp = np.ones(len(t), bool), np.zeros(len(p), np.int32)
+    def hits(iou: np.ndarray) -> np.ndarray:
+        """[threshold, prediction]: does it take a truth?  Predictions and truths stand in their orders."""
+        tp = np.zeros((len(thresholds), len(iou)), np.int32)
+        for k, th in enumerate(thresholds):
+            free = np.ones(iou.shape[1], bool)
             for i in np.flatnonzero((iou >= th).any(axis=1)):
                 best = int(np.where(free, iou[i], -1).argmax())
                 if free[best] and iou[i, best] >= th:
-                    free[best], tp[i] = False, 1
-            parts.append(p[names[:4]].assign(threshold=th, tp=tp))
-        return pd.concat(parts)
+                    free[best], tp[k, i] = False, 1
+        return tp
+
+    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame(columns=names)
+        image, order = p["image_id"].iloc[0], np.lexsort((p["pos"], -p["confidence"], p["class_id"]))
+        cls, pos, conf, boxes = (p[c].to_numpy()[order] for c in ("class_id", "pos", "confidence", box))
+        later = np.argsort(t["pos"].to_numpy(), kind="stable")
+        t_cls, t_boxes = t["class_id"].to_numpy()[later], t[box].to_numpy(float)[later]
+        tp = np.zeros((len(thresholds), len(p)), np.int32)
+        for c in np.unique(cls):
+            mine, theirs = cls == c, t_cls == c
+            if theirs.any():
+                tp[:, mine] = hits(_iou(boxes[mine].astype(float), t_boxes[theirs]))
+        n = len(thresholds)
+        columns = (np.full(n * len(p), image), np.tile(cls, n), np.tile(pos, n), np.tile(conf, n), np.repeat(thresholds, len(p)), tp.ravel())
+        return pd.DataFrame(dict(zip(names, columns)))
 
     names = ["image_id", "class_id", "pos", "confidence", "threshold", "tp"]
     schema = "image_id string, class_id int, pos long, confidence double, threshold double, tp int"
     preds, truths = _apart(preds), _apart(truths)
-    return preds.groupBy("image_id", "class_id").cogroup(truths.groupBy("image_id", "class_id")).applyInPandas(match, schema)
+    return preds.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(match, schema)
 
 
 def average_precision(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
