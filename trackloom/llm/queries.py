@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, html, langid, mixing, neardup, sharding, suffixes, tokens, urls
+from . import decontam, embeddings, html, langid, mixing, neardup, packing, sharding, suffixes, tokens, urls
 from .common import read
 
 
@@ -66,6 +66,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; null texts give the end id alone."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_url_filter": op2_url_filter,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_edit_aware_tokens": op9_edit_aware_tokens,
     "op10_language_id": op10_language_id,
+    "op12_cost_balanced_packing": op12_cost_balanced_packing,
 }
 ORACLES = {
     "op4_bwt_merge_dedup": suffixes.ORACLE,
