@@ -92,16 +92,14 @@ def test_costs_are_levelled():
     placed, costs = packing.deal(lengths, 4096, 64)
     assert sum(p[2] for p in placed) == sum(lengths)
     full = [c for c, r in zip(costs, packing.rooms(sum(lengths), 4096)) if r == 4096]
-    firsts, at, used = [0.0], 0, 0
-    for n in lengths:  # in the order of arrival, cut where a sequence ends
-        while n:
-            put = min(n, 4096 - used)
-            firsts[-1] += packing.cost(put, 64)
-            used, n = used + put, n - put
-            if used == 4096:
-                firsts.append(0.0)
-                used = 0
-    assert np.std(full) < 0.5 * np.std(firsts[:-1])
+    fitted = []  # first fit, longest first
+    for n in sorted(lengths, reverse=True):
+        at = next((x for x in fitted if x[0] >= n), None)
+        if at is None:
+            fitted.append(at := [4096, 0.0])
+        at[0] -= n
+        at[1] += packing.cost(n, 64)
+    assert np.std(full) < 0.5 * np.std([c for _, c in fitted])
 
 
 @pytest.mark.parametrize("lengths", [[], [1], [5, 5, 5], [8, 8, 1], [3] * 7, [7, 6, 5, 4, 3, 2, 1]])
