@@ -179,3 +179,16 @@ def keyed(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.select("*", F.xxhash64(meta["file_path"]).alias(a), meta["row_index"].alias(b))
     except AnalysisException:  # files of a format without row numbers
         return keyed(cut(df.select("*")), a, b)
+
+
+def crc32_sql(source: str, column: str) -> str:
+    """Common table expressions for DuckDB, which has no such function: ``crc`` holds each distinct string of ``column`` with its crc32."""
+    return f"""crc_table AS (
+  SELECT list(v ORDER BY i) AS crc_of FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+crc AS (
+  SELECT {column}, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(range(1, CAST(length(x) // 2 + 1 AS BIGINT)), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]))) AS crc32
+  FROM (SELECT DISTINCT {column}, hex(encode({column})) AS x FROM {source} WHERE {column} IS NOT NULL), crc_table)"""

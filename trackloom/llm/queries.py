@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, html, langid, mixing, neardup, packing, sharding, suffixes, tokens, urls
+from . import decontam, embeddings, html, langid, mixing, neardup, packing, sharding, suffixes, tokens, turns, urls
 from .common import read
 
 
@@ -66,6 +66,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_dial_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its hash for every damaged conversation; null roles and texts are one space."""
+    return turns.repair(turns.damage(read(spark, sf_dir, "conversations")))
+
+
 def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence; null texts give the end id alone."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_edit_aware_tokens": op9_edit_aware_tokens,
     "op10_language_id": op10_language_id,
+    "op11_dial_repair": op11_dial_repair,
     "op12_cost_balanced_packing": op12_cost_balanced_packing,
 }
 ORACLES = {
@@ -90,4 +96,5 @@ ORACLES = {
     "op3_histogram_shards": sharding.ORACLE,
     "op6_minhash_neardup": neardup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op11_dial_repair": turns.ORACLE,
 }
