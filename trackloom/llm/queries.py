@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, html, langid, mixing, neardup, packing, sharding, suffixes, tokens, turns, urls
+from . import decontam, embeddings, html, langid, mixing, neardup, packing, sharding, snapshots, suffixes, tokens, turns, urls
 from .common import read
 
 
@@ -76,6 +76,12 @@ def op12_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op13_snapshot_rekeying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair, insert and delete between the documents and a later snapshot of them; nulls equal only nulls."""
+    docs = read(spark, sf_dir, "documents")
+    return snapshots.compare(docs, snapshots.later_snapshot(docs))
+
+
 QUERIES = {
     "op1_text_density": op1_text_density,
     "op2_url_filter": op2_url_filter,
@@ -89,6 +95,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_dial_repair": op11_dial_repair,
     "op12_cost_balanced_packing": op12_cost_balanced_packing,
+    "op13_snapshot_rekeying": op13_snapshot_rekeying,
 }
 ORACLES = {
     "op4_bwt_merge_dedup": suffixes.ORACLE,
@@ -97,4 +104,5 @@ ORACLES = {
     "op6_minhash_neardup": neardup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op11_dial_repair": turns.ORACLE,
+    "op13_snapshot_rekeying": snapshots.ORACLE,
 }
