@@ -60,6 +60,26 @@ def test_runs_encode_as_whole_texts():
         assert np.frombuffer(ids.of(text), ids.kind).tolist() == ENCODER.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_plain_character():
+    random.seed(4)
+    ids = packing.Ids(packing.TOKENIZER)
+    plain = [chr(c) for c in range(33, 0x20C0) if packing.PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 600
+    for c in plain:
+        for text in (c, "a" + c, c + "b", c + c + "1" + c, "'" + c, "Σ" + c):
+            assert np.frombuffer(ids.of(text), ids.kind).tolist() == ENCODER.encode(text, add_special_tokens=False).ids, text
+    for _ in range(3000):
+        text = "".join(random.choice(plain if random.random() < 0.7 else "'sStTreEvmldABC<|>|_0²") for _ in range(random.randint(1, 12)))
+        assert np.frombuffer(ids.of(text), ids.kind).tolist() == ENCODER.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_kind_of_file_encodes_texts_whole():
+    path = packing.public_tokenizers.path("byte_bpe_50k.json")
+    ids, other = packing.Ids(path), Tokenizer.from_file(path)
+    for text in ("two  spaces and\nlines", " lead", ""):
+        assert np.frombuffer(ids.of(text), ids.kind).tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_a_full_memo_starts_again(monkeypatch):
     monkeypatch.setattr(packing, "MEMO", 5)
     ids = packing.Ids(packing.TOKENIZER)

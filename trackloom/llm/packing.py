@@ -1,9 +1,9 @@
 """Cost-balanced packing of documents into fixed-length training sequences.
 
 1. Every document becomes token ids (``tokenise``): runs between white space are encoded by
-   the given tokenizer and kept in a bounded memo; ids of a text are those of its runs one
-   after another, because this vocabulary drops white space and no merge, lower-casing or
-   composition crosses it.  An end id follows.  A document longer than a sequence is cut
+   the given tokenizer or its merges and kept in a bounded memo; ids of a text are those of its
+   runs one after another, because this vocabulary drops white space and no merge, lower-casing
+   or composition crosses it (a file of another kind encodes texts whole).  An end id follows.  A document longer than a sequence is cut
    into pieces of a sequence's length at once.
 2. Pieces are dealt by a hash into groups of about ``GROUP_TOKENS`` tokens, so no task holds
    more than that, however large a source, a document or a group of copies is.
@@ -25,9 +25,11 @@ the same files again gives the same rows.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,36 +43,91 @@ END = 2
 LIMIT = 4096
 GROUP_TOKENS = 1 << 22
 WIDTH = 4096
-MEMO, MEMO_CHARS = 200_000, 64
+MEMO, MEMO_CHARS = 500_000, 40
 #: Python's ``split`` takes these for white space, the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(r"[\t-\r ]+")
+#: How the vocabulary's file prepares texts and cuts them into words.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Printable characters that stay as they are in composed form and have one lower case whatever stands beside them ...
+PLAIN = re.compile("[!-~\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+#: ... and ``WORDS`` for those, in Python's own classes.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|[\W_]+")
+
+
+def byte_letters() -> list[str]:
+    """A letter for each byte as byte-level vocabularies write them: printable ones as they are, the rest from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in kept else next(others)) for b in range(256)]
+
+
+class Words(dict):
+    """Word as ``PLAIN_WORDS`` finds it -> its ids, two bytes each; a bounded memo over the merges."""
+
+    def __init__(self, tokenizer):
+        self.model, self.letters = tokenizer.model, byte_letters()
+        self.each = [i.to_bytes(2, "little") for i in range(1 << 16)]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = b"".join([self.each[t.id] for t in self.model.tokenize(letters)])
+        if len(word) <= MEMO_CHARS:
+            self[word] = ids
+        return ids
+
+
+_kept: dict[str, "Ids"] = {}
 
 
 class Ids(dict):
-    """Run of characters without white space -> its ids as bytes; a bounded memo over the tokenizer."""
+    """Run of characters without white space -> its ids as bytes; a bounded memo over the tokenizer.
+
+    A run of plain characters is cut into words here, any other is given to the tokenizer, as is
+    the whole text if the file is not of the known kind.
+    """
+
+    @classmethod
+    def kept(cls, path: str) -> "Ids":
+        """One for each file and Python worker: tasks that come later find the memo filled."""
+        if path not in _kept:
+            _kept[path] = cls(path)
+        return _kept[path]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        spec = json.loads(Path(path).read_text())
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.drops_spaces = steps == NORMALIZERS and cuts == [WORDS, None] and not spec.get("truncation") and self.kind.itemsize == 2
+        self.words = Words(self.tokenizer) if self.drops_spaces else None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        if run.isascii() and run.isalpha():
+            ids = self.words[run.lower()]
+        elif PLAIN.fullmatch(run) and "<|" not in run:
+            ids = b"".join([self.words[w] for w in PLAIN_WORDS.findall(run.lower())])
+        else:
+            ids = self.whole(run)
+        if len(run) <= MEMO_CHARS:
+            self[run] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        runs = SPACES.split(text) if SEPARATORS.search(text) else text.split()
-        new = [r for r in dict.fromkeys(runs) if r not in self]
-        extra = {}
-        if new:
-            if len(self) + len(new) > MEMO:
-                self.clear()
-                new = list(dict.fromkeys(runs))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for r, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    (self if len(r) <= MEMO_CHARS and len(self) < MEMO else extra)[r] = np.array(e.ids, dtype=self.kind).tobytes()
-        if extra:
-            return b"".join([extra[r] if r in extra else self[r] for r in runs])
-        return b"".join([self[r] for r in runs])
+        if not self.drops_spaces:
+            return self.whole(text)
+        return b"".join([self[r] for r in (SPACES.split(text) if SEPARATORS.search(text) else text.split())])
 
 
 def tokenise(rows: DataFrame, path: str = TOKENIZER, end: int = END, limit: int = LIMIT) -> DataFrame:
@@ -78,7 +135,7 @@ def tokenise(rows: DataFrame, path: str = TOKENIZER, end: int = END, limit: int
     doc_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = Ids.kept(path)
         last, step = np.array([end], dtype=ids.kind).tobytes(), limit * ids.kind.itemsize
         for b in batches:
             n = b.num_rows
