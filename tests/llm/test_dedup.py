@@ -143,6 +143,42 @@ def test_string_dedup_empty(spark):
     assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _dedup_of(spark, partitions):
+    """Rows dealt to partitions as given."""
+    rdd = spark.sparkContext.parallelize(list(enumerate(partitions)), max(1, len(partitions))).flatMap(lambda x: x[1])
+    df = spark.createDataFrame(rdd, "doc_id long, text string")
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.dedup(df).collect())
+
+
+LONG = "abcdefghij" * 8
+
+
+@pytest.mark.parametrize("partitions", [
+    [[(1, "short"), (2, ""), (3, "short")]],
+    [[(1, None)]],
+    [[(1, "a" * 49), (2, None), (3, "b")], [(4, LONG), (5, "x" + LONG)]],
+    [[(1, LONG)], [(2, None)], [(3, "a" * 50), (4, "a" * 49)]],
+    [[(9, LONG), (None, LONG), (2, "tiny")], [(None, None)], [], [(3, LONG + "y")]],
+])
+def test_string_dedup_partitions_of_short_texts(spark, partitions):
+    assert _dedup_of(spark, partitions) == _strings([r for p in partitions for r in p])
+
+
+def test_string_dedup_over_random_partitions(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        some = lambda: rng.choice([None, "", "s" * rng.randint(1, 49), LONG[rng.randint(0, 30) :], "z" * rng.randint(45, 55) + LONG])
+        partitions = [[(rng.randint(0, 30), some()) for _ in range(rng.randint(0, 6))] for _ in range(5)]
+        assert _dedup_of(spark, partitions) == _strings([r for p in partitions for r in p])
+
+
+@pytest.mark.parametrize("texts", [[], [b"short"] * 3, [b"short", LONG.encode()], [LONG.encode()] * 2])
+def test_a_chunk_of_any_lengths(texts):
+    _, lens, body, n = suffixes._pack([np.array([k]) for k in range(len(texts))] or [np.zeros(0, np.int64)], texts)
+    hashes, repeated = suffixes.Chunk(np.arange(len(texts)).tobytes(), lens.tobytes(), body, n).distinct_anchors()
+    assert len(hashes) == len(repeated) and repeated.any() == (texts.count(LONG.encode()) == 2)
+
+
 def test_merged_transforms_equal_sorted_windows():
     rng = np.random.default_rng(2)
     text = rng.integers(97, 99, 4000).astype(np.uint8)

@@ -157,7 +157,7 @@ class Chunk:
         key = np.sort((self.anchor << np.uint64(16)) | self.doc.astype(np.uint64))
         h = key >> np.uint64(16)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(h)) - 1
+        last = (np.append(first[1:], len(h)) - 1)[: len(first)]  # none if all texts are shorter than a window
         # rows that share an id are one document here only if they share the row; a few candidates more do no harm
         return h[first], key[first] != key[last]
 
