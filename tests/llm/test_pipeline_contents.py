@@ -99,3 +99,18 @@ def test_sharding_keeps_every_row(spark):
     assert Counter(r.n for r in out) == Counter(range(300))
     for s in {r.shard for r in out}:
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
+def test_mixing_does_not_depend_on_files(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(rng.choice([None, *range(300)]), sentence(rng, rng.randint(0, 40), vocab), rng.choice(["en", None]), rng.choice(["a", "b", "c", None])) for _ in range(400)]
+    rows += rows[:60] + [(7, "the same row again and again", "en", "a")] * 150
+    got = []
+    for n in (1, 3, 8):
+        path = str(tmp_path / f"files{n}")
+        mixed = list(rows)
+        random.Random(n).shuffle(mixed)
+        spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string").repartition(n).write.parquet(path)
+        got.append(Counter(tuple(r) for r in P.mix_sources(spark, spark.read.parquet(path), "").collect()))
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) > 400
