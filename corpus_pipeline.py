@@ -9,7 +9,8 @@ each stage's result to the shared checkpoint folder and reads it back for the ne
 3. decontamination drops documents that hold a benchmark item.
 4. mixing repeats each document as often as the mix takes it: ``taken`` words of a document
    of ``size`` words make taken // size copies, plus one more, with probability equal to
-   the remaining share, by a seeded hash of its id.  Documents without words stay once.
+   the remaining share, by a seeded hash of its columns, so that the same rows give the same
+   copies however they lie in files.  Documents without words stay once.
 5. sharding deals all rows into shards of near-equal bytes and numbers them.
 
 Every decision is made and carried out row by row: rows are told apart by their place in the
@@ -49,10 +50,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, which can be never."""
     docs = scanned(docs)
-    a, b, times, copy = (fresh(docs, x) for x in ("ka", "kb", "times", "copy"))
+    a, b, what, times, copy = (fresh(docs, x) for x in ("ka", "kb", "what", "times", "copy"))
+    # rows with equal contents are interchangeable; their places only tell them apart
+    contents = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind))
     rows = keyed(docs, a, b)
-    plan = mixing.mix(rows, order_by=(a, b))
-    turn = md5_long(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(b).cast("string")))
+    plan = mixing.mix(rows.withColumn(what, contents), order_by=(what, a, b))
+    # at most one row of each source and shard of the mix has a share left, so equal rows need no further number
+    turn = md5_long(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(what).cast("string")))
     more = (turn % F.col("size") < F.col("taken") % F.col("size")).cast("long")
     n = F.when(F.col("size") > 0, F.expr("taken div size") + more).otherwise(1).cast("int")
     plan = plan.select(F.col(a), F.col(b), n.alias(times))
