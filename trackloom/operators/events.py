@@ -15,7 +15,7 @@ from ..config import DEFAULT, Config
 from ..functions import geometry as G
 from ..functions.text import event_key
 from . import zones
-from .neighbours import within
+from .neighbours import FRAME, within
 
 META = {"zone_id": "string", "distance": "double", "heading_diff": "double", "density": "double", "vehicle_ratio": "double"}
 KEYS = ("event_type", "sequence_id", "frame_id", "primary_track_id", "secondary_track_id", "confidence")
@@ -28,10 +28,10 @@ def _events(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.lit(kind).alias("event_type"), "sequence_id", "frame_id", F.col("primary_track_id").cast("long").alias("primary_track_id"), second, F.col("confidence").cast("double").alias("confidence"), *meta)
 
 
-def near_miss_hits(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def near_miss_hits(states: DataFrame, cfg: Config = DEFAULT, frame: tuple[str, ...] = FRAME) -> DataFrame:
     """Pedestrian and vehicle of one frame closer than the limit with one of them moving."""
     c = cfg.near_miss
-    pairs = within(states.where("event_role = 'pedestrian'"), states.where("event_role = 'vehicle'"), c.distance, ("track_id", "speed"))
+    pairs = within(states.where("event_role = 'pedestrian'"), states.where("event_role = 'vehicle'"), c.distance, ("track_id", "speed"), frame)
     return pairs.where((F.col("distance") < c.distance) & (F.greatest("a_speed", "b_speed") > c.min_speed))
 
 
@@ -66,10 +66,10 @@ def loiter(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return _events(out.withColumn("primary_track_id", F.col("track_id")).withColumn("confidence", F.lit(1.0)), "LOITER")
 
 
-def convoy_pairs(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def convoy_pairs(states: DataFrame, cfg: Config = DEFAULT, frame: tuple[str, ...] = FRAME) -> DataFrame:
     c = cfg.convoy
     v = states.where("event_role = 'vehicle'")
-    pairs = within(v, v, c.max_distance, ("track_id", "heading_deg", "class_name")).where("a_track_id < b_track_id and a_class_name = b_class_name")
+    pairs = within(v, v, c.max_distance, ("track_id", "heading_deg", "class_name"), frame).where("a_track_id < b_track_id and a_class_name = b_class_name")
     pairs = pairs.withColumn("heading_diff", G.heading_difference(F.col("a_heading_deg"), F.col("b_heading_deg")))
     return pairs.where(F.col("distance").between(c.min_distance, c.max_distance) & (F.col("heading_diff") <= c.heading))
 

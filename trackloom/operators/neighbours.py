@@ -9,19 +9,20 @@ from ..functions import geometry as G
 FRAME = ("sequence_id", "frame_id")
 
 
-def within(a: DataFrame, b: DataFrame, reach: float, columns: tuple[str, ...]) -> DataFrame:
+def within(a: DataFrame, b: DataFrame, reach: float, columns: tuple[str, ...], frame: tuple[str, ...] = FRAME) -> DataFrame:
     """(sequence_id, frame_id, a_..., b_..., distance): rows of ``a`` and ``b`` of one frame no further apart than ``reach``.
 
     The frame is cut into cells as wide as the reach.  Each row of ``b`` goes to the nine cells
     around it and meets only the rows of ``a`` in them, so a crowded frame costs its close
-    pairs, not all its pairs.  ``columns`` are carried along besides cx and cy.
+    pairs, not all its pairs.  ``columns`` are carried along besides cx and cy; ``frame`` names
+    a frame's columns (streams add the event time, so that their join can forget old frames).
     """
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
     names = tuple(dict.fromkeys(("cx", "cy", *columns)))
-    left = a.select(*FRAME, cell("cx").alias("gx"), cell("cy").alias("gy"), *(F.col(c).alias(f"a_{c}") for c in names))
+    left = a.select(*frame, cell("cx").alias("gx"), cell("cy").alias("gy"), *(F.col(c).alias(f"a_{c}") for c in names))
     nine = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    right = b.select(*FRAME, cell("cx").alias("hx"), cell("cy").alias("hy"), *(F.col(c).alias(f"b_{c}") for c in names), nine.alias("n"))
-    right = right.select(*FRAME, (F.col("hx") + F.col("n.i")).alias("gx"), (F.col("hy") + F.col("n.j")).alias("gy"), *(f"b_{c}" for c in names))
-    pairs = left.join(right, [*FRAME, "gx", "gy"]).drop("gx", "gy")
+    right = b.select(*frame, cell("cx").alias("hx"), cell("cy").alias("hy"), *(F.col(c).alias(f"b_{c}") for c in names), nine.alias("n"))
+    right = right.select(*frame, (F.col("hx") + F.col("n.i")).alias("gx"), (F.col("hy") + F.col("n.j")).alias("gy"), *(f"b_{c}" for c in names))
+    pairs = left.join(right, [*frame, "gx", "gy"]).drop("gx", "gy")
     distance = G.distance(*(F.col(c) for c in ("a_cx", "a_cy", "b_cx", "b_cy")))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= reach)

@@ -15,10 +15,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
 from ..operators import events as E
-from ..sources.shared import folder, write_once
+from ..sources.shared import folder
 
 LATE = "10 seconds"
 FIRST_MS = 86_400_000
+#: A frame far behind all others.
+FAR = 10_000_000
+#: A track without news for so many frames is forgotten.
+SILENT = 3600
 
 
 def with_time(states: DataFrame) -> DataFrame:
@@ -46,12 +50,13 @@ def loiter(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFr
     """LOITER events; the state of a track is its zone, its run and the observations that are not yet older than the watermark.
 
     Observations count in frame order, whatever order they arrive in within the watermark; later
-    ones are dropped by it.  A track whose observations are all counted keeps three values.
+    ones are dropped by it.  A track whose observations are all counted keeps three values, and is
+    forgotten if it stays silent for ``SILENT`` frames.
     """
     limit, classes = cfg.loiter.frames, set(cfg.loiter.classes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        zone, count, frames, still, zones_ = state.get if state.exists else ("", 0, [], [], [])
+        zone, count, last, frames, still, zones_ = state.get if state.exists else ("", 0, 0, [], [], [])
         waiting = list(zip(frames, still, zones_))
         if not state.hasTimedOut:
             for p in batches:
@@ -62,18 +67,22 @@ def loiter(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFr
         while waiting and waiting[0][0] < due:
             f, ok, z = waiting.pop(0)
             count = count + 1 if ok and count and zone == z else int(ok)
-            zone = z
+            zone, last = z, f
             if ok and count == limit:
                 out.append((key[0], int(key[1]), f, z))
-        state.update((zone, count, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
-        if waiting:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, FIRST_MS + 1000 * waiting[0][0]))
+        if state.hasTimedOut and not waiting and last + SILENT < due:
+            state.remove()
+            yield pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_id", "zone_id"])
+            return
+        state.update((zone, count, last, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+        wake = waiting[0][0] if waiting else last + SILENT + 1
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, FIRST_MS + 1000 * wake))
         yield pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_id", "zone_id"])
 
     timed = with_time(stream.select("sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id")).withWatermark("event_ts", late)
     found = timed.groupBy("sequence_id", "track_id").applyInPandasWithState(
         run, "sequence_id string, track_id long, frame_id int, zone_id string",
-        "zone string, n long, frames array<long>, still array<boolean>, zones array<string>", "append", GroupStateTimeout.EventTimeTimeout,
+        "zone string, n long, last int, frames array<long>, still array<boolean>, zones array<string>", "append", GroupStateTimeout.EventTimeTimeout,
     )
     return E._events(found.withColumnRenamed("track_id", "primary_track_id").withColumn("confidence", F.lit(1.0)), "LOITER")
 
@@ -103,32 +112,50 @@ def start(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint:
     return w.trigger(processingTime=f"{max(1, round(1000 * batch_frames / frames_per_second))} milliseconds").start()
 
 
-def frame_batches(states: DataFrame, frames: int) -> DataFrame:
-    """A stream over a finite table: a micro-batch for every so many frames, in their order."""
+def frame_batches(states: DataFrame, frames: int, closing: bool = False) -> DataFrame:
+    """A stream over a finite table: a micro-batch for every so many frames, in their order.
+
+    The table is written once, a file for each batch; the files' times, which put them in order,
+    are set afterwards, so the store must allow that.  ``closing`` adds two batches of one far
+    later row each: the first moves the watermark past everything, the second runs under it.
+    """
     spark = states.sparkSession
     top = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    states = states.withColumn("batch", F.floor(F.col("frame_id") / frames).cast("int"))
-    parts = [r[0] for r in states.select("batch").distinct().orderBy("batch").collect()]  # one for each batch
-    table = write_once(states)
-    for b in parts:  # files in the order of their times
-        table.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(top)
-    return spark.readStream.schema(states.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(top)
+    whole = states.withColumn("batch", F.floor(F.col("frame_id") / frames).cast("int"))
+    if closing:
+        one = states.limit(1)
+        for k in (0, 1):
+            whole = whole.unionByName(one.withColumns({"frame_id": (F.lit(FAR) + k).cast("int"), "batch": F.lit(FAR) + k}))
+    whole.repartition("batch").write.partitionBy("batch").parquet(top)
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = [x.getPath() for x in fs.listStatus(path) if x.isDirectory()]
+    for second, at in enumerate(sorted(batches, key=lambda p: int(p.getName().removeprefix("batch=")))):
+        for file in fs.listStatus(at):
+            fs.setTimes(file.getPath(), 1_000_000_000_000 + 1000 * second, -1)
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(top).drop("batch")
 
 
 def _replay(states: DataFrame, build: Callable[[DataFrame], DataFrame], frames: int = 10) -> DataFrame:
     """Run a streaming plan over a finite table in batches of frames to its end and read what it wrote."""
     spark = states.sparkSession
-    last = states.limit(1).withColumn("frame_id", F.lit(10_000_000))  # moves the watermark past everything
-    source = frame_batches(states.unionByName(last), frames)
+    source = frame_batches(states, frames, closing=True)
     out = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    for _ in range(2):  # the second run emits what the moved watermark closes
-        q = build(source).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/ck").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise q.exception()
+    q = build(source).writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     return spark.read.parquet(f"{out}/out")
 
 
+def replay(states: DataFrame, rule: Callable[[DataFrame], DataFrame], frames: int = 20) -> DataFrame:
+    """A rule of ``behaviour`` over a finite table."""
+    from .behaviour import rocks
+
+    with rocks(states.sparkSession):
+        return _replay(states.drop("trajectory"), rule, frames).where(F.coalesce("frame_id", F.lit(0)) < FAR)
+
+
 def replay_zone_stats(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return _replay(states.drop("trajectory"), lambda s: zone_stats(s, cfg))
 
