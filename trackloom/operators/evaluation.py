@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..sources.shared import write_once
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
@@ -27,56 +29,72 @@ def _apart(df: DataFrame) -> DataFrame:
 
 
 def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """(image_id, class_id, pos, confidence, threshold, tp): by confidence, each takes its best free truth of its class.
+    """(image_id, class_id, pos, confidence, hits): by confidence, each takes its best free truth of its class.
 
+    Bit k of ``hits`` says whether it takes one at the k-th threshold.
     Columns: image_id, class_id, pos, x1, y1, x2, y2 (+ confidence).
     """
     box = ["x1", "y1", "x2", "y2"]
 
-    def hits(iou: np.ndarray) -> np.ndarray:
-        """[threshold, prediction]: does it take a truth?  Predictions and truths stand in their orders."""
-        tp = np.zeros((len(thresholds), len(iou)), np.int32)
+    def taken(iou: np.ndarray) -> np.ndarray:
+        """Predictions and truths stand in their orders."""
+        hits = np.zeros(len(iou), np.int64)
         for k, th in enumerate(thresholds):
             free = np.ones(iou.shape[1], bool)
             for i in np.flatnonzero((iou >= th).any(axis=1)):
                 best = int(np.where(free, iou[i], -1).argmax())
                 if free[best] and iou[i, best] >= th:
-                    free[best], tp[k, i] = False, 1
-        return tp
+                    free[best] = False
+                    hits[i] |= 1 << k
+        return hits
 
     def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
             return pd.DataFrame(columns=names)
-        image, order = p["image_id"].iloc[0], np.lexsort((p["pos"], -p["confidence"], p["class_id"]))
-        cls, pos, conf, boxes = (p[c].to_numpy()[order] for c in ("class_id", "pos", "confidence", box))
+        order = np.lexsort((p["pos"], -p["confidence"], p["class_id"]))
+        cls, boxes = p["class_id"].to_numpy()[order], p[box].to_numpy(float)[order]
         later = np.argsort(t["pos"].to_numpy(), kind="stable")
         t_cls, t_boxes = t["class_id"].to_numpy()[later], t[box].to_numpy(float)[later]
-        tp = np.zeros((len(thresholds), len(p)), np.int32)
+        hits = np.zeros(len(p), np.int64)
         for c in np.unique(cls):
             mine, theirs = cls == c, t_cls == c
             if theirs.any():
-                tp[:, mine] = hits(_iou(boxes[mine].astype(float), t_boxes[theirs]))
-        n = len(thresholds)
-        columns = (np.full(n * len(p), image), np.tile(cls, n), np.tile(pos, n), np.tile(conf, n), np.repeat(thresholds, len(p)), tp.ravel())
-        return pd.DataFrame(dict(zip(names, columns)))
+                hits[mine] = taken(_iou(boxes[mine], t_boxes[theirs]))
+        return p.iloc[order].assign(hits=hits)[names]
 
-    names = ["image_id", "class_id", "pos", "confidence", "threshold", "tp"]
-    schema = "image_id string, class_id int, pos long, confidence double, threshold double, tp int"
+    names = ["image_id", "class_id", "pos", "confidence", "hits"]
     preds, truths = _apart(preds), _apart(truths)
-    return preds.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(match, schema)
+    return preds.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(match, "image_id string, class_id int, pos long, confidence double, hits long")
+
+
+def running_counts(rows: DataFrame, group: str, order: list[Column], flags: list[Column]) -> DataFrame:
+    """``rows`` with ``n`` and ``counts``: rows of the group, and true ``flags``, up to and with each row in the order.
+
+    A group may hold all rows: they are dealt by ranges of the order and counted range by range; the
+    totals of the ranges (a row for each range and group) are summed up and added.
+    """
+    part = write_once(rows.repartitionByRange(group, *order).withColumn("part", F.spark_partition_id()))
+    ones = [f.cast("long") for f in flags]
+    totals = part.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n_part"), *(F.sum(f).alias(f"f{k}") for k, f in enumerate(ones)))
+    before = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    n_before = F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("n_before")
+    offsets = totals.select(group, "part", n_before, F.array(*(F.coalesce(F.sum(f"f{k}").over(before), F.lit(0)) for k in range(len(flags)))).alias("before"))
+    here = W.partitionBy(group, "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = part.withColumns({"n": F.count(F.lit(1)).over(here), "counts": F.array(*(F.sum(f).over(here) for f in ones))})
+    both = local.join(offsets, [group, "part"])
+    return both.withColumns({"n": F.col("n") + F.col("n_before"), "counts": F.zip_with("counts", "before", lambda a, b: a + b)}).drop("part", "n_before", "before")
 
 
 def average_precision(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """(class_id, threshold, ap): mean precision at the true positives, not interpolated; a class without truth has 0."""
     m = match_detections(preds, truths, thresholds)
-    order = W.partitionBy("class_id", "threshold").orderBy(F.col("confidence").desc(), "pos", "image_id").rowsBetween(W.unboundedPreceding, 0)
-    m = m.withColumns({"tps": F.sum("tp").over(order), "n": F.count(F.lit(1)).over(order)})
-    hits = m.groupBy("class_id", "threshold").agg(F.sum(F.when(F.col("tp") == 1, F.col("tps") / F.col("n")).otherwise(0.0)).alias("s"))
+    flags = [F.shiftright("hits", k).bitwiseAND(F.lit(1)) == 1 for k in range(len(thresholds))]
+    m = running_counts(m, "class_id", [F.col("confidence").desc(), F.col("pos").asc(), F.col("image_id").asc()], flags)
+    sums = m.groupBy("class_id").agg(*(F.sum(F.when(f, F.col("counts")[k] / F.col("n")).otherwise(0.0)).alias(f"s{k}") for k, f in enumerate(flags)))
     gt = truths.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    classes = preds.select("class_id").union(truths.select("class_id")).distinct()
-    grid = classes.select("class_id", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    out = grid.join(gt, "class_id", "left").join(hits, ["class_id", "threshold"], "left")
-    return out.select("class_id", "threshold", F.when(F.col("n_gt") > 0, F.coalesce("s", F.lit(0.0)) / F.col("n_gt")).otherwise(0.0).alias("ap"))
+    every = F.array(*(F.struct(F.lit(th).alias("threshold"), F.coalesce(F.col(f"s{k}"), F.lit(0.0)).alias("s")) for k, th in enumerate(thresholds)))
+    out = sums.join(gt, "class_id", "full").select("class_id", "n_gt", F.explode(every).alias("x"))
+    return out.select("class_id", "x.threshold", F.when(F.col("n_gt") > 0, F.col("x.s") / F.col("n_gt")).otherwise(0.0).alias("ap"))
 
 
 def mean_average_precision(ap: DataFrame) -> DataFrame:
