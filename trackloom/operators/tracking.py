@@ -1,4 +1,4 @@
-"""Detections to tracks: formatting, suppression and a two-pass IoU association per sequence.
+"""Detections to tracks: formatting, suppression and a two-pass association of predicted boxes per sequence.
 
 Association depends on every earlier frame, so a sequence is one group; sequences are
 independent and run in parallel.
@@ -16,7 +16,6 @@ from ..config import DEFAULT, Config
 from .evaluation import _iou
 
 BOX = ["x1", "y1", "x2", "y2"]
-SMOOTH = 0.5
 
 
 def format_detections(raw: DataFrame, names: dict[int, str], min_confidence: float | None = None) -> DataFrame:
@@ -67,77 +66,167 @@ def infer(frames: DataFrame, factory: Callable[[], Callable[[bytes], tuple]], ke
     return frames.select(*keys, "content").mapInPandas(run, schema)
 
 
+#: Standard deviations of a box's place and speed, as shares of its height.
+PLACE, SPEED = 1 / 20, 1 / 160
+
+
+def assign(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the cheapest assignment in which a row may stay alone at the price ``limit``.
+
+    Shortest augmenting paths with potentials: each row in turn searches the cheapest path of
+    alternating pairs to a free column, its own place to stay alone included.
+    """
+    allowed = cost <= limit
+    if (allowed.sum(axis=0) <= 1).all() and (allowed.sum(axis=1) <= 1).all():
+        return list(zip(*(x.tolist() for x in np.nonzero(allowed))))
+    n, m = cost.shape
+    alone = np.full((n, n), np.inf)
+    np.fill_diagonal(alone, limit)
+    c = np.hstack([np.where(allowed, cost, np.inf), alone])
+    u, v = np.zeros(n), np.zeros(m + n)
+    row_of, col_of = np.full(m + n, -1), np.full(n, -1)
+    for start in range(n):
+        dist, via, done = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
+        row, lowest = start, 0.0
+        while True:
+            reach = lowest + c[row] - u[row] - v
+            nearer = ~done & (reach < dist)
+            dist[nearer], via[nearer] = reach[nearer], row
+            j = int(np.where(done, np.inf, dist).argmin())
+            lowest = dist[j]
+            if row_of[j] < 0:
+                break
+            done[j] = True
+            row = row_of[j]
+        inner = np.flatnonzero(done)
+        u[start] += lowest
+        u[row_of[inner]] += lowest - dist[inner]
+        v[inner] -= lowest - dist[inner]
+        while True:  # turn the pairs of the path over
+            row = via[j]
+            row_of[j], col_of[row], j = row, j, col_of[row]
+            if row == start:
+                break
+    return [(i, int(j)) for i, j in enumerate(col_of) if j < m]
+
+
+def _greedy(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs by cost, each row and column once."""
+    used_i, used_j, out = set(), set(), []
+    for _, i, j in sorted((cost[i, j], i, j) for i, j in zip(*np.nonzero(cost <= limit))):
+        if i not in used_i and j not in used_j:
+            used_i.add(i)
+            used_j.add(j)
+            out.append((int(i), int(j)))
+    return out
+
+
+class Motion:
+    """Constant-velocity filters of all tracks: centre, width and height with their speeds and 2 x 2 covariances.
+
+    The four coordinates are filtered apart; noise is a share of the box's height.
+    """
+
+    def __init__(self):
+        self.mean, self.cov, self.at = np.zeros((0, 4, 2)), np.zeros((0, 4, 2, 2)), np.zeros(0)
+
+    @staticmethod
+    def measured(boxes: np.ndarray) -> np.ndarray:
+        return np.column_stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2, boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]])
+
+    def predict(self, frame: int) -> np.ndarray:
+        """Move all tracks on to the frame; their boxes there."""
+        dt = frame - self.at
+        step = np.zeros((len(dt), 1, 2, 2))
+        step[:, 0, 0, 0] = step[:, 0, 1, 1] = 1
+        step[:, 0, 0, 1] = dt
+        h = np.abs(self.mean[:, 3, 0])[:, None]
+        self.mean = np.einsum("nkij,nkj->nki", np.broadcast_to(step, self.cov.shape), self.mean)
+        self.cov = step @ self.cov @ step.transpose(0, 1, 3, 2)
+        self.cov[:, :, 0, 0] += dt[:, None] * (PLACE * h) ** 2
+        self.cov[:, :, 1, 1] += dt[:, None] * (SPEED * h) ** 2
+        self.at = np.full(len(dt), float(frame))
+        x, y, w, t = self.mean[:, :, 0].T
+        return np.column_stack([x - w / 2, y - t / 2, x + w / 2, y + t / 2])
+
+    def correct(self, rows: list[int], boxes: np.ndarray) -> None:
+        """Take sightings of the given tracks into account."""
+        z, cov = self.measured(boxes), self.cov[rows]
+        spread = cov[:, :, 0, 0] + (PLACE * z[:, 3:4]) ** 2
+        gain = cov[:, :, :, 0] / np.maximum(spread, 1e-12)[:, :, None]
+        self.mean[rows] += gain * (z - self.mean[rows][:, :, 0])[:, :, None]
+        self.cov[rows] = cov - gain[:, :, :, None] * cov[:, :, 0:1, :]
+
+    def add(self, boxes: np.ndarray, frame: int) -> None:
+        z = self.measured(boxes)
+        mean = np.stack([z, np.zeros_like(z)], axis=2)
+        cov = np.zeros((len(z), 4, 2, 2))
+        cov[:, :, 0, 0], cov[:, :, 1, 1] = (2 * PLACE * z[:, 3:4]) ** 2, (20 * SPEED * z[:, 3:4]) ** 2
+        self.mean, self.cov = np.concatenate([self.mean, mean]), np.concatenate([self.cov, cov])
+        self.at = np.append(self.at, np.full(len(z), float(frame)))
+
+    def keep(self, which: np.ndarray) -> None:
+        self.mean, self.cov, self.at = self.mean[which], self.cov[which], self.at[which]
+
+
 class Associator:
-    """Two passes of greedy matching on predicted boxes: sure detections by overlap times confidence, then unsure ones by overlap.
+    """Two passes of assignment on predicted boxes: sure detections by overlap times confidence, then unsure ones by overlap.
 
-    A track's box is moved on by its velocity, smoothed over its sightings, to the frame in question.
+    ``matcher`` assigns rows (tracks) to columns (detections) by cost up to a limit.
     """
 
-    def __init__(self, cfg: Config = DEFAULT):
-        self.cfg, self.next_id, self.tracks, self.reported = cfg.tracker, 1, {}, set()
-
-    def _predicted(self, track: int, frame: int) -> np.ndarray:
-        x = self.tracks[track]
-        return x["box"] + np.tile(x["velocity"], 2) * (frame - x["seen"])
-
-    def _match(self, ids: list[int], frame: int, boxes: np.ndarray, least: float, scores: np.ndarray | None = None) -> list[tuple[int, int]]:
-        if not ids or not len(boxes):
-            return []
-        iou = _iou(np.array([self._predicted(t, frame) for t in ids]), boxes)
-        iou = iou if scores is None else iou * scores
-        pairs = sorted(((-iou[i, j], i, j) for i, j in zip(*np.nonzero(iou >= least))))
-        used_t, used_d, out = set(), set(), []
-        for _, i, j in pairs:
-            if i not in used_t and j not in used_d:
-                used_t.add(i)
-                used_d.add(j)
-                out.append((ids[i], j))
-        return out
+    def __init__(self, cfg: Config = DEFAULT, matcher: Callable[[np.ndarray, float], list[tuple[int, int]]] = assign):
+        self.cfg, self.matcher, self.next_id, self.motion = cfg.tracker, matcher, 1, Motion()
+        self.ids: list[int] = []
+        self.seen, self.reported = {}, set()
 
     def update(self, frame: int, boxes: np.ndarray, confidence: np.ndarray) -> tuple[dict[int, int], list[int], list[int]]:
         """(detection -> track, new tracks, newly lost tracks).  A frame without detections changes nothing."""
         if not len(boxes):
             return {}, [], []
-        c, least = self.cfg, 1 - self.cfg.match
+        c = self.cfg
         high, low = np.flatnonzero(confidence >= c.high), np.flatnonzero((confidence >= c.low) & (confidence < c.high))
-        got: dict[int, int] = {}
-        free = sorted(self.tracks)
-        for t, j in self._match(free, frame, boxes[high], least, confidence[high]):
-            got[int(high[j])] = t
-        free = [t for t in free if t not in got.values()]
-        for t, j in self._match(free, frame, boxes[low], 0.5):
-            got[int(low[j])] = t
-        new = []
-        for j in high.tolist():
-            if j not in got and confidence[j] >= c.new:
-                got[j] = self.next_id
-                new.append(self.next_id)
-                self.next_id += 1
-        for j, t in got.items():
-            old = self.tracks.get(t)
-            velocity = np.zeros(2)
-            if old is not None:
-                step = ((boxes[j] - old["box"])[:2] + (boxes[j] - old["box"])[2:]) / 2 / (frame - old["seen"])
-                velocity = step if old["steps"] == 0 else SMOOTH * step + (1 - SMOOTH) * old["velocity"]
-            self.tracks[t] = {"box": boxes[j], "seen": frame, "velocity": velocity, "steps": 0 if old is None else old["steps"] + 1}
+        iou = _iou(self.motion.predict(frame), boxes)
+        row_of: dict[int, int] = {}
+        for i, j in self.matcher(1 - iou[:, high] * confidence[high], c.match):
+            row_of[int(high[j])] = i
+        free = np.setdiff1d(np.arange(len(self.ids)), list(row_of.values()))
+        for i, j in self.matcher(1 - iou[np.ix_(free, low)], 0.5):
+            row_of[int(low[j])] = int(free[i])
+        if row_of:
+            self.motion.correct(list(row_of.values()), boxes[list(row_of)])
+        got = {j: self.ids[i] for j, i in row_of.items()}
+        fresh = [j for j in high.tolist() if j not in got and confidence[j] >= c.new]
+        new = list(range(self.next_id, self.next_id + len(fresh)))
+        self.next_id += len(fresh)
+        got |= dict(zip(fresh, new))
+        self.ids += new
+        self.motion.add(boxes[fresh], frame)
+        for t in got.values():
+            self.seen[t] = frame
             self.reported.discard(t)
-        lost = sorted(t for t, x in self.tracks.items() if x["seen"] < frame and t not in self.reported)
+        lost = sorted(t for t in self.ids if self.seen[t] < frame and t not in self.reported)
         self.reported.update(lost)
-        for t in [t for t, x in self.tracks.items() if frame - x["seen"] > c.buffer]:
-            del self.tracks[t]
+        stays = np.array([frame - self.seen[t] <= c.buffer for t in self.ids], bool)
+        for t in np.array(self.ids)[~stays].tolist():
+            del self.seen[t]
             self.reported.discard(t)
+        self.ids = np.array(self.ids)[stays].tolist()
+        self.motion.keep(stays)
         return got, new, lost
 
 
-def track(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def track(detections: DataFrame, cfg: Config = DEFAULT, tracker: Callable[[Config], Associator] = Associator) -> DataFrame:
     """Tracked detections with is_new and is_lost; a lost track gives one row with its last box when it is first missed.
 
+    ``tracker`` makes the tracker of a sequence; any object with the method ``update`` of ``Associator`` will do.
+
     detections: (sequence_id, frame_id, pos, class_name, x1, y1, x2, y2, confidence).
     """
     cols = ["sequence_id", "frame_id", "pos", "class_name", *BOX, "confidence"]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        a, last, out = Associator(cfg), {}, []
+        a, last, out = tracker(cfg), {}, []
         for frame, f in p.sort_values(["frame_id", "pos"]).groupby("frame_id", sort=True):
             rows = f.to_dict("records")
             got, new, lost = a.update(int(frame), f[BOX].to_numpy(float), f["confidence"].to_numpy(float))
