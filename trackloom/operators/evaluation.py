@@ -187,9 +187,17 @@ def query_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (missing, extra, equal): rows that ``b`` lacks and has too many, as multisets, whatever their order; one aggregation by row."""
+    rows = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1))).groupBy(*a.columns).agg(F.sum("side").alias("side"))
+    n = lambda c: F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0)).cast("long")
+    out = rows.agg(n(F.col("side")).alias("missing"), n(-F.col("side")).alias("extra"))
+    return out.withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equal as multisets of rows."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return difference(a, b).head()["equal"]
 
 
 def calibrate(scored: DataFrame) -> DataFrame:

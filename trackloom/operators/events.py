@@ -91,8 +91,7 @@ def convoy(states: DataFrame, frames: DataFrame, cfg: Config = DEFAULT) -> DataF
 def crowd_form(stats: DataFrame, frames: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Density reaches the limit and has more than doubled within the window; fires in every frame while it holds."""
     c = cfg.crowd
-    g = zones.history_grid(stats, frames, c.window).where((F.col("current") >= c.density) & (F.col("current") > 2 * F.col("past")))
-    out = g.withColumns({"primary_track_id": F.lit(-1), "density": F.col("current"), "confidence": F.lit(1.0)})
+    out = zones.surges(stats, frames, c.window, c.density).withColumns({"primary_track_id": F.lit(-1), "density": F.col("current"), "confidence": F.lit(1.0)})
     return _events(out, "CROWD_FORM")
 
 

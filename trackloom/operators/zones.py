@@ -32,15 +32,26 @@ def nodes(stats: DataFrame, states: DataFrame) -> DataFrame:
     return z.select("sequence_id", "zone_id", F.col("density").alias("last_density"), "vehicle_ratio", "pedestrian_ratio", "updated_at_frame")
 
 
-def history_grid(stats: DataFrame, frames: DataFrame, window: int) -> DataFrame:
-    """Every zone at every processed frame from its first appearance: current and oldest density in the window.
+def surges(stats: DataFrame, frames: DataFrame, window: int, least: float, factor: float = 2.0) -> DataFrame:
+    """(sequence_id, frame_id, zone_id, current): processed frames in which a zone's density is at least ``least`` and more than ``factor`` times the oldest in the window.
 
-    The current density of a zone that is empty now is its last one within the window.
+    The density of a zone that is empty now is its last one within the window.  Nothing is built for
+    every frame: an observation counts as the current one until the next, and as the oldest one
+    while its predecessor has left the window and it has not, so each dense observation gives the few
+    intervals of frames in which the rule holds, and only those meet the processed frames, bucket by bucket.
     """
-    zone = W.partitionBy("sequence_id", "zone_id").orderBy("frame_id").rangeBetween(-(window - 1), 0)
-    first = stats.groupBy("sequence_id", "zone_id").agg(F.min("frame_id").alias("first_frame"))
-    grid = first.join(frames.select("sequence_id", "frame_id"), "sequence_id").where("frame_id >= first_frame")
-    grid = grid.join(stats.select("sequence_id", "frame_id", "zone_id", "density"), ["sequence_id", "frame_id", "zone_id"], "left")
-    return grid.select(
-        "sequence_id", "frame_id", "zone_id", F.last("density", ignorenulls=True).over(zone).alias("current"), F.first("density", ignorenulls=True).over(zone).alias("past")
-    )
+    zone = W.partitionBy("sequence_id", "zone_id").orderBy("frame_id")
+    o = stats.select("sequence_id", "zone_id", "frame_id", "density", F.lead("frame_id").over(zone).alias("next"), F.collect_list(F.struct("frame_id", "density")).over(zone.rangeBetween(-(window - 1), 0)).alias("seen"))
+    o = o.where(F.col("density") >= least)
+    until = F.least(F.coalesce(F.col("next") - 1, F.lit((1 << 31) - 1)), F.col("frame_id") + (window - 1))
+
+    def interval(x, k):
+        since = F.when(k == 0, F.col("frame_id")).otherwise(F.greatest(F.col("frame_id"), F.get("seen", k - 1)["frame_id"] + window))
+        return F.struct(since.alias("since"), F.least(until, x["frame_id"] + (window - 1)).alias("until"), (F.col("density") > factor * x["density"]).alias("grown"))
+
+    held = F.filter(F.transform("seen", interval), lambda i: i["grown"] & (i["since"] <= i["until"]))
+    spans = o.select("sequence_id", "zone_id", F.col("density").alias("current"), F.explode(held).alias("i")).select("sequence_id", "zone_id", "current", "i.since", "i.until")
+    bucket = lambda c: F.floor(F.col(c) / window)
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket("since"), bucket("until"))))
+    at = frames.select("sequence_id", "frame_id", bucket("frame_id").alias("bucket"))
+    return spans.join(at, ["sequence_id", "bucket"]).where(F.col("frame_id").between(F.col("since"), F.col("until"))).select("sequence_id", "frame_id", "zone_id", "current")

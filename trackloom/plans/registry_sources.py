@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -281,25 +281,28 @@ def _(spark, sf):
     return Q.union_of(Q.in_sequence(g["node_object"], "seq_0").select("class"), g["node_object_class"].select(F.col("name").alias("class")))
 
 
-QUERIES.pop("a14_same_rows")
-CTES["few"] = ("SELECT sequence_id, track_id, frame_id FROM states WHERE frame_id < 20", ("states",))
-_SAME = "NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))"
+CTES["few"] = ("SELECT sequence_id, track_id, frame_id FROM states", ("states",))
 _CASES = {
     "reordered": ("SELECT * FROM few", "SELECT * FROM few ORDER BY frame_id DESC"), "one_row_twice": ("SELECT * FROM few", "SELECT * FROM few UNION ALL (SELECT * FROM few ORDER BY ALL LIMIT 1)"),
     "all_twice": ("SELECT * FROM few UNION ALL SELECT * FROM few", "SELECT few.* FROM few, range(2)"), "other_value": ("SELECT * FROM few", "SELECT sequence_id, track_id, frame_id + 1 FROM few"),
-    "both_empty": ("SELECT * FROM few WHERE false", "SELECT * FROM few WHERE frame_id > 99"),
+    "both_empty": ("SELECT * FROM few WHERE false", "SELECT * FROM few WHERE frame_id < 0"),
 }
 
 
-@register("a14_same_rows", sql(" UNION ALL ".join(f"SELECT '{k}' AS name, {_SAME.format(a=a, b=b)} AS equal" for k, (a, b) in _CASES.items()), "few"))
+def _less(a: str, b: str) -> str:
+    return f"(SELECT count(*) FROM (({a}) EXCEPT ALL ({b})))"
+
+
+@register("a14_same_rows", sql("SELECT *, missing + extra = 0 AS equal FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS name, {_less(a, b)} AS missing, {_less(b, a)} AS extra" for k, (a, b) in _CASES.items()) + ")", "few"))
 def _(spark, sf):
-    few = states(spark, sf).where("frame_id < 20").select("sequence_id", "track_id", "frame_id")
+    few = states(spark, sf).select("sequence_id", "track_id", "frame_id")
     one = few.orderBy(*few.columns).limit(1)
     cases = {
-        "reordered": (few, few.orderBy(F.col("frame_id").desc())), "one_row_twice": (few, few.unionAll(one)), "all_twice": (few.unionAll(few), few.crossJoin(F.broadcast(spark.range(2))).select(few.columns)),
-        "other_value": (few, few.withColumn("frame_id", F.col("frame_id") + 1)), "both_empty": (few.where("false"), few.where("frame_id > 99")),
+        "reordered": (few, few.orderBy(F.col("frame_id").desc())), "one_row_twice": (few, few.unionAll(one)), "all_twice": (few.unionAll(few), few.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(few.columns)),
+        "other_value": (few, few.withColumn("frame_id", F.col("frame_id") + 1)), "both_empty": (few.where("false"), few.where("frame_id < 0")),
     }
-    return spark.createDataFrame([(k, V.same_rows(a, b)) for k, (a, b) in cases.items()], "name string, equal boolean")
+    parts = [V.difference(a, b).select(F.lit(k).alias("name"), "missing", "extra", "equal") for k, (a, b) in cases.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES.pop("o5_calibrate")
@@ -405,28 +408,32 @@ def _(spark, sf):
 
 @register("s16_event_payload", sql("SELECT event_type, sequence_id, frame_id, primary_track_id, secondary_track_id FROM events_ WHERE event_type = 'NEAR_MISS'", "events_"))
 def _(spark, sf):
-    """An evaluation payload written as JSON and read back."""
+    """Evaluation payloads, one for each sequence, written as JSON lines and read back."""
     ev = E.near_miss(states(spark, sf), CONFIG).select("event_type", "sequence_id", "frame_id", "primary_track_id", "secondary_track_id")
     path = f"{folder(spark)}/payload-{uuid.uuid4().hex}"
     rows = F.collect_list(F.struct(*ev.columns))
-    ev.agg(rows.alias("predictions"), F.slice(rows, 1, 1).alias("ground_truths")).coalesce(1).write.json(path)
+    ev.groupBy("sequence_id").agg(rows.alias("predictions"), F.slice(rows, 1, 1).alias("ground_truths")).drop("sequence_id").write.json(path)
     fields = "event_type string, sequence_id string, frame_id int, primary_track_id long, secondary_track_id long"
-    return S.evaluation(spark, path, fields)[0].drop("pos")
+    return S.evaluation(spark, path, fields, lines=True)[0].drop("pos")
 
 
-@register("s8_manifest", "SELECT 'seq_' || n_nationkey AS sequence_id FROM nation")
+@register("s8_manifest", "SELECT CAST(c_nationkey AS BIGINT) AS nation, 'cust_' || c_custkey AS sequence_id FROM customer")
 def _(spark, sf):
-    names = table(spark, sf, "nation").select(F.concat(F.lit("seq_"), F.col("n_nationkey").cast("string")).alias("s"))
-    text = names.agg(F.to_json(F.struct(F.collect_list("s").alias("sequence_ids")))).head()[0]  # a manifest is a small file
-    return spark.createDataFrame([(x,) for x in S.manifest_ids(json.loads(text))], "sequence_id string")
+    """A manifest for each nation, lists and objects by turns."""
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.collect_list(F.concat(F.lit("cust_"), F.col("c_custkey").cast("string"))).alias("ids"))
+    text = F.when(F.col("nation") % 2 == 0, F.to_json("ids")).otherwise(F.to_json(F.struct(F.col("ids").alias("sequence_ids"))))
+    return S.manifest_rows(c.select("nation", text.alias("value")))
 
 
 @register("s11_messages", sql("SELECT message_id, sender, text, timestamp, 'seq_0' AS sequence_id FROM messages", "messages"))
 def _(spark, sf):
+    """Message lists of bounded size, one a line."""
     path = f"{folder(spark)}/messages-{uuid.uuid4().hex}"
     one = messages(spark, sf).select("message_id", F.coalesce("sender", F.lit("Unknown")).alias("sender"), "text", F.col("timestamp").cast("long").alias("timestamp"))
-    one.agg(F.to_json(F.collect_list(F.struct(*one.columns))).alias("value")).coalesce(1).write.text(path)
-    return S.messages(spark, path, "seq_0")
+    size = max(1, one.count() // 500)
+    lists = one.groupBy(F.pmod(F.xxhash64("message_id", "timestamp", "text"), F.lit(size)).alias("list")).agg(F.to_json(F.collect_list(F.struct(*one.columns))).alias("value"))
+    lists.select("value").write.text(path)
+    return S.messages(spark, path, "seq_0", lines=True)
 
 
 # ------------------------------------------------------------------ digests, windows

@@ -1,13 +1,14 @@
-"""The tracker where the answer is plain: objects that stand apart keep their track unless they are gone for long."""
+"""Objects that stand apart keep their track unless they are gone for long; walks over graphs with cycles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tracking
+from ..operators import graph, tracking
 from ..sources.adapter import CONFIG, tracks
 from .oracles import sql
-from .registry import register
+from . import traversals as Q
+from .registry import register, states
 
 
 @register("t6_steady_tracks", sql("""
@@ -21,3 +22,25 @@ def _(spark, sf):
     found = tracking.active(tracking.track(t, CONFIG))
     own = found.groupBy("sequence_id", "track_id").agg(F.min("frame_id").alias("first_frame"), F.countDistinct("pos").alias("sources"))
     return found.join(own, ["sequence_id", "track_id"]).select("sequence_id", "frame_id", "pos", "first_frame", "sources")
+
+
+_BOTH = "e AS (SELECT a AS x, b AS y FROM near_ UNION SELECT b, a FROM near_)"
+_WALKS = "SELECT a, b, CAST(min(hops) AS INTEGER) AS hops FROM (WITH RECURSIVE {e}, p AS ({start} UNION SELECT p.a, e.y, hops + 1 FROM p JOIN e ON p.b = e.x WHERE hops < {high}) SELECT * FROM p) WHERE hops >= {low} GROUP BY ALL"
+
+
+def _near(spark, sf):
+    return graph.near(states(spark, sf), CONFIG)
+
+
+for _low, _high in ((0, 2), (1, 10), (2, 4)):
+    _start = "SELECT x AS a, x AS b, 0 AS hops FROM e"
+
+    def _walk(spark, sf, low=_low, high=_high):
+        return Q.paths(_near(spark, sf), "a_track_id", "b_track_id", low, high)
+
+    register(f"j16_paths_{_low}_{_high}", sql(_WALKS.format(e=_BOTH, start=_start, low=_low, high=_high), "near_"))(_walk)
+
+
+@register("j16_paths_unbounded", sql(f"SELECT a, b FROM (WITH RECURSIVE {_BOTH}, p AS (SELECT x AS a, y AS b FROM e UNION SELECT p.a, e.y FROM p JOIN e ON p.b = e.x) SELECT * FROM p)", "near_"))
+def _(spark, sf):
+    return Q.paths(_near(spark, sf), "a_track_id", "b_track_id", 1, None).select("a", "b")

@@ -6,9 +6,12 @@ caller sees are explicit: ascending puts nulls last, descending puts them first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import taxonomy_fallback
+from ..sources.shared import write_once
 
 CRITICAL = 0.03
 
@@ -76,13 +79,8 @@ def convoys(g, durations: DataFrame, sequence_id: str | None = None) -> DataFram
 
 def lifespan(same_entity: DataFrame, appeared: DataFrame, sequence_id: str, track_id: int, hops: int = 3) -> DataFrame:
     """Frames of a track and of all tracks within ``hops`` identity links of it, in either direction."""
-    e = in_sequence(same_entity, sequence_id).select("track_a", "track_b")
-    both = e.union(e.select("track_b", "track_a")).toDF("from_id", "to_id")
-    found = at = appeared.sparkSession.createDataFrame([(track_id,)], "track_id long")
-    for _ in range(hops):
-        at = at.join(both, F.col("track_id") == F.col("from_id")).select(F.col("to_id").alias("track_id")).distinct()
-        found = found.union(at)
-    found = found.distinct()
+    one = appeared.sparkSession.range(1).select(F.lit(track_id).cast("long").alias("track_id"))
+    found = reach(in_sequence(same_entity, sequence_id), one, "track_a", "track_b", 0, hops).select(F.col("b").alias("track_id"))
     return in_sequence(appeared, sequence_id).join(found, "track_id", "left_semi").select("track_id", "frame_id", "cx", "cy").orderBy("frame_id", "track_id")
 
 
@@ -174,18 +172,35 @@ def frame_boxes(g, sequence_id: str, frame_id: int, tracks: list[int] | None = N
     return e.select("track_id", "x1", "y1", "x2", "y2").orderBy("track_id")
 
 
-def paths(edges: DataFrame, start: str, end: str, low: int, high: int) -> DataFrame:
-    """(start, end, hops): undirected variable-length paths by bounded self-joins; ``low`` may be 0."""
-    both = edges.select(F.col(start).alias("a"), F.col(end).alias("b")).unionByName(edges.select(F.col(end).alias("a"), F.col(start).alias("b"))).distinct()
-    at = both.select("a", F.col("a").alias("b")).distinct()
-    out = at.withColumn("hops", F.lit(0)) if low == 0 else None
-    for k in range(1, high + 1):
-        step = both.select(F.col("a").alias("mid"), F.col("b").alias("next"))
-        at = at.join(step, F.col("b") == F.col("mid")).select("a", F.col("next").alias("b")).distinct()
+def reach(edges: DataFrame, starts: DataFrame, start: str, end: str, low: int = 1, high: int | None = None) -> DataFrame:
+    """(a, b, hops): from each node of ``starts`` (a column), all nodes on undirected walks of ``low`` to ``high`` edges, with the fewest edges.
+
+    Breadth first: a round joins the nodes found last with the edges and drops what was found
+    before, so cycles end and each pair is followed once; without ``high`` it runs until nothing is
+    new.  Rounds are written as tables; the driver only sees whether one is empty.
+    """
+    both = write_once(edges.select(F.col(start).alias("b"), F.col(end).alias("to")).unionByName(edges.select(F.col(end).alias("b"), F.col(start).alias("to"))).distinct())
+    (node,) = starts.columns
+    at = write_once(starts.select(F.col(node).alias("a"), F.col(node).alias("b")).where(F.col("a").isNotNull()).distinct())
+    found = [at.withColumn("hops", F.lit(0))] if low == 0 else []
+    k = 0
+    while (high is None or k < high) and at.head(1):
+        k += 1
+        step = at.join(both, "b").select("a", F.col("to").alias("b")).distinct()
+        if found:
+            step = step.join(reduce(DataFrame.unionByName, found).select("a", "b"), ["a", "b"], "left_anti")
+        at = write_once(step)
         if k >= low:
-            here = at.withColumn("hops", F.lit(k))
-            out = here if out is None else out.unionByName(here)
-    return out.groupBy("a", "b").agg(F.min("hops").alias("hops"))
+            found.append(at.withColumn("hops", F.lit(k)))
+    if not found:
+        return at.where("false").withColumn("hops", F.lit(0))
+    return reduce(DataFrame.unionByName, found)
+
+
+def paths(edges: DataFrame, start: str, end: str, low: int, high: int | None) -> DataFrame:
+    """``reach`` from every node that has an edge."""
+    nodes = edges.select(F.col(start).alias("a")).union(edges.select(end)).distinct()
+    return reach(edges, nodes, start, end, low, high)
 
 
 def ranked(df: DataFrame, keys: list[str], order) -> DataFrame:

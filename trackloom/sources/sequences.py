@@ -206,16 +206,26 @@ def manifest(path: str) -> list[str]:
     return manifest_ids(json.loads(Path(path).read_text()))
 
 
-def messages(spark: SparkSession, path: str, sequence_id: str) -> DataFrame:
-    if not spark.read.text(path, wholetext=True).where(F.trim("value", F.lit(" \t\r\n")).startswith("[")).count():
+def manifest_rows(texts: DataFrame) -> DataFrame:
+    """``texts`` (value, ...) with a row ``sequence_id`` for each id of each manifest text, parsed by Spark; a text that is none raises."""
+    as_list, as_object = F.from_json("value", "array<string>"), F.from_json("value", "sequence_ids array<string>")["sequence_ids"]
+    starts = lambda c: F.trim("value", F.lit(" \t\r\n")).startswith(c)
+    wrong = F.raise_error(F.lit("a manifest is a list or an object with sequence_ids")).cast("array<string>")
+    ids = F.coalesce(F.when(starts("["), as_list).when(starts("{"), as_object), wrong)
+    return texts.withColumn("sequence_id", F.explode(ids)).drop("value")
+
+
+def messages(spark: SparkSession, path: str, sequence_id: str, lines: bool = False) -> DataFrame:
+    """Messages of a file that is one list; with ``lines``, of files with a list a line, which are split like any text."""
+    if spark.read.text(path, wholetext=not lines).where(~F.trim("value", F.lit(" \t\r\n")).startswith("[")).head(1):
         raise ValueError("a message file is a list")
     schema = "message_id string, sender string, text string, timestamp long"
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("sequence_id", F.lit(sequence_id)).where("message_id is not null")
+    return spark.read.schema(schema).json(path, multiLine=not lines).withColumn("sequence_id", F.lit(sequence_id)).where("message_id is not null")
 
 
-def evaluation(spark: SparkSession, path: str, fields: str) -> tuple[DataFrame, DataFrame]:
-    """predictions and ground_truths of a payload, each with its list position; fields: the rows' schema."""
-    one = spark.read.schema(f"predictions array<struct<{fields}>>, ground_truths array<struct<{fields}>>").json(path, multiLine=True)
+def evaluation(spark: SparkSession, path: str, fields: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """predictions and ground_truths of a payload, each with its list position; fields: the rows' schema.  ``lines``: a payload a line."""
+    one = spark.read.schema(f"predictions array<struct<{fields}>>, ground_truths array<struct<{fields}>>").json(path, multiLine=not lines)
     rows = lambda c: one.select(F.posexplode(c).alias("pos", "r")).select(F.col("pos").cast("long").alias("pos"), "r.*")
     return rows("predictions"), rows("ground_truths")
 

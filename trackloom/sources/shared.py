@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -22,8 +23,38 @@ def folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_once(df: DataFrame) -> DataFrame:
-    """``df`` as a table, computed once however many plans read it; it survives the loss of any executor."""
+    """``df`` as a table, computed once however many plans read it; it survives the loss of any executor.
+
+    ``release`` drops it early; otherwise it goes when the driver ends.
+    """
     path = f"{folder(df.sparkSession)}/once-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``write_once`` that no later plan reads."""
+    for df in tables:
+        folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        for item in [x for x in _written if x[1].rsplit("/", 1)[-1] in folders]:
+            _written.remove(item)
+            _delete(*item)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may be gone already
+            return
