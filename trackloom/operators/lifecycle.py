@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import CLASS_GROUPS, DEFAULT, Config
 from ..functions import geometry as G
+from .neighbours import BOX, overlapping
 
 
 def annotations(rows: DataFrame) -> DataFrame:
@@ -26,12 +27,16 @@ def annotations(rows: DataFrame) -> DataFrame:
     ).withColumn("class_group", groups)
 
 
-def transfer_occlusion(detections: DataFrame, truth: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Detections (image_id, pos, box) with the occlusion of the first annotation (by its pos) that overlaps enough, else 0."""
-    box = ("x1", "y1", "x2", "y2")
-    t = truth.select(F.col("image_id").alias("t_image"), F.col("pos").alias("t_pos"), F.col("occlusion").alias("t_occlusion"), *(F.col(c).alias(f"t_{c}") for c in box))
-    over = G.iou(tuple(F.col(c) for c in box), tuple(F.col(f"t_{c}") for c in box)) > iou
-    first = detections.join(t, (F.col("image_id") == F.col("t_image")) & over).groupBy("image_id", "pos").agg(F.min_by("t_occlusion", "t_pos").alias("found"))
+def transfer_occlusion(detections: DataFrame, truth: DataFrame, iou: float = 0.5, cell: float = 0.05) -> DataFrame:
+    """Detections (image_id, pos, box) with the occlusion of the first annotation (by its pos) that overlaps enough, else 0.
+
+    ``cell`` is the width of the grid over which overlapping boxes meet.
+    """
+    t = truth.select("image_id", F.col("pos").alias("t_pos"), F.col("occlusion").alias("t_occlusion"), *BOX).withColumn("pos", F.lit(0))
+    d = detections.select("image_id", "pos", *BOX).withColumns({"t_pos": F.lit(0), "t_occlusion": F.lit(0)})
+    pairs = overlapping(d, t, cell, ("pos", "t_pos", "t_occlusion"), ("image_id",))
+    enough = G.iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX)) > iou
+    first = pairs.where(enough).groupBy("image_id", F.col("a_pos").alias("pos")).agg(F.min_by("b_t_occlusion", "b_t_pos").alias("found"))
     out = detections.drop("occlusion").join(first, ["image_id", "pos"], "left")
     return out.withColumn("occlusion", F.coalesce("found", F.lit(0))).drop("found")
 

@@ -1,4 +1,4 @@
-"""Pairs of close objects within a frame, as an equi-join over a grid."""
+"""Pairs of close objects, and of overlapping boxes, within a frame, as equi-joins over a grid."""
 
 from __future__ import annotations
 
@@ -26,3 +26,27 @@ def within(a: DataFrame, b: DataFrame, reach: float, columns: tuple[str, ...], f
     pairs = left.join(right, [*frame, "gx", "gy"]).drop("gx", "gy")
     distance = G.distance(*(F.col(c) for c in ("a_cx", "a_cy", "b_cx", "b_cy")))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= reach)
+
+
+BOX = ("x1", "y1", "x2", "y2")
+
+
+def overlapping(a: DataFrame, b: DataFrame, cell: float, columns: tuple[str, ...], keys: tuple[str, ...] = FRAME) -> DataFrame:
+    """(keys, a_..., b_..., for ``columns`` and boxes): rows of ``a`` and ``b`` with equal keys whose boxes share some area.
+
+    A box goes to every cell that it touches, so only boxes that come near meet; a pair counts in
+    the one cell that holds the corner of its overlap with the smallest coordinates.  ``cell`` should be
+    about the size of a usual box; a box of w times h costs about (w / cell + 1) * (h / cell + 1) rows.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+    names = tuple(dict.fromkeys((*BOX, *columns)))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        own = df.where("x1 < x2 and y1 < y2").select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in names))
+        along = own.withColumn("gx", F.explode(F.sequence(at(F.col(f"{side}_x1")), at(F.col(f"{side}_x2")))))
+        return along.withColumn("gy", F.explode(F.sequence(at(F.col(f"{side}_y1")), at(F.col(f"{side}_y2")))))
+
+    pairs = dealt(a, "a").join(dealt(b, "b"), [*keys, "gx", "gy"])
+    left, top = F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1")
+    share = (left < F.least("a_x2", "b_x2")) & (top < F.least("a_y2", "b_y2"))
+    return pairs.where(share & (at(left) == F.col("gx")) & (at(top) == F.col("gy"))).drop("gx", "gy")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import geometry as G, text as T
 from ..operators import evaluation as V, events as E, graph, lifecycle as L, messages as M, motion, reid, tracking, zones
+from ..operators.neighbours import BOX, overlapping
 from ..sources.adapter import CONFIG, tracks
 from ..streaming import events as stream
 from . import digest, traversals as Q
@@ -108,11 +109,10 @@ _IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, le
   SELECT a.sequence_id, a.frame_id, a.track_id AS a_track, b.track_id AS b_track, {_IOU} AS i FROM states a JOIN states b
   ON a.sequence_id = b.sequence_id AND a.frame_id = b.frame_id AND a.zone_id = b.zone_id AND a.track_id < b.track_id) WHERE i > 0""", "states"))
 def _(spark, sf):
-    keys = ["sequence_id", "frame_id", "zone_id"]
-    side = lambda s: states(spark, sf).select(*keys, F.col("track_id").alias(f"{s}_track"), *(F.col(c).alias(f"{s}{c}") for c in ("x1", "y1", "x2", "y2")))
-    p = side("a").join(side("b"), keys).where("a_track < b_track")
-    iou = G.iou(tuple(F.col(f"a{c}") for c in ("x1", "y1", "x2", "y2")), tuple(F.col(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
-    return p.select("sequence_id", "frame_id", "a_track", "b_track", F.round(iou, 6).alias("iou")).where("iou > 0")
+    s = states(spark, sf)
+    p = overlapping(s, s, 0.05, ("track_id",), ("sequence_id", "frame_id", "zone_id")).where("a_track_id < b_track_id")
+    iou = G.iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX))
+    return p.select("sequence_id", "frame_id", F.col("a_track_id").alias("a_track"), F.col("b_track_id").alias("b_track"), F.round(iou, 6).alias("iou")).where("iou > 0")
 
 
 @register("m15_letterbox", """SELECT p_partkey, CAST(round_even(w * s, 0) AS INTEGER) AS new_width, CAST(round_even(h * s, 0) AS INTEGER) AS new_height, round(s, 6) AS scale,

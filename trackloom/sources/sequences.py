@@ -64,6 +64,51 @@ def numbered(files: DataFrame, frame_skip: int = 1) -> DataFrame:
     return kept.withColumn("frame_id", F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("int") - 1)
 
 
+def discover(spark: SparkSession, data_root: str) -> DataFrame:
+    """(sequence_id, root, kind, path) of all sequences below a root on any storage that Spark reads; kind is frame, ini or gt.
+
+    A sequence lies in root/id, root/sequences/id or root/*/sequences/id; of several the first in this
+    order counts, as with ``find_root``; frames are those in img1, if there is one.  One listing, and no
+    content is read; the plan is the same for one sequence and for a million.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.jpg,seqinfo.ini,gt.txt}").load(data_root).select("path")
+    top = spark._jvm.org.apache.hadoop.fs.Path(data_root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().toString()
+    start = F.length(F.regexp_replace(F.lit(top), "^file:/+", "file:/"))
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    files = files.withColumn("below", F.col("path").substr(start + 2, F.length("path")))
+    layout = lambda k: F.regexp_extract("below", _LAYOUT, k)
+    files = files.where(F.col("below").rlike(_LAYOUT)).select("path", layout(1).alias("above"), layout(2).alias("sequence_id"), layout(3).alias("inner"), layout(4).alias("file"))
+    kind = F.when(F.col("file") == "seqinfo.ini", "ini").when((F.col("file") == "gt.txt") & (F.col("inner") == "gt/"), "gt").when(F.col("file").endswith(".jpg") & F.col("inner").isin("", "img1/"), "frame")
+    files = files.withColumn("kind", kind).where("kind is not null and (kind <> 'ini' or inner = '')")
+    order = F.when(F.col("above") == "", 0).when(F.col("above") == "sequences/", 1).otherwise(2)
+    frame = F.when(F.col("kind") == "frame", F.struct(order.alias("order"), "above"))
+    mine = W.partitionBy("sequence_id")
+    files = files.withColumns({"first": F.min(frame).over(mine), "img1": F.max(F.when((F.col("kind") == "frame") & (F.col("inner") == "img1/"), F.struct("above"))).over(W.partitionBy("sequence_id", "above"))})
+    files = files.where((F.col("first.above") == F.col("above")) & ((F.col("kind") != "frame") | (F.col("img1").isNull()) | (F.col("inner") == "img1/")))
+    root = F.concat(F.lit(top), F.lit("/"), "above", "sequence_id")
+    return files.select("sequence_id", root.alias("root"), "kind", "path")
+
+
+#: above, sequence, inner folder and file of a path below the root
+_LAYOUT = r"^((?:[^/]+/)?sequences/|)([^/]+)/((?:img1|gt)/|)([^/]+)$"
+
+
+def all_frames(spark: SparkSession, data_root: str, frame_skip: int = 1) -> DataFrame:
+    """(sequence_id, path, frame_id) of every sequence below a root."""
+    return numbered(discover(spark, data_root).where("kind = 'frame'").select("sequence_id", "path"), frame_skip)
+
+
+def all_annotations(spark: SparkSession, data_root: str) -> DataFrame:
+    """Boxes of the ground-truth files of all sequences below a root: one scan of all files."""
+    from ..operators import lifecycle
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "gt.txt").text(data_root)
+    lines = lines.select("value", F.regexp_replace(lines.metadataColumn("_metadata")["file_path"], "^file:/+", "file:/").alias("path"))
+    known = discover(spark, data_root).where("kind = 'gt'").select("sequence_id", "path")
+    return lifecycle.annotations(annotation_rows(lines.join(known, "path").select("sequence_id", "value")))
+
+
 def frames(spark: SparkSession, root: str, sequence_id: str, frame_skip: int = 1, pixels: bool = False) -> DataFrame:
     """(sequence_id, frame_id, path[, content]) of a sequence's files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(frame_folder(root))
