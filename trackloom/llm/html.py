@@ -56,7 +56,7 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 DROPPED = frozenset(
-    "script style noscript template iframe object svg canvas math head title nav footer aside button input select textarea option "
+    "script style noscript template iframe object svg canvas annotation annotation-xml head title nav footer aside button input select textarea option "
     "label fieldset dialog menu audio video applet search".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
@@ -66,6 +66,8 @@ FURNITURE_WORDS = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "share sharing social related recommended widget widgets form".split()
 )
+#: names that a single line of furniture bears
+LINE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo promos copyright cookie cookies consent gdpr newsletter subscribe subscription paywall".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: words that only say where or of what shape a block is
 SHAPE_WORDS = frozenset(
@@ -74,6 +76,8 @@ SHAPE_WORDS = frozenset(
 )
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote span b i em strong a small font cite q code mark u s sub sup time abbr figcaption caption".split())
 SHORT_WORDS, LINKED, MOST = 25, 1 / 3, 1 / 2
+INLINE = frozenset("span b i em strong a small font cite q code mark u s sub sup time abbr".split())
+HEADINGS = frozenset(("h1", "h2", "h3"))
 HOLDERS = frozenset(("article", "main"))
 CONTAINERS = frozenset(("article", "main", "section", "div", "td", "body", "html", "table", "blockquote", "center", "#root"))
 
@@ -88,7 +92,7 @@ _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 #: how sure an element's own tag and names are that it is furniture
-NONE, HINT, NAMED, COMMENTS, WRAPPER, HEADER, CERTAIN = range(7)
+NONE, HINT, NAMED, TOLD, COMMENTS, WRAPPER, HEADER, CERTAIN = range(8)
 
 
 def _kind(tag: str, attrs: str) -> int:
@@ -106,7 +110,7 @@ def _kind(tag: str, attrs: str) -> int:
                 words = {w.lower() for w in _WORDS.findall(token)}
                 if words & (FURNITURE_WORDS | COMMENT_WORDS):
                     alone = not words - FURNITURE_WORDS - COMMENT_WORDS - SHAPE_WORDS
-                    kind = max(kind, (COMMENTS if words & COMMENT_WORDS else NAMED) if alone else HINT)
+                    kind = max(kind, (COMMENTS if words & COMMENT_WORDS else TOLD if words & LINE_WORDS else NAMED) if alone else HINT)
     return kind
 
 
@@ -224,6 +228,13 @@ class Page:
             words[p] += words[i]
             holds[p] = holds[p] or holds[i] or tag[i] in HOLDERS
         self.drop = [False] * n
+        speaks = [False] * n  # has text of its own beside its elements
+        last = [-1] * n  # its last text in page order
+        for k, (i, text) in enumerate(self.events):
+            if text is not None and text.strip():
+                speaks[i], last[i] = True, k
+        for i in range(n - 1, 0, -1):
+            last[parent[i]] = max(last[parent[i]], last[i])
         told = any(tag[i] in HOLDERS and chars[i] for i in range(1, n))  # the page says itself where its text is
         for i in range(1, n):
             mostly_links = linked[i] >= LINKED * chars[i]
@@ -237,8 +248,11 @@ class Page:
                 gone = False
             elif kind[i] == HINT:
                 gone = mostly_links
-            elif tag[i] in TEXT_LEVEL and kind[i] != WRAPPER:
-                gone = words[i] < SHORT_WORDS or mostly_links
+            elif tag[i] in TEXT_LEVEL and kind[i] != WRAPPER:  # names alone take no text: a sentence keeps its words, a page its headings
+                if tag[i] in INLINE and speaks[parent[i]]:
+                    gone = False
+                else:  # a line that says of itself what it is goes from the end of its block
+                    gone = mostly_links or tag[i] not in HEADINGS and (kind[i] == COMMENTS or kind[i] == TOLD and last[i] == last[parent[i]])
             else:
                 gone = kind[i] == COMMENTS or mostly_links or told or words[i] < SHORT_WORDS or chars[i] < MOST * chars[0]
             self.drop[i] = self.drop[parent[i]] or gone
@@ -301,6 +315,8 @@ class Page:
                     covered[i] = True
         chosen.add(self._widen(core, body))
         chosen |= {h for c in chosen if (h := self._holder(c)) is not None}  # an article comes whole
+        if self._holder(core) is None:
+            chosen |= self._headline(self._widen(core, body), body, inside, C, LC)
         return sorted(chosen)
 
     def _holder(self, i: int) -> int | None:
@@ -314,6 +330,22 @@ class Page:
             i = self.parent[i]
         return article if article is not None else main
 
+    def _headline(self, core: int, body: int, inside: list[bool], C: list[int], LC: list[int]) -> set[int]:
+        """What stands before the core in the nearest wrapper that has a heading there, from that heading on; nothing if the core has one."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        headed = [inside[i] and tag[i] in HEADINGS and C[i] > 0 for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            headed[parent[i]] = headed[parent[i]] or headed[i]
+        if headed[core]:
+            return set()
+        while core != body:
+            before = [i for i in range(parent[core] + 1, core) if parent[i] == parent[core] and inside[i] and C[i] and LC[i] < LINKED * C[i]]
+            first = max((i for i in before if headed[i]), default=None)
+            if first is not None:
+                return {i for i in before if i >= first}
+            core = parent[core]
+        return set()
+
     def _widen(self, i: int, body: int) -> int:
         while i != body and i > 0 and self.tag[i] not in CONTAINERS:
             i = self.parent[i]
