@@ -101,3 +101,22 @@ def test_only_queries_pass(spark):
     for query in ("DROP VIEW v", "DROP TABLE t", "CREATE TABLE t AS SELECT 1", "INSERT INTO t SELECT 1", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SET a = 1", "CACHE TABLE t", "DELETE FROM t", "CREATE VIEW v AS SELECT 1", "USE x"):
         assert not T.validate_sql(spark, query)[0], query
     assert not T.validate_sql(spark, "SELECT (1")[0]
+
+
+def test_failed_and_empty_questions_are_logged(spark, g, tmp_path):
+    class Says:
+        def __init__(self, *queries):
+            self.queries = list(queries)
+
+        def generate(self, system, prompt):
+            return self.queries.pop(0)
+
+    log = str(tmp_path / "log")
+    fine = language.ask(spark, "fine", "seq_0", Says("SELECT track_id FROM node_object WHERE sequence_id = :seq"), log=log)
+    assert fine.error is None and not (tmp_path / "log").exists()
+    mended = language.ask(spark, "mended", "seq_0", Says("DROP TABLE node_object", "SELECT no_such FROM node_object", "SELECT track_id FROM node_object"), log=log)
+    assert mended.error is None and mended.attempts == 3
+    none = language.ask(spark, "none", "seq_9", Says("SELECT track_id FROM node_object WHERE sequence_id = :seq"), log=log)
+    assert none.answer == language.NO_DATA
+    rows = sorted((r.question, r.sequence_id, r.attempt, r.kind, r.query is not None, r.error is not None) for r in spark.read.json(log).collect())
+    assert rows == [("mended", "seq_0", 1, "validator", True, True), ("mended", "seq_0", 2, "execution", True, True), ("none", "seq_9", 1, "empty", True, False)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import CLASS_GROUPS, DEFAULT, Config
 from ..functions import geometry as G
-from .neighbours import BOX, overlapping
+from .neighbours import BOX, overlapping, within
 
 
 def annotations(rows: DataFrame) -> DataFrame:
@@ -106,11 +106,18 @@ def approaching(states: DataFrame, angle: float = 45.0, moving: float = 0.001) -
     return p.where((F.col("a_speed") > moving) & (F.round("off", 9) < angle) & (F.round("distance", 9) < F.round("before", 9)))
 
 
+def following_hits(states: DataFrame, angle: float = 30.0, most: float = 0.12) -> DataFrame:
+    """Frames in which one vehicle of a zone is close behind another (a behind b) with the same heading; close ones meet over a grid."""
+    v = states.where("event_role = 'vehicle'")
+    p = within(v, v, most, ("track_id", "heading_deg", "zone_id")).where("a_track_id <> b_track_id and a_zone_id = b_zone_id")
+    p = p.withColumn("bearing", G.heading(F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy")))
+    p = p.where((F.col("distance") <= most) & (G.heading_difference(F.col("a_heading_deg"), F.col("b_heading_deg")) < angle) & (G.heading_difference(F.col("a_heading_deg"), F.col("bearing")) < angle))
+    return p.select("sequence_id", "frame_id", F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), "distance")
+
+
 def following(states: DataFrame, frames: DataFrame, at_least: int = 30, angle: float = 30.0, most: float = 0.12) -> DataFrame:
     """One vehicle behind another with the same heading for a run of processed frames."""
-    p = _ordered_pairs(states.where("event_role = 'vehicle'")).where(F.col("distance") <= most)
-    p = p.where((G.heading_difference(F.col("a_heading_deg"), F.col("b_heading_deg")) < angle) & (G.heading_difference(F.col("a_heading_deg"), F.col("bearing")) < angle))
-    p = p.join(frames.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
+    p = following_hits(states, angle, most).join(frames.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
     p = p.withColumn("island", F.col("ordinal") - F.row_number().over(W.partitionBy("sequence_id", "a", "b").orderBy("ordinal")))
     runs = p.groupBy("sequence_id", "a", "b", "island").agg(F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"), F.count(F.lit(1)).alias("n_frames"), F.avg("distance").alias("avg_trail_distance"))
     return runs.where(F.col("n_frames") >= at_least).drop("island")

@@ -15,6 +15,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..functions.text import CLASS_WORDS, about, validate_sql
+from ..sources.sinks import audit
 from . import digest
 
 LIMIT, ATTEMPTS, SHOWN, MEMORY_ROWS, MAX_STEPS = 50, 3, 10, 5, 12
@@ -137,8 +138,21 @@ def answer_rows(rows: list[dict], more: bool) -> str:
     return f"{len(rows)}{'+' if more else ''} rows: " + "; ".join(", ".join(f"{k}={v}" for k, v in r.items()) for r in rows)
 
 
-def ask(spark: SparkSession, question: str, sequence_id: str, client: Client | None = None, limit: int = LIMIT) -> QueryResult:
-    """Generate, validate, run; an error is fed back, at most ``ATTEMPTS`` times."""
+def ask(spark: SparkSession, question: str, sequence_id: str, client: Client | None = None, limit: int = LIMIT, log: str | None = None) -> QueryResult:
+    """Generate, validate, run; an error is fed back, at most ``ATTEMPTS`` times.
+
+    ``log``: a folder to which failed attempts and queries without rows are appended (kind: validator, execution or empty).
+    """
+    notes: list[tuple] = []
+    try:
+        return _ask(spark, question, sequence_id, client, limit, notes)
+    finally:
+        if log is not None and notes:
+            rows = [(question, sequence_id, *n) for n in notes]
+            audit(spark.createDataFrame(rows, "question string, sequence_id string, kind string, attempt int, query string, error string"), log)
+
+
+def _ask(spark: SparkSession, question: str, sequence_id: str, client: Client | None, limit: int, notes: list[tuple]) -> QueryResult:
     if not question.strip():
         return QueryResult(question, "", None, "Please ask a question.", "empty question")
     client, prompt, sql, error = client or RuleClient(), question, "", None
@@ -153,9 +167,14 @@ def ask(spark: SparkSession, question: str, sequence_id: str, client: Client | N
                     sql = COUNTS if "count(" in sql.lower() else INVENTORY  # no class edges: ask the objects themselves
                     rows = spark.sql(sql, args={"seq": sequence_id}).limit(limit)
                     shown = [r.asDict() for r in rows.take(SHOWN + 1)]
+                if not shown:
+                    notes.append(("empty", k, sql, None))
                 return QueryResult(question, sql, rows, answer_rows(shown[:SHOWN], len(shown) > SHOWN), None, k)
             except Exception as e:  # what Spark says goes back to the client
                 error = str(e).splitlines()[0]
+                notes.append(("execution", k, sql, error))
+        else:
+            notes.append(("validator", k, sql, error))
         prompt = f"{question}\nThe last query failed: {error}"
     return QueryResult(question, sql, None, FAILED, error, ATTEMPTS)
 

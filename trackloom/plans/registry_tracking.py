@@ -1,14 +1,15 @@
-"""Objects that stand apart keep their track unless they are gone for long; walks over graphs with cycles."""
+"""Objects that stand apart keep their track unless they are gone for long; walks over graphs with cycles; lifecycles of conditions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, tracking
+from ..operators import events as E, graph, lifecycle as L, motion, tracking
 from ..sources.adapter import CONFIG, tracks
-from .oracles import sql
+from .oracles import CTES, sql
 from . import traversals as Q
 from .registry import register, states
+from .registry_documented import ISLES
 
 
 @register("t6_steady_tracks", sql("""
@@ -44,3 +45,38 @@ for _low, _high in ((0, 2), (1, 10), (2, 4)):
 @register("j16_paths_unbounded", sql(f"SELECT a, b FROM (WITH RECURSIVE {_BOTH}, p AS (SELECT x AS a, y AS b FROM e UNION SELECT p.a, e.y FROM p JOIN e ON p.b = e.x) SELECT * FROM p)", "near_"))
 def _(spark, sf):
     return Q.paths(_near(spark, sf), "a_track_id", "b_track_id", 1, None).select("a", "b")
+
+
+#: Frames until a condition is active and frames of grace, to suit 60 frames.
+SHORT = {"IN_ZONE": (1, 5), "CONVOY_WITH": (3, 4), "FOLLOWING": (2, 3), "APPROACHING": (2, 2)}
+_BEHIND = """SELECT sequence_id, frame_id, a, b FROM (
+  SELECT a.sequence_id, a.frame_id, a.track_id AS a, b.track_id AS b, a.heading_deg AS ha, b.heading_deg AS hb, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d,
+    CASE WHEN b.cx - a.cx = 0 AND b.cy - a.cy = 0 THEN 0.0 ELSE (degrees(atan2(b.cy - a.cy, b.cx - a.cx)) + 360) % 360 END AS bearing
+  FROM states a JOIN states b ON a.sequence_id = b.sequence_id AND a.frame_id = b.frame_id AND a.zone_id = b.zone_id AND a.track_id <> b.track_id AND a.event_role = 'vehicle' AND b.event_role = 'vehicle')
+  WHERE d <= 0.12 AND least(abs(ha - hb) % 360, 360 - abs(ha - hb) % 360) < 30 AND least(abs(ha - bearing) % 360, 360 - abs(ha - bearing) % 360) < 30"""
+CTES["zone_hits"] = ("SELECT sequence_id, track_id, zone_id, frame_id FROM states", ("states",))
+CTES["behind_hits"] = (_BEHIND, ("states",))
+# the oracle of z7_approaching without its common tables
+CTES["closing_hits"] = ("""SELECT sequence_id, frame_id, a, b FROM (
+  SELECT *, lag(d) OVER (PARTITION BY sequence_id, a, b ORDER BY frame_id) AS before FROM (
+  SELECT a.sequence_id, a.frame_id, a.track_id AS a, b.track_id AS b, a.speed, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d,
+    least(abs(a.heading_deg - bearing) % 360, 360 - abs(a.heading_deg - bearing) % 360) AS off FROM states a
+    JOIN states b ON a.sequence_id = b.sequence_id AND a.frame_id = b.frame_id AND a.zone_id = b.zone_id AND a.track_id <> b.track_id,
+    LATERAL (SELECT CASE WHEN b.cx - a.cx = 0 AND b.cy - a.cy = 0 THEN 0.0 ELSE (degrees(atan2(b.cy - a.cy, b.cx - a.cx)) + 360) % 360 END AS bearing)))
+  WHERE speed > 0.001 AND round(off, 9) < 45 AND round(d, 9) < round(before, 9)""", ("states",))
+_PAIR = ["sequence_id", "a", "b"]
+_HITS = {
+    "IN_ZONE": ("zone_hits", ["sequence_id", "track_id", "zone_id"], lambda s: s),
+    "CONVOY_WITH": ("convoy_pairs", _PAIR, lambda s: E.convoy_pairs(s, CONFIG).withColumnsRenamed({"a_track_id": "a", "b_track_id": "b"})),
+    "FOLLOWING": ("behind_hits", _PAIR, L.following_hits),
+    "APPROACHING": ("closing_hits", _PAIR, L.approaching),
+}
+for _kind, (_table, _keys, _make) in _HITS.items():
+    _least, _grace = SHORT[_kind]
+    CTES[f"isles_{_table}"] = (ISLES.format(keys=", ".join(_keys[1:]), hits=_table, least=_least, grace=_grace), (_table, "frames"))
+
+    def _states_of(spark, sf, kind=_kind, keys=_keys, make=_make):
+        s = states(spark, sf)
+        return L.condition_states(make(s).select(*keys, "frame_id"), keys, motion.frames(s), kind, SHORT)
+
+    register(f"z10_{_kind.lower()}_states", sql(f"SELECT '{_kind}' AS kind, * FROM isles_{_table}", f"isles_{_table}"))(_states_of)
