@@ -313,10 +313,8 @@ def triggered_by(events: DataFrame, cause: str, effect: str, within: int) -> Dat
     return e.where((F.col("event_type") == effect) & F.col("cause_frame").isNotNull()).select("sequence_id", "zone_id", "cause_frame", F.col("frame_id").alias("effect_frame"), "primary_track_id")
 
 
-def overlaps(states: DataFrame, least: float = 0.0) -> DataFrame:
+def overlaps(states: DataFrame, least: float = 0.0, cell: float = 0.05) -> DataFrame:
     """Pairs of a frame and zone whose boxes overlap more than ``least``."""
-    keys = ["sequence_id", "frame_id", "zone_id"]
-    side = lambda s: states.select(*keys, F.col("track_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")))
-    p = side("a").join(side("b"), keys).where("a < b")
-    box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
-    return p.withColumn("iou", G.iou(box("a"), box("b"))).where(F.col("iou") > least).select("sequence_id", "frame_id", "a", "b", "iou")
+    p = overlapping(states, states, cell, ("track_id",), ("sequence_id", "frame_id", "zone_id")).where("a_track_id < b_track_id")
+    iou = G.iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX))
+    return p.select("sequence_id", "frame_id", F.col("a_track_id").alias("a"), F.col("b_track_id").alias("b"), iou.alias("iou")).where(F.col("iou") > least)

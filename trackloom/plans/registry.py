@@ -460,17 +460,6 @@ def _(spark, sf):
     return motion.stationary_runs(states(spark, sf).where("event_role = 'vehicle'"), 10)
 
 
-@register("q14_audit", sql("""SELECT 'edge_appeared_in' AS table_name, count(*) AS n FROM states UNION ALL SELECT 'edge_detected_in', count(*) FROM objects UNION ALL SELECT 'edge_in_zone', count(*) FROM states
-  UNION ALL SELECT 'edge_near', count(*) FROM near_ UNION ALL SELECT 'edge_precedes', count(*) FROM frames WHERE previous IS NOT NULL UNION ALL SELECT 'node_frame', count(*) FROM frames
-  UNION ALL SELECT 'node_object', count(*) FROM objects UNION ALL SELECT 'node_object_class', count(*) FROM classes
-  UNION ALL SELECT 'node_event:' || event_type, count(*) FROM (SELECT DISTINCT event_type, event_key, zone_id FROM keyed) GROUP BY event_type""", "objects", "near_", "frames", "classes", "keyed"))
-def _(spark, sf):
-    g = tables(spark, sf)
-    pick = ("edge_appeared_in", "edge_detected_in", "edge_in_zone", "edge_near", "edge_precedes", "node_frame", "node_object", "node_object_class")
-    kinds = g["node_event"].groupBy(F.concat(F.lit("node_event:"), "event_type").alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
-    return Q.audit({k: g[k] for k in pick}).unionByName(kinds)
-
-
 @register("q15_class_inventory", sql("SELECT DISTINCT class FROM objects", "objects"))
 def _(spark, sf):
     return Q.class_inventory(tables(spark, sf))

@@ -9,7 +9,7 @@ from ..sources import sequences as S
 from ..sources.adapter import CONFIG
 from . import registry_matching  # noqa: F401  (its tables of truths and predictions)
 from .oracles import CTES, sql
-from .registry import QUERIES, r6, register, states, tables
+from .registry import ORACLES, QUERIES, r6, register, states, tables
 from .registry import _accepted as accepted
 
 GRAY = "[(frame_id * 37 + n * 3) % 256, (frame_id * 11) % 256, n % 256, (frame_id // 7 * 90) % 256]"
@@ -204,13 +204,16 @@ UNION ALL SELECT 'S5_' || kind, count(*) FILTER (WHERE NOT ok) FROM (
     JOIN kinds p ON p.sequence_id = e.sequence_id AND p.track_id = primary_track_id JOIN kinds s ON s.sequence_id = e.sequence_id AND s.track_id = secondary_track_id
   UNION ALL SELECT 'loitering', list_contains(p.groups, 'VulnerableRoadUser') FROM (SELECT DISTINCT sequence_id, primary_track_id, zone_id FROM events_ WHERE event_type = 'LOITER') e JOIN kinds p ON p.sequence_id = e.sequence_id AND p.track_id = primary_track_id
   UNION ALL SELECT 'jaywalking', list_contains(p.groups, 'VulnerableRoadUser') FROM (SELECT DISTINCT sequence_id, primary_track_id, zone_id FROM events_ WHERE event_type = 'JAYWALKING') e JOIN kinds p ON p.sequence_id = e.sequence_id AND p.track_id = primary_track_id) GROUP BY kind
-UNION ALL SELECT 'P1', 0 UNION ALL SELECT 'P2', count(*) FROM near_ WHERE a % 5 = 0 UNION ALL SELECT 'P3', 0 UNION ALL SELECT 'P4', 0 UNION ALL SELECT 'P5', 0
+UNION ALL SELECT 'P1', count(*) FROM states WHERE track_id % 7 = 0 UNION ALL SELECT 'P2', count(*) FROM near_ WHERE a % 5 = 0
+UNION ALL SELECT 'P3', count(*) FROM (SELECT DISTINCT sequence_id, primary_track_id, zone_id FROM events_ WHERE event_type = 'LOITER' AND primary_track_id % 4 = 0)
+UNION ALL SELECT 'P4', count(*) FROM (SELECT DISTINCT event_key, zone_id FROM keyed WHERE event_type = 'CROWD_FORM')
+UNION ALL SELECT 'P5', count(*) FROM (""" + ORACLES["edge_involves"] + """) WHERE track_id % 4 = 0
 UNION ALL SELECT 'C1', count(*) FROM states WHERE track_id % 9 = 0
 UNION ALL SELECT 'C2', count(*) FROM (SELECT frame_id - lag(frame_id) OVER (PARTITION BY sequence_id, primary_track_id, secondary_track_id ORDER BY frame_id) AS gap FROM events_ WHERE event_type = 'NEAR_MISS') WHERE gap <= 30
 UNION ALL SELECT 'C3', count(*) FROM (SELECT sequence_id, c FROM (SELECT sequence_id, coalesce(a.t, b.t) AS t, coalesce(a.c, b.c) AS c FROM (SELECT sequence_id, track_a AS t, least(track_a, track_b) AS c FROM accepted) a
-  FULL JOIN (SELECT sequence_id, track_b AS t, least(track_a, track_b) AS c FROM accepted) b USING (sequence_id, t)) WHERE c <> t GROUP BY ALL HAVING count(*) > 1)""", "ends_", "dirty", "kinds", "frames", "accepted", "states"))
+  FULL JOIN (SELECT sequence_id, track_b AS t, least(track_a, track_b) AS c FROM accepted) b USING (sequence_id, t)) WHERE c <> t GROUP BY ALL HAVING count(*) > 1)""", "ends_", "dirty", "kinds", "frames", "accepted", "states", "keyed"))
 def _(spark, sf):
-    """The graph with faults put in: a loop, objects left out or of too short a life, frames turned round, distances lost, zones doubled."""
+    """The graph with a fault for every rule: a loop, objects left out or of too short a life, frames turned round, distances, centroids, frames and confidences lost, roles made up, zones doubled."""
     g = tables(spark, sf)
     objects = g["node_object"].where("track_id % 10 <> 4").withColumns({"first_seen_frame": F.col("first_seen_frame") + 1, "last_seen_frame": F.col("last_seen_frame") - 2})
     near = g["edge_near"].withColumn("distance", F.when(F.col("a_track_id") % 5 != 0, F.col("distance")))
@@ -219,7 +222,12 @@ def _(spark, sf):
     precedes = g["edge_precedes"].withColumns({"from_frame": F.when(turn, F.col("to_frame")).otherwise(F.col("from_frame")), "to_frame": F.when(turn, F.col("from_frame")).otherwise(F.col("to_frame"))})
     zones = g["edge_in_zone"]
     twice = zones.where("track_id % 9 = 0").withColumn("zone_id", F.lit("cell_9_9"))
-    dirty = g.changed(node_object=objects, edge_near=near.unionByName(loop.select(near.columns)), edge_precedes=precedes, edge_in_zone=zones.unionByName(twice))
+    lost = lambda t, c, when: t.withColumn(c, F.when(~when, F.col(c)))
+    dirty = g.changed(
+        edge_appeared_in=lost(g["edge_appeared_in"], "cx", F.col("track_id") % 7 == 0), edge_loitering_in=lost(g["edge_loitering_in"], "frame_id", F.col("track_id") % 4 == 0),
+        node_event=lost(g["node_event"], "confidence", F.col("event_type") == "CROWD_FORM"), edge_involves=g["edge_involves"].withColumn("role", F.when(F.col("track_id") % 4 == 0, "witness").otherwise(F.col("role"))),
+        node_object=objects, edge_near=near.unionByName(loop.select(near.columns)), edge_precedes=precedes, edge_in_zone=zones.unionByName(twice),
+    )
     return L.graph_violations(dirty | {"canonical": reid.canonical(accepted(spark, sf))})
 
 

@@ -1,4 +1,4 @@
-"""Objects that stand apart keep their track unless they are gone for long; walks over graphs with cycles; lifecycles of conditions."""
+"""Objects that stand apart keep their track unless they are gone for long; walks over graphs with cycles; lifecycles of conditions; the audit of all tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from ..operators import events as E, graph, lifecycle as L, motion, tracking
 from ..sources.adapter import CONFIG, tracks
 from .oracles import CTES, sql
 from . import traversals as Q
-from .registry import register, states
+from .registry import ORACLES, register, states, tables
 from .registry_documented import ISLES
 
 
@@ -80,3 +80,22 @@ for _kind, (_table, _keys, _make) in _HITS.items():
         return L.condition_states(make(s).select(*keys, "frame_id"), keys, motion.frames(s), kind, SHORT)
 
     register(f"z10_{_kind.lower()}_states", sql(f"SELECT '{_kind}' AS kind, * FROM isles_{_table}", f"isles_{_table}"))(_states_of)
+
+
+#: Each table of the graph with the oracle of its rows.
+_ROWS = {
+    "node_scene": "node_scene", "node_object": "a4_object_nodes", "node_zone": "a3_zone_nodes", "node_event": "e7_event_nodes", "node_object_class": "node_object_class",
+    "edge_near_miss": "e8_near_miss_edge", "edge_convoy_with": "e8_convoy_edge", "edge_loitering_in": "e8_loitering_edge", "edge_jaywalking_in": "e8_jaywalking_edge",
+    **{n: n for n in ("edge_in_zone", "edge_appeared_in", "edge_detected_in", "edge_belongs_to_class", "edge_precedes", "edge_near", "edge_occurred_in", "edge_involves")},
+}
+_AUDIT = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM ({ORACLES[q]})" for t, q in _ROWS.items())
+_AUDIT += " UNION ALL SELECT * FROM (" + sql("SELECT 'node_frame' AS table_name, count(*) AS n FROM frames", "frames") + ")"
+_AUDIT += " UNION ALL SELECT * FROM (" + sql("SELECT 'node_event:' || event_type AS table_name, count(*) AS n FROM (SELECT DISTINCT event_type, event_key, zone_id FROM keyed) GROUP BY event_type", "keyed") + ")"
+
+
+@register("q14_audit", _AUDIT)
+def _(spark, sf):
+    """Row counts of all eighteen tables, and of each kind of event."""
+    g = tables(spark, sf)
+    kinds = g["node_event"].groupBy(F.concat(F.lit("node_event:"), "event_type").alias("table_name")).agg(F.count(F.lit(1)).alias("n"))
+    return Q.audit(g).unionByName(kinds)
