@@ -60,11 +60,6 @@ def _(spark, sf):
     return flagship(spark, sf)
 
 
-@register("s3_frame_skip", sql("SELECT sequence_id, frame_id FROM frames WHERE (ordinal - 1) % 3 = 0", "frames"))
-def _(spark, sf):
-    return motion.frames(states(spark, sf)).where("(ordinal - 1) % 3 = 0").select("sequence_id", "frame_id")
-
-
 @register("t8_is_new", sql("SELECT sequence_id, track_id, frame_id, row_number() OVER (PARTITION BY sequence_id, track_id ORDER BY frame_id) = 1 AS is_new FROM states", "states"))
 def _(spark, sf):
     return motion.is_new(states(spark, sf))
@@ -134,14 +129,6 @@ def _(spark, sf):
     return s.select("sequence_id", "track_id", "frame_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@register("m17_split", """SELECT page_id, CASE WHEN p LIKE '%train%' THEN 'train' WHEN p LIKE '%val%' THEN 'val' WHEN p LIKE '%test%' THEN 'test' ELSE 'unknown' END AS split
-  FROM (SELECT page_id, ['data/VisTrain', 'a/b/val', 'x/test/seq', 'plain'][1 + page_id % 4] || '/s' || page_id AS p0, lower(p0) AS p FROM pages)""")
-def _(spark, sf):
-    p = spark.read.parquet(f"{sf}/pages.parquet")
-    path = F.concat(F.element_at(F.array(*map(F.lit, ("data/VisTrain", "a/b/val", "x/test/seq", "plain"))), (F.col("page_id") % 4 + 1).cast("int")), F.lit("/s"), F.col("page_id").cast("string"))
-    return p.select("page_id", T.split_name(path).alias("split"))
-
-
 @register("m19_event_key", sql("SELECT event_key FROM keyed", "keyed"))
 def _(spark, sf):
     return E.keyed(E.all_events(states(spark, sf), CONFIG)).select("event_key")
@@ -486,18 +473,6 @@ def _(spark, sf):
     return Q.paths(_accepted(spark, sf).select("track_a", "track_b"), "track_a", "track_b", 1, 3)
 
 
-@register("q18_alias", sql("SELECT sequence_id, track_id, class FROM objects WHERE class IN ('person','pedestrian','people')", "objects"))
-def _(spark, sf):
-    q = T.expand_aliases("how many people are there", "SELECT sequence_id, track_id, class FROM {objects} WHERE class IN ['person']")
-    return spark.sql(q.replace("[", "(").replace("]", ")"), objects=graph.object_nodes(states(spark, sf)))
-
-
-@register("q19_fallback", sql("SELECT sequence_id, track_id FROM objects WHERE class = 'truck'", "objects"))
-def _(spark, sf):
-    g = tables(spark, sf)
-    return Q.class_query(g.changed(edge_belongs_to_class=g["edge_belongs_to_class"].where("false")), "truck")
-
-
 @register("a15_digest", sql("""SELECT 'speed' AS column_name, count(*) AS n_rows, round(min(speed), 4) AS min_value, round(max(speed), 4) AS max_value, round(avg(speed), 4) AS avg_value FROM states
   UNION ALL SELECT 'frame_id', count(*), min(frame_id), max(frame_id), round(avg(frame_id), 4) FROM states""", "states"))
 def _(spark, sf):
@@ -607,12 +582,6 @@ def _(spark, sf):
     return V.query_metrics(cases).select(*r6("first_attempt_validity", "final_validity", "semantic_correctness", "retry_rate"), "cases")
 
 
-@register("o5_calibrate", """SELECT p_size AS pos, round(f1, 6) AS f1 FROM (SELECT p_size, avg(p_retailprice) % 1 AS f1 FROM part GROUP BY ALL) ORDER BY round(f1, 9) DESC, pos LIMIT 1""")
-def _(spark, sf):
-    c = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_size").alias("pos")).agg(F.round(F.avg("p_retailprice") % 1, 9).alias("f1"))
-    return V.calibrate(c.withColumns({"precision": F.lit(0.0), "recall": F.lit(0.0)})).select("pos", *r6("f1"))
-
-
 # ------------------------------------------------------------------ tracker, streaming, documented-only operators
 
 
@@ -642,11 +611,6 @@ def _(spark, sf):
     return L.track_gaps(states(spark, sf), 3)
 
 
-@register("z5_sequence_selection", sql("SELECT sequence_id, count(DISTINCT frame_id) AS n_frames, round(count(*) / count(DISTINCT frame_id), 6) AS objects_per_frame FROM states GROUP BY ALL HAVING count(DISTINCT frame_id) >= 50 AND count(*) / count(DISTINCT frame_id) >= 5", "states"))
-def _(spark, sf):
-    return L.select_sequences(states(spark, sf), min_frames=50, min_objects=5).select("sequence_id", "n_frames", *r6("objects_per_frame"))
-
-
 @register("z7_approaching", sql("""SELECT sequence_id, frame_id, a, b, round(d, 6) AS distance FROM (
   SELECT *, lag(d) OVER (PARTITION BY sequence_id, a, b ORDER BY frame_id) AS before FROM (
   SELECT a.sequence_id, a.frame_id, a.track_id AS a, b.track_id AS b, a.speed, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d,

@@ -9,7 +9,7 @@ from ..sources import sequences as S
 from ..sources.adapter import CONFIG
 from . import registry_matching  # noqa: F401  (its tables of truths and predictions)
 from .oracles import CTES, sql
-from .registry import ORACLES, QUERIES, r6, register, states, tables
+from .registry import ORACLES, r6, register, states, tables
 from .registry import _accepted as accepted
 
 GRAY = "[(frame_id * 37 + n * 3) % 256, (frame_id * 11) % 256, n % 256, (frame_id // 7 * 90) % 256]"
@@ -51,7 +51,6 @@ def _(spark, sf):
     return L.scene_profile(few).select("sequence_id", "scene_type")
 
 
-QUERIES.pop("z5_sequence_selection")
 
 
 @register("z5_sequence_selection", sql("""

@@ -16,7 +16,7 @@ from ..sources.shared import folder
 from ..streaming import events as stream
 from . import digest, traversals as Q
 from .oracles import CTES, sql
-from .registry import QUERIES, fragments, messages, r6, register, states, tables
+from .registry import fragments, messages, r6, register, states, tables
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,7 +33,6 @@ def frame_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("sequence_id", F.concat(F.lit("/data/"), "sequence_id", F.lit("/img1/"), name, F.lit(".jpg")).alias("path"))
 
 
-QUERIES.pop("s3_frame_skip")
 
 
 @register("s3_frame_skip", sql("SELECT sequence_id, frame_id FROM frames WHERE (ordinal - 1) % 3 = 0", "frames"))
@@ -101,7 +100,6 @@ def _(spark, sf):
     return S.scenes(s.drop("k"), lookup).select("sequence_id", "altitude_m", "altitude_source")
 
 
-QUERIES.pop("m17_split")
 
 
 @register("m17_split", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' WHEN 5 THEN 'val' ELSE 'unknown' END AS split FROM pages""")
@@ -197,7 +195,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.query_problem(text).alias("problem"))
 
 
-QUERIES.pop("q18_alias")
 CTES["asked"] = (
     """SELECT conv_id, turn, [['person', 'dog'], ['car'], ['PEOPLE'], ['person', 'pedestrian', 'people'], []][1 + turn % 5] AS classes,
          coalesce(text, '') || [' how many people', ' how many cars', ' a woman', ' movement', ''][1 + conv_id % 5] AS question FROM conversations""",
@@ -217,7 +214,6 @@ def _(spark, sf):
     return c.select("conv_id", "turn", F.concat_ws(",", T.alias_classes(question, classes)).alias("classes"))
 
 
-QUERIES.pop("q19_fallback")
 
 
 @register("q19_fallback", sql("""
@@ -305,7 +301,6 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES.pop("o5_calibrate")
 CTES["scored_at"] = (
     """SELECT pos, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM (
          SELECT pos, count(*) FILTER (WHERE l_quantity >= pos // 2 * 5 AND l_returnflag = 'R') AS tp, count(*) FILTER (WHERE l_quantity >= pos // 2 * 5 AND l_returnflag <> 'R') AS fp,
