@@ -83,3 +83,18 @@ def test_counts_come_from_the_writes(spark, tmp_path):
     assert {k: v for k, v in got.items() if k.endswith("_count")} == {"frame_count": 4, "object_count": 4, "state_count": 13, "event_count": 1}
     assert got["peak_rss_mb"] > 0 and spark.read.parquet(str(tmp_path / "run" / "state")).count() == 13
     assert sinks.summary(states, events, time.time())["frame_count"] == 4
+
+
+def test_an_unreadable_frame_is_an_error(spark, tmp_path):
+    at = tmp_path / "q"
+    at.mkdir()
+    whole = b"\xff\xd8" + b"x" * 200 + b"\xff\xd9"
+    for k, content in ((1, whole), (2, whole + b"\0" * 9), (3, b"\xff\xd8\xff\xd9")):
+        (at / f"{k:07d}.jpg").write_bytes(content)
+    assert S.frames(spark, str(at), "q", pixels=True, checked=True).select("content").count() == len(S.frames(spark, str(at), "q", pixels=True, checked=True).collect()) == 3
+    for bad in (b"n", b"not a picture", whole[:100]):
+        (at / "0000004.jpg").write_bytes(bad)
+        with pytest.raises(Exception, match="unreadable frame.*0000004"):
+            S.frames(spark, str(at), "q", pixels=True, checked=True).collect()
+        assert S.frames(spark, str(at), "q", frame_skip=4, pixels=True, checked=True).count() == 1  # dropped before it is looked at
+        assert len(S.frames(spark, str(at), "q").collect()) == 4

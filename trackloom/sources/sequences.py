@@ -109,10 +109,20 @@ def all_annotations(spark: SparkSession, data_root: str) -> DataFrame:
     return lifecycle.annotations(annotation_rows(lines.join(known, "path").select("sequence_id", "value")))
 
 
-def frames(spark: SparkSession, root: str, sequence_id: str, frame_skip: int = 1, pixels: bool = False) -> DataFrame:
-    """(sequence_id, frame_id, path[, content]) of a sequence's files."""
+def readable(files: DataFrame) -> DataFrame:
+    """``files`` (path, content, ...); a file that begins or ends like no JPEG, such as one cut short, raises (Spark leaves out files without a byte)."""
+    c = F.col("content")
+    whole = (F.hex(F.substring(c, 1, 2)) == "FFD8") & F.hex(F.substring(c, -64, 64)).contains("FFD9")
+    wrong = F.raise_error(F.concat(F.lit("unreadable frame: "), "path")).cast("binary")
+    return files.withColumn("content", F.when(whole, c).otherwise(wrong))
+
+
+def frames(spark: SparkSession, root: str, sequence_id: str, frame_skip: int = 1, pixels: bool = False, checked: bool = False) -> DataFrame:
+    """(sequence_id, frame_id, path[, content]) of a sequence's files; ``checked`` frames must be ``readable``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(frame_folder(root))
-    return numbered(files.withColumn("sequence_id", F.lit(sequence_id)), frame_skip).select("sequence_id", "frame_id", "path", *(["content"] if pixels else []))
+    kept = numbered(files.withColumn("sequence_id", F.lit(sequence_id)), frame_skip)
+    kept = readable(kept) if pixels and checked else kept
+    return kept.select("sequence_id", "frame_id", "path", *(["content"] if pixels else []))
 
 
 def video_frames(index: DataFrame, frame_skip: int = 1, cfg: Config = DEFAULT) -> DataFrame:
