@@ -76,7 +76,7 @@ def convoy_pairs(states: DataFrame, cfg: Config = DEFAULT, frame: tuple[str, ...
 
 def convoy_runs(states: DataFrame, frames: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Qualifying pairs with their position in a run of processed frames, empty frames included."""
-    p = convoy_pairs(states, cfg).join(frames.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
+    p = convoy_pairs(states, cfg).join(frames.select("sequence_id", "frame_id", "ordinal").hint("merge"), ["sequence_id", "frame_id"])
     pair = W.partitionBy("sequence_id", "a_track_id", "b_track_id").orderBy("ordinal")
     p = p.withColumn("island", F.col("ordinal") - F.row_number().over(pair))
     return p.withColumn("run", F.row_number().over(W.partitionBy("sequence_id", "a_track_id", "b_track_id", "island").orderBy("ordinal")))
@@ -99,7 +99,7 @@ def jaywalking(states: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> Da
     """A person in a zone that is mostly vehicles; fires in every frame."""
     c = cfg.jaywalking
     busy = stats.where(F.col("vehicle_ratio") > c.vehicle_ratio).select("sequence_id", "frame_id", "zone_id", "vehicle_ratio")
-    out = states.where(F.col("class_name").isin(*c.classes)).join(busy, ["sequence_id", "frame_id", "zone_id"])
+    out = states.where(F.col("class_name").isin(*c.classes)).join(busy.hint("merge"), ["sequence_id", "frame_id", "zone_id"])
     return _events(out.withColumns({"primary_track_id": F.col("track_id"), "confidence": F.col("vehicle_ratio")}), "JAYWALKING")
 
 

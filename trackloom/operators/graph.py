@@ -64,7 +64,7 @@ def near_pairs(states: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         return near_pairs_any_zone(states, cfg)
     keys = ["sequence_id", "frame_id", "zone_id"]
     side = lambda s: states.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("track_id", "cx", "cy", "speed")))
-    return _near(side("a").join(side("b"), keys), cfg)
+    return _near(side("a").join(side("b").hint("merge"), keys), cfg)
 
 
 def _near(pairs: DataFrame, cfg: Config) -> DataFrame:
@@ -97,7 +97,7 @@ def event_nodes(events: DataFrame) -> DataFrame:
 
 def occurred_in(events: DataFrame, frames: DataFrame) -> DataFrame:
     keyed = E.keyed(events).select("sequence_id", "frame_id", "event_key").distinct()
-    return keyed.join(frames.select("sequence_id", "frame_id"), ["sequence_id", "frame_id"], "left_semi")
+    return keyed.join(frames.select("sequence_id", "frame_id").hint("merge"), ["sequence_id", "frame_id"], "left_semi")
 
 
 def involves(events: DataFrame, objects: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def involves(events: DataFrame, objects: DataFrame) -> DataFrame:
     both = k.select("sequence_id", "event_key", F.explode(F.array(
         F.struct(F.lit("primary").alias("role"), F.col("primary_track_id").alias("track_id")), F.struct(F.lit("secondary").alias("role"), F.col("secondary_track_id").alias("track_id"))
     )).alias("r")).select("sequence_id", "event_key", "r.role", "r.track_id").where("track_id is not null").distinct()
-    return both.join(objects.select("sequence_id", "track_id"), ["sequence_id", "track_id"], "left_semi").select("sequence_id", "event_key", "track_id", "role")
+    return both.join(objects.select("sequence_id", "track_id").hint("merge"), ["sequence_id", "track_id"], "left_semi").select("sequence_id", "event_key", "track_id", "role")
 
 
 def _of(events: DataFrame, kind: str) -> DataFrame:

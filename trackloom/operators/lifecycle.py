@@ -94,7 +94,7 @@ def scene_profile(states: DataFrame, first: int = 30) -> DataFrame:
 def _ordered_pairs(states: DataFrame) -> DataFrame:
     keys = ["sequence_id", "frame_id", "zone_id"]
     side = lambda s: states.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in ("cx", "cy", "speed", "heading_deg")), F.col("track_id").alias(s))
-    p = side("a").join(side("b"), keys).where("a <> b")
+    p = side("a").join(side("b").hint("merge"), keys).where("a <> b")
     return p.withColumns({"distance": G.distance(F.col("a_cx"), F.col("a_cy"), F.col("b_cx"), F.col("b_cy")), "bearing": G.heading(F.col("b_cx") - F.col("a_cx"), F.col("b_cy") - F.col("a_cy"))})
 
 
@@ -117,7 +117,7 @@ def following_hits(states: DataFrame, angle: float = 30.0, most: float = 0.12) -
 
 def following(states: DataFrame, frames: DataFrame, at_least: int = 30, angle: float = 30.0, most: float = 0.12) -> DataFrame:
     """One vehicle behind another with the same heading for a run of processed frames."""
-    p = following_hits(states, angle, most).join(frames.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
+    p = following_hits(states, angle, most).join(frames.select("sequence_id", "frame_id", "ordinal").hint("merge"), ["sequence_id", "frame_id"])
     p = p.withColumn("island", F.col("ordinal") - F.row_number().over(W.partitionBy("sequence_id", "a", "b").orderBy("ordinal")))
     runs = p.groupBy("sequence_id", "a", "b", "island").agg(F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"), F.count(F.lit(1)).alias("n_frames"), F.avg("distance").alias("avg_trail_distance"))
     return runs.where(F.col("n_frames") >= at_least).drop("island")
@@ -209,7 +209,7 @@ def strict_convoys(states: DataFrame, frames: DataFrame, cfg: Config = DEFAULT,
     from .events import convoy_pairs
 
     linear = states.where((F.col("movement_pattern") == "linear") & F.col("class_name").isin(*CLASS_GROUPS["MotorVehicle"]))
-    p = convoy_pairs(linear, cfg).where(F.col("heading_diff") < cfg.convoy.heading).join(frames.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
+    p = convoy_pairs(linear, cfg).where(F.col("heading_diff") < cfg.convoy.heading).join(frames.select("sequence_id", "frame_id", "ordinal").hint("merge"), ["sequence_id", "frame_id"])
     pair = ["sequence_id", "a_track_id", "b_track_id"]
     p = p.withColumn("island", F.col("ordinal") - F.row_number().over(W.partitionBy(*pair).orderBy("ordinal")))
     runs = p.groupBy(*pair, "island").agg(F.min("frame_id").alias("valid_from"), F.max("frame_id").alias("valid_to"), F.count(F.lit(1)).alias("n_frames"), F.avg("distance").alias("avg_distance"), F.var_pop("distance").alias("variance"))
@@ -220,7 +220,7 @@ def strict_jaywalking(states: DataFrame, stats: DataFrame, cfg: Config = DEFAULT
     """JAYWALKING_IN as documented: the zone is mostly vehicles and hardly any pedestrians."""
     busy = stats.where((F.col("vehicle_ratio") > cfg.jaywalking.vehicle_ratio) & (F.col("pedestrian_ratio") < pedestrians)).select("sequence_id", "frame_id", "zone_id", "vehicle_ratio", "pedestrian_ratio")
     walkers = states.where(F.col("class_name").isin("pedestrian", "people")).select("sequence_id", "frame_id", "zone_id", "track_id")
-    return walkers.join(busy, ["sequence_id", "frame_id", "zone_id"])
+    return walkers.join(busy.hint("merge"), ["sequence_id", "frame_id", "zone_id"])
 
 
 def event_classes(events: DataFrame) -> DataFrame:
@@ -249,12 +249,12 @@ def graph_violations(g) -> DataFrame:
     ends = lambda n: g[n].select("sequence_id", "a_track_id", "b_track_id")
     objects = g["node_object"].select("sequence_id", "track_id")
     every = reduce(DataFrame.unionByName, map(ends, pairs))
-    known = lambda df, side: df.join(objects.withColumnRenamed("track_id", f"{side}_track_id"), ["sequence_id", f"{side}_track_id"], "left_anti")
+    known = lambda df, side: df.join(objects.withColumnRenamed("track_id", f"{side}_track_id").hint("merge"), ["sequence_id", f"{side}_track_id"], "left_anti")
     group = g["edge_belongs_to_class"].groupBy("sequence_id", "track_id").agg(F.collect_set("class_group").alias("groups"))
 
     def not_of(df, side, wanted):
         k = group.withColumnRenamed("track_id", side)
-        return df.join(k, ["sequence_id", side], "left").where(~F.coalesce(F.array_contains("groups", wanted), F.lit(False))).drop("groups")
+        return df.join(k.hint("merge"), ["sequence_id", side], "left").where(~F.coalesce(F.array_contains("groups", wanted), F.lit(False))).drop("groups")
 
     nm, cv = ends("edge_near_miss"), ends("edge_convoy_with")
     s5 = {
@@ -270,7 +270,7 @@ def graph_violations(g) -> DataFrame:
     more_than_one = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
     rules = {
         "S1": every.where("a_track_id = b_track_id"), "S2": known(every, "a").unionByName(known(every, "b")).distinct(),
-        "S3": g["edge_appeared_in"].join(lives, ["sequence_id", "track_id"]).where("frame_id < first_seen_frame or frame_id > last_seen_frame"),
+        "S3": g["edge_appeared_in"].join(lives.hint("merge"), ["sequence_id", "track_id"]).where("frame_id < first_seen_frame or frame_id > last_seen_frame"),
         "S4": g["edge_precedes"].where("from_frame >= to_frame"), **s5,
         "P1": lacks(g["edge_appeared_in"], "cx", "cy"), "P2": lacks(g["edge_near"], "distance", "frame_id"),
         "P3": lacks(reduce(DataFrame.unionByName, semantic), "frame_id"), "P4": lacks(g["node_event"], "event_type", "frame_id", "sequence_id", "confidence"),
@@ -302,7 +302,7 @@ def crowd_members(events: DataFrame, states: DataFrame) -> DataFrame:
 
     crowd = keyed(events.where("event_type = 'CROWD_FORM'")).select("sequence_id", "frame_id", "zone_id", "event_key")
     people = states.where("event_role = 'pedestrian'").select("sequence_id", "frame_id", "zone_id", "track_id")
-    return crowd.join(people, ["sequence_id", "frame_id", "zone_id"]).select("sequence_id", "event_key", "track_id").distinct()
+    return crowd.join(people.hint("merge"), ["sequence_id", "frame_id", "zone_id"]).select("sequence_id", "event_key", "track_id").distinct()
 
 
 def triggered_by(events: DataFrame, cause: str, effect: str, within: int) -> DataFrame:

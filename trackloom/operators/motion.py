@@ -60,11 +60,11 @@ def is_new(states: DataFrame) -> DataFrame:
 
 def lost(states: DataFrame, frame_table: DataFrame) -> DataFrame:
     """One row when a track is missing: at the processed frame after its last sighting, with that sighting's frame."""
-    at = states.join(frame_table.select("sequence_id", "frame_id", "ordinal"), ["sequence_id", "frame_id"])
+    at = states.join(frame_table.select("sequence_id", "frame_id", "ordinal").hint("merge"), ["sequence_id", "frame_id"])
     nxt = F.lead("ordinal").over(W.partitionBy(*TRACK).orderBy("ordinal"))
     gaps = at.withColumn("next", nxt).where(F.col("next").isNull() | (F.col("next") > F.col("ordinal") + 1))
     following = frame_table.select("sequence_id", F.col("frame_id").alias("lost_at"), (F.col("ordinal") - 1).alias("ordinal"))
-    return gaps.join(following, ["sequence_id", "ordinal"]).select(*TRACK, F.col("frame_id").alias("last_frame"), "lost_at")
+    return gaps.join(following.hint("merge"), ["sequence_id", "ordinal"]).select(*TRACK, F.col("frame_id").alias("last_frame"), "lost_at")
 
 
 def stationary_runs(states: DataFrame, at_least: int, classes: tuple[str, ...] | None = None) -> DataFrame:

@@ -54,4 +54,4 @@ def surges(stats: DataFrame, frames: DataFrame, window: int, least: float, facto
     bucket = lambda c: F.floor(F.col(c) / window)
     spans = spans.withColumn("bucket", F.explode(F.sequence(bucket("since"), bucket("until"))))
     at = frames.select("sequence_id", "frame_id", bucket("frame_id").alias("bucket"))
-    return spans.join(at, ["sequence_id", "bucket"]).where(F.col("frame_id").between(F.col("since"), F.col("until"))).select("sequence_id", "frame_id", "zone_id", "current")
+    return spans.join(at.hint("merge"), ["sequence_id", "bucket"]).where(F.col("frame_id").between(F.col("since"), F.col("until"))).select("sequence_id", "frame_id", "zone_id", "current")

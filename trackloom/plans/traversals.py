@@ -29,7 +29,7 @@ def events_of(g, sequence_id: str | None, track_id: int | None = None) -> DataFr
     inv = in_sequence(g["edge_involves"], sequence_id)
     inv = inv if track_id is None else inv.where(F.col("track_id") == track_id)
     ev = g["node_event"].select("sequence_id", "event_key", "event_type", "frame_id", "metadata_json")
-    return inv.join(ev, ["sequence_id", "event_key"]).select("sequence_id", "track_id", "role", "event_type", "frame_id", "metadata_json").orderBy("frame_id")
+    return inv.join(ev.hint("merge"), ["sequence_id", "event_key"]).select("sequence_id", "track_id", "role", "event_type", "frame_id", "metadata_json").orderBy("frame_id")
 
 
 def zone_density(g, frame_id: int, sequence_id: str | None = None) -> DataFrame:
@@ -46,8 +46,8 @@ def near_misses_in(g, **scene) -> DataFrame:
     sc = g["node_scene"]
     for k, v in scene.items():
         sc = sc.where(F.col(k) == v)
-    det = g["edge_detected_in"].join(sc.select("sequence_id"), "sequence_id", "left_semi")
-    nm = g["edge_near_miss"].join(det.withColumnRenamed("track_id", "a_track_id"), ["sequence_id", "a_track_id"], "left_semi")
+    det = g["edge_detected_in"].join(sc.select("sequence_id").hint("merge"), "sequence_id", "left_semi")
+    nm = g["edge_near_miss"].join(det.withColumnRenamed("track_id", "a_track_id").hint("merge"), ["sequence_id", "a_track_id"], "left_semi")
     return nm.select("sequence_id", "a_track_id", "b_track_id", "frame_id", "distance", severity(F.col("distance")).alias("severity")).orderBy(F.col("severity").desc_nulls_first(), "sequence_id", "frame_id")
 
 
@@ -56,8 +56,8 @@ def moved_between(g, zone_a: str, zone_b: str, sequence_id: str | None = None) -
     entry = in_sequence(g["edge_in_zone"], sequence_id).groupBy("sequence_id", "track_id", "zone_id").agg(F.min("frame_id").alias("entry"))
     a = entry.where(F.col("zone_id") == zone_a).select("sequence_id", "track_id", F.col("entry").alias("left_from"))
     b = entry.where(F.col("zone_id") == zone_b).select("sequence_id", "track_id", F.col("entry").alias("arrived_at"))
-    both = a.join(b, ["sequence_id", "track_id"]).where("left_from < arrived_at")
-    return both.join(g["node_object"].select("sequence_id", "track_id", "class"), ["sequence_id", "track_id"])
+    both = a.join(b.hint("merge"), ["sequence_id", "track_id"]).where("left_from < arrived_at")
+    return both.join(g["node_object"].select("sequence_id", "track_id", "class").hint("merge"), ["sequence_id", "track_id"])
 
 
 def group_proximity(g, group_a: str = "VulnerableRoadUser", group_b: str = "MotorVehicle", sequence_id: str | None = None) -> DataFrame:
@@ -68,13 +68,13 @@ def group_proximity(g, group_a: str = "VulnerableRoadUser", group_b: str = "Moto
     )
     cls = g["edge_belongs_to_class"]
     of = lambda grp, c: cls.where(F.col("class_group") == grp).select("sequence_id", F.col("track_id").alias(c), F.col("name").alias(f"{c}_class"))
-    return both.join(of(group_a, "x"), ["sequence_id", "x"]).join(of(group_b, "y"), ["sequence_id", "y"])
+    return both.join(of(group_a, "x").hint("merge"), ["sequence_id", "x"]).join(of(group_b, "y").hint("merge"), ["sequence_id", "y"])
 
 
 def convoys(g, durations: DataFrame, sequence_id: str | None = None) -> DataFrame:
     """Each convoy once, with the longest run of its pair."""
     c = in_sequence(g["edge_convoy_with"], sequence_id).where("a_track_id < b_track_id")
-    return c.join(durations, ["sequence_id", "a_track_id", "b_track_id"]).select("sequence_id", "a_track_id", "b_track_id", "duration_frames", "avg_distance")
+    return c.join(durations.hint("merge"), ["sequence_id", "a_track_id", "b_track_id"]).select("sequence_id", "a_track_id", "b_track_id", "duration_frames", "avg_distance")
 
 
 def lifespan(same_entity: DataFrame, appeared: DataFrame, sequence_id: str, track_id: int, hops: int = 3) -> DataFrame:
@@ -85,7 +85,7 @@ def lifespan(same_entity: DataFrame, appeared: DataFrame, sequence_id: str, trac
 
 
 def loitering_hotspots(g, durations: DataFrame, top: int = 10) -> DataFrame:
-    lo = g["edge_loitering_in"].join(durations, ["sequence_id", "track_id", "zone_id"], "left")
+    lo = g["edge_loitering_in"].join(durations.hint("merge"), ["sequence_id", "track_id", "zone_id"], "left")
     out = lo.groupBy("zone_id").agg(F.count(F.lit(1)).alias("loiter_events"), F.avg("duration_frames").alias("avg_duration"))
     return out.orderBy(F.col("loiter_events").desc_nulls_first(), "zone_id").limit(top)
 
@@ -106,7 +106,7 @@ def messages_by(messages: DataFrame, sender: str) -> DataFrame:
 def persons_by_zone(g, classes=("person", "pedestrian", "people")) -> DataFrame:
     """Object-frames and distinct objects of the given classes in each zone."""
     o = g["node_object"].where(F.col("class").isin(*classes)).select("sequence_id", "track_id")
-    e = g["edge_in_zone"].join(o, ["sequence_id", "track_id"], "left_semi")
+    e = g["edge_in_zone"].join(o.hint("merge"), ["sequence_id", "track_id"], "left_semi")
     return e.groupBy("sequence_id", "zone_id").agg(F.count(F.lit(1)).alias("person_count"), F.countDistinct("track_id").alias("distinct_persons")).orderBy(F.col("person_count").desc_nulls_first())
 
 
