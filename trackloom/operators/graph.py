@@ -134,10 +134,15 @@ def jaywalking_edges(events: DataFrame) -> DataFrame:
 
 
 def write(tables: dict[str, DataFrame], path: str) -> None:
-    """Write each table partitioned by sequence, replacing only the sequences it holds: writing again doubles nothing."""
+    """Write each table partitioned by sequence, replacing only the sequences it holds: writing again doubles nothing.
+
+    Rows are brought together by sequence first, large ones in several parts, so a sequence is
+    a few files and not one from every task.
+    """
     for name, df in tables.items():
-        out = df.write.mode("overwrite")
-        if "sequence_id" in df.columns:
+        scoped = "sequence_id" in df.columns
+        out = (df.hint("rebalance", "sequence_id") if scoped else df).write.mode("overwrite")
+        if scoped:
             out = out.option("partitionOverwriteMode", "dynamic").partitionBy("sequence_id")
         out.parquet(f"{path}/{name}")
 
