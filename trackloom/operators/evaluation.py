@@ -1,17 +1,20 @@
 """Detection, tracking, event and query metrics.
 
-Greedy matchers carry an explicit input position, since ties depend on it; each runs in a
-group of one frame, image or event key, never over a whole table.
+Greedy matchers carry an explicit input position, since ties depend on it; each works within
+frames, images or event keys, many of them in one batch, never over a whole table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.shared import write_once
 
+BOX = ["x1", "y1", "x2", "y2"]
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
 
@@ -23,9 +26,90 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
 
 
-def _apart(df: DataFrame) -> DataFrame:
-    """The same columns under new identities, so two tables of one origin can be grouped together."""
-    return df.select(*(F.col(c).alias(c) for c in df.columns))
+def _iou_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of boxes row by row."""
+    w = np.clip(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0, None)
+    h = np.clip(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0, None)
+    area = lambda x: np.clip(x[:, 2] - x[:, 0], 0, None) * np.clip(x[:, 3] - x[:, 1], 0, None)
+    union = area(a) + area(b) - w * h
+    return np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
+
+
+def by_groups(rows: DataFrame, keys: list[str], order: list[Column], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over tables of many whole groups at once, their rows in order; ``first`` marks where a group begins.
+
+    Groups are small and many, so a call for each of them would cost more than its work.  A table
+    holds a batch of rows and the rest of its last group.
+    """
+    marked = rows.withColumn("first", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            starts = np.flatnonzero(b["first"].to_numpy(bool))
+            if held and len(starts):
+                yield run(pd.concat([*held, b.iloc[: starts[-1]]], ignore_index=True))
+                held = []
+            elif len(starts) and starts[-1]:
+                yield run(b.iloc[: starts[-1]].reset_index(drop=True))
+            held.append(b.iloc[starts[-1] :] if len(starts) else b)
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return marked.mapInPandas(whole, schema)
+
+
+def _both(preds: DataFrame, truths: DataFrame, columns: list[str], more: str | None = None) -> DataFrame:
+    """Predictions and truths in one table; ``more`` is a column of predictions only."""
+    extra = [] if more is None else [F.col(more).cast("double").alias(more)]
+    none = [] if more is None else [F.lit(None).cast("double").alias(more)]
+    return preds.select(*columns, *extra, F.lit(True).alias("pred")).unionByName(truths.select(*columns, *none, F.lit(False).alias("pred")))
+
+
+#: Pairs of boxes that are compared at a time.
+PAIRS = 1 << 20
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """A number for each run of equal rows; what is not a number equals nothing."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def _overlaps(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, iou): rows of ``a`` and ``b`` of one group that overlap by ``least``; ``b_group`` ascends."""
+    start = np.searchsorted(b_group, a_group, "left")
+    n = np.searchsorted(b_group, a_group, "right") - start
+    upto, out, at = np.cumsum(n), [], 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        k = n[at:end]
+        i = np.repeat(np.arange(at, end), k)
+        j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + start[i]
+        iou = _iou_of(a[i], b[j])
+        near = iou >= least
+        out.append((i[near], j[near], iou[near]))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _take(i: np.ndarray, j: np.ndarray, bits: np.ndarray, n: int, m: int) -> np.ndarray:
+    """For each pair (i, j), in the order in which they are tried, the bits in which both were free.  Pairs that share no end need no turn."""
+    got = bits.copy()
+    turns = np.flatnonzero((np.bincount(i, minlength=n)[i] > 1) | (np.bincount(j, minlength=m)[j] > 1))
+    used_i: dict[int, int] = {}
+    used_j: dict[int, int] = {}
+    taken = []
+    for x, y, b in zip(i[turns].tolist(), j[turns].tolist(), bits[turns].tolist()):
+        u, v = used_i.get(x, 0), used_j.get(y, 0)
+        b &= ~(u | v)
+        taken.append(b)
+        if b:
+            used_i[x], used_j[y] = u | b, v | b
+    got[turns] = taken
+    return got
 
 
 def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
@@ -34,37 +118,26 @@ def match_detections(preds: DataFrame, truths: DataFrame, thresholds=THRESHOLDS)
     Bit k of ``hits`` says whether it takes one at the k-th threshold.
     Columns: image_id, class_id, pos, x1, y1, x2, y2 (+ confidence).
     """
-    box = ["x1", "y1", "x2", "y2"]
-
-    def taken(iou: np.ndarray) -> np.ndarray:
-        """Predictions and truths stand in their orders."""
-        hits = np.zeros(len(iou), np.int64)
-        for k, th in enumerate(thresholds):
-            free = np.ones(iou.shape[1], bool)
-            for i in np.flatnonzero((iou >= th).any(axis=1)):
-                best = int(np.where(free, iou[i], -1).argmax())
-                if free[best] and iou[i, best] >= th:
-                    free[best] = False
-                    hits[i] |= 1 << k
-        return hits
-
-    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame(columns=names)
-        order = np.lexsort((p["pos"], -p["confidence"], p["class_id"]))
-        cls, boxes = p["class_id"].to_numpy()[order], p[box].to_numpy(float)[order]
-        later = np.argsort(t["pos"].to_numpy(), kind="stable")
-        t_cls, t_boxes = t["class_id"].to_numpy()[later], t[box].to_numpy(float)[later]
+    steps = np.sort(np.asarray(thresholds, float))
+    place = np.argsort(np.asarray(thresholds, float), kind="stable")
+    masks = np.cumsum([0, *(1 << int(k) for k in place)])  # bits of the thresholds that an overlap reaches
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        image, cls, pred = np.cumsum(rows["first"].to_numpy(bool)), rows["class_id"].to_numpy(), rows["pred"].to_numpy(bool)
+        group, boxes = _changes(image, cls), rows[BOX].to_numpy(float)
+        p, t = np.flatnonzero(pred), np.flatnonzero(~pred)
         hits = np.zeros(len(p), np.int64)
-        for c in np.unique(cls):
-            mine, theirs = cls == c, t_cls == c
-            if theirs.any():
-                hits[mine] = taken(_iou(boxes[mine], t_boxes[theirs]))
-        return p.iloc[order].assign(hits=hits)[names]
+        if len(p) and len(t):
+            i, j, iou = _overlaps(boxes[p], group[p], boxes[t], group[t], steps[0])
+            order = np.lexsort((j, -iou, i))
+            i, j, iou = i[order], j[order], iou[order]
+            np.bitwise_or.at(hits, i, _take(i, j, masks[np.searchsorted(steps, iou, "right")], len(p), len(t)))
+        return rows.iloc[p].assign(hits=hits)[names]
 
     names = ["image_id", "class_id", "pos", "confidence", "hits"]
-    preds, truths = _apart(preds), _apart(truths)
-    return preds.groupBy("image_id").cogroup(truths.groupBy("image_id")).applyInPandas(match, "image_id string, class_id int, pos long, confidence double, hits long")
+    both = _both(preds, truths, ["image_id", "class_id", "pos", *BOX], "confidence")
+    order = [F.col("class_id"), F.col("pred").desc(), F.nanvl("confidence", F.lit(None)).desc_nulls_last(), F.col("pos").asc_nulls_last()]
+    return by_groups(both, ["image_id"], order, match, "image_id string, class_id int, pos long, confidence double, hits long")
 
 
 def running_counts(rows: DataFrame, group: str, order: list[Column], flags: list[Column]) -> DataFrame:
@@ -104,28 +177,20 @@ def mean_average_precision(ap: DataFrame) -> DataFrame:
 
 def match_tracks(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(sequence_id, frame_id, gt_track, pred_track, iou): greedy by IoU; ties prefer later prediction, then later truth."""
-    box = ["x1", "y1", "x2", "y2"]
 
-    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        columns = ["sequence_id", "frame_id", "gt_track", "pred_track", "iou"]
-        if not len(p) or not len(t):
-            return pd.DataFrame(columns=columns)
-        p, t = p.sort_values("pos"), t.sort_values("pos")
-        iou = _iou(p[box].to_numpy(float), t[box].to_numpy(float))
-        i, j = np.nonzero(iou >= threshold)
-        order = np.lexsort((j, i, iou[i, j]))[::-1]
-        free_p, free_t, got = np.ones(len(p), bool), np.ones(len(t), bool), []
-        for k in order:
-            if free_p[i[k]] and free_t[j[k]]:
-                free_p[i[k]] = free_t[j[k]] = False
-                got.append(k)
-        i, j = i[got], j[got]
-        truth = t[["sequence_id", "frame_id", "track_id"]].iloc[j].reset_index(drop=True)
-        return truth.assign(pred_track=p["track_id"].to_numpy()[i], iou=iou[i, j]).set_axis(columns, axis=1)
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        group, pred, boxes, track = np.cumsum(rows["first"].to_numpy(bool)), rows["pred"].to_numpy(bool), rows[BOX].to_numpy(float), rows["track_id"].to_numpy()
+        p, t = np.flatnonzero(pred), np.flatnonzero(~pred)
+        i, j, iou = _overlaps(boxes[p], group[p], boxes[t], group[t], threshold)
+        order = np.lexsort((j, i, iou))[::-1]
+        i, j, iou = i[order], j[order], iou[order]
+        got = _take(i, j, np.ones(len(i), np.int64), len(p), len(t)) > 0
+        truth = rows[["sequence_id", "frame_id", "track_id"]].iloc[t[j[got]]].reset_index(drop=True)
+        return truth.assign(pred_track=track[p[i[got]]], iou=iou[got]).set_axis(["sequence_id", "frame_id", "gt_track", "pred_track", "iou"], axis=1)
 
     keys = ["sequence_id", "frame_id"]
-    preds, truths = _apart(preds), _apart(truths)
-    return preds.groupBy(*keys).cogroup(truths.groupBy(*keys)).applyInPandas(match, "sequence_id string, frame_id int, gt_track long, pred_track long, iou double")
+    both = _both(preds, truths, [*keys, "track_id", "pos", *BOX])
+    return by_groups(both, keys, [F.col("pred").desc(), F.col("pos").asc_nulls_last()], match, "sequence_id string, frame_id int, gt_track long, pred_track long, iou double")
 
 
 def tracking_metrics(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -147,23 +212,28 @@ def match_events(preds: DataFrame, truths: DataFrame, tolerance: int = 0) -> Dat
     keys = ["event_type", "sequence_id", "primary_track_id", "second"]
     second = F.coalesce(F.col("secondary_track_id").cast("long"), F.lit(-(1 << 62)))
 
-    def match(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(group=np.cumsum(rows["first"].to_numpy(bool)))[rows["frame_id"].notna()]
+        group, pred, frame, pos = rows["group"].to_numpy(), rows["pred"].to_numpy(bool), rows["frame_id"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64)
+        p, t = np.flatnonzero(pred), np.flatnonzero(~pred)
+        out = rows.iloc[p[:0]][["event_type"]].assign(pred_pos=pos[:0], truth_pos=pos[:0])
         if not len(p) or not len(t):
-            return pd.DataFrame(out, columns=["event_type", "pred_pos", "truth_pos"])
-        p, t = p.sort_values("pos"), t.sort_values("pos")
-        free, frames, places = [True] * len(t), t["frame_id"].tolist(), t["pos"].tolist()
-        for r in p.itertuples():
-            for k, f in enumerate(frames):
-                if free[k] and abs(f - r.frame_id) <= tolerance:
-                    free[k] = False
-                    out.append((r.event_type, int(r.pos), int(places[k])))
-                    break
-        return pd.DataFrame(out, columns=["event_type", "pred_pos", "truth_pos"])
+            return out
+        # truths by group and frame, as one number, so that each prediction looks up those within the tolerance only
+        line = group * (int(frame.max() - frame.min()) + 2 * tolerance + 1) + frame - frame.min()
+        by_line = t[np.argsort(line[t], kind="stable")]
+        start, stop = np.searchsorted(line[by_line], line[p] - tolerance, "left"), np.searchsorted(line[by_line], line[p] + tolerance, "right")
+        n = stop - start
+        i = np.repeat(np.arange(len(p)), n)
+        place = by_line[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[i]]
+        order = np.lexsort((place, i))
+        i, place = i[order], place[order]
+        got = _take(i, place, np.ones(len(i), np.int64), len(p), len(rows)) > 0
+        return rows.iloc[p[i[got]]][["event_type"]].assign(pred_pos=pos[p[i[got]]], truth_pos=pos[place[got]])
 
     cols = (*keys[:3], "frame_id", "pos")
-    a, b = (x.select(*(F.col(c).alias(c) for c in cols), second.alias("second")) for x in (preds, truths))
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, "event_type string, pred_pos long, truth_pos long")
+    a, b = (x.select(*cols, second.alias("second")) for x in (preds, truths))
+    return by_groups(_both(a, b, [*cols, "second"]), keys, [F.col("pred").desc(), F.col("pos").asc_nulls_last()], match, "event_type string, pred_pos long, truth_pos long")
 
 
 def event_metrics(preds: DataFrame, truths: DataFrame, tolerance: int = 0) -> DataFrame:
