@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import DEFAULT, Config
-from .evaluation import _iou
+from .evaluation import _iou, _iou_of
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -30,20 +30,36 @@ def format_detections(raw: DataFrame, names: dict[int, str], min_confidence: flo
 
 
 def suppress(detections: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Greedy non-maximum suppression per image and class."""
-    limit = cfg.inference.iou
-    schema = detections.schema
+    """Greedy non-maximum suppression per image and class.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["confidence", "pos"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        iou = _iou(p[BOX].to_numpy(float), p[BOX].to_numpy(float))
-        keep: list[int] = []
-        for i in range(len(p)):
-            if not keep or iou[i, keep].max() <= limit:
-                keep.append(i)
-        return p.iloc[keep]
-
-    return detections.groupBy("image_id", "class_name").applyInPandas(run, schema)
+    Rows come in order, many images in a batch; of a group that goes on in the next batch only the
+    boxes that stayed are held.
+    """
+    limit, schema = cfg.inference.iou, detections.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            p = b.assign(old=False) if held is None else pd.concat([held, b.assign(old=False)], ignore_index=True)
+            p = p[survivors(np.cumsum(p["first"].to_numpy(bool)), p[BOX].to_numpy(float), limit)]
+            yield p[~p["old"]][schema.names]
+            held = p.iloc[np.flatnonzero(p["first"])[-1] :].assign(old=True) if len(p) else None
+
+    order = W.partitionBy("image_id", "class_name").orderBy(F.nanvl("confidence", F.lit(None)).desc_nulls_last(), F.col("pos").asc_nulls_last())
+    return detections.withColumn("first", F.row_number().over(order) == 1).mapInPandas(run, schema)
+
+
+def survivors(group: np.ndarray, boxes: np.ndarray, limit: float) -> np.ndarray:
+    """Greedy suppression in all groups at once: in each round the first open box of every group stays and closes those that overlap it more than ``limit``."""
+    stays, still = np.zeros(len(group), bool), np.arange(len(group))
+    while len(still):
+        own = group[still]
+        new = np.ones(len(still), bool)
+        new[1:] = own[1:] != own[:-1]
+        stays[still[new]] = True
+        best = still[new][np.cumsum(new) - 1]
+        still = still[~new & ~(_iou_of(boxes[still], boxes[best]) > limit)]
+    return stays
 
 
 def infer(frames: DataFrame, factory: Callable[[], Callable[[bytes], tuple]], keys: tuple[str, ...] = ("sequence_id", "frame_id")) -> DataFrame:
