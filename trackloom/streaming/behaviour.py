@@ -1,15 +1,15 @@
 """Event rules over streams as stateful processors with timers: near miss, convoy, crowd, jaywalking; visits as sessions.
 
-Rows wait in map state under their frame until the watermark has passed it; a timer for
-each waiting frame then hands the frame to the rule (``_InFrameOrder``), so rows may arrive in
-any order within the watermark, and later ones are dropped by it.  What a rule remembers:
+Rows wait until the watermark has passed their frame; a timer then hands the frames to the rule
+in order (``_InFrameOrder``), so rows may arrive in any order within the watermark, and later
+ones are dropped by it.  Jaywalking looks at one frame at a time and is an aggregation.  What a rule remembers:
 
 | rule | key | state | dropped |
 |---|---|---|---|
 | near miss | pair | frame that fired last | when the cool-down is over |
 | convoy | sequence | run of each pair of the last frame | with the next frame without the pair |
 | crowd | sequence | densities of each zone in the window | when they leave the window |
-| jaywalking | sequence and zone | nothing | - |
+| jaywalking | sequence, frame and zone | counts, persons | with the frame |
 
 Convoys and crowds follow the processed frames of a sequence, so they are keyed by it; what
 reaches them is narrow (close pairs and one mark a frame; a row for each zone and frame).
@@ -29,7 +29,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..operators import events as E
@@ -41,10 +41,10 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-TYPES = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType(), "string": StringType()}
+TYPES = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType()}
 
 #: Pandas makes floats of whole numbers beside nulls; state takes none for a whole number.
-KINDS = {"int": int, "long": int, "double": float, "boolean": bool, "string": str}
+KINDS = {"int": int, "long": int, "double": float, "string": str}
 
 
 def _struct(arrays: bool = False, **columns: str) -> StructType:
@@ -71,8 +71,10 @@ def _time(frame: int) -> int:
 class _InFrameOrder(StatefulProcessor):
     """Hands a key's rows to ``frame`` frame by frame.
 
-    ``columns`` wait as arrays under their frame.  ``kept`` is how many frames after the last one
-    ``forget`` is called, if no other came meanwhile.
+    A key's ``columns`` wait as arrays under one value, so a micro-batch costs a key a few calls to the state
+    store however many frames it holds.  The timer of the earliest frame hands over all frames that
+    the watermark has passed.  ``kept`` is how many frames after the last one ``forget`` is called,
+    if no other came meanwhile.  What the rule remembers is read and written once for all of them.
     """
 
     columns: dict[str, str] = {}
@@ -81,35 +83,53 @@ class _InFrameOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", _struct(frame="int"), _struct(arrays=True, **self.columns))
+        self.waiting = handle.getValueState("waiting", _struct(arrays=True, frame="int", **self.columns))
         self.last = handle.getValueState("last", _struct(frame="int"))
         self.prepare(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = [list(c) for c in self.waiting.get()] if self.waiting.exists() else [[] for _ in range(1 + len(self.columns))]
+        earliest = min(known[0], default=None)
         for part in rows:
-            for frame, own in part.groupby("frame_id"):
-                at, known = (int(frame),), None
-                if self.waiting.containsKey(at):
-                    known = self.waiting.getValue(at)
-                else:
-                    self.handle.registerTimer(_time(at[0]))
-                new = [[None if x is None or x != x else KINDS[t](x) for x in own[c]] for c, t in self.columns.items()]
-                self.waiting.updateValue(at, tuple(list(old) + more for old, more in zip(known, new)) if known else tuple(new))
+            for had, (c, t) in zip(known, {"frame_id": "int", **self.columns}.items()):
+                had += [None if x is None or x != x else KINDS[t](x) for x in part[c]]
+        if known[0]:
+            if earliest is None or min(known[0]) < earliest:
+                self.handle.registerTimer(_time(min(known[0])))
+            self.waiting.update(tuple(known))
         yield self._table([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frame = (expiredTimerInfo.getExpiryTimeInMs() - FIRST_MS) // 1000
+        due = (max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) - FIRST_MS - 1) // 1000
+        held = list(zip(*self.waiting.get())) if self.waiting.exists() else []
+        ready: dict[int, list[tuple]] = {}
+        for frame, *row in held:
+            if frame <= due:
+                ready.setdefault(frame, []).append(tuple(row))
+        last = self.last.get()[0] if self.kept is not None and self.last.exists() else None
+        silent = not ready and last is not None and due - last >= self.kept
         out: list[tuple] = []
-        if self.waiting.containsKey((frame,)):
-            rows = list(zip(*self.waiting.getValue((frame,))))
-            self.waiting.removeKey((frame,))
-            out = self.frame(key, frame, rows)
-            if self.kept is not None:
-                self.last.update((frame,))
-                self.handle.registerTimer(_time(frame + self.kept))
-        if self.kept is not None and self.last.exists() and frame - self.last.get()[0] >= self.kept:
-            self.last.clear()
-            self.forget()
+        if ready or silent:
+            self.load()
+            for frame in sorted(ready):
+                if last is not None and frame - last > self.kept:
+                    self.forget()
+                out += self.frame(key, frame, ready[frame])
+                last = frame if self.kept is not None else None
+            if silent:
+                self.last.clear()
+                self.forget()
+            elif last is not None:
+                self.last.update((last,))
+                self.handle.registerTimer(_time(last + self.kept))
+            self.save()
+        if ready:
+            rest = [r for r in held if r[0] > due]
+            if rest:
+                self.waiting.update(tuple(list(c) for c in zip(*rest)))
+                self.handle.registerTimer(_time(min(r[0] for r in rest)))
+            else:
+                self.waiting.clear()
         yield self._table(out)
 
     def _table(self, rows: list[tuple]) -> pd.DataFrame:
@@ -118,6 +138,12 @@ class _InFrameOrder(StatefulProcessor):
     def prepare(self, handle: StatefulProcessorHandle) -> None:
         """States of the rule."""
 
+    def load(self) -> None:
+        """Read what the rule remembers."""
+
+    def save(self) -> None:
+        """Write what the rule remembers."""
+
     def frame(self, key: tuple, frame: int, rows: list[tuple]) -> list[tuple]:
         """What the rule says of a frame."""
         raise NotImplementedError
@@ -129,6 +155,18 @@ class _InFrameOrder(StatefulProcessor):
         """Nothing to close."""
 
 
+def _rows(state) -> list[tuple]:
+    """Rows of a value of arrays."""
+    return list(zip(*state.get())) if state.exists() else []
+
+
+def _keep(state, rows: list[tuple]) -> None:
+    if rows:
+        state.update(tuple(list(c) for c in zip(*rows)))
+    elif state.exists():
+        state.clear()
+
+
 class NearMiss(_InFrameOrder):
     """A pair fires if its last firing is at least the cool-down ago; after that its state is dropped."""
 
@@ -139,16 +177,22 @@ class NearMiss(_InFrameOrder):
         self.kept = self.cooldown = cooldown
 
     def prepare(self, handle):
-        self.fired = handle.getValueState("fired", _struct(frame="int"))
+        self.fired = handle.getValueState("fired", _struct(arrays=True, frame="int"))
+
+    def load(self):
+        self.at = next((f for (f,) in _rows(self.fired)), None)
+
+    def save(self):
+        _keep(self.fired, [] if self.at is None else [(self.at,)])
 
     def frame(self, key, frame, rows):
-        if self.fired.exists() and frame - self.fired.get()[0] < self.cooldown:
+        if self.at is not None and frame - self.at < self.cooldown:
             return []
-        self.fired.update((frame,))
+        self.at = frame
         return [(*key, frame, min(d for (d,) in rows))]
 
     def forget(self):
-        self.fired.clear()
+        self.at = None
 
 
 class Convoy(_InFrameOrder):
@@ -161,22 +205,21 @@ class Convoy(_InFrameOrder):
         self.frames, self.kept = frames, kept
 
     def prepare(self, handle):
-        self.runs = handle.getMapState("runs", _struct(a="long", b="long"), _struct(run="int"))
+        self.runs = handle.getValueState("runs", _struct(arrays=True, a="long", b="long", run="int"))
+
+    def load(self):
+        self.run_of = {(a, b): run for a, b, run in _rows(self.runs)}
+
+    def save(self):
+        _keep(self.runs, [(a, b, run) for (a, b), run in self.run_of.items()])
 
     def frame(self, key, frame, rows):
-        out, pairs = [], {(a, b): (d, h) for a, b, d, h in rows if a is not None}
-        runs = {tuple(k): v[0] for k, v in self.runs.iterator()}
-        for pair in runs.keys() - pairs.keys():
-            self.runs.removeKey(pair)
-        for pair, measures in sorted(pairs.items()):
-            run = runs.get(pair, 0) + 1
-            self.runs.updateValue(pair, (run,))
-            if run == self.frames:
-                out.append((key[0], frame, *pair, *measures))
-        return out
+        pairs = {(a, b): (d, h) for a, b, d, h in rows if a is not None}
+        self.run_of = {pair: self.run_of.get(pair, 0) + 1 for pair in pairs}
+        return [(key[0], frame, *pair, *measures) for pair, measures in sorted(pairs.items()) if self.run_of[pair] == self.frames]
 
     def forget(self):
-        self.runs.clear()
+        self.run_of = {}
 
 
 class Crowd(_InFrameOrder):
@@ -189,41 +232,25 @@ class Crowd(_InFrameOrder):
         self.density, self.window, self.kept = density, window, kept
 
     def prepare(self, handle):
-        self.history = handle.getMapState("history", _struct(zone="string"), _struct(arrays=True, frames="int", densities="double"))
-
-    def frame(self, key, frame, rows):
-        zones = {k[0]: (list(v[0]), list(v[1])) for k, v in self.history.iterator()}
-        now, out = dict(rows), []
-        for zone in sorted(zones.keys() | now.keys()):
-            seen = [(f, d) for f, d in zip(*zones.get(zone, ((), ()))) if f > frame - self.window]
-            if zone in now:
-                seen.append((frame, now[zone]))
-            if not seen:
-                self.history.removeKey((zone,))
-                continue
-            if zone in now or len(seen) < len(zones[zone][0]):
-                self.history.updateValue((zone,), ([f for f, _ in seen], [d for _, d in seen]))
-            if seen[-1][1] >= self.density and seen[-1][1] > 2 * seen[0][1]:
-                out.append((key[0], frame, zone, seen[-1][1]))
-        return out
-
-    def forget(self):
-        self.history.clear()
+        self.history = handle.getValueState("history", _struct(arrays=True, zone="string", frame="int", density="double"))
 
+    def load(self):
+        self.seen: dict[str, list[tuple]] = {}
+        for zone, frame, density in _rows(self.history):
+            self.seen.setdefault(zone, []).append((frame, density))
 
-class Jaywalking(_InFrameOrder):
-    """Persons of a zone in a frame that is mostly vehicles."""
-
-    columns = {"track": "long", "person": "boolean", "event_role": "string"}
-    output = ["sequence_id", "zone_id", "frame_id", "primary_track_id", "vehicle_ratio"]
-
-    def __init__(self, limit: float, default: float):
-        self.limit, self.default = limit, default
+    def save(self):
+        _keep(self.history, [(zone, *x) for zone, own in self.seen.items() for x in own])
 
     def frame(self, key, frame, rows):
-        roles = [r for _, _, r in rows if r is not None]
-        ratio = roles.count("vehicle") / len(roles) if roles else self.default
-        return [(*key, frame, t, ratio) for t, person, _ in sorted(rows, key=lambda r: r[0]) if person] if ratio > self.limit else []
+        for zone, density in dict(rows).items():
+            self.seen.setdefault(zone, []).append((frame, density))
+        recent = {zone: [x for x in own if x[0] > frame - self.window] for zone, own in self.seen.items()}
+        self.seen = {zone: own for zone, own in recent.items() if own}
+        return [(key[0], frame, zone, own[-1][1]) for zone, own in sorted(self.seen.items()) if own[-1][1] >= self.density and own[-1][1] > 2 * own[0][1]]
+
+    def forget(self):
+        self.seen = {}
 
 
 def _run(stream: DataFrame, keys: list[str], processor: _InFrameOrder, schema: str) -> DataFrame:
@@ -260,9 +287,12 @@ def crowd_form(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE, silen
 
 
 def jaywalking(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFrame:
+    """Persons of a zone in a frame that is mostly vehicles: one aggregation that closes with the frame."""
     c = cfg.jaywalking
-    rows = _timed(stream, late).select(*FRAME, "zone_id", F.col("track_id").cast("long").alias("track"), F.col("class_name").isin(*c.classes).alias("person"), "event_role")
-    out = _run(rows, ["sequence_id", "zone_id"], Jaywalking(c.vehicle_ratio, cfg.zones.vehicle_ratio), "sequence_id string, zone_id string, frame_id int, primary_track_id long, vehicle_ratio double")
+    person = F.when(F.col("class_name").isin(*c.classes), F.col("track_id").cast("long"))
+    z = _timed(stream, late).groupBy(*FRAME, "zone_id").agg(F.count_if(F.col("event_role") == "vehicle").alias("vehicles"), F.count("event_role").alias("n"), F.collect_list(person).alias("persons"))
+    busy = z.withColumn("vehicle_ratio", F.when(F.col("n") > 0, F.col("vehicles") / F.col("n")).otherwise(cfg.zones.vehicle_ratio)).where(F.col("vehicle_ratio") > c.vehicle_ratio)
+    out = busy.select("sequence_id", "zone_id", "frame_id", F.explode("persons").alias("primary_track_id"), "vehicle_ratio")
     return E._events(out.withColumn("confidence", F.col("vehicle_ratio")), "JAYWALKING")
 
 
