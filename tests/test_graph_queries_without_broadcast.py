@@ -6,7 +6,7 @@ from trackloom.operators import graph
 from trackloom.plans import registry, registry_documented, registry_sources, registry_tracking  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ("e8_jaywalking_edge",)
+QUERIES = ("e8_jaywalking_edge", "e8_loitering_edge",)
 
 
 @pytest.mark.parametrize("name", QUERIES)
