@@ -28,7 +28,7 @@ def latest(stats: DataFrame) -> DataFrame:
 def nodes(stats: DataFrame, states: DataFrame) -> DataFrame:
     """Zone nodes: a stale zone keeps its values but is updated with every frame."""
     end = states.groupBy("sequence_id").agg(F.max("frame_id").alias("updated_at_frame"))
-    z = latest(stats).join(end, "sequence_id")
+    z = latest(stats).join(end.hint("merge"), "sequence_id")
     return z.select("sequence_id", "zone_id", F.col("density").alias("last_density"), "vehicle_ratio", "pedestrian_ratio", "updated_at_frame")
 
 
