@@ -6,7 +6,7 @@ from trackloom.operators import graph
 from trackloom.plans import registry, registry_documented, registry_sources, registry_tracking  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ("e8_jaywalking_edge", "e8_loitering_edge", "e8_near_miss_edge", "edge_occurred_in", "q10_crowd_then_loiter", "q14_audit", "q2_events_of_object", "q4_near_misses_in_condition", "q7_convoys",)
+QUERIES = ("e8_jaywalking_edge", "e8_loitering_edge", "e8_near_miss_edge", "edge_occurred_in", "q10_crowd_then_loiter", "q14_audit", "q2_events_of_object", "q4_near_misses_in_condition", "q7_convoys", "q9_loiter_hotspots",)
 
 
 @pytest.mark.parametrize("name", QUERIES)
