@@ -17,3 +17,11 @@ def test_no_step_is_broadcast(spark, monkeypatch, name):
     plans.append(plan(registry.QUERIES[name](spark, SF)))
     kept = [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x and "name#" not in x]  # the twelve classes are broadcast on purpose
     assert len(plans) == 3 and not kept
+
+
+def test_answers_on_classes_compute_no_events(spark, monkeypatch):
+    def none(*a, **k):
+        raise AssertionError("events are not asked for")
+
+    monkeypatch.setattr(graph.E, "all_events", none)
+    assert {r.kind for r in registry.QUERIES["q19_fallback"](spark, SF).collect()} == {"inventory", "counts", "direct"}

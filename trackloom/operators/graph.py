@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 
@@ -198,9 +199,9 @@ class Tables(Mapping):
     def __len__(self) -> int:
         return len(self._plans)
 
-    def changed(self, **tables: DataFrame) -> dict[str, DataFrame]:
-        """A plain dictionary with some tables replaced."""
-        return {name: tables.get(name, self[name]) for name in self}
+    def changed(self, **tables: DataFrame) -> Mapping[str, DataFrame]:
+        """These tables with some replaced; the others are still planned only when asked for."""
+        return ChainMap(tables, self)
 
 
 def build(states: DataFrame, cfg: Config = DEFAULT) -> Tables:
