@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import CLASS_GROUPS, DEFAULT, Config
 from ..functions import geometry as G
+from ..sources.shared import write_once
 from .neighbours import BOX, overlapping, within
 
 
@@ -243,14 +244,15 @@ def graph_violations(g) -> DataFrame:
     """(rule, n): how many rows of the graph's tables break each rule on structure (S), completeness (P) and cardinality (C).
 
     A table that is absent breaks nothing.  Sequence scope (S2) counts edges whose ends are not both
-    objects of the edge's sequence; class rules (S5) look at every class an end ever had.
+    objects of the edge's sequence; class rules (S5) look at every class an end ever had.  Ends and classes
+    serve several rules, so they are written once: the driver plans them once.
     """
     pairs = [n for n in ("edge_near", "edge_near_miss", "edge_convoy_with") if n in g]
     ends = lambda n: g[n].select("sequence_id", "a_track_id", "b_track_id")
     objects = g["node_object"].select("sequence_id", "track_id")
-    every = reduce(DataFrame.unionByName, map(ends, pairs))
+    every = write_once(reduce(DataFrame.unionByName, map(ends, pairs)))
     known = lambda df, side: df.join(objects.withColumnRenamed("track_id", f"{side}_track_id").hint("merge"), ["sequence_id", f"{side}_track_id"], "left_anti")
-    group = g["edge_belongs_to_class"].groupBy("sequence_id", "track_id").agg(F.collect_set("class_group").alias("groups"))
+    group = write_once(g["edge_belongs_to_class"].groupBy("sequence_id", "track_id").agg(F.collect_set("class_group").alias("groups")))
 
     def not_of(df, side, wanted):
         k = group.withColumnRenamed("track_id", side)
