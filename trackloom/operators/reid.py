@@ -36,7 +36,7 @@ def _sides(snaps: DataFrame, bucket_a, bucket_b, columns: list[str]) -> DataFram
     """Pairs of one sequence that share a bucket of frames; each side is sent to the buckets its expression names."""
     a = snaps.select("sequence_id", F.explode(bucket_a).alias("bucket"), *(F.col(c).alias(f"a_{c}") for c in columns))
     b = snaps.select("sequence_id", F.explode(bucket_b).alias("bucket"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    return a.join(b, ["sequence_id", "bucket"])
+    return a.join(b.hint("merge"), ["sequence_id", "bucket"])
 
 
 def _bucket(frame, width: int):
@@ -86,7 +86,7 @@ def accept(cands: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def ambiguous(cands: DataFrame, accepted: DataFrame) -> DataFrame:
-    return cands.join(accepted.select("sequence_id", "track_a", "track_b"), ["sequence_id", "track_a", "track_b"], "left_anti")
+    return cands.join(accepted.select("sequence_id", "track_a", "track_b").hint("merge"), ["sequence_id", "track_a", "track_b"], "left_anti")
 
 
 def same_entity(accepted: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def coexists(snaps: DataFrame, cfg: Config = DEFAULT, width: int = 60) -> DataFr
     p = p.where(F.col("bucket") == F.floor(F.col("b_first_seen_frame") / width))  # the overlap starts where the later one starts
     for s in "ab":
         points = snaps.select("sequence_id", F.col("track_id").alias(f"{s}_track_id"), F.col("trajectory").alias(f"{s}_trajectory"))
-        p = p.join(points, ["sequence_id", f"{s}_track_id"])
+        p = p.join(points.hint("merge"), ["sequence_id", f"{s}_track_id"])
     n = F.least(F.size("a_trajectory"), F.size("b_trajectory"))
     steps = F.zip_with(F.slice("a_trajectory", F.lit(1), n), F.slice("b_trajectory", F.lit(1), n), lambda x, y: G.distance(x["cx"], x["cy"], y["cx"], y["cy"]))
     least = F.when(n > 0, F.array_min(steps)).otherwise(cfg.reid.coexist_default)
