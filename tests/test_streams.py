@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.config import DEFAULT
@@ -66,3 +67,59 @@ def test_a_live_pace_spreads_the_batches(spark, tmp_path):
         q.awaitTermination(0.3)
     q.stop()
     assert [tuple(r) for r in seen[:4]] == [(0, 2), (3, 5), (6, 8), (9, 11)]
+
+
+class Calls:
+    """A group's state as the rule sees it."""
+
+    def __init__(self):
+        self.get, self.hasTimedOut, self.watermark, self.wakes = None, False, 0, []
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, new):
+        self.get = new
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, at):
+        self.wakes.append(at)
+
+
+def test_many_tracks_share_a_call(spark, tmp_path, monkeypatch):
+    rules = []
+
+    class Grouped:
+        def applyInPandasWithState(self, run, out, state, mode, timeout):
+            rules.append(run)
+            return spark.createDataFrame([], out)
+
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    monkeypatch.setattr(type(source), "groupBy", lambda self, *keys: rules.append(keys) or Grouped())
+    stream.loiter(source, CFG)
+    keys, rule = rules
+    assert keys == ("dealt",)
+    rows = lambda frames: iter([pd.DataFrame([("s", t, f, "person", "stationary", "a") for f in frames for t in range(40)], columns=["sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id"])])
+    state, at = Calls(), lambda frame: stream.FIRST_MS + 1000 * frame
+    assert pd.concat(rule((0,), rows((3, 1, 2)), state)).empty and state.wakes == [at(1)]
+    state.watermark = at(4)
+    assert pd.concat(rule((0,), rows((6, 4)), state)).empty and state.wakes[-1] == at(4) + 1
+    state.watermark, state.hasTimedOut = at(7), True
+    out = pd.concat(rule((0,), iter([]), state))
+    assert sorted(zip(out["track_id"], out["frame_id"], out["zone_id"])) == [(t, 6, "a") for t in range(40)] and state.wakes[-1] == at(6 + stream.SILENT + 1)
+    state.watermark = at(6 + stream.SILENT + 2)
+    assert pd.concat(rule((0,), iter([]), state)).empty and not state.exists
+
+
+def test_loitering_of_many_tracks_over_batches(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"s{t % 3}", t, f, rng.choice(("person", "person", "person", "car")), rng.choice(("stationary",) * 9 + ("linear",)), rng.choice("aaaaab"), "pedestrian") for t in range(30) for f in range(60) if rng.random() < 0.9]
+    batches = [[r for r in rows if r[2] // 12 == k] for k in range(5)]
+    got, _ = run(spark, batches, lambda s, cfg, late: stream.loiter(s, cfg, late, groups=4), str(tmp_path))
+    key = lambda df: sorted((r.sequence_id, r.primary_track_id, r.frame_id, r.zone_id) for r in df.collect())
+    want = key(E.loiter(spark.createDataFrame(rows, SCHEMA), CFG))
+    assert key(got) == want and len(want) > 30

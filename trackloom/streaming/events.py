@@ -23,6 +23,8 @@ FIRST_MS = 86_400_000
 FAR = 10_000_000
 #: A track without news for so many frames is forgotten.
 SILENT = 3600
+#: Tracks of a loitering stream share so many keys.
+GROUPS = 1024
 
 
 def with_time(states: DataFrame) -> DataFrame:
@@ -46,47 +48,75 @@ def sliding_density(stream: DataFrame, width: int = 10, step: int = 5, late: str
     return counts.select("sequence_id", "zone_id", (F.unix_timestamp(F.col("w.start")) - FIRST_MS // 1000).cast("int").alias("first_frame"), "n_states")
 
 
-def loiter(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE) -> DataFrame:
+def loiter(stream: DataFrame, cfg: Config = DEFAULT, late: str = LATE, groups: int = GROUPS) -> DataFrame:
     """LOITER events; the state of a track is its zone, its run and the observations that are not yet older than the watermark.
 
     Observations count in frame order, whatever order they arrive in within the watermark; later
     ones are dropped by it.  A track whose observations are all counted keeps three values, and is
-    forgotten if it stays silent for ``SILENT`` frames.
+    forgotten if it stays silent for ``SILENT`` frames.  Tracks are dealt by a hash to ``groups`` keys,
+    so a micro-batch makes at most that many calls, however many tracks it holds; a stream keeps its
+    number for as long as its checkpoint.
     """
     limit, classes = cfg.loiter.frames, set(cfg.loiter.classes)
+    names = ["sequence_id", "track_id", "frame_id", "zone_id"]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        zone, count, last, frames, still, zones_ = state.get if state.exists else ("", 0, 0, [], [], [])
-        waiting = list(zip(frames, still, zones_))
+        tracks = _held(state.get) if state.exists else {}
         if not state.hasTimedOut:
             for p in batches:
-                waiting += [(int(f), bool(c in classes and m == "stationary"), z) for f, c, m, z in zip(p["frame_id"], p["class_name"], p["movement_pattern"], p["zone_id"])]
-        waiting.sort()
+                for s, t, f, c, m, z in zip(*(p[n].tolist() for n in ("sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id"))):
+                    own = tracks.get((s, t))
+                    if own is None:
+                        own = tracks[s, t] = ["", 0, 0, []]
+                    own[3].append((f, c in classes and m == "stationary", z))
         due = (state.getCurrentWatermarkMs() - FIRST_MS) / 1000  # no row of an earlier frame can come any more
-        out = []
-        while waiting and waiting[0][0] < due:
-            f, ok, z = waiting.pop(0)
-            count = count + 1 if ok and count and zone == z else int(ok)
-            zone, last = z, f
-            if ok and count == limit:
-                out.append((key[0], int(key[1]), f, z))
-        if state.hasTimedOut and not waiting and last + SILENT < due:
+        out, kept = [], {}
+        for track, (zone, count, last, waiting) in tracks.items():
+            waiting.sort()
+            counted = 0
+            for f, ok, z in waiting:
+                if f >= due:
+                    break
+                counted += 1
+                count = count + 1 if ok and count and zone == z else int(ok)
+                zone, last = z, f
+                if ok and count == limit:
+                    out.append((*track, f, z))
+            waiting = waiting[counted:]
+            if waiting or last + SILENT >= due:
+                kept[track] = (zone, count, last, waiting)
+        if kept:
+            state.update(_flat(kept))
+            wake = min(waiting[0][0] if waiting else last + SILENT + 1 for _, _, last, waiting in kept.values())
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, FIRST_MS + 1000 * wake))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_id", "zone_id"])
-            return
-        state.update((zone, count, last, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
-        wake = waiting[0][0] if waiting else last + SILENT + 1
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, FIRST_MS + 1000 * wake))
-        yield pd.DataFrame(out, columns=["sequence_id", "track_id", "frame_id", "zone_id"])
+        yield pd.DataFrame(out, columns=names)
 
     timed = with_time(stream.select("sequence_id", "track_id", "frame_id", "class_name", "movement_pattern", "zone_id")).withWatermark("event_ts", late)
-    found = timed.groupBy("sequence_id", "track_id").applyInPandasWithState(
+    found = timed.withColumn("dealt", F.pmod(F.xxhash64("sequence_id", "track_id"), F.lit(groups))).groupBy("dealt").applyInPandasWithState(
         run, "sequence_id string, track_id long, frame_id int, zone_id string",
-        "zone string, n long, last int, frames array<long>, still array<boolean>, zones array<string>", "append", GroupStateTimeout.EventTimeTimeout,
+        "sequences array<string>, tracks array<long>, zone array<string>, n array<long>, last array<int>, of array<int>, frames array<long>, still array<boolean>, zones array<string>", "append", GroupStateTimeout.EventTimeTimeout,
     )
     return E._events(found.withColumnRenamed("track_id", "primary_track_id").withColumn("confidence", F.lit(1.0)), "LOITER")
 
 
+def _held(arrays: tuple) -> dict[tuple, list]:
+    """Tracks of a group from its state: zone, run, last frame, waiting observations."""
+    sequences, ids, zone, count, last, of, *waiting = arrays
+    own = [[*x, []] for x in zip(zone, count, last)]
+    for k, w in zip(of, zip(*waiting)):
+        own[k][3].append(w)
+    return dict(zip(zip(sequences, ids), own))
+
+
+def _flat(tracks: dict[tuple, tuple]) -> tuple:
+    """The state of a group: arrays over its tracks, then over their waiting observations, each with its track's place."""
+    columns = [[s for s, _ in tracks], [t for _, t in tracks], *([x[k] for x in tracks.values()] for k in range(3))]
+    waiting = [(k, *w) for k, x in enumerate(tracks.values()) for w in x[3]]
+    return (*columns, *([w[k] for w in waiting] for k in range(4)))
+
+
 def upsert_sink(path: str, keys: list[str], values: list[str], by: str = "frame_id") -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: the last write of each key in a micro-batch; a replayed batch overwrites its own folder."""
     from ..operators.graph import last_write
